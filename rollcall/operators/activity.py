@@ -154,11 +154,18 @@ def day_text(day: str) -> Column:
     return F.date_format(day, "MMM d, yyyy")
 
 
+def activity(table: DataFrame, key: str, domain: Domain, value: str = "play_time") -> DataFrame:
+    """Value and tooltip text of every entity and active day of the domain."""
+    shown = in_domain(table, domain)
+    return shown.select(
+        key, "day", F.col(value).alias("value"), tooltip(table.columns).alias("tooltip")
+    )
+
+
 def entity_activity(table: DataFrame, key: str, entity, domain: Domain,
                     value: str = "play_time") -> DataFrame:
-    """Rows of one entity in the domain, with tooltip text."""
-    rows = in_domain(table.where(F.col(key) == F.lit(entity)), domain)
-    return rows.select("day", F.col(value).alias("value"), tooltip(table.columns).alias("tooltip"))
+    """One entity; the filter on its key reaches the scan of the day table."""
+    return activity(table.where(F.col(key) == F.lit(entity)), key, domain, value).drop(key)
 
 
 def tooltip(columns: list[str]) -> Column:

@@ -260,8 +260,8 @@ def shown(servers: str = "servers"):
 
 ONLINE = """
 online AS (
-  SELECT player, string_agg(DISTINCT at, ',' ORDER BY at) AS servers FROM (
-    SELECT player, c_name || ':' || CAST(c_nationkey + 8300 AS VARCHAR) AS at
+  SELECT player, string_agg(DISTINCT spot, ',' ORDER BY spot) AS servers FROM (
+    SELECT player, c_name || ':' || CAST(c_nationkey + 8300 AS VARCHAR) AS spot
     FROM live JOIN oc USING (snapshot_id) JOIN customer ON c_custkey = live.server)
   GROUP BY player)"""
 
@@ -326,8 +326,8 @@ def masterless(t: Tables):
 
 @query("search_players", with_cte("orders", f""", {RUNS},
 spots AS (
-  SELECT l_partkey AS part, string_agg(DISTINCT at, ',' ORDER BY at) AS servers FROM (
-    SELECT l_partkey, c_name || ':' || CAST(c_nationkey + 8300 AS VARCHAR) AS at
+  SELECT l_partkey AS part, string_agg(DISTINCT spot, ',' ORDER BY spot) AS servers FROM (
+    SELECT l_partkey, c_name || ':' || CAST(c_nationkey + 8300 AS VARCHAR) AS spot
     FROM live JOIN oc USING (snapshot_id) JOIN customer ON c_custkey = live.server)
   GROUP BY l_partkey)
 """ + page_sql(
