@@ -8,26 +8,26 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.operators.prepare import first_occurrence, observe
+from rollcall.operators.prepare import first_occurrence
 
 OBSERVATION_SECONDS = 300
 
 
-def day_presence(headers: DataFrame, clients: DataFrame) -> DataFrame:
+def day_presence(seen: DataFrame) -> DataFrame:
     """Play time per (day, map, game type, clan, player).
 
-    Header columns join in before the dedupe, so the dedupe reuses the join's
-    partitioning by snapshot: detail rows are shuffled once. The rows that leave
-    here are at most one per player, place and day; the day tables all start
-    from them.
+    ``seen`` is client rows with their header columns: flat archive rows as they
+    are, or :func:`observe` output, whose partitioning by snapshot the dedupe
+    reuses. Detail rows are shuffled once either way. What leaves here is at most
+    one row per player, place and day; the day tables all start from it.
     """
-    seen = observe(
-        headers.select("snapshot_id", F.to_date("ts").alias("day"), "map", "game_type"),
-        clients.select("snapshot_id", "player", "clan", "in_game", "ordinal"),
+    rows = seen.where(F.col("player").isNotNull()).select(
+        "snapshot_id", "player", "ordinal", F.to_date("ts").alias("day"), "map", "game_type",
+        "clan", "in_game",
     )
     active = F.when(F.col("in_game"), F.lit(OBSERVATION_SECONDS)).otherwise(F.lit(0))
     return (
-        first_occurrence(seen)
+        first_occurrence(rows)
         .groupBy("day", "map", "game_type", "clan", "player")
         .agg(F.sum(active).alias("play_time"))
     )
@@ -75,10 +75,10 @@ def server_day(headers: DataFrame) -> DataFrame:
     )
 
 
-def day_tables(headers: DataFrame, clients: DataFrame) -> dict[str, DataFrame]:
+def day_tables(headers: DataFrame, seen: DataFrame) -> dict[str, DataFrame]:
     """All five day tables. The presence rows are kept for the four that share
     them; release with ``tables["presence"].unpersist()``."""
-    presence = day_presence(headers, clients).persist(StorageLevel.MEMORY_AND_DISK)
+    presence = day_presence(seen).persist(StorageLevel.MEMORY_AND_DISK)
     return {
         "presence": presence,
         "player_day": player_day(presence),

@@ -11,11 +11,11 @@ SECONDS = sql_int("sum(CASE WHEN in_game THEN 300 ELSE 0 END)")
 
 
 def order_presence(t: Tables):
-    return rollup.day_presence(t.order_headers, t.order_clients)
+    return rollup.day_presence(prepare.observe(t.order_headers, t.order_clients))
 
 
 def event_presence(t: Tables):
-    return rollup.day_presence(t.event_headers, t.event_clients)
+    return rollup.day_presence(prepare.observe(t.event_headers, t.event_clients))
 
 
 def rank_methods_of(maps):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values.
 ELO_GAME_TYPES = (
@@ -17,4 +18,7 @@ TIME_GAME_TYPES = (
 
 def default_rank_methods(spark: SparkSession) -> DataFrame:
     rows = [(n, "ELO") for n in ELO_GAME_TYPES] + [(n, "TIME") for n in TIME_GAME_TYPES]
-    return spark.createDataFrame(rows, "game_type string, rank_method string")
+    pairs = F.array(*[
+        F.struct(F.lit(n).alias("game_type"), F.lit(m).alias("rank_method")) for n, m in rows
+    ])
+    return spark.range(1).select(F.inline(pairs))
