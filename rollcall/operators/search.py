@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ MIN_QUERY = 2
 
 def like_pattern(text: str) -> str:
     """User text as an ILIKE pattern: ``_`` and ``%`` are plain characters,
-    a backslash keeps its meaning as the escape character."""
-    return "%" + text.replace("_", r"\_").replace("%", r"\%") + "%"
+    a backslash keeps its meaning as the escape character. Before any other
+    character it only makes that character plain, so it is left out there."""
+    pattern = "%" + text.replace("_", r"\_").replace("%", r"\%") + "%"
+    return re.sub(r"\\(.)", lambda m: m[0] if m[1] in "_%\\" else m[1], pattern, flags=re.S)
 
 
 def searchable(text: str) -> bool:

@@ -1,0 +1,72 @@
+from pyspark.sql import functions as F
+
+from rollcall.sources import packets
+from tests.conftest import rows
+
+
+def answer(magic, *fields):
+    head = b"\xff" * 6 + b"\xff" * 4 + magic.encode()
+    return bytearray(head + b"".join(str(f).encode() + b"\0" for f in fields))
+
+
+def vanilla(clients, magic="inf3", extra=()):
+    return answer(magic, "tok", "0.6.4", "srv ü", "ctf5", "CTF", "0", 1, 8, len(clients), 16, *extra,
+                  *[f for c in clients for f in c])
+
+
+def extended(clients):
+    return answer("iext", "tok", "0.6.5", "ext", "dm1", "crc", "size", "DM", "0", 2, 8, 3, 32, "",
+                  *[f for c in clients for f in (*c, "")])
+
+
+def more(clients):
+    return answer("iex+", "tok", "1", *[f for c in clients for f in (*c, "")])
+
+
+A, B = ("name1", "clan1", -1, 10, 1), ("name2", "", 64, -3, 0)
+
+
+def table(spark, *payloads):
+    return spark.createDataFrame(
+        [(p, i, b) for i, (p, b) in enumerate(payloads)], "poll long, arrival int, payload binary")
+
+
+def test_all_formats(spark):
+    df = table(spark, (1, vanilla([A, B])), (2, vanilla([A, B], "dtsf", ("0",))), (3, extended([A, B])),
+               (4, more([A, B])), (5, bytearray(b"\x04" + bytes(11))), (6, vanilla([])))
+    got = {r.poll: r for r in packets.decode_server_info(df).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 6] and all(r.valid for r in got.values())
+    for p in (1, 2, 3, 4):
+        assert [tuple(c) for c in got[p].clients] == [("name1", "clan1", -1, 10, True), ("name2", "", 64, -3, False)]
+    assert (got[1].server_name, got[1].map_name, got[1].game_type, got[1].max_clients) == ("srv ü", "ctf5", "CTF", 16)
+    assert (got[3].map_name, got[3].game_type, got[3].num_players) == ("dm1", "DM", 2)
+    assert got[4].server_name is None and not got[4].has_header and got[6].clients == []
+    assert [got[p].source for p in (1, 2, 3, 4)] == [0, 1, 2, 3]
+
+
+def test_answers_of_a_poll_merge(spark):
+    richer = ("name1", "clanX", 5, 99, 0)
+    df = table(spark, (1, vanilla([A, B, B])), (1, extended([("name3", "", 0, 1, 1), richer])),
+               (1, vanilla([("name1", "late", 0, 0, 1)])), (2, more([A])), (3, vanilla([A])), (3, vanilla([A])[:-1]))
+    headers, clients = packets.merge_polls(packets.decode_server_info(df))
+    assert rows(headers, "poll", "server_name", "max_clients") == [(1, "srv ü", 16), (2, "", 0)]
+    got = [tuple(r) for r in clients.orderBy("poll", "ordinal").select(
+        "poll", "player", "clan", "score", "in_game").collect()]
+    assert got == [(1, "name1", "clanX", 99, False), (1, "name2", None, -3, False), (1, "name3", None, 1, True),
+                   (2, "name1", "clan1", 10, True)]
+
+
+def test_master_lists(spark):
+    v4 = bytes(10) + b"\xff\xff\x01\x02\x03\x04\x20\x6f"
+    v6 = bytes.fromhex("20010db8000000000000000000000001") + b"\x20\x70"
+    old = bytearray(b"\xff" * 10 + b"lis2" + v4 + v6)
+    new = bytearray(b"\x21" + bytes(8) + b"\xff" * 4 + b"lis2" + v4)
+    df = table(spark, (1, old), (2, new), (3, bytearray(b"\x04" + bytes(30))), (4, bytearray(b"\xff" * 10 + b"lis2")))
+    got = rows(packets.decode_master_list(df), "poll", "ordinal", "ip", "port")
+    assert got == [(1, 0, "1.2.3.4", 8303), (1, 1, "2001:0db8:0000:0000:0000:0000:0000:0001", 8304),
+                   (2, 0, "1.2.3.4", 8303)]
+
+
+def test_decoding_stays_in_the_engine(spark):
+    plan = packets.decode_server_info(table(spark, (1, vanilla([A]))).withColumn("x", F.lit(1)))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
