@@ -87,9 +87,10 @@ def elapsed(headers: DataFrame, last_known: DataFrame | None = None) -> DataFram
     )
 
 
-def ordered_neighbours(df: DataFrame, order: str, value: str, buckets: int = 1024) -> DataFrame:
-    """``prev_<value>``: ``value`` of the row before, in one order over the
-    whole table and without a single-task window.
+def ordered_neighbours(df: DataFrame, order: str, value: str, ties: Sequence[str] = (),
+                       buckets: int = 1024) -> DataFrame:
+    """``prev_<value>``: ``value`` of the row before, ordered by ``order``,
+    ``value`` and ``ties`` over the whole table, without a single-task window.
 
     Rows are cut into ``buckets`` equal ranges of the numeric ``order``; each
     range is a window partition, and the last row of each range (at most
@@ -100,7 +101,7 @@ def ordered_neighbours(df: DataFrame, order: str, value: str, buckets: int = 102
     low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
     place = (F.col(order) - low) / (high - low + F.lit(1))
     keyed = df.withColumn("_bucket", F.floor(place * buckets)).withColumn(
-        "_at", F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+        "_at", F.struct(F.col(order).alias("o"), F.col(value).alias("v"), *ties)
     )
     lasts = keyed.groupBy("_bucket").agg(F.max("_at").alias("_at"))
     seeds = lasts.withColumn("_at", F.lag("_at").over(Window.orderBy("_bucket"))).where(

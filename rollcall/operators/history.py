@@ -88,7 +88,7 @@ def tiling(objects: DataFrame) -> DataFrame:
         .when(F.col("first_id") <= previous, "overlap")
         .otherwise("tile")
     )
-    return ordered_neighbours(objects, "first_id", "last_id").withColumn("state", state)
+    return ordered_neighbours(objects, "first_id", "last_id", ["object"]).withColumn("state", state)
 
 
 def merged_history(hot: DataFrame, archive: DataFrame) -> DataFrame:

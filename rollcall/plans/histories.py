@@ -98,7 +98,7 @@ def rollup_coverage(t: Tables):
 SELECT object, first_id, last_id,
        CASE WHEN prev IS NULL THEN 'first' WHEN first_id > prev + 1 THEN 'gap'
             WHEN first_id <= prev THEN 'overlap' ELSE 'tile' END AS state
-FROM (SELECT *, lag(last_id) OVER (ORDER BY first_id, last_id) AS prev FROM objects)"""))
+FROM (SELECT *, lag(last_id) OVER (ORDER BY first_id, last_id, object) AS prev FROM objects)"""))
 def archive_tiling(t: Tables):
     ids = [F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")]
     hourly = t.events.where("k >= 10").groupBy(

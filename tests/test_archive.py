@@ -118,9 +118,11 @@ def test_backfill_rolls_up_missing_days_only(spark, tmp_path):
 
 
 def test_tiling_states(spark):
-    objects = spark.createDataFrame([(1, 10), (11, 20), (25, 30), (28, 40), (41, 41)], "first_id long, last_id long")
+    objects = spark.createDataFrame(
+        [("a", 1, 10), ("b", 11, 20), ("c", 25, 30), ("d", 28, 40), ("e", 41, 41)],
+        "object string, first_id long, last_id long")
     for buckets in (1, 2, 1024):
-        got = history.ordered_neighbours(objects, "first_id", "last_id", buckets)
+        got = history.ordered_neighbours(objects, "first_id", "last_id", ["object"], buckets)
         assert rows(got, "first_id", "prev_last_id") == [(1, None), (11, 10), (25, 20), (28, 30), (41, 40)]
     assert [r.state for r in history.tiling(objects).orderBy("first_id").collect()] == [
         "first", "tile", "gap", "overlap", "tile"]
