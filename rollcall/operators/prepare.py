@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Scores and names that never count as a finishing time.
@@ -38,13 +38,13 @@ def first_occurrence(
 ) -> DataFrame:
     """Keep the first row of each key by ``order``.
 
-    A ``min`` over a struct instead of a window: copies of a key are reduced
-    before the shuffle, so a key with very many copies never lands in one task.
-    The remaining columns break ties, which keeps retries deterministic.
+    The bound on the row number is what makes Spark keep one row per key on the
+    map side already, so a key with very many copies never reaches one task
+    whole. The remaining columns break ties, which keeps retries deterministic.
     """
     rest = [c for c in df.columns if c not in keys and c != order]
-    first = F.min(F.struct(order, *rest)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
+    earliest = Window.partitionBy(*keys).orderBy(order, *rest)
+    return df.withColumn("_nth", F.row_number().over(earliest)).where("_nth = 1").drop("_nth")
 
 
 def flatten(nested: DataFrame) -> DataFrame:
@@ -107,8 +107,8 @@ def with_rank_method(headers: DataFrame, maps: DataFrame, game_types: DataFrame)
 def survivors(responses: DataFrame, keys: Sequence[str], source: str, arrival: str) -> DataFrame:
     """Merge client rows of several responses to one poll.
 
-    The richest source wins, the earliest arrival among equals. Reduced with a
-    partial aggregate, like :func:`first_occurrence`.
+    The richest source wins, the earliest arrival among equals. Copies are
+    reduced on the map side by the partial aggregate.
     """
     rest = [c for c in responses.columns if c not in (*keys, source, arrival)]
     winner = F.min(F.struct((-F.col(source)).alias("_rank"), F.col(arrival), *rest))

@@ -6,21 +6,23 @@ from rollcall.operators import prepare, rating
 from rollcall.operators.playtime import add_deltas
 from rollcall.plans.fixtures import Tables, with_cte
 from rollcall.plans.registry import query, sql_int, sql_num
+from rollcall.session import cut_lineage
 
 DAY_MINUTES = 1440
 WEEKS = ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29")
 
 
+def matches(t: Tables, unit: str, max_gap_minutes: int):
+    deltas = rating.score_deltas(t.bucket_headers(unit), t.bucket_clients(unit), max_gap_minutes)
+    return rating.ranked_matches(cut_lineage(deltas))
+
+
 def day_matches(t: Tables):
-    deltas = rating.score_deltas(t.bucket_headers("day"), t.bucket_clients("day"), DAY_MINUTES)
-    return rating.ranked_matches(deltas)
+    return matches(t, "day", DAY_MINUTES)
 
 
 def week_matches(t: Tables):
-    deltas = rating.score_deltas(
-        t.bucket_headers("week"), t.bucket_clients("week"), 7 * DAY_MINUTES
-    )
-    return rating.ranked_matches(deltas)
+    return matches(t, "week", 7 * DAY_MINUTES)
 
 
 @query("match_deltas", with_cte("day", f"""

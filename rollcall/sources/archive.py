@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +40,25 @@ def write_archive(flat: DataFrame, root: str, mode: str = "append") -> None:
 
 def read_archive(spark: SparkSession, root: str, first: date | None = None,
                  last: date | None = None) -> DataFrame:
-    """Flat rows of a closed range of days; other days are never listed into
-    the scan. A row filed under the wrong day is left out, as the day filter
-    on the timestamp itself demands."""
-    rows = spark.read.schema(READ_SCHEMA).parquet(root)
-    if first is not None:
-        rows = rows.where(F.col("dt") >= F.lit(first))
-    if last is not None:
-        rows = rows.where(F.col("dt") <= F.lit(last))
+    """Flat rows of a closed range of days. With both ends given only those
+    day directories are listed, else the partition filter prunes them. A row
+    filed under the wrong day is left out: the day filter is on its time."""
+    reader = spark.read.schema(READ_SCHEMA)
+    if first is not None and last is not None:
+        days = [first + timedelta(days=n) for n in range((last - first).days + 1)]
+        folders = ",".join(f"dt={d.isoformat()}" for d in days)
+        try:
+            rows = reader.option("basePath", root).parquet(f"{root}/{{{folders}}}")
+        except Exception as error:  # none of the days was ever written
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            rows = spark.createDataFrame([], READ_SCHEMA)
+    else:
+        rows = reader.parquet(root)
+        if first is not None:
+            rows = rows.where(F.col("dt") >= F.lit(first))
+        if last is not None:
+            rows = rows.where(F.col("dt") <= F.lit(last))
     return from_archive(rows).where(F.to_date("ts") == F.col("dt"))
 
 
@@ -86,7 +97,8 @@ def archive_batch(hot: DataFrame, root: str, now: Column, hours: int) -> DataFra
     days = [r.day for r in due.select(F.to_date("ts").alias("day")).distinct().collect()]
     if not days:
         return hot
-    write_archive(due.join(_ids(spark, root, days), "snapshot_id", "left_anti"), root)
+    held = read_archive(spark, root, min(days), max(days)).select("snapshot_id").distinct()
+    write_archive(due.join(held, "snapshot_id", "left_anti"), root)
 
     written = read_archive(spark, root, min(days), max(days)).where(F.to_date("ts").isin(days))
     kept = written.join(due.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
@@ -95,13 +107,3 @@ def archive_batch(hot: DataFrame, root: str, now: Column, hours: int) -> DataFra
     if not missing.isEmpty():
         raise RuntimeError(f"archive under {root} does not hold all rows; nothing retired")
     return hot.join(kept.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
-
-
-def _ids(spark: SparkSession, root: str, days: list[date]) -> DataFrame:
-    try:
-        held = read_archive(spark, root, min(days), max(days))
-    except Exception as error:  # no archive yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], "snapshot_id long")
-    return held.select("snapshot_id").distinct()

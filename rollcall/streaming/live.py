@@ -122,8 +122,8 @@ class LiveTables:
         earlier = before.select("snapshot_id", F.inline("clients"))
         deltas = rating.score_deltas(
             headers, clients, self.max_gap_minutes, last_known=before, earlier_clients=earlier)
-        matches = rating.ranked_matches(of(deltas, elo))
-        matches = matches.persist(StorageLevel.MEMORY_AND_DISK)
+        deltas = of(deltas, elo).persist(StorageLevel.MEMORY_AND_DISK)
+        matches = rating.ranked_matches(deltas)
         known = self.ratings(before=batch)
         changes = []
         for scope in SCOPES:
@@ -134,7 +134,7 @@ class LiveTables:
                 F.lit(scope).alias("scope"), F.col(scope).alias("place"), "player"
             ).agg(F.sum("elo_delta").alias("elo_delta")))
         self._write(changes[0].unionByName(changes[1]), "elo", batch)
-        matches.unpersist()
+        deltas.unpersist()
         self._write(rating.best_times(of(headers, time), clients), "times", batch)
         if batch % self.compact_every == self.compact_every - 1:
             self._write(self.ratings(), "ratings", batch, "base")

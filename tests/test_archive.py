@@ -50,8 +50,11 @@ def test_one_day_is_a_partition_filter(spark, tmp_path):
     archive.write_archive(month(spark), root)
     one = archive.read_archive(spark, root, date(2024, 1, 2), date(2024, 1, 2))
     assert rows(one.select("snapshot_id").distinct()) == [(5,), (6,), (7,), (8,)]
-    plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dt" in plan
+    assert {f.split("dt=")[1][:10] for f in one.inputFiles()} == {"2024-01-02"}
+    since = archive.read_archive(spark, root, date(2024, 1, 5))
+    assert "PartitionFilters: [isnotnull(dt" in since._jdf.queryExecution().executedPlan().toString()
+    assert since.select("dt").distinct().count() == 2
+    assert archive.read_archive(spark, root, date(2030, 1, 1), date(2030, 1, 2)).count() == 0
     assert rows(archive.archived_days(spark, root)) == [(date(2024, 1, d),) for d in range(1, 7)]
 
 
