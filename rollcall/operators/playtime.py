@@ -27,14 +27,15 @@ TOTALS: dict[str, tuple[str, ...]] = {
 
 def credited(headers: DataFrame, clients: DataFrame,
              last_known: DataFrame | None = None) -> DataFrame:
-    """One row per player and snapshot with the seconds it is worth."""
+    """One row per player and snapshot with the seconds it is worth. The join
+    comes before the dedupe, which reuses its partitioning by snapshot."""
     worth = (
         elapsed(headers, last_known)
         .where(F.col("credit").isNotNull())
         .select("snapshot_id", "ts", "server", "map", "game_type", "credit")
     )
-    present = first_occurrence(clients.select("snapshot_id", "player", "clan", "ordinal"))
-    return observe(worth, present.drop("ordinal"))
+    present = clients.select("snapshot_id", "player", "clan", "ordinal")
+    return first_occurrence(observe(worth, present)).drop("ordinal")
 
 
 def play_time(credits: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from rollcall.operators.asof import previous_snapshot, whole_units
 from rollcall.operators.prepare import first_occurrence, observe, valid_times
-from rollcall.session import cut_lineage
+from rollcall.session import cut_lineage, remove, stage_by
 
 K_FACTOR = 25.0
 RATING_SPAN = 400.0
@@ -41,17 +41,14 @@ def score_deltas(headers: DataFrame, clients: DataFrame, max_gap_minutes: int =
     before = current if earlier_clients is None else current.unionByName(
         earlier_clients.select(*columns)
     )
+    # Both sides dedupe the same rows, so Spark shuffles and sorts them once.
     now = first_occurrence(current).where("in_game").drop("in_game", "ordinal")
     then = first_occurrence(before).where("in_game").select(
         F.col("snapshot_id").alias("prev_snapshot_id"), "player", F.col("score").alias("_before")
     )
-    return (
-        observe(pairs, now)
-        .join(then, ["prev_snapshot_id", "player"])
-        .select(
-            "snapshot_id", "ts", "server", "map", "game_type", "player",
-            (F.col("score") - F.col("_before")).alias("score_delta"),
-        )
+    return observe(pairs, now).join(then, ["prev_snapshot_id", "player"]).select(
+        "snapshot_id", "ts", "server", "map", "game_type", "player",
+        (F.col("score") - F.col("_before")).alias("score_delta"),
     )
 
 
@@ -90,61 +87,50 @@ SUMS = T.StructType([
 
 
 @F.pandas_udf(SUMS)
-def meet_blocks(mine: pd.Series, my_delta: pd.Series, theirs: pd.Series, their_delta: pd.Series,
-                count: pd.Series) -> pd.DataFrame:
-    """Per row two blocks of entries; summed results and win chances of each
-    entry of the first against the second. Array lambdas can say the same but
+def meet_blocks(mine: pd.Series, my_delta: pd.Series, theirs: pd.Series,
+                their_delta: pd.Series) -> pd.DataFrame:
+    """Per row two blocks of players; summed results and win chances of each
+    player of the first against the second. Array lambdas can say the same but
     are interpreted per element: measured twice as slow for 40 players and ten
     times for 1,000."""
     wins, expected = [], []
-    for r, s, other_r, other_s, n in zip(mine, my_delta, theirs, their_delta, count):
+    for r, s, other_r, other_s in zip(mine, my_delta, theirs, their_delta):
         gap = np.clip(r[:, None] - other_r, -RATING_SPAN, RATING_SPAN)
-        ahead = np.sign(s[:, None] - other_s)
-        wins.append((ahead * 0.5 + 0.5) @ n)
-        expected.append((1.0 / (1.0 + 10.0 ** (-gap / RATING_SPAN))) @ n)
+        wins.append((np.sign(s[:, None] - other_s) * 0.5 + 0.5).sum(axis=1))
+        expected.append((1.0 / (1.0 + 10.0 ** (-gap / RATING_SPAN))).sum(axis=1))
     return pd.DataFrame({"wins": wins, "expected": expected})
 
 
 def field_results(rated: DataFrame, block_players: int = BLOCK_PLAYERS) -> DataFrame:
     """Each participant against everyone else in the match, without pair rows.
 
-    Adds ``wins`` (ties count half), ``expected`` (summed win chances) and
-    keeps ``players``. Participants with equal rating and score change are one
-    entry with a count. Entries are spread over blocks by hash, and every block
-    meets every block of its match inside one row, so neither a row nor a key
-    grows with the size of a match; matches of ordinary size are one block.
+    Adds ``wins`` (ties count half) and ``expected`` (summed win chances).
+    Players are spread over blocks by hash, and every block meets every block
+    of its match inside one row, so neither a row nor a key grows with the size
+    of a match; a match of ordinary size is one block.
     """
-    blocks_needed = F.ceil(F.col("players") / F.lit(block_players)).cast("int")
-    entries = (
-        rated.groupBy("snapshot_id", "rating", "score_delta")
-        .agg(F.count("*").alias("n"), F.max(blocks_needed).alias("blocks"))
-        .withColumn("block", F.pmod(F.xxhash64("rating", "score_delta"), F.col("blocks")))
-    )
-    blocks = entries.groupBy("snapshot_id", "block").agg(
-        F.max("blocks").alias("blocks"),
-        F.collect_list(F.struct("rating", "score_delta", "n")).alias("entries"),
+    others = [c for c in rated.columns if c != "snapshot_id"]
+    blocks_needed = F.ceil(F.col("players") / F.lit(block_players))
+    blocks = (
+        rated.withColumn("block", F.pmod(F.xxhash64("player"), blocks_needed))
+        .groupBy("snapshot_id", "block")
+        .agg(F.max(blocks_needed).alias("blocks"), F.collect_list(F.struct(*others)).alias("mine"))
     )
-    every_block = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
-    mine = blocks.select(
-        "snapshot_id", F.col("entries").alias("mine"), F.explode(every_block).alias("block")
-    )
-    theirs = blocks.select("snapshot_id", "block", F.col("entries").alias("theirs"))
-    met = mine.join(theirs, ["snapshot_id", "block"]).withColumn("_m", meet_blocks(
-        "mine.rating", "mine.score_delta", "theirs.rating", "theirs.score_delta",
-        F.col("theirs.n").cast("array<double>"),
-    ))
-    sums = F.arrays_zip("mine.rating", "mine.score_delta", "_m.wins", "_m.expected")
-    totals = (
-        met.select("snapshot_id", F.inline(sums))
-        .groupBy("snapshot_id", "rating", "score_delta")
-        .agg(F.sum("wins").alias("_wins"), F.sum("expected").alias("_expected"))
+    every_block = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    mine = blocks.select("snapshot_id", "mine", F.explode(every_block).alias("block"))
+    theirs = blocks.select(
+        "snapshot_id", "block",
+        F.col("mine.rating").alias("their_rating"), F.col("mine.score_delta").alias("their_delta"),
     )
-    # An entry also met itself once per member: half a win and half a chance.
+    met = mine.join(theirs, ["snapshot_id", "block"]).withColumn(
+        "_m", meet_blocks("mine.rating", "mine.score_delta", "their_rating", "their_delta"))
+    sums = F.arrays_zip("mine", "_m.wins", "_m.expected")
+    # Everybody also met themselves: half a win and half a chance.
     return (
-        rated.join(totals, ["snapshot_id", "rating", "score_delta"])
-        .withColumn("wins", F.col("_wins") - 0.5)
-        .withColumn("expected", F.col("_expected") - 0.5)
-        .drop("_wins", "_expected")
+        met.select("snapshot_id", F.inline(sums))
+        .select("snapshot_id", "mine.*", "wins", "expected")
+        .groupBy(*rated.columns)
+        .agg((F.sum("wins") - 0.5).alias("wins"), (F.sum("expected") - 0.5).alias("expected"))
     )
 
 
@@ -183,18 +169,24 @@ def elo_rounds(matches: DataFrame, scope: str, period: Column,
     Within a period every match reads the ratings the period started with and
     the changes add up; the next period starts from the sums. With a period of
     one poll interval this is the sequential result as long as a player is on
-    one server at a time. The loop runs once per period; only the period values
-    come to the driver.
+    one server at a time. ``period`` must sort as text (a date or timestamp).
+    The loop runs once per period and scans that period's directory only.
     """
-    matches = cut_lineage(matches.withColumn("_period", period))
+    matches = matches.withColumn("_period", period.cast("string"))
+    matches, path = stage_by(matches, "_period", "snapshot_id")
     ratings = no_ratings(matches, scope) if ratings is None else ratings
-    periods = [r[0] for r in matches.select("_period").distinct().orderBy("_period").collect()]
-    for value in periods:
-        now = matches.where(F.col("_period") == F.lit(value))
+    for value in staged_values(matches, "_period"):
+        now = matches.where(F.col("_period") == value)
         ratings = cut_lineage(add_ratings(ratings, elo_round(now, ratings, scope), scope))
+    remove(matches.sparkSession, path)
     return ratings
 
 
+def staged_values(staged: DataFrame, column: str) -> list[str]:
+    """Directory names of a staged table, sorted; no data is read."""
+    return sorted(r[0] for r in staged.select(column).distinct().collect())
+
+
 def elo_replay(matches: DataFrame, scope: str, slice_by: Column,
                ratings: DataFrame | None = None) -> DataFrame:
     """Ratings after replaying all matches in exact (ts, snapshot_id) order.
@@ -206,11 +198,11 @@ def elo_replay(matches: DataFrame, scope: str, slice_by: Column,
     run of matches any player has in a slice: meant for short spans, with
     :func:`elo_rounds` for long histories.
     """
-    matches = cut_lineage(matches.withColumn("_slice", slice_by))
+    matches = matches.withColumn("_slice", slice_by.cast("string"))
+    matches, path = stage_by(matches, "_slice", "snapshot_id")
     ratings = no_ratings(matches, scope) if ratings is None else ratings
-    slices = [r[0] for r in matches.select("_slice").distinct().orderBy("_slice").collect()]
-    for value in slices:
-        left = matches.where(F.col("_slice") == F.lit(value))
+    for value in staged_values(matches, "_slice"):
+        left = matches.where(F.col("_slice") == value)
         while not left.isEmpty():
             turn = F.struct("ts", "snapshot_id")
             heads = left.groupBy(scope, "player").agg(F.min(turn).alias("_head"))
@@ -225,6 +217,7 @@ def elo_replay(matches: DataFrame, scope: str, slice_by: Column,
             now = left.join(ready, "snapshot_id", "left_semi")
             ratings = cut_lineage(add_ratings(ratings, elo_round(now, ratings, scope), scope))
             left = cut_lineage(left.join(ready, "snapshot_id", "left_anti"))
+    remove(matches.sparkSession, path)
     return ratings
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -44,6 +46,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="rollcall-")
 
 
+def stage_by(df: DataFrame, column: str, spread: str, splits: int = 64) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder, one directory per value of
+    ``column``, and read it back: a loop over the values then scans one
+    directory per turn. A value is written by up to ``splits`` tasks, by hash
+    of ``spread``. Returns the table and its path, for :func:`remove`."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    salt = F.pmod(F.xxhash64(spread), F.lit(splits))
+    df.repartition(F.col(column), salt).write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through its own file system; absent is fine."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     spark = df.sparkSession

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from rollcall.operators import rollup
 from rollcall.schema import DAY_TABLES
+from rollcall.session import remove
 
 # id column of each table; rows of a day are sorted by it.
 KEYS = {
@@ -55,17 +56,9 @@ def write_day_tables(tables: dict[str, DataFrame], root: str, days: Iterable[dat
             .partitionBy("day").parquet(path)
         )
         filled = {r.day for r in rows.select("day").distinct().collect()}
-        drop_days(df.sparkSession, path, [d for d in days if d not in filled])
-
-
-def drop_days(spark: SparkSession, path: str, days: Iterable[date]) -> None:
-    """Remove day directories through the table's own file system."""
-    jvm = spark.sparkContext._jvm
-    for day in days:
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/day={day.isoformat()}")
-        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(target):
-            fs.delete(target, True)
+        for day in days:
+            if day not in filled:
+                remove(df.sparkSession, f"{path}/day={day.isoformat()}")
 
 
 def read_day_table(spark: SparkSession, root: str, name: str) -> DataFrame:

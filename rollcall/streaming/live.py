@@ -124,16 +124,17 @@ class LiveTables:
             headers, clients, self.max_gap_minutes, last_known=before, earlier_clients=earlier)
         deltas = of(deltas, elo).persist(StorageLevel.MEMORY_AND_DISK)
         matches = rating.ranked_matches(deltas)
-        known = self.ratings(before=batch)
-        changes = []
-        for scope in SCOPES:
-            stored = known.where(F.col("scope") == scope).select(
-                F.col("place").alias(scope), "player", "rating")
-            moved = rating.elo_round(matches, stored, scope)
-            changes.append(moved.groupBy(
-                F.lit(scope).alias("scope"), F.col(scope).alias("place"), "player"
-            ).agg(F.sum("elo_delta").alias("elo_delta")))
-        self._write(changes[0].unionByName(changes[1]), "elo", batch)
+        # Both scopes in one round: a match and a place exist once per scope.
+        scoped = F.explode(F.array(*[
+            F.struct(F.lit(s).alias("scope"), F.col(s).alias("place")) for s in SCOPES
+        ]))
+        twice = matches.withColumn("at", scoped).withColumn(
+            "snapshot_id", F.struct("at.scope", "snapshot_id"))
+        stored = self.ratings(before=batch).select(
+            F.struct("scope", "place").alias("at"), "player", "rating")
+        moved = rating.elo_round(twice, stored, "at").groupBy("at", "player").agg(
+            F.sum("elo_delta").alias("elo_delta"))
+        self._write(moved.select("at.*", "player", "elo_delta"), "elo", batch)
         deltas.unpersist()
         self._write(rating.best_times(of(headers, time), clients), "times", batch)
         if batch % self.compact_every == self.compact_every - 1:
