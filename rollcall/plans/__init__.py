@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("rollups", "playtimes", "ratings", "boards", "activities", "histories", "states")
+AREAS = ("rollups", "playtimes", "ratings", "boards", "activities", "histories", "states", "answers")
 
 
 def load():
