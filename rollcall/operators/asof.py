@@ -70,7 +70,8 @@ def whole_units(start: str, end: str, seconds: int) -> Column:
     return F.expr(f"{micros} div {seconds * 1_000_000}")
 
 
-def elapsed(headers: DataFrame, last_known: DataFrame | None = None) -> DataFrame:
+def elapsed(headers: DataFrame, last_known: DataFrame | None = None,
+            bucket: str = "day") -> DataFrame:
     """Seconds since the previous snapshot and the play time they are worth.
 
     A gap over ten minutes is worth five; no previous snapshot or a gap under
@@ -81,7 +82,7 @@ def elapsed(headers: DataFrame, last_known: DataFrame | None = None) -> DataFram
         seconds > 0, seconds
     )
     return (
-        previous_snapshot(headers, carry=(), last_known=last_known)
+        previous_snapshot(headers, (), bucket, last_known)
         .withColumn("elapsed", whole_units("prev_ts", "ts", 1))
         .withColumn("credit", credit)
     )

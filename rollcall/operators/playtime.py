@@ -26,11 +26,11 @@ TOTALS: dict[str, tuple[str, ...]] = {
 
 
 def credited(headers: DataFrame, clients: DataFrame,
-             last_known: DataFrame | None = None) -> DataFrame:
+             last_known: DataFrame | None = None, bucket: str = "day") -> DataFrame:
     """One row per player and snapshot with the seconds it is worth. The join
     comes before the dedupe, which reuses its partitioning by snapshot."""
     worth = (
-        elapsed(headers, last_known)
+        elapsed(headers, last_known, bucket)
         .where(F.col("credit").isNotNull())
         .select("snapshot_id", "ts", "server", "map", "game_type", "credit")
     )

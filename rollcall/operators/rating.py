@@ -25,13 +25,13 @@ BLOCK_PLAYERS = 512
 
 def score_deltas(headers: DataFrame, clients: DataFrame, max_gap_minutes: int = MAX_GAP_MINUTES,
                  last_known: DataFrame | None = None,
-                 earlier_clients: DataFrame | None = None) -> DataFrame:
+                 earlier_clients: DataFrame | None = None, bucket: str = "day") -> DataFrame:
     """Score change of every player in game in both of two consecutive
     snapshots of one server on one map, at most ``max_gap_minutes`` whole
     minutes apart. ``earlier_clients`` holds the client rows of ``last_known``.
     """
     pairs = (
-        previous_snapshot(headers, carry=("map",), last_known=last_known)
+        previous_snapshot(headers, ("map",), bucket, last_known)
         .where(F.col("prev_map") == F.col("map"))
         .where(whole_units("prev_ts", "ts", 60) <= max_gap_minutes)
         .select("snapshot_id", "prev_snapshot_id", "ts", "server", "map", "game_type")

@@ -121,7 +121,7 @@ def elo_replay(t: Tables):
 
 
 @query("missing_info_rows", with_cte("day", """
-SELECT DISTINCT h.game_type, c.player, 0.0 AS rating
+SELECT DISTINCT h.game_type, c.player, CAST(0 AS DOUBLE) AS rating
 FROM day_headers h JOIN day_clients c USING (snapshot_id)
 WHERE h.snapshot_id IN (SELECT snapshot_id FROM day_matches)
   AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.game_type = h.game_type

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def build_session(app: str = "rollcall", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC days and adaptive execution.
+    """A session with UTC days, adaptive execution and stream state on disk.
 
     ``master`` is left to spark-submit on a cluster. Shuffle width is not set
     here: on a cluster it belongs to the submit command, and adaptive execution
@@ -24,6 +25,10 @@ def build_session(app: str = "rollcall", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
     )
     if master is not None:
         builder = builder.master(master)
@@ -37,13 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local-mode session without the setting gets a folder of its own.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    folder = spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="rollcall-")
+    sc = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="rollcall-")
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def stage_by(df: DataFrame, column: str, spread: str, splits: int = 64) -> tuple[DataFrame, str]:
@@ -58,14 +64,27 @@ def stage_by(df: DataFrame, column: str, spread: str, splits: int = 64) -> tuple
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through its own file system; absent is fine."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, target = _file_system(spark, path)
     if fs.exists(target):
         fs.delete(target, True)
 
 
+def day_folders(spark: SparkSession, root: str, column: str) -> DataFrame:
+    """Days that have a ``column=DAY`` directory under ``root``: one listing of
+    one level, where a distinct over the table would open every file."""
+    fs, target = _file_system(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+    days = [n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")]
+    return spark.createDataFrame([(date.fromisoformat(d),) for d in sorted(days)], "day date")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     spark = df.sparkSession

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rollcall.operators.history import archivable
 from rollcall.schema import ARCHIVE, ARCHIVE_NAMES
+from rollcall.session import day_folders
 
 SORT = ["dt", "gameServerId", "createdAt", "snapshotId"]
 READ_SCHEMA = T.StructType([*ARCHIVE.fields, T.StructField("dt", T.DateType())])
@@ -63,9 +64,8 @@ def read_archive(spark: SparkSession, root: str, first: date | None = None,
 
 
 def archived_days(spark: SparkSession, root: str) -> DataFrame:
-    """Days present, from the directory layout; no column is read."""
-    return spark.read.schema(READ_SCHEMA).parquet(root).select(
-        F.col("dt").alias("day")).distinct()
+    """Days present, from the directory layout; no file is opened."""
+    return day_folders(spark, root, "dt")
 
 
 def archive_objects(spark: SparkSession, root: str) -> DataFrame:

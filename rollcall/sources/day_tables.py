@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from rollcall.operators import rollup
 from rollcall.schema import DAY_TABLES
-from rollcall.session import remove
+from rollcall.session import day_folders, remove
 
 # id column of each table; rows of a day are sorted by it.
 KEYS = {
@@ -66,10 +66,5 @@ def read_day_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def rolled_up_days(spark: SparkSession, root: str) -> DataFrame:
-    """Days with any player row; only directories are looked at."""
-    try:
-        return read_day_table(spark, root, "player_day").select("day").distinct()
-    except Exception as error:  # nothing rolled up yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], "day date")
+    """Days with any player row, from the directory layout."""
+    return day_folders(spark, f"{root}/player_day", "day")
