@@ -76,13 +76,18 @@ def remove(spark: SparkSession, path: str) -> None:
         fs.delete(target, True)
 
 
-def day_folders(spark: SparkSession, root: str, column: str) -> DataFrame:
-    """Days that have a ``column=DAY`` directory under ``root``: one listing of
-    one level, where a distinct over the table would open every file."""
+def folder_values(spark: SparkSession, root: str, column: str) -> list[str]:
+    """Values that have a ``column=VALUE`` directory under ``root``: one listing
+    of one level, where a distinct over the table would open every file."""
     fs, target = _file_system(spark, root)
     names = [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
-    days = [n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")]
-    return spark.createDataFrame([(date.fromisoformat(d),) for d in sorted(days)], "day date")
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
+
+
+def day_folders(spark: SparkSession, root: str, column: str) -> DataFrame:
+    """Days that have a directory."""
+    days = [(date.fromisoformat(d),) for d in folder_values(spark, root, column)]
+    return spark.createDataFrame(days, "day date")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ batch that is run again replaces what it wrote:
   playtime/batch=N  play-time deltas
   elo/batch=N       Elo changes per map and per game type
   times/batch=N     best times seen
-  ratings/base=N    all Elo ratings up to batch N, written now and then
+
+The last three also have a ``_base`` table that holds everything up to a batch,
+written now and then so that reading stays cheap.
 """
 
 from __future__ import annotations
@@ -24,13 +26,20 @@ from rollcall.jobs import clients_of, headers_of
 from rollcall.operators import playtime, rating
 from rollcall.operators.prepare import first_occurrence
 from rollcall.schema import RANK_METHODS
+from rollcall.session import folder_values, remove
 
 STATE = ("server string, ts timestamp, snapshot_id long, map string, "
          "clients array<struct<ordinal:int,player:string,score:int,in_game:boolean>>")
-TOTALS = "total string, server string, map string, game_type string, clan string, player string, play_time long"
-ELO = "scope string, place string, player string, elo_delta double"
-TIMES = "map string, player string, rating double"
-RATINGS = "scope string, place string, player string, rating double"
+# Delta tables: columns, key columns, value column and how values of a key combine.
+DELTAS = {
+    "playtime": (
+        "total string, server string, map string, game_type string, clan string, player string, "
+        "play_time long",
+        ["total", "server", "map", "game_type", "clan", "player"], "play_time", F.sum),
+    "elo": ("scope string, place string, player string, rating double",
+            ["scope", "place", "player"], "rating", F.sum),
+    "times": ("map string, player string, rating double", ["map", "player"], "rating", F.max),
+}
 SCOPES = ("map", "game_type")
 
 
@@ -45,47 +54,65 @@ class LiveTables:
 
     # reading
 
-    def _read(self, table: str, schema: str, key: str = "batch") -> DataFrame:
-        path = f"{self.root}/{table}"
-        try:
-            return self.spark.read.schema(f"{schema}, {key} long").parquet(path)
-        except Exception as error:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], f"{schema}, {key} long")
+    def _batches(self, table: str) -> list[int]:
+        return sorted(int(v) for v in folder_values(self.spark, f"{self.root}/{table}", "batch"))
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        schema = f"{schema}, batch long"
+        if not self._batches(table):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+
+    def _combined(self, table: str, batch: int | None = None, own: bool = True) -> DataFrame:
+        """Newest base and the deltas after it. For a running ``batch`` only
+        older bases count, so that a batch run again never reads a base it is
+        to replace, and with ``own`` false only older deltas too."""
+        schema, keys, value, combine = DELTAS[table]
+        bases = [b for b in self._batches(f"{table}_base") if batch is None or b < batch]
+        newest = bases[-1] if bases else -1
+        deltas = self._read(table, schema).where(F.col("batch") > newest)
+        if batch is not None:
+            deltas = deltas.where(F.col("batch") <= (batch if own else batch - 1))
+        rows = deltas.drop("batch")
+        if bases:
+            base = self._read(f"{table}_base", schema).where(F.col("batch") == newest)
+            rows = rows.unionByName(base.drop("batch"))
+        return rows.groupBy(*keys).agg(combine(value).alias(value))
 
     def play_time(self) -> DataFrame:
-        """Totals so far: the sum of all deltas."""
-        keys = ["total", "server", "map", "game_type", "clan", "player"]
-        return self._read("playtime", TOTALS).groupBy(*keys).agg(
-            F.sum("play_time").alias("play_time"))
+        """Totals so far."""
+        return self._combined("playtime")
 
     def ratings(self, before: int | None = None) -> DataFrame:
-        """Elo ratings: the newest base plus the changes after it."""
-        base = self._read("ratings", RATINGS, "base")
-        changes = self._read("elo", ELO)
-        if before is not None:
-            base, changes = base.where(F.col("base") < before), changes.where(F.col("batch") < before)
-        newest = base.agg(F.max("base")).first()[0]
-        if newest is not None:
-            changes = changes.where(F.col("batch") > newest)
-        kept = base.where(F.col("base") == F.lit(newest))
-        keys = ["scope", "place", "player"]
-        both = kept.select(*keys, "rating").unionByName(
-            changes.select(*keys, F.col("elo_delta").alias("rating")))
-        return both.groupBy(*keys).agg(F.sum("rating").alias("rating"))
+        """Elo ratings so far, or as a batch finds them."""
+        return self._combined("elo", before, own=False)
 
     def best_times(self) -> DataFrame:
-        return self._read("times", TIMES).groupBy("map", "player").agg(
-            F.max("rating").alias("rating"))
+        return self._combined("times")
 
     def last_states(self, before: int) -> DataFrame:
         return self._read("state", STATE).where(F.col("batch") == before - 1).drop("batch")
 
     # writing
 
-    def _write(self, df: DataFrame, table: str, batch: int, key: str = "batch") -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/{key}={batch}")
+    def _write(self, df: DataFrame, table: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch}")
+
+    def _drop(self, table: str, upto: int) -> None:
+        for batch in self._batches(table):
+            if batch <= upto:
+                remove(self.spark, f"{self.root}/{table}/batch={batch}")
+
+    def _compact(self, batch: int) -> None:
+        """New bases. The base before and the deltas after it stay, in case
+        this batch runs again; what they cover goes."""
+        for table in DELTAS:
+            older = [b for b in self._batches(f"{table}_base") if b < batch]
+            self._write(self._combined(table, batch), f"{table}_base", batch)
+            if older:
+                self._drop(table, older[-1])
+                self._drop(f"{table}_base", older[-1] - 1)
+        self._drop("state", batch - 2)
 
     def process(self, rows: DataFrame, batch: int) -> None:
         """``foreachBatch`` body: flat rows with an extra ``rank_method``."""
@@ -109,6 +136,8 @@ class LiveTables:
         self._write(playtime.all_totals(credits), "playtime", batch)
         self._rank(live, headers, clients, before, batch)
         self._write(self._next_states(headers, clients, before), "state", batch)
+        if batch % self.compact_every == self.compact_every - 1:
+            self._compact(batch)
 
     def _rank(self, live: DataFrame, headers: DataFrame, clients: DataFrame, before: DataFrame,
               batch: int) -> None:
@@ -133,12 +162,10 @@ class LiveTables:
         stored = self.ratings(before=batch).select(
             F.struct("scope", "place").alias("at"), "player", "rating")
         moved = rating.elo_round(twice, stored, "at").groupBy("at", "player").agg(
-            F.sum("elo_delta").alias("elo_delta"))
-        self._write(moved.select("at.*", "player", "elo_delta"), "elo", batch)
+            F.sum("elo_delta").alias("rating"))
+        self._write(moved.select("at.*", "player", "rating"), "elo", batch)
         deltas.unpersist()
         self._write(rating.best_times(of(headers, time), clients), "times", batch)
-        if batch % self.compact_every == self.compact_every - 1:
-            self._write(self.ratings(), "ratings", batch, "base")
 
     def _next_states(self, headers: DataFrame, clients: DataFrame, before: DataFrame) -> DataFrame:
         """Last snapshot per server; client lists only for snapshots kept."""

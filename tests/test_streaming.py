@@ -146,3 +146,20 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     assert once[0] == sorted(map(str, tables.play_time().collect()))
     late = spark.read.parquet(f"{tables.root}/late").where("batch = 2")
     assert late.count() == first.count()
+
+
+def test_compaction_keeps_every_total(spark, tmp_path):
+    df = polls(spark).join(methods(spark), "game_type")
+    parts = [df.where(f"floor((unix_timestamp(ts) - {int(START.timestamp())}) / 1800) = {n}") for n in range(3)]
+    plain = live.LiveTables(spark, str(tmp_path / "plain"))
+    small = live.LiveTables(spark, str(tmp_path / "small"), compact_every=1)
+    for batch, part in enumerate(parts):
+        plain.process(part, batch)
+        small.process(part, batch)
+    small.process(parts[2], 2)
+    assert small._batches("playtime") == [2] and small._batches("playtime_base") == [1, 2]
+    assert small._batches("state") == [1, 2]
+    for table in ("play_time", "ratings", "best_times"):
+        a, b = getattr(plain, table)(), getattr(small, table)()
+        assert a.count() > 0
+        same(a, b, a.columns)
