@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -49,6 +50,22 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_pieces(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text (runs of bytes other than ASCII blanks), in lists cut
+    from about ``size`` bytes, so that a very long text needs bounded memory."""
+    start = 0
+    while start < len(text):
+        cut = BLANK.search(text, min(start + size, len(text)))
+        stop = cut.start() if cut else len(text)
+        words = text[start:stop].split()
+        if words:
+            yield words
+        start = stop + 1
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """Smallest index reachable from each of ``n`` rows by the links (a, b),
     starting from the components in ``label``."""

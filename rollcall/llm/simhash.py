@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,30 +11,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import block_pairs, group_starts, packed, roots, staged, texts_of, whole_groups
+from rollcall.llm.common import block_pairs, group_starts, packed, roots, staged, texts_of, whole_groups, word_pieces
 from rollcall.llm.components import connected_components
 
 BITS = 64
 SEED = 42
-SHINGLES_AT_ONCE = 1 << 16
+
+
+def ones_in(shingles: Iterable[bytes]) -> np.ndarray:
+    """How many of the shingles' hashes set each bit."""
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """Unsigned SimHash of a text: words are runs of non-blank bytes with A-Z
     lower-cased, shingles are ``width`` words; a bit is 1 if set in over half
     of the shingles' XXH64. A text of fewer words has one shingle, one without
-    words has fingerprint 0. Works through the text in bounded pieces."""
-    words = text.lower().split()  # bytes: A-Z and ASCII blanks only
-    if not words:
-        return 0
-    total, ones = max(1, len(words) - width + 1), np.zeros(BITS, dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    for start in range(0, total, SHINGLES_AT_ONCE):
-        stop = min(total, start + SHINGLES_AT_ONCE)
-        part = words[start:stop + width - 1]
-        shingles = map(b" ".join, zip(*[part[i:] for i in range(width)])) if len(part) >= width else [b" ".join(part)]
-        hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8", count=stop - start)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    words has fingerprint 0."""
+    total, ones, last = 0, np.zeros(BITS, dtype=np.int64), []
+    for piece in word_pieces(text.lower()):  # bytes: A-Z only
+        words = last + piece
+        total += max(0, len(words) - width + 1)
+        ones += ones_in(map(b" ".join, zip(*[words[i:] for i in range(width)])))
+        last = words[-(width - 1):] if width > 1 else []
+    if not total and last:
+        total, ones = 1, ones_in([b" ".join(last)])
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
