@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import embedding_dedup, knn, quality, simhash, urls
+from rollcall.llm import embedding_dedup, knn, mixing, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,58 @@ URL_RULES = [
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+MIX_PATTERN = [1.0, 2.0, 3.0]
+
+
+def marked_quality(labels: DataFrame) -> DataFrame:
+    """Weights (doc_id, quality) from marks: good documents are drawn earlier."""
+    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5)
+    return labels.select("doc_id", weight.alias("quality")).where("quality is not null")
+
+
+@query
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mixing.by_rank(docs, MIX_PATTERN), marked_quality(table(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+ORACLES["op7_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(text, '')) AS mark
+  FROM documents
+), q AS (
+  SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE END) AS quality
+  FROM labels GROUP BY doc_id
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight
+  FROM d GROUP BY source
+), w AS (  -- sources in the order in which they reach their limits as the level rises
+  SELECT *, 3.0::DOUBLE * source_size AS top,
+         coalesce(sum(3.0::DOUBLE * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+         sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight,
+         sum(source_size) OVER () AS total
+  FROM s WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST)
+), lv AS (
+  SELECT max((total - used) / left_weight) AS level FROM w
+), t AS (
+  SELECT source, source_size, least(top, coalesce(level, 1e300) * weight) AS target FROM w, lv
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
+), k AS (
+  SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+         -ln((('0x' || substr(md5('0/' || coalesce(d.doc_id::VARCHAR, '') || '/' || mark), 1, 13))::BIGINT::DOUBLE + 0.5)
+             / 4503599627370496.0::DOUBLE) / coalesce(q.quality, 1.0::DOUBLE) AS key
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN q ON d.doc_id = q.doc_id
+), c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, mark, size ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle
+  FROM k
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       CAST(size * (epochs + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c
+"""
