@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import embedding_dedup, knn, mixing, quality, simhash, urls
+from rollcall.llm import bpe, embedding_dedup, knn, mixing, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +145,11 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
        CAST(size * (epochs + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
+    return bpe.digests(tokens).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
