@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import packed, texts_of, unpacked
+from rollcall.llm.common import Shipped, packed, texts_of, unpacked
 
 MOST_WORDS = 400_000  # words whose ids a Python worker keeps
 DOCS_AT_ONCE = 512
@@ -160,39 +159,9 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def _vocabulary(digest: str, pattern: str, content) -> Vocabulary:
-    return Vocabulary(content.value, pattern)
-
-
-class Shipped:
-    """A rank file as executors get it: broadcast (its size is that of the file),
-    and turned into a vocabulary once per Python worker."""
-
-    def __init__(self, spark, path: str, pattern: str):
-        with open(path, "rb") as file:
-            content = file.read()
-        self.digest, self.pattern = hashlib.sha256(content).hexdigest(), pattern
-        self.content = _Content(spark.sparkContext.broadcast(content))
-
-    def get(self) -> Vocabulary:
-        return _vocabulary(self.digest, self.pattern, self.content)
-
-
-class _Content:
-    """Equal to any other, so that the cache goes by the digest alone."""
-
-    def __init__(self, broadcast):
-        self.broadcast = broadcast
-
-    @property
-    def value(self) -> bytes:
-        return self.broadcast.value
-
-    def __eq__(self, other):
-        return isinstance(other, _Content)
-
-    def __hash__(self):
-        return 0
+def _vocabulary(file: Shipped, pattern: str) -> Vocabulary:
+    """Built once per Python worker."""
+    return Vocabulary(file.content, pattern)
 
 
 def _ids_array(ids: list[bytes]) -> pa.ListArray:
@@ -219,10 +188,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
     replacement characters. Rows keep all their columns, repeated ones too; own
     columns ``ids`` and ``decoded`` of ``docs`` are replaced. An empty table gives no rows.
     """
-    shipped = Shipped(docs.sparkSession, path, pattern)
+    file = Shipped(docs.sparkSession, path)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shipped.get()
+        vocabulary = _vocabulary(file, pattern)
         for batch in _slices(batches):
             ids = vocabulary.encode([t.decode("utf-8", "replace") for t in texts_of(batch.column("text"))])
             columns = [batch.column("row"), _ids_array(ids)]
@@ -239,10 +208,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded`` (binary): the bytes of each row's ids. Null ids
     count as empty; an id outside the vocabulary is an error."""
-    shipped = Shipped(tokens.sparkSession, path, pattern)
+    file = Shipped(tokens.sparkSession, path)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shipped.get()
+        vocabulary = _vocabulary(file, pattern)
         for batch in _slices(batches):
             data = [vocabulary.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(data, pa.binary())], names=["row", "decoded"])

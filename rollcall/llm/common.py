@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -132,3 +133,24 @@ def block_pairs(df: DataFrame, keys: list[str], spread: str, block: int) -> Data
         .withColumn("unit_b", F.greatest("part", "other"))
         .drop("other", "group_rows")
     )
+
+
+class Shipped:
+    """A small file's content on its way to the executors: broadcast, and known by
+    its digest, so that a Python worker can keep what it built from it."""
+
+    def __init__(self, spark, path: str):
+        with open(path, "rb") as file:
+            content = file.read()
+        self.digest = hashlib.sha256(content).digest()
+        self._content = spark.sparkContext.broadcast(content)
+
+    @property
+    def content(self) -> bytes:
+        return self._content.value
+
+    def __eq__(self, other):
+        return isinstance(other, Shipped) and self.digest == other.digest
+
+    def __hash__(self):
+        return hash(self.digest)

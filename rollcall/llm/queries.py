@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, embedding_dedup, knn, mixing, quality, simhash, urls
+from rollcall.llm import bpe, embedding_dedup, knn, mixing, quality, simhash, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     tokens = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return bpe.digests(tokens).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(spark)
+    files = token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder, files)
