@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, embedding_dedup, knn, line_dedup, mixing, quality, simhash, token_files, urls
+from rollcall.llm import bpe, embedding_dedup, knn, line_dedup, mixing, pii, quality, simhash, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,3 +165,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+PII_KEY = "rollcall.pii.key"  # setting that holds the secret; without it a key for trials is used
+
+
+@query
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get(PII_KEY, "trial key")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key.encode())
