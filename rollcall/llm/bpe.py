@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import Shipped, packed, texts_of, unpacked
+from rollcall.llm.common import Memo, Shipped, ids_by_chunk, packed, texts_of, unpacked
 
 MOST_WORDS = 400_000  # words whose ids a Python worker keeps
-DOCS_AT_ONCE = 512
-LONG = 1 << 20  # texts of more characters are split into words bit by bit
+DOCS_AT_ONCE = 4096
+# White space beyond ASCII, in UTF-8
+WIDE_BLANK = re.compile(rb"\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80")
 LISTS = 1 << 22  # symbols up to which the faster lists are used
 SHIFT = 24
 
@@ -48,7 +50,8 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             if len(token) == 2:
                 self.first[token[0], token[1]] = rank
-        self.words: dict[str, bytes] = {}
+        self.words = Memo(lambda words: self.replay([w.encode() for w in words]), MOST_WORDS)
+        self.chunks = Memo(self._chunks, MOST_WORDS)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word (not empty), as little-endian 32-bit integers.
@@ -125,33 +128,27 @@ class Vocabulary:
         ids = symbol[alive].tobytes()
         return [ids[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if new:
-            self.words.update(zip(new, self.replay([w.encode() for w in new])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; words met before are looked up."""
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        out: list[bytes] = [b""] * len(texts)
-        split: list[list[str]] = []
-        for i, text in enumerate(texts):
-            if len(text) <= LONG:
-                split.append(self.pattern.findall(text))
-                continue
-            split.append([])
-            ids = []
-            for some in batched(self.pattern.finditer(text), 1 << 16):
-                words = [m.group() for m in some]
-                self._learn(words)
-                ids.append(b"".join(map(self.words.__getitem__, words)))
-                if len(self.words) > MOST_WORDS:
-                    self.words.clear()
-            out[i] = b"".join(ids)
-        self._learn([w for words in split for w in words])
-        for i, words in enumerate(split):
-            out[i] = out[i] or b"".join(map(self.words.__getitem__, words))
+    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks (:func:`rollcall.llm.common.chunks_of`). A match of the
+        pattern never reaches from other characters into blanks, and looks no
+        further than the next character, so chunks can be matched one by one."""
+        words = [self.pattern.findall(c.decode()) for c in chunks]
+        ids = iter(self.words.of([w for some in words for w in some]))
+        return [b"".join([next(ids) for _ in some]) for some in words]
+
+    def _plain(self, text: bytes) -> bytes:
+        """Ids of a text word by word."""
+        some = batched(self.pattern.finditer(text.decode()), 1 << 16)
+        return b"".join(b"".join(self.words.of([m.group() for m in matches])) for matches in some)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8), as little-endian 32-bit integers. Texts with
+        other white space than ASCII blanks, which can join them in one match,
+        aren't cut at blanks."""
+        whole = [i for i, t in enumerate(texts) if not t.isascii() and WIDE_BLANK.search(t)]
+        out = ids_by_chunk([b"" if i in set(whole) else t for i, t in enumerate(texts)] if whole else texts, self.chunks.of)
+        for i in whole:
+            out[i] = self._plain(texts[i])
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -182,7 +179,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
     ``path`` is a tiktoken rank file read by the driver; each match of ``pattern``
     is encoded separately, without special tokens. A task replays the merges over
     the distinct words of some hundred documents at a time (:meth:`Vocabulary.replay`)
-    and keeps the ids of at most ``MOST_WORDS`` words. No shuffle.
+    and keeps the ids of at most ``MOST_WORDS`` words and as many chunks. No shuffle.
 
     Null texts count as empty and have no ids; invalid UTF-8 is read with
     replacement characters. Rows keep all their columns, repeated ones too; own
@@ -193,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(file, pattern)
         for batch in _slices(batches):
-            ids = vocabulary.encode([t.decode("utf-8", "replace") for t in texts_of(batch.column("text"))])
+            ids = vocabulary.encode([t.decode("utf-8", "replace").encode() for t in texts_of(batch.column("text"))])
             columns = [batch.column("row"), _ids_array(ids)]
             if decoded:
                 columns.append(pa.array([vocabulary.decode(np.frombuffer(x, dtype="<i4").tolist()) for x in ids], pa.binary()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,3 +154,83 @@ class Shipped:
 
     def __hash__(self):
         return hash(self.digest)
+
+
+class Memo:
+    """Results of ``learn`` (a list of distinct keys to a list of results), kept for
+    up to about ``most`` keys; when they are more, those last asked for stay."""
+
+    def __init__(self, learn: Callable[[list], list], most: int):
+        self.learn, self.most, self.known = learn, most, {}
+
+    def of(self, keys: list) -> list:
+        known = self.known
+        new = [k for k in dict.fromkeys(keys) if k not in known]
+        if new:
+            known.update(zip(new, self.learn(new), strict=True))
+        out = [known[k] for k in keys]
+        if len(known) > self.most:
+            self.known = dict(zip(keys, out))
+        return out
+
+
+IS_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+RUN_OF_BLANKS = re.compile(rb"(?<![\x20\x09-\x0D])[\x20\x09-\x0D]")
+
+
+def chunks_of(texts: list[bytes], cut: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Texts cut before each run of ASCII blanks: the number of each chunk among
+    the distinct ones, those, and the number of chunks up to the end of each text.
+    ``cut`` has two tables of bytes; texts are also cut between one of the first
+    and one of the second."""
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    blank = IS_BLANK[data]
+    start = blank.copy()
+    start[1:] &= ~blank[:-1]
+    if cut is not None:
+        start[1:] |= cut[0][data[:-1]] & cut[1][data[1:]]
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    start[(ends - [len(t) for t in texts])[[bool(t) for t in texts]]] = True
+    at = np.flatnonzero(start)
+    offsets = np.append(at, len(data)).astype(np.int64)
+    chunks = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    coded = chunks.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.searchsorted(at, ends)
+
+
+def ids_by_chunk(
+    texts: list[bytes], of: Callable[[list[bytes]], list[bytes]], cut: tuple[np.ndarray, np.ndarray] | None = None, size: int = 1 << 24,
+) -> list[bytes]:
+    """Ids (4 bytes each) of each text, where ``of`` gives those of chunks
+    (:func:`chunks_of`) and no token reaches over a chunk's end. About ``size``
+    bytes are held at a time."""
+    out = [b""] * len(texts)
+    held: list[tuple[int, bytes]] = []
+
+    def flush() -> None:
+        codes, distinct, upto = chunks_of([t for _, t in held], cut)
+        ids = of(distinct)
+        count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), dtype="<i4"), np.cumsum(count) - count
+        n = count[codes]
+        stop = np.append(0, np.cumsum(n))
+        data = flat[np.repeat(first[codes] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
+        ends = 4 * stop[upto]
+        for (i, _), a, b in zip(held, np.append(0, ends[:-1]).tolist(), ends.tolist()):
+            out[i] = out[i] + data[a:b] if out[i] else data[a:b]
+        held.clear()
+
+    waiting = 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            blank = RUN_OF_BLANKS.search(text, at + size)
+            stop = blank.start() if blank else len(text)
+            held.append((i, text[at:stop]))
+            waiting, at = waiting + stop - at, stop
+            if waiting >= size:
+                flush()
+                waiting = 0
+    if held:
+        flush()
+    return out

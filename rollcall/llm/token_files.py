@@ -17,12 +17,14 @@ the frames that the wanted documents lie in; each is checked against its checksu
 
 from __future__ import annotations
 
+import json
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import batched, compress
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rollcall.llm.common import Shipped, texts_of, word_pieces
+from rollcall.llm.common import Memo, Shipped, ids_by_chunk, texts_of
 from rollcall.session import shared_folder
 
 FRAME_IDS = 1 << 16
@@ -43,8 +45,11 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the format
 NO_ID = -(1 << 63)
 INDEX = np.dtype([("doc_id", "<i8"), ("n", "<u8")])
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
-MOST_CHUNKS = 400_000  # chunks of text whose ids a Python worker keeps
-DOCS_AT_ONCE = 512
+MOST_CHUNKS = 800_000  # chunks of text whose ids a Python worker keeps
+DOCS_AT_ONCE = 4096
+# Fixed values of tokenizers that split into words, digits and runs of marks
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -130,48 +135,76 @@ class Reader:
             start, k = upto, k + 1
 
 
-class Chunks:
-    """Ids of texts by a tokenizer whose tokens never reach over blanks: each run of
-    other characters than ASCII blanks is encoded once and looked up from then on.
+def _letters(text: str) -> bool:
+    """Whether a text has letters only, and still has in lower case."""
+    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
+
 
-    Many runs go to the tokenizer as one text, between them the string of one of
-    its special tokens: it splits there before all else, and its id, which ends up
-    between the runs' ids, tells them apart. A run with that string inside goes alone.
+class Chunks:
+    """Ids of texts by a tokenizer whose tokens never reach over ASCII blanks: texts
+    are cut there, and each distinct chunk is encoded once and looked up from then on.
+
+    Many chunks go to the tokenizer as one text. If it splits texts by ``WORDS`` and
+    marks the ends of words, chunks of letters only are a word each; they go
+    separated by blanks, and the marked ids end them. Other chunks go separated by
+    the string of a special token: the tokenizer splits there before all else, and
+    its id tells them apart. A chunk with that string inside goes alone.
     """
 
     def __init__(self, content: str):
-        self.tokenizer, self.known = Tokenizer.from_str(content), {}
-        special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special]
+        self.tokenizer, self.memo = Tokenizer.from_str(content), Memo(self._learn, MOST_CHUNKS)
+        special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())]
         self.id, self.mark = special[0] if special else (-1, "")
+        model, split = json.loads(content), None
+        if model["pre_tokenizer"]["type"] == "Sequence":
+            split = model["pre_tokenizer"]["pretokenizers"][0].get("pattern")
+        self.words = split == {"Regex": WORDS} and model["model"].get("end_of_word_suffix") == WORD_END
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+        # Between a letter or digit and a mark WORDS ends a match, but for the apostrophe.
+        inside = {c for _, t in special for c in t.encode()} | set(b"'")
+        after = [c for c in range(33, 127) if not chr(c).isalnum() and c not in inside]
+        before = [c for c in range(128) if chr(c).isalnum()]
+        self.cut = (np.isin(np.arange(256), before), np.isin(np.arange(256), after)) if self.words else None
+        self.folds = self.words and '"Lowercase"' in json.dumps(model["normalizer"])
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, runs: list[bytes]) -> None:
-        texts = [r.decode("utf-8", "replace") for r in runs]
-        alone = [not self.mark or self.mark in t for t in texts]
-        for run, text in zip(compress(runs, alone), compress(texts, alone)):
-            self.known[run] = self._encode(text).tobytes()
-        together = [i for i, single in enumerate(alone) if not single]
-        for some in batched(together, 2048):
-            ids = self._encode(self.mark.join([texts[i] for i in some]))
+    def _together(self, texts: list[str], mark: str) -> list[bytes]:
+        ids = self._encode(mark.join(texts))
+        if mark == " ":
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            starts = np.append(0, stops[:-1])
+        else:
             cuts = np.flatnonzero(ids == self.id)
-            data, starts, stops = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-            self.known.update((runs[i], data[a:b]) for i, a, b in zip(some, starts, stops, strict=True))
-
-    def encode(self, texts: list[bytes], end: int | None) -> Iterator[bytes]:
+            starts, stops = np.append(0, cuts + 1), np.append(cuts, len(ids))
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * stops).tolist())]
+
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        out: list[bytes] = [b""] * len(texts)
+        groups: dict[str, list[int]] = {" ": [], self.mark: [], "": []}
+        for i, t in enumerate(texts):
+            groups[" " if self.words and _letters(t) else "" if self.mark in t else self.mark].append(i)
+        for mark, members in groups.items():
+            for some in batched(members, 2048 if mark else 1):
+                found = self._together([texts[i] for i in some], mark) if mark else [self._encode(texts[some[0]]).tobytes()]
+                if len(found) > len(some):  # letters here, but not to the tokenizer
+                    found = [self._encode(texts[i]).tobytes() for i in some]
+                for i, ids in zip(some, found, strict=True):
+                    out[i] = ids
+        return out
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        # A-Z may be folded first, but for what could become a special token or compose.
+        return self.memo.of([c.strip().lower() if self.folds and c.isascii() and b"<" not in c else c.strip() for c in chunks])
+
+    def encode(self, texts: list[bytes], end: int | None) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, ``end`` behind them."""
         close = b"" if end is None else struct.pack("<I", end)
-        if len(self.known) > MOST_CHUNKS:
-            self.known.clear()
-        split = [list(word_pieces(t)) for t in texts]
-        new: set[bytes] = set()
-        for pieces in split:
-            for runs in pieces:
-                new.update(set(runs).difference(self.known))
-        self._learn(list(new))
-        for pieces in split:
-            yield b"".join([self.known[r] for runs in pieces for r in runs]) + close
+        return [ids + close for ids in ids_by_chunk(texts, self._ids, self.cut)]
 
 
 @lru_cache(maxsize=2)
