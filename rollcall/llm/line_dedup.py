@@ -12,8 +12,11 @@ RUNS = 10  # runs of tokens in which the lines of a leaf are compared
 FIXED = 0.9  # share of a leaf's lines that agree in a run of fixed tokens
 ALIKE = 0.8  # share of a leaf's runs that must be fixed
 VARIABLE = "<*>"
-FIELD = r"(?<!\S)[^\s\d]*+\d\S*"  # a token with a digit
-BLANKS = r"[\x20\x09-\x0D]+"
+# A token with a digit, from 64 characters before its first digit on: so that long
+# runs without one are passed in linear time.
+FIELD = r"[^\s\d]{0,64}+\d\S*"
+# Runs of blanks within a line that aren't a single space
+BLANKS = r"\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}"
 
 
 def mark_of(text: Column) -> Column:
@@ -28,22 +31,23 @@ def lines_of(docs: DataFrame) -> DataFrame:
     ``RUNS`` runs of tokens one by one. A line with fields in over half of its
     tokens is taken as it is: its numbers are its content.
     """
-    lines = docs.where("text is not null").select(
-        "key", F.posexplode(F.arrays_zip(
-            F.split("text", "\n").alias("plain"), F.split(F.regexp_replace("text", FIELD, VARIABLE), "\n").alias("masked"),
-        )).alias("line", "both"),
-    ).select("key", "line", F.trim(F.regexp_replace("both.plain", BLANKS, " ")).alias("plain"),
-             F.trim(F.regexp_replace("both.masked", BLANKS, " ")).alias("masked")).where("plain <> ''")
-    tokens = F.split("masked", " ")
+    plain = F.regexp_replace("text", BLANKS, " ")
+    masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", FIELD, VARIABLE)).otherwise(F.col("text"))
+    lines = (
+        docs.select("key", plain.alias("text")).select("key", "text", masked.alias("masked"))
+        .select("key", F.posexplode(F.arrays_zip(F.split("text", "\n").alias("plain"), F.split("masked", "\n").alias("masked"))).alias("line", "both"))
+        .select("key", "line", F.trim("both.plain").alias("plain"), F.trim("both.masked").alias("masked"))
+        .where("plain <> ''").withColumn("tokens", F.split("masked", " "))
+    )
     n = F.size("tokens")
     fields = (F.length("masked") - F.length(F.replace("masked", F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
-    bound = lambda i: F.floor(i * n / F.lit(RUNS)).cast("int")
+    bound = lambda i: F.floor(n * i / F.lit(RUNS)).cast("int")
     runs = F.transform(
         F.sequence(F.lit(0), F.lit(RUNS - 1)),
         lambda i: F.hash(F.slice("tokens", bound(i) + 1, bound(i + 1) - bound(i))),
     )
     literal = 2 * fields > n
-    return lines.withColumn("tokens", tokens).select(
+    return lines.select(
         "key", "line",
         F.when(literal, F.xxhash64("plain")).otherwise(F.xxhash64(n, F.slice("tokens", 1, LEADING))).alias("leaf"),
         F.when(literal, F.xxhash64("plain")).otherwise(F.xxhash64("masked")).alias("template"),
