@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.common import WORD, packed, staged, unpacked
 
-ROWS_PER_BUCKET = 20_000
+ROWS_BY_ROOT = 16  # rows per bucket, as a multiple of the root of a source's rows
 MOST_REPEATS = 3
 BROADCAST_SOURCES = 10_000  # source tables of up to so many rows are broadcast
 LEAST_QUALITY = 1e-6
@@ -65,7 +65,7 @@ def _by_source(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights: DataFrame, quality: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text",
-    source: str = "source", share: float = 1.0, most: int = MOST_REPEATS, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET,
+    source: str = "source", share: float = 1.0, most: int = MOST_REPEATS, seed: int = 0, rows_by_root: float = ROWS_BY_ROOT,
 ) -> DataFrame:
     """How much of each document the mix takes: (doc_id, source, size, source_size,
     target, copies, taken), by DataFrame functions only.
@@ -82,8 +82,8 @@ def mix(
 
     u is a hash of ``seed``, doc_id and text, so reruns agree and equal rows follow
     each other. Keys, scaled by the source's mean quality, are cut into buckets of
-    about ``rows_per_bucket`` documents: bucket sums show in which one the rest
-    ends, and only that one is sorted.
+    about ``rows_by_root`` times the root of the source's number of documents:
+    bucket sums show in which one the rest ends, and only that one is sorted.
 
     Null texts have size 0; a null source is a source of its own; null ids are
     drawn like others. Texts without words take no part in sums and keep a row.
@@ -93,11 +93,11 @@ def mix(
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
         words_in(F.col(f"`{text}`")).alias("size"), mark_of(F.col(f"`{text}`")).alias("mark"),
     )
-    return drawn(staged(rows), weights, quality, share, most, seed, rows_per_bucket).drop("mark")
+    return drawn(staged(rows), weights, quality, share, most, seed, rows_by_root).drop("mark")
 
 
 def drawn(
-    rows: DataFrame, weights: DataFrame, quality: DataFrame | None, share: float, most: int, seed: int, rows_per_bucket: int,
+    rows: DataFrame, weights: DataFrame, quality: DataFrame | None, share: float, most: int, seed: int, rows_by_root: float,
 ) -> DataFrame:
     """:func:`mix` of staged rows (doc_id, source, size, mark), whose columns stay."""
     if quality is not None:
@@ -117,7 +117,7 @@ def drawn(
     budget = targets(sums, share, most).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     ).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    buckets = sums.select("source", F.ceil(F.col("n") / rows_per_bucket).alias("buckets"), "mean_quality")
+    buckets = sums.select("source", F.ceil(F.sqrt("n") / rows_by_root).alias("buckets"), "mean_quality")
     budget = budget.join(buckets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
     placed = _by_source(rows, budget, n).withColumn(
@@ -166,6 +166,6 @@ def repeated(
             mark=mark_of(F.col(f"`{text}`")), nth=F.monotonically_increasing_id(),
         )
     )
-    copies = drawn(rows.drop("row"), weights, quality, share, most, seed, ROWS_PER_BUCKET).where("copies > 0")
+    copies = drawn(rows.drop("row"), weights, quality, share, most, seed, ROWS_BY_ROOT).where("copies > 0")
     taken = rows.select("row", "nth").join(copies.select("nth", "copies"), "nth")
     return unpacked(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
