@@ -19,12 +19,13 @@ from pyspark.sql import types as T
 
 from rollcall.llm.common import Memo, Shipped, ids_by_chunk, packed, texts_of, unpacked
 
-MOST_WORDS = 400_000  # words whose ids a Python worker keeps
-DOCS_AT_ONCE = 4096
+MOST_CHUNKS = 600_000  # chunks of text whose ids a Python worker keeps
+DOCS_AT_ONCE = 1024
+# Texts are cut between an ASCII letter or digit and an ASCII mark.
+CUT = tuple(np.array([c < 128 and chr(c).isalnum() == wanted and 32 < c < 127 for c in range(256)]) for wanted in (True, False))
 # White space beyond ASCII, in UTF-8
 WIDE_BLANK = re.compile(rb"\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80")
 LISTS = 1 << 22  # symbols up to which the faster lists are used
-SHIFT = 24
 
 
 class Vocabulary:
@@ -40,18 +41,20 @@ class Vocabulary:
         white = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.pattern = regex.compile(white)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.pairs: dict[int, int] = {}
+        # What an id merges into with the id to its right, or to its left.
+        self.with_right: dict[int, dict[int, int]] = {}
+        self.with_left: dict[int, dict[int, int]] = {}
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if left is not None and right is not None:
-                    self.pairs[left << SHIFT | right] = rank
+                    self.with_right.setdefault(left, {})[right] = rank
+                    self.with_left.setdefault(right, {})[left] = rank
         self.first = np.full((256, 256), -1, dtype=np.int32)
         for token, rank in self.ranks.items():
             if len(token) == 2:
                 self.first[token[0], token[1]] = rank
-        self.words = Memo(lambda words: self.replay([w.encode() for w in words]), MOST_WORDS)
-        self.chunks = Memo(self._chunks, MOST_WORDS)
+        self.chunks = Memo(self._chunks, MOST_CHUNKS)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word (not empty), as little-endian 32-bit integers.
@@ -83,11 +86,12 @@ class Vocabulary:
 
         chain = (lambda a: a.tolist()) if n <= LISTS else (lambda a: array("i", a.astype(np.int32).tobytes()))
         symbol, pair, after, before = map(chain, (self.byte[data], pair, after, before))
-        merged = self.pairs.get
+        none: dict[int, int] = {}
         while heap:
             rank = heappop(heap)
             places = index.pop(rank)
             places.sort()
+            rightward, leftward = self.with_right.get(rank, none).get, self.with_left.get(rank, none).get
             for k, p in enumerate(places):
                 if pair[p] != rank:
                     continue  # a neighbour's merge took it
@@ -95,29 +99,30 @@ class Vocabulary:
                 s = after[q]
                 symbol[p], symbol[q], pair[q], after[p] = rank, -1, -1, s
                 lower = False
-                new = -1
                 if s >= 0:
                     before[s] = p
-                    new = merged(rank << SHIFT | symbol[s], -1)
+                    pair[p] = new = rightward(symbol[s], -1)
                     if new >= 0:
-                        if new in index:
-                            index[new].append(p)
-                        else:
+                        at = index.get(new)
+                        if at is None:
                             index[new] = [p]
                             heappush(heap, new)
                             lower = new < rank
-                pair[p] = new
+                        else:
+                            at.append(p)
+                else:
+                    pair[p] = -1
                 o = before[p]
                 if o >= 0:
-                    new = merged(symbol[o] << SHIFT | rank, -1)
+                    pair[o] = new = leftward(symbol[o], -1)
                     if new >= 0:
-                        if new in index:
-                            index[new].append(o)
-                        else:
+                        at = index.get(new)
+                        if at is None:
                             index[new] = [o]
                             heappush(heap, new)
                             lower = lower or new < rank
-                    pair[o] = new
+                        else:
+                            at.append(o)
                 if lower:
                     index[rank] = places[k + 1:]
                     heappush(heap, rank)
@@ -128,25 +133,34 @@ class Vocabulary:
         ids = symbol[alive].tobytes()
         return [ids[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
 
+    def _matches(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each distinct match."""
+        distinct = list(dict.fromkeys(words))
+        return dict(zip(distinct, self.replay([w.encode() for w in distinct]))) if distinct else {}
+
     def _chunks(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of chunks (:func:`rollcall.llm.common.chunks_of`). A match of the
-        pattern never reaches from other characters into blanks, and looks no
-        further than the next character, so chunks can be matched one by one."""
+        pattern never reaches from other characters into blanks, nor from letters or
+        digits into marks, and looks no further than the next character, so chunks
+        can be matched one by one."""
         words = [self.pattern.findall(c.decode()) for c in chunks]
-        ids = iter(self.words.of([w for some in words for w in some]))
-        return [b"".join([next(ids) for _ in some]) for some in words]
+        ids = self._matches([w for some in words for w in some])
+        return [ids[some[0]] if len(some) == 1 else b"".join([ids[w] for w in some]) for some in words]
 
     def _plain(self, text: bytes) -> bytes:
-        """Ids of a text word by word."""
-        some = batched(self.pattern.finditer(text.decode()), 1 << 16)
-        return b"".join(b"".join(self.words.of([m.group() for m in matches])) for matches in some)
+        """Ids of a text match by match."""
+        out = []
+        for some in batched(self.pattern.finditer(text.decode()), 1 << 16):
+            words = [m.group() for m in some]
+            out.append(b"".join(map(self._matches(words).__getitem__, words)))
+        return b"".join(out)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8), as little-endian 32-bit integers. Texts with
         other white space than ASCII blanks, which can join them in one match,
         aren't cut at blanks."""
         whole = [i for i, t in enumerate(texts) if not t.isascii() and WIDE_BLANK.search(t)]
-        out = ids_by_chunk([b"" if i in set(whole) else t for i, t in enumerate(texts)] if whole else texts, self.chunks.of)
+        out = ids_by_chunk([b"" if i in set(whole) else t for i, t in enumerate(texts)] if whole else texts, self.chunks.of, CUT)
         for i in whole:
             out[i] = self._plain(texts[i])
         return out
@@ -179,7 +193,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
     ``path`` is a tiktoken rank file read by the driver; each match of ``pattern``
     is encoded separately, without special tokens. A task replays the merges over
     the distinct words of some hundred documents at a time (:meth:`Vocabulary.replay`)
-    and keeps the ids of at most ``MOST_WORDS`` words and as many chunks. No shuffle.
+    and keeps the ids of at most ``MOST_CHUNKS`` chunks. No shuffle.
 
     Null texts count as empty and have no ids; invalid UTF-8 is read with
     replacement characters. Rows keep all their columns, repeated ones too; own
