@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import Memo, Shipped, ids_by_chunk, packed, texts_of, unpacked
+from rollcall.llm.common import Memo, Shipped, ids_by_chunk, packed, texts_of, unpacked, with_text
 
-MOST_CHUNKS = 600_000  # chunks of text whose ids a Python worker keeps
-DOCS_AT_ONCE = 1024
+MOST_CHUNKS = 400_000  # chunks of text whose ids a Python worker keeps
+DOCS_AT_ONCE = 512
 # Texts are cut between an ASCII letter or digit and an ASCII mark.
 CUT = tuple(np.array([c < 128 and chr(c).isalnum() == wanted and 32 < c < 127 for c in range(256)]) for wanted in (True, False))
 # White space beyond ASCII, in UTF-8
@@ -200,18 +200,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded
     columns ``ids`` and ``decoded`` of ``docs`` are replaced. An empty table gives no rows.
     """
     file = Shipped(docs.sparkSession, path)
+    rows, nth = with_text(docs.drop("ids", "decoded"), text)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(file, pattern)
         for batch in _slices(batches):
-            ids = vocabulary.encode([t.decode("utf-8", "replace").encode() for t in texts_of(batch.column("text"))])
+            ids = vocabulary.encode([t.decode("utf-8", "replace").encode() for t in texts_of(batch.column("row").field(nth))])
             columns = [batch.column("row"), _ids_array(ids)]
             if decoded:
                 columns.append(pa.array([vocabulary.decode(np.frombuffer(x, dtype="<i4").tolist()) for x in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "decoded"][: len(columns)])
 
-    rows = packed(docs.drop("ids", "decoded"), text=F.col(f"`{text}`").cast("string"))
-    schema = rows.select("row").schema.add("ids", T.ArrayType(T.IntegerType()))
+    schema = T.StructType([rows.schema["row"]]).add("ids", T.ArrayType(T.IntegerType()))
     schema = schema.add("decoded", T.BinaryType()) if decoded else schema
     return unpacked(rows.mapInArrow(add, schema), *schema.names[1:])
 

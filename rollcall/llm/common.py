@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.session import remove, shared_folder
 
@@ -42,6 +43,15 @@ def packed(df: DataFrame, **columns) -> DataFrame:
     return df.select(row.alias("row"), *[expr.alias(name) for name, expr in columns.items()])
 
 
+def with_text(df: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """One struct ``row`` with all columns of ``df``, and the number of the one
+    named ``text``, as a string: rows that pass through Python carry texts once."""
+    name = next(c for c in df.columns if c.lower() == text.lower())
+    if df.schema[name].dataType != T.StringType():
+        df = df.withColumn(name, F.col(f"`{name}`").cast("string"))
+    return packed(df), df.columns.index(name)
+
+
 def unpacked(df: DataFrame, *more: str) -> DataFrame:
     return df.select("row.*", *more)
 
@@ -199,7 +209,7 @@ def chunks_of(texts: list[bytes], cut: tuple[np.ndarray, np.ndarray] | None = No
 
 
 def ids_by_chunk(
-    texts: list[bytes], of: Callable[[list[bytes]], list[bytes]], cut: tuple[np.ndarray, np.ndarray] | None = None, size: int = 1 << 24,
+    texts: list[bytes], of: Callable[[list[bytes]], list[bytes]], cut: tuple[np.ndarray, np.ndarray] | None = None, size: int = 1 << 22,
 ) -> list[bytes]:
     """Ids (4 bytes each) of each text, where ``of`` gives those of chunks
     (:func:`chunks_of`) and no token reaches over a chunk's end. About ``size``

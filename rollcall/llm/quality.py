@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.llm import gbt
-from rollcall.llm.common import packed, texts_of, unpacked, word_pieces
+from rollcall.llm.common import texts_of, unpacked, with_text, word_pieces
 
 MOST_LABELS = 20_000  # labelled documents at most that the trees are fitted on
 FEATURES = 24
@@ -107,14 +107,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def scored(docs: DataFrame, forest: gbt.Forest, text: str = "text") -> DataFrame:
     """Rows of ``docs`` as ``row`` beside ``score``, from 0 to 1."""
+    rows, nth = with_text(docs, text)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = forest.score(matrix(texts_of(batch.column("text"))))
+            score = forest.score(matrix(texts_of(batch.column("row").field(nth))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], names=["row", "score"])
 
-    rows = packed(docs, text=F.col(f"`{text}`").cast("string"))
-    return rows.mapInArrow(add, rows.select("row").schema.add("score", "double"))
+    return rows.mapInArrow(add, T.StructType([rows.schema["row"]]).add("score", "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "quality",

@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rollcall.llm.common import block_pairs, group_starts, packed, roots, staged, texts_of, whole_groups, word_pieces
+from rollcall.llm.common import block_pairs, group_starts, roots, staged, texts_of, whole_groups, with_text, word_pieces
 from rollcall.llm.components import connected_components
 
 BITS = 64
@@ -43,18 +44,18 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 def with_fingerprint(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
     """Rows of ``df`` as ``row`` beside ``fingerprint`` (its 64 bits as a long)."""
+    rows, nth = with_text(df, text)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter(
-                (fingerprint(t, width) for t in texts_of(batch.column("text"))), dtype=np.uint64, count=batch.num_rows
+                (fingerprint(t, width) for t in texts_of(batch.column("row").field(nth))), dtype=np.uint64, count=batch.num_rows
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(prints.view(np.int64))], names=["row", "fingerprint"]
             )
 
-    rows = packed(df, text=F.col(f"`{text}`").cast("string"))
-    return rows.mapInArrow(add, rows.select("row").schema.add("fingerprint", "long"))
+    return rows.mapInArrow(add, T.StructType([rows.schema["row"]]).add("fingerprint", "long"))
 
 
 def blocks_of(distance: int, spare: int = 2) -> list[list[tuple[int, int]]]:
