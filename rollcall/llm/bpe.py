@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from rollcall.llm.common import Memo, Shipped, ids_by_chunk, packed, texts_of, unpacked, with_text
 
-MOST_CHUNKS = 400_000  # chunks of text whose ids a Python worker keeps
+MOST_CHUNKS = 300_000  # chunks of text whose ids a Python worker keeps
 DOCS_AT_ONCE = 512
 # Texts are cut between an ASCII letter or digit and an ASCII mark.
 CUT = tuple(np.array([c < 128 and chr(c).isalnum() == wanted and 32 < c < 127 for c in range(256)]) for wanted in (True, False))
