@@ -12,6 +12,7 @@ RUNS = 10  # runs of tokens in which the lines of a leaf are compared
 FIXED = 0.9  # share of a leaf's lines that agree in a run of fixed tokens
 ALIKE = 0.8  # share of a leaf's runs that must be fixed
 VARIABLE = "<*>"
+LAST = (1 << 63) - 1  # stands for a null doc_id
 # A token with a digit, from 64 characters before its first digit on: so that long
 # runs without one are passed in linear time.
 FIELD = r"[^\s\d]{0,64}+\d\S*"
@@ -55,18 +56,18 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def generalised(lines: DataFrame) -> DataFrame:
+def generalised(kinds: DataFrame) -> DataFrame:
     """(leaf, varying) of the leaves whose lines agree but for some runs of tokens:
     in at least ``ALIKE`` of the runs at least ``FIXED`` of the lines are equal.
     ``varying`` has a flag per run. Only leaves with lines of several templates
     from several documents are looked into."""
     mixed = (
-        lines.groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("template").alias("c"), F.max("template").alias("d"))
-        .where("a <> b and c <> d").select("leaf")
+        kinds.groupBy("leaf").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("kinds"))
+        .where("a <> b and kinds > 1").select("leaf")
     )
     seen = (
-        lines.join(mixed, "leaf").select("leaf", F.posexplode("runs").alias("run", "tokens"))
-        .groupBy("leaf", "run", "tokens").agg(F.count(F.lit(1)).alias("n"))
+        kinds.join(mixed, "leaf").select("leaf", "n", F.posexplode("runs").alias("run", "tokens"))
+        .groupBy("leaf", "run", "tokens").agg(F.sum("n").alias("n"))
         .groupBy("leaf", "run").agg((F.max("n") < F.lit(FIXED) * F.sum("n")).alias("varies"))
     )
     flags = F.transform(F.sort_array(F.collect_list(F.struct("run", "varies"))), lambda x: x["varies"])
@@ -77,16 +78,26 @@ def generalised(lines: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(key, gone): numbers of the lines of ``docs(key, text)`` whose template
-    occurs in a document of a smaller key."""
+    occurs in a document of a smaller key. Equal lines are counted together before
+    the tree is walked, so a line that very many documents share is one row there."""
     lines = staged(lines_of(docs))
-    tree = lines.join(generalised(lines), "leaf", "left")
+    # Staged, so that both sides of the join are dealt anew and a hot leaf can be split.
+    leaves = staged(lines.groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("leaf"))
+    lines = staged(lines.join(leaves, "leaf", "left_semi"))  # others meet no other document
+    kinds = staged(
+        lines.groupBy("leaf", "template", "runs")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+    )
     kept = F.transform(F.arrays_zip("runs", "varying"), lambda x: F.when(~x["varying"], x["runs"]))
-    lines = tree.select("key", "line", "leaf", F.when(F.col("varying").isNull(), F.col("template")).otherwise(F.xxhash64("leaf", kept)).alias("template"))
-    lines = staged(lines)
-    same = ["leaf", "template"]  # 128 bits
-    first = lines.groupBy(*same).agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
+    same = F.when(F.col("varying").isNull(), F.col("template")).otherwise(F.xxhash64("leaf", kept))
+    named = kinds.join(generalised(kinds), "leaf", "left").select("leaf", "template", same.alias("same"), "first", "last")
+    repeated = (
+        named.groupBy("leaf", "same").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        .where("first <> last").drop("last")
+    )
+    places = named.drop("first", "last").join(repeated, ["leaf", "same"]).drop("same")
     return (
-        lines.join(first.drop("last"), same).where("key <> first")
+        lines.join(places, ["leaf", "template"]).where("key <> first")
         .groupBy("key").agg(F.collect_list("line").alias("gone"))
     )
 
@@ -99,14 +110,14 @@ def _without(text: Column, gone: Column) -> Column:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``docs`` as ``row`` with its text and a key that sorts by doc_id, nulls last."""
-    key, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
-    return packed(docs, key=F.struct(key.isNull().alias("none"), key.alias("id"), mark_of(body).alias("mark")), text=body)
+    number, body = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)), F.col(f"`{text}`").cast("string")
+    return packed(docs, key=F.struct(number.alias("id"), mark_of(body).alias("mark")), text=body)
 
 
 def _deduplicated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = _keyed(docs, doc_id, text)
     gone = repeated_lines(rows.select("key", "text"))
-    joined = rows.join(gone, rows.key.eqNullSafe(gone.key), "left").drop(gone.key)
+    joined = rows.join(gone, rows.key == gone.key, "left").drop(gone.key)
     return joined.select(
         "row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
