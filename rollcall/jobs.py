@@ -46,7 +46,7 @@ def backfill(spark: SparkSession, archive_root: str, root: str, now: Column, pla
     )
     days = [r.day for r in due.collect()]
     if days:
-        flat = archive.read_archive(spark, archive_root, days[0], days[-1])
+        flat = archive.read_archive(spark, archive_root, days=days)
         roll_up_days(flat, root, days, players, clans, game_types)
     return days
 

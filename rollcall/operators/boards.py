@@ -50,6 +50,30 @@ def page_per_scope(df: DataFrame, scope: Sequence[str] | str, order: Sequence[Co
     )
 
 
+def ranked_per_scope(df: DataFrame, scope: str, order: Sequence[Column]) -> DataFrame:
+    """Every scope's whole list with its rank numbers; for scopes that are small
+    by nature, such as the clients of one snapshot."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(scope).orderBy(*order)))
+
+
+def clamped_page(df: DataFrame, scope: str, order: Sequence[Column], number: int,
+                 size: int = PAGE_SIZE) -> DataFrame:
+    """A page of every scope's list; a scope with fewer pages gives its last one.
+
+    Counts the scopes first. Only rows up to the page asked for are ranked; of
+    shorter lists these are all.
+    """
+    last = last_page_per_scope(df, scope, size).select(
+        F.col(scope).alias("_of"), F.least(F.col("pages"), F.lit(number)).alias("_page"))
+    rank = F.row_number().over(Window.partitionBy(scope).orderBy(*order))
+    ranked = df.withColumn("rank", rank).where(F.col("rank") <= number * size)
+    first = (F.col("_page") - 1) * size
+    return (
+        ranked.join(last, F.col(scope) == F.col("_of"))
+        .where((F.col("rank") > first) & (F.col("rank") <= first + size)).drop("_of", "_page")
+    )
+
+
 def last_page_per_scope(df: DataFrame, scope: str, size: int = PAGE_SIZE) -> DataFrame:
     """Row and page counts of each scope's list."""
     return df.groupBy(scope).agg(F.count("*").alias("rows")).withColumn(

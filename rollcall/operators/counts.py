@@ -85,10 +85,18 @@ def active_clan_changes(clans: DataFrame, players: DataFrame) -> DataFrame:
     )
 
 
-def count_since(entities: DataFrame, cursor: int, batch: int | None = None) -> DataFrame:
+def since(entities: DataFrame, cursor: Column | int | None, key: str = "id") -> DataFrame:
+    """Rows with an id above the cursor; all of them before there is one."""
+    if cursor is None:
+        return entities
+    cursor = cursor if isinstance(cursor, Column) else F.lit(cursor)
+    return entities.where(cursor.isNull() | (F.col(key) > cursor))
+
+
+def count_since(entities: DataFrame, cursor: int | None = None, batch: int | None = None) -> DataFrame:
     """Entities with an id above the cursor and the cursor to store next. A
     ``batch`` counts at most that many, lowest ids first."""
-    fresh = entities.where(F.col("id") > cursor).select("id")
+    fresh = since(entities, cursor).select("id")
     if batch is not None:
         fresh = fresh.orderBy("id").limit(batch)
     return fresh.agg(
@@ -97,7 +105,7 @@ def count_since(entities: DataFrame, cursor: int, batch: int | None = None) -> D
     )
 
 
-def entity_counts(cursor: int = 0, **tables: DataFrame) -> DataFrame:
+def entity_counts(cursor: int | None = None, **tables: DataFrame) -> DataFrame:
     """One row per entity table: how many, and the highest id counted."""
     rows = [
         count_since(df, cursor).select(F.lit(name).alias("entity"), "added", "cursor")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from rollcall.operators.asof import previous_snapshot, whole_units
 from rollcall.operators.prepare import first_occurrence, observe, valid_times
-from rollcall.session import cut_lineage, remove, stage_by
+from rollcall.session import cut_lineage, folder_values, remove, stage_by
 
 K_FACTOR = 25.0
 RATING_SPAN = 400.0
@@ -152,14 +153,22 @@ def no_ratings(matches: DataFrame, scope: str) -> DataFrame:
 
 
 def add_ratings(ratings: DataFrame, changes: DataFrame, scope: str) -> DataFrame:
-    """Stored ratings plus changes, null stored rating read as zero. Rows whose
-    change is zero are left alone but new participants still get a row."""
-    moved = changes.select(scope, "player", F.col("elo_delta").alias("rating"))
-    return (
-        ratings.select(scope, "player", "rating").unionByName(moved)
-        .groupBy(scope, "player")
-        .agg(F.coalesce(F.sum("rating"), F.lit(0.0)).alias("rating"))
-    )
+    """Stored ratings plus changes. Only a change other than zero touches a stored
+    row, and then reads a null rating as zero; other rows stay as they are, null
+    ones too. New participants start from zero."""
+    none = F.lit(None).cast("double")
+    delta = F.when(F.col("elo_delta") != 0, F.col("elo_delta"))
+    both = ratings.select(
+        scope, "player", "rating", none.alias("delta"), F.lit(True).alias("stored")
+    ).unionByName(changes.select(
+        scope, "player", none.alias("rating"), delta.alias("delta"), F.lit(False).alias("stored")))
+    sums = both.groupBy(scope, "player").agg(
+        F.sum("rating").alias("old"), F.sum("delta").alias("delta"),
+        F.bool_or("stored").alias("stored"))
+    kept = F.when(F.col("stored"), F.col("old")).otherwise(0.0)
+    moved = F.coalesce("old", F.lit(0.0)) + F.col("delta")
+    return sums.select(
+        scope, "player", F.when(F.col("delta").isNull(), kept).otherwise(moved).alias("rating"))
 
 
 def elo_rounds(matches: DataFrame, scope: str, period: Column,
@@ -175,16 +184,18 @@ def elo_rounds(matches: DataFrame, scope: str, period: Column,
     matches = matches.withColumn("_period", period.cast("string"))
     matches, path = stage_by(matches, "_period", "snapshot_id")
     ratings = no_ratings(matches, scope) if ratings is None else ratings
-    for value in staged_values(matches, "_period"):
-        now = matches.where(F.col("_period") == value)
-        ratings = cut_lineage(add_ratings(ratings, elo_round(now, ratings, scope), scope))
-    remove(matches.sparkSession, path)
+    try:
+        for value in staged_values(matches, path, "_period"):
+            now = matches.where(F.col("_period") == value)
+            ratings = cut_lineage(add_ratings(ratings, elo_round(now, ratings, scope), scope))
+    finally:
+        remove(matches.sparkSession, path)
     return ratings
 
 
-def staged_values(staged: DataFrame, column: str) -> list[str]:
-    """Directory names of a staged table, sorted; no data is read."""
-    return sorted(r[0] for r in staged.select(column).distinct().collect())
+def staged_values(staged: DataFrame, path: str, column: str) -> list[str]:
+    """Values of the directories of a staged table, sorted; no data is read."""
+    return [unquote(v) for v in folder_values(staged.sparkSession, path, column)]
 
 
 def elo_replay(matches: DataFrame, scope: str, slice_by: Column,
@@ -201,23 +212,25 @@ def elo_replay(matches: DataFrame, scope: str, slice_by: Column,
     matches = matches.withColumn("_slice", slice_by.cast("string"))
     matches, path = stage_by(matches, "_slice", "snapshot_id")
     ratings = no_ratings(matches, scope) if ratings is None else ratings
-    for value in staged_values(matches, "_slice"):
-        left = matches.where(F.col("_slice") == value)
-        while not left.isEmpty():
-            turn = F.struct("ts", "snapshot_id")
-            heads = left.groupBy(scope, "player").agg(F.min(turn).alias("_head"))
-            ready = (
-                left.join(heads, [scope, "player"])
-                .groupBy("snapshot_id")
-                .agg(F.bool_and(F.col("_head.snapshot_id") == F.col("snapshot_id")).alias("_ready"))
-                .where("_ready")
-                .select("snapshot_id")
-            )
-            ready = cut_lineage(ready)
-            now = left.join(ready, "snapshot_id", "left_semi")
-            ratings = cut_lineage(add_ratings(ratings, elo_round(now, ratings, scope), scope))
-            left = cut_lineage(left.join(ready, "snapshot_id", "left_anti"))
-    remove(matches.sparkSession, path)
+    try:
+        for value in staged_values(matches, path, "_slice"):
+            left = matches.where(F.col("_slice") == value)
+            while not left.isEmpty():
+                turn = F.struct("ts", "snapshot_id")
+                heads = left.groupBy(scope, "player").agg(F.min(turn).alias("_head"))
+                ready = (
+                    left.join(heads, [scope, "player"])
+                    .groupBy("snapshot_id")
+                    .agg(F.bool_and(F.col("_head.snapshot_id") == F.col("snapshot_id")).alias("_ready"))
+                    .where("_ready")
+                    .select("snapshot_id")
+                )
+                ready = cut_lineage(ready)
+                now = left.join(ready, "snapshot_id", "left_semi")
+                ratings = cut_lineage(add_ratings(ratings, elo_round(now, ratings, scope), scope))
+                left = cut_lineage(left.join(ready, "snapshot_id", "left_anti"))
+    finally:
+        remove(matches.sparkSession, path)
     return ratings
 
 

@@ -180,6 +180,17 @@ def team_members(t: Tables):
     return stacked([("members", total(t, "clan_player"), "clan", "player")])
 
 
+@query("team_members_page", with_cte("events", f"""
+SELECT clan, player, play_time, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY clan ORDER BY play_time DESC, player) AS rank,
+         least(3, (count(*) OVER (PARTITION BY clan) + 99) // 100) AS page
+  FROM ({total_sql(['clan', 'player'])}))
+WHERE rank > (page - 1) * 100 AND rank <= page * 100"""))
+def team_members_page(t: Tables):
+    """The third page of every clan's members, or the last one it has."""
+    return boards.clamped_page(total(t, "clan_player"), "clan", boards.by_play_time("player"), 3)
+
+
 @query("team_scopes", stacked_sql([("group", "clan", "game_type"), ("map", "clan", "map")]))
 def team_scopes(t: Tables):
     return stacked([
@@ -229,21 +240,29 @@ LINE_KEY = ("player, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_dis
             "l_shipdate, l_returnflag, l_linestatus")
 
 
-@query("snapshot_clients", with_cte("orders", scoped_sql(
-    "SELECT * FROM oc", "snapshot_id", f"score DESC, {LINE_KEY}",
-    "snapshot_id, player, CAST(score AS BIGINT) AS score")))
+@query("snapshot_clients", with_cte("orders", f"""
+SELECT snapshot_id, player, CAST(score AS BIGINT) AS score,
+       row_number() OVER (PARTITION BY snapshot_id ORDER BY score DESC, {LINE_KEY}) AS rank
+FROM oc"""))
 def snapshot_clients(t: Tables):
-    page = boards.page_per_scope(
+    """Every client of every snapshot."""
+    ranked = boards.ranked_per_scope(
         t.order_clients, "snapshot_id", boards.by_score("player", "ordinal"))
-    return page.select("snapshot_id", "player", "score", "rank")
+    return ranked.select("snapshot_id", "player", "score", "rank")
 
 
 @query("live_clients", with_cte("orders", f""", {RUNS}
-SELECT live.server, player, CAST(score AS BIGINT) AS score, in_game
-FROM live JOIN oc USING (snapshot_id)"""))
+SELECT * FROM (
+  SELECT live.server, player, CAST(score AS BIGINT) AS score, in_game, row_number() OVER (
+    PARTITION BY live.server ORDER BY score DESC, {LINE_KEY}) AS rank
+  FROM live JOIN oc USING (snapshot_id))
+WHERE rank <= 100"""))
 def live_clients(t: Tables):
-    clients = t.order_clients.select("snapshot_id", "player", "score", "in_game")
-    return state.live_clients(live_states(t), clients).drop("snapshot_id")
+    """First page of every live server's clients by score."""
+    clients = t.order_clients.select("snapshot_id", "player", "score", "in_game", "ordinal")
+    page = boards.page_per_scope(
+        state.live_clients(live_states(t), clients), "server", boards.by_score("player", "ordinal"))
+    return page.drop("snapshot_id", "ordinal")
 
 
 def customer_servers(t: Tables):

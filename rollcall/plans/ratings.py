@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from rollcall.operators import prepare, rating
-from rollcall.operators.playtime import add_deltas
 from rollcall.plans.fixtures import Tables, with_cte
 from rollcall.plans.registry import query, sql_int, sql_num
 from rollcall.session import cut_lineage
@@ -76,16 +75,18 @@ def elo_round(t: Tables):
 
 @query("rating_totals", with_cte("day", f"""
 {RATED}
-SELECT game_type, player, {sql_num('coalesce(sum(rating), 0.0)')} AS rating FROM (
-  SELECT game_type, player, rating FROM ratings
-  UNION ALL
-  SELECT game_type, player, 25.0 * (wins - expected) / (players - 1)
-  FROM ({field_sql('rated')}))
-GROUP BY game_type, player"""))
+, changes AS (
+  SELECT game_type, player, sum(delta) FILTER (WHERE delta <> 0) AS delta FROM (
+    SELECT game_type, player, 25.0 * (wins - expected) / (players - 1) AS delta
+    FROM ({field_sql('rated')}))
+  GROUP BY game_type, player)
+SELECT game_type, player, {sql_num("""CASE
+    WHEN delta IS NOT NULL THEN coalesce(r.rating, 0.0) + delta
+    WHEN r.player IS NOT NULL THEN r.rating ELSE 0.0 END""")} AS rating
+FROM ratings r FULL JOIN changes USING (game_type, player)"""))
 def rating_totals(t: Tables):
     changes = rating.elo_round(day_matches(t), t.stored_ratings, "game_type")
-    moved = changes.select("game_type", "player", F.col("elo_delta").alias("rating"))
-    return add_deltas(t.stored_ratings, moved, ["game_type", "player"], "rating")
+    return rating.add_ratings(t.stored_ratings, changes, "game_type")
 
 
 def rounds_sql(matches: str, cte: str) -> str:

@@ -128,10 +128,10 @@ ENTITIES = {
 
 
 @query("entity_counts", "\nUNION ALL\n".join(
-    f"SELECT '{name}' AS entity, count(*) AS added, CAST(coalesce(max({key}), 0) AS BIGINT) AS cursor "
-    f"FROM {table} WHERE {key} > 0" for name, (table, key) in ENTITIES.items()))
+    f"SELECT '{name}' AS entity, count(*) AS added, CAST(max({key}) AS BIGINT) AS cursor "
+    f"FROM {table}" for name, (table, key) in ENTITIES.items()))
 def entity_counts(t: Tables):
-    return counts.entity_counts(0, **{
+    return counts.entity_counts(None, **{
         name: t.read(table).select(F.col(key).alias("id"))
         for name, (table, key) in ENTITIES.items()
     })
@@ -143,8 +143,7 @@ WHERE event_id > (SELECT max(event_id) FROM ev WHERE ts < TIMESTAMP '2024-01-20'
 def new_entities(t: Tables):
     """Rows above the id reached before the 20th."""
     cursor = t.event_headers.where("ts < TIMESTAMP '2024-01-20'").agg(F.max("snapshot_id"))
-    fresh = t.event_headers.where(F.col("snapshot_id") > cursor.scalar())
-    return fresh.select("snapshot_id", "server")
+    return counts.since(t.event_headers, cursor.scalar(), "snapshot_id").select("snapshot_id", "server")
 
 
 @query("latest_state", with_cte("orders", f"""

@@ -25,6 +25,7 @@ def build_session(app: str = "rollcall", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config(
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -76,6 +77,12 @@ def remove(spark: SparkSession, path: str) -> None:
         fs.delete(target, True)
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there and holds anything."""
+    fs, target = _file_system(spark, path)
+    return fs.exists(target) and len(fs.listStatus(target)) > 0
+
+
 def folder_values(spark: SparkSession, root: str, column: str) -> list[str]:
     """Values that have a ``column=VALUE`` directory under ``root``: one listing
     of one level, where a distinct over the table would open every file."""

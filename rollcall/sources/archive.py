@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.operators.history import archivable
+from rollcall.operators.history import watermark
 from rollcall.schema import ARCHIVE, ARCHIVE_NAMES
 from rollcall.session import day_folders
 
@@ -40,13 +40,14 @@ def write_archive(flat: DataFrame, root: str, mode: str = "append") -> None:
 
 
 def read_archive(spark: SparkSession, root: str, first: date | None = None,
-                 last: date | None = None) -> DataFrame:
-    """Flat rows of a closed range of days. With both ends given only those
-    day directories are listed, else the partition filter prunes them. A row
-    filed under the wrong day is left out: the day filter is on its time."""
+                 last: date | None = None, days: list[date] | None = None) -> DataFrame:
+    """Flat rows of a closed range or a list of days. With a list or both ends
+    given only those day directories are listed, else the partition filter prunes
+    them. A row filed under the wrong day is left out: the day filter is on its time."""
     reader = spark.read.schema(READ_SCHEMA)
-    if first is not None and last is not None:
+    if days is None and first is not None and last is not None:
         days = [first + timedelta(days=n) for n in range((last - first).days + 1)]
+    if days is not None:
         folders = ",".join(f"dt={d.isoformat()}" for d in days)
         try:
             rows = reader.option("basePath", root).parquet(f"{root}/{{{folders}}}")
@@ -88,19 +89,22 @@ def day_summary(flat: DataFrame) -> DataFrame:
 def archive_batch(hot: DataFrame, root: str, now: Column, hours: int) -> DataFrame:
     """Move what is past retention from the hot rows to the archive.
 
+    The clock is read once: all steps go by the watermark id found then.
+
     Writes the snapshots the archive does not hold yet (so a run that died half
     way can simply run again), reads the days back and compares them with the
     source before anything may be dropped. Returns the hot rows that stay.
     """
     spark = hot.sparkSession
-    due = archivable(hot, now, hours)
-    days = [r.day for r in due.select(F.to_date("ts").alias("day")).distinct().collect()]
-    if not days:
+    bound = watermark(hot, now, hours).first()[0]
+    if bound is None:
         return hot
-    held = read_archive(spark, root, min(days), max(days)).select("snapshot_id").distinct()
+    due = hot.where(F.col("snapshot_id") <= bound)
+    days = [r.day for r in due.select(F.to_date("ts").alias("day")).distinct().collect()]
+    held = read_archive(spark, root, days=days).select("snapshot_id").distinct()
     write_archive(due.join(held, "snapshot_id", "left_anti"), root)
 
-    written = read_archive(spark, root, min(days), max(days)).where(F.to_date("ts").isin(days))
+    written = read_archive(spark, root, days=days)
     kept = written.join(due.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
     expected, found = day_summary(due), day_summary(kept)
     missing = expected.exceptAll(found)

@@ -17,6 +17,20 @@ TRIGGERS = {
 }
 
 
+def trigger_of(job: str) -> dict[str, str]:
+    """Trigger arguments of a job, for ``DataStreamWriter.trigger``."""
+    return {"processingTime": TRIGGERS[job]}
+
+
+def rows_behind(query) -> int:
+    """Rows that a query's operators left out so far because they were behind the
+    watermark. They stay in the drop folder, for the archive and a day rebuild."""
+    return sum(
+        int(state.get("numRowsDroppedByWatermark", 0))
+        for progress in query.recentProgress for state in progress.get("stateOperators", [])
+    )
+
+
 def read_feed(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """Rows as they land in a drop folder; the file bound is the back-pressure."""
     rows = (

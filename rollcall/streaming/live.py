@@ -5,7 +5,8 @@ is kept as tables under ``root``, each batch writing its own directory, so a
 batch that is run again replaces what it wrote:
 
   state/batch=N     last snapshot of every server, with its client list
-  late/batch=N      rows too late for the live path (the day rebuild has them)
+  late/batch=N      rows too late for the live path, until ``reconcile`` has them
+  corrections/batch=N  play-time deltas of late rows up to that batch
   playtime/batch=N  play-time deltas
   elo/batch=N       Elo changes per map and per game type
   times/batch=N     best times seen
@@ -26,7 +27,7 @@ from rollcall.jobs import clients_of, headers_of
 from rollcall.operators import playtime, rating
 from rollcall.operators.prepare import first_occurrence
 from rollcall.schema import RANK_METHODS
-from rollcall.session import folder_values, remove
+from rollcall.session import folder_values, has_files, remove
 
 STATE = ("server string, ts timestamp, snapshot_id long, map string, "
          "clients array<struct<ordinal:int,player:string,score:int,in_game:boolean>>")
@@ -57,6 +58,9 @@ class LiveTables:
     def _batches(self, table: str) -> list[int]:
         return sorted(int(v) for v in folder_values(self.spark, f"{self.root}/{table}", "batch"))
 
+    def has_batches(self) -> bool:
+        return bool(self._batches("state"))
+
     def _read(self, table: str, schema: str) -> DataFrame:
         schema = f"{schema}, batch long"
         if not self._batches(table):
@@ -74,6 +78,8 @@ class LiveTables:
         if batch is not None:
             deltas = deltas.where(F.col("batch") <= (batch if own else batch - 1))
         rows = deltas.drop("batch")
+        if table == "playtime" and batch is None:
+            rows = rows.unionByName(self._read("corrections", schema).drop("batch"))
         if bases:
             base = self._read(f"{table}_base", schema).where(F.col("batch") == newest)
             rows = rows.unionByName(base.drop("batch"))
@@ -125,10 +131,14 @@ class LiveTables:
 
     def _process(self, rows: DataFrame, batch: int) -> None:
         before = self.last_states(batch)
+        self._write(self._times(rows), "times", batch)  # a best time needs no order
         reached = before.select("server", F.col("ts").alias("_reached"))
         marked = rows.join(reached, "server", "left")
         too_late = F.col("_reached").isNotNull() & (F.col("ts") <= F.col("_reached"))
-        self._write(marked.where(too_late).drop("_reached"), "late", batch)
+        late = marked.where(too_late).drop("_reached")
+        remove(self.spark, f"{self.root}/late/batch={batch}")
+        if not late.isEmpty():
+            self._write(late, "late", batch)
         live = marked.where(~too_late).drop("_reached")
         headers, clients = headers_of(live), clients_of(live)
 
@@ -141,7 +151,7 @@ class LiveTables:
 
     def _rank(self, live: DataFrame, headers: DataFrame, clients: DataFrame, before: DataFrame,
               batch: int) -> None:
-        elo, time = RANK_METHODS
+        elo = RANK_METHODS[0]
         methods = live.select("snapshot_id", "rank_method").distinct()
 
         def of(df: DataFrame, method: str) -> DataFrame:
@@ -165,7 +175,51 @@ class LiveTables:
             F.sum("elo_delta").alias("rating"))
         self._write(moved.select("at.*", "player", "rating"), "elo", batch)
         deltas.unpersist()
-        self._write(rating.best_times(of(headers, time), clients), "times", batch)
+
+    def _times(self, rows: DataFrame) -> DataFrame:
+        timed = rows.where(F.col("rank_method") == RANK_METHODS[1])
+        return rating.best_times(headers_of(timed), clients_of(timed))
+
+    # late rows
+
+    def late_batches(self) -> list[int]:
+        """Batches whose late rows wait for :meth:`reconcile`."""
+        return self._batches("late")
+
+    def reconcile(self, history: DataFrame) -> int:
+        """Bring the play time of servers with late rows level with the batch
+        result; returns how many late batches were taken in.
+
+        ``history`` holds the flat rows of these servers, late ones included (the
+        archive and the hot rows). Credits of all their snapshots, less those of
+        their snapshots without the late ones, are what the live path missed. They
+        are written under the highest batch taken in, before its late rows go, so
+        a run that died half way only has to delete. Best times take late rows at
+        once. Elo changes of late rows are left out: they depend on the order in
+        which matches are rated, and ``rating.elo_rounds`` over the archive has them.
+        """
+        done = max(self._batches("corrections"), default=-1)
+        self._drop("late", done)
+        taken = self._batches("late")
+        if not taken:
+            return 0
+        late = self.spark.read.parquet(f"{self.root}/late").where(F.col("batch") <= taken[-1])
+        history = history.withColumns({c: F.col(c).cast("string") for c in ("server", "map")})
+        whole = history.join(late.select("server").distinct(), "server", "left_semi")
+        seen = whole.join(late.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
+
+        def totals(rows: DataFrame, sign: int) -> DataFrame:
+            credits = playtime.credited(headers_of(rows), clients_of(rows))
+            return playtime.all_totals(credits).withColumn("play_time", sign * F.col("play_time"))
+
+        schema, keys, value, _ = DELTAS["playtime"]
+        missed = (
+            totals(whole, 1).unionByName(totals(seen, -1))
+            .groupBy(*keys).agg(F.sum(value).alias(value)).where(F.col(value) != 0)
+        )
+        self._write(missed, "corrections", taken[-1])
+        self._drop("late", taken[-1])
+        return len(taken)
 
     def _next_states(self, headers: DataFrame, clients: DataFrame, before: DataFrame) -> DataFrame:
         """Last snapshot per server; client lists only for snapshots kept."""
@@ -189,7 +243,13 @@ class LiveTables:
 
 def start_live(feed: DataFrame, tables: LiveTables, checkpoint: str,
                trigger: dict | None = None):
-    """Run ``feed`` (deduplicated flat rows with ``rank_method``) into the tables."""
+    """Run ``feed`` (deduplicated flat rows with ``rank_method``) into the tables.
+
+    Batches are numbered by the checkpoint. With a new one they would start over
+    and replace the tables' first batches, so tables that hold any refuse it.
+    """
+    if tables.has_batches() and not has_files(tables.spark, f"{checkpoint}/offsets"):
+        raise ValueError(f"{tables.root} holds batches of another checkpoint than {checkpoint}")
     return (
         feed.writeStream.foreachBatch(tables.process)
         .option("checkpointLocation", checkpoint)

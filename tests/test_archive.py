@@ -79,6 +79,30 @@ def test_archive_batch_moves_and_repeats_safely(spark, tmp_path):
     assert nothing.count() == stays.count()
 
 
+def test_archive_batch_with_a_moving_clock(spark, tmp_path):
+    """Snapshots pass retention while the batch runs: those stay hot."""
+    base = month(spark).where("snapshot_id = 1").drop("snapshot_id", "ts")
+    many = spark.range(200).select(
+        F.col("id").alias("snapshot_id"),
+        (F.current_timestamp() - F.expr("INTERVAL 48 HOURS") + F.make_dt_interval(secs=F.col("id") / 20 - 4)).alias("ts"))
+    hot = many.crossJoin(base).select(*month(spark).columns)
+    hot.write.parquet(str(tmp_path / "hot"))
+    hot, root = spark.read.parquet(str(tmp_path / "hot")), str(tmp_path / "a")
+    stays = archive.archive_batch(hot, root, F.current_timestamp(), 48)
+    kept = archive.read_archive(spark, root)
+    assert kept.count() + stays.count() == hot.count() and kept.count() > 0
+    assert kept.agg(F.max("snapshot_id")).first()[0] < (stays.agg(F.min("snapshot_id")).first()[0] or 10**9)
+
+
+def test_a_list_of_days_reads_no_other(spark, tmp_path):
+    root = str(tmp_path / "a")
+    archive.write_archive(month(spark), root)
+    days = [date(2024, 1, 1), date(2024, 1, 5)]
+    got = archive.read_archive(spark, root, days=days)
+    assert {r.d for r in got.select(F.to_date("ts").alias("d")).distinct().collect()} == set(days)
+    assert len({f.split("dt=")[1][:10] for f in got.inputFiles()}) == 2
+
+
 def test_a_short_archive_retires_nothing(spark, tmp_path, monkeypatch):
     hot, root = month(spark), str(tmp_path / "a")
     write = archive.write_archive

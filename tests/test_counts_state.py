@@ -18,7 +18,8 @@ def test_clan_counts_change_set(spark):
 
 def test_entity_counts_and_cursor(spark):
     some, none = spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([], "id long")
-    assert rows(counts.entity_counts(0, players=some, clans=none)) == [("clans", 0, 0), ("players", 1, 1)]
+    assert rows(counts.entity_counts(players=some, clans=none)) == [("clans", 0, None), ("players", 1, 1)]
+    assert rows(counts.entity_counts(players=spark.range(3))) == [("players", 3, 2)]
 
 
 def test_counting_in_batches_reaches_everything(spark):

@@ -161,3 +161,12 @@ def test_rating_updates(spark):
     assert rows(rating.set_ratings(info, new, ["map", "player"])) == [(7, "a", -4.0), (7, "b", 3.0)]
     moved = spark.createDataFrame([(7, "a", 2.0), (7, "c", 1.0)], "map int, player string, elo_delta double")
     assert rows(rating.add_ratings(info, moved, "map")) == [(7, "a", 2.0), (7, "b", 3.0), (7, "c", 1.0)]
+
+
+def test_null_ratings_stay_until_a_change(spark):
+    stored = spark.createDataFrame(
+        [(7, "idle", None), (7, "tied", None), (7, "low", -3.0), (7, "up", None)], "map int, player string, rating double")
+    moved = spark.createDataFrame(
+        [(7, "tied", 0.0), (7, "up", 1.5), (7, "new", 0.0), (7, "low", 0.0)], "map int, player string, elo_delta double")
+    assert rows(rating.add_ratings(stored, moved, "map"), "player", "rating") == [
+        ("idle", None), ("low", -3.0), ("new", 0.0), ("tied", None), ("up", 1.5)]
