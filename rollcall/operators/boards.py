@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.session import cut_lineage
+
 PAGE_SIZE = 100
 
 
@@ -128,17 +130,17 @@ def servers_in_scope(states: DataFrame, maps: DataFrame) -> DataFrame:
     return states.join(maps.select("map", "game_type"), "map")
 
 
-def online_on(rows: DataFrame, state_clients: DataFrame, states: DataFrame,
-              servers: DataFrame) -> DataFrame:
+def online_on(rows: DataFrame, state_clients: DataFrame, servers: DataFrame) -> DataFrame:
     """Distinct live servers of each listed player; an empty array when offline.
 
-    ``rows`` is a page of a list: live clients are cut to its players before
+    ``rows`` is a page of a list: it is made once, and the clients of live servers
+    (:func:`rollcall.operators.state.live_clients`) are cut to its players before
     the other joins.
     """
+    rows = cut_lineage(rows)
     seen = (
         state_clients.select("player", "server")
         .join(rows.select("player"), "player", "left_semi")
-        .join(states.select("server"), "server", "left_semi")
         .join(servers.select("server", "ip", "port"), "server")
         .groupBy("player")
         .agg(F.array_sort(F.collect_set(F.struct("ip", "port"))).alias("servers"))

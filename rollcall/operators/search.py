@@ -38,12 +38,12 @@ def search(df: DataFrame, text: str, name: str, weight: str, key: str,
     return page(df.where(matches(name, text)), order, 1, results)
 
 
-def search_players(players: DataFrame, state_clients: DataFrame, states: DataFrame,
-                   servers: DataFrame, text: str, key: str = "player") -> DataFrame:
+def search_players(players: DataFrame, state_clients: DataFrame, servers: DataFrame,
+                   text: str, key: str = "player") -> DataFrame:
     """Matching players and the servers they are on. The result is cut to its
     thirty rows before the live tables are joined."""
     hits = search(players, text, "name", "play_time", key)
-    return online_on(hits, state_clients, states, servers)
+    return online_on(hits, state_clients, servers)
 
 
 def search_clans(clans: DataFrame, text: str, key: str = "clan") -> DataFrame:

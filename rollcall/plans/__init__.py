@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-AREAS = ("rollups", "playtimes", "ratings", "boards", "activities", "histories", "states", "answers")
+AREAS = (
+    "rollups", "playtimes", "ratings", "boards", "activities", "histories", "states", "answers", "stored",
+)
 
 
 def load():

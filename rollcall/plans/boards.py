@@ -88,12 +88,13 @@ def polls(t: Tables):
     )
 
 
-def states(t: Tables):
-    return state.latest_state(t.counted_order_headers)
+def states(t: Tables, counted: bool = True):
+    return state.latest_state(t.counted_order_headers if counted else t.order_headers)
 
 
-def live_states(t: Tables):
-    return state.online_states(states(t), state.failure_runs(polls(t)))
+def live_states(t: Tables, counted: bool = True):
+    """Live servers; client counts cost a pass over all clients."""
+    return state.online_states(states(t, counted), state.failure_runs(polls(t)))
 
 
 SERVERS = """SELECT c_custkey AS server, coalesce(failure_count, 0) AS failure_count,
@@ -261,7 +262,7 @@ def live_clients(t: Tables):
     """First page of every live server's clients by score."""
     clients = t.order_clients.select("snapshot_id", "player", "score", "in_game", "ordinal")
     page = boards.page_per_scope(
-        state.live_clients(live_states(t), clients), "server", boards.by_score("player", "ordinal"))
+        state.live_clients(live_states(t, counted=False), clients), "server", boards.by_score("player", "ordinal"))
     return page.drop("snapshot_id", "ordinal")
 
 
@@ -293,9 +294,9 @@ online AS (
 def presence(t: Tables):
     players = t.suppliers.select("player", F.floor("s_acctbal").alias("play_time"))
     page = boards.page(players, boards.by_play_time("player"))
-    live = live_states(t)
-    on = state.live_clients(live, t.order_clients.select("snapshot_id", "player"))
-    rows = boards.online_on(page, on, live, customer_servers(t))
+    on = state.live_clients(
+        live_states(t, counted=False), t.order_clients.select("snapshot_id", "player"))
+    rows = boards.online_on(page, on, customer_servers(t))
     state_now = F.when(F.size("servers") > 0, "online").otherwise("offline")
     return rows.select("player", "play_time", "rank", shown(), state_now.alias("presence"))
 
@@ -359,10 +360,9 @@ def search_players(t: Tables):
         F.col("p_partkey").alias("player"), F.col("p_name").alias("name"),
         F.floor("p_retailprice").alias("play_time"),
     )
-    live = live_states(t)
     clients = t.order_clients.select("snapshot_id", F.col("ordinal.l_partkey").alias("player"))
-    on = state.live_clients(live, clients)
-    hits = search.search_players(players, on, live, customer_servers(t), "RING")
+    on = state.live_clients(live_states(t, counted=False), clients)
+    hits = search.search_players(players, on, customer_servers(t), "RING")
     return hits.select("player", "name", "play_time", "rank", shown())
 
 

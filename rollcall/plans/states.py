@@ -26,8 +26,11 @@ def all_maps(t: Tables):
 
 
 def info(t: Tables, *keys: str):
-    seen = prepare.observe(t.order_headers, t.order_clients).select(*keys)
-    return seen.dropna().distinct()
+    """Distinct known pairs. All of them start from the same distinct rows, whose
+    exchange Spark computes once per query."""
+    base = prepare.observe(t.order_headers, t.order_clients).select(
+        "game_type", "map", "player", "clan").distinct()
+    return base.select(*keys).dropna().distinct()
 
 
 def count_sql(scope: str, dims: str, tables: dict[str, str]) -> str:
@@ -50,7 +53,7 @@ def group_counts(t: Tables):
     maps = all_maps(t)
     return counts.game_type_counts(
         maps.select("game_type").distinct(), info(t, "game_type", "player"),
-        info(t, "game_type", "clan"), maps, live_states(t))
+        info(t, "game_type", "clan"), maps, live_states(t, counted=False))
 
 
 MAP_COUNTS = count_sql("map", "SELECT map FROM maps", {
@@ -59,7 +62,7 @@ MAP_COUNTS = count_sql("map", "SELECT map FROM maps", {
 
 def map_counts_of(t: Tables):
     return counts.map_counts(
-        all_maps(t), info(t, "map", "player"), info(t, "map", "clan"), live_states(t))
+        all_maps(t), info(t, "map", "player"), info(t, "map", "clan"), live_states(t, counted=False))
 
 
 @query("map_counts", with_cte("orders", f", {RUNS}, {ALL_MAPS}\n{MAP_COUNTS}"))
@@ -70,7 +73,7 @@ def map_counts(t: Tables):
 @query("map_server_counts", with_cte("orders", f", {RUNS}, {ALL_MAPS}\n" + count_sql(
     "map", "SELECT map FROM maps", {"server_count": "SELECT map FROM live"})))
 def map_server_counts(t: Tables):
-    return counts.map_server_counts(all_maps(t), live_states(t))
+    return counts.map_server_counts(all_maps(t), live_states(t, counted=False))
 
 
 @query("map_count_changes", with_cte("orders", f"""

@@ -57,7 +57,9 @@ def live(spark):
 
 
 def test_online_servers_are_distinct_and_live(spark):
-    got = boards.online_on(spark.createDataFrame([("a",), ("b",), ("c",)], "player string"), *live(spark))
+    on, states, servers = live(spark)
+    on = on.join(states.select("server"), "server", "left_semi")
+    got = boards.online_on(spark.createDataFrame([("a",), ("b",), ("c",)], "player string"), on, servers)
     assert {r.player: [(s.ip, s.port) for s in r.servers] for r in got.collect()} == {
         "a": [("1.1.1.1", 1), ("2.2.2.2", 2)], "b": [], "c": []}
 
@@ -93,7 +95,7 @@ def test_shortest_names_first_and_thirty_at_most(spark):
 
 def test_search_joins(spark):
     on, states, servers = live(spark)
-    hits = search.search_players(names(spark, "a", "aa", "baa"), on.replace("a", "aa"), states, servers, "aa")
+    hits = search.search_players(names(spark, "a", "aa", "baa"), on.replace("a", "aa"), servers, "aa")
     assert {r.name: len(r.servers) for r in hits.collect()} == {"aa": 2, "baa": 0}
     maps = spark.createDataFrame([(5, "ctf5", "CTF")], "map int, map_name string, game_type string")
     hits = search.search_servers(states.withColumn("map", F.lit(5)), servers, maps, "ALPHA_")
