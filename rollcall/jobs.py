@@ -25,13 +25,22 @@ def clients_of(flat: DataFrame) -> DataFrame:
 
 
 def roll_up_days(flat: DataFrame, root: str, days: list[date], players: DataFrame,
-                 clans: DataFrame, game_types: DataFrame) -> None:
-    """Compute and replace ``days`` in all five tables, many days per job."""
+                 clans: DataFrame, game_types: DataFrame) -> dict[str, list[tuple]]:
+    """Compute and replace ``days`` in all five tables, many days per job. Returns,
+    per table that has names, (day, rows resolved, rows rejected for an unknown name)."""
     flat = flat.where(F.to_date("ts").isin(days))
     tables = rollup.day_tables(headers_of(flat), flat)
     try:
         day_tables.write_day_tables(
             day_tables.with_ids(tables, players, clans, game_types), root, days)
+        named = {
+            "player_day": (players, "player"), "game_type_day": (game_types, "game_type"),
+            "clan_day": (clans, "clan"),
+        }
+        return {
+            table: sorted(tuple(r) for r in rollup.resolve_counts(tables[table], names, name).collect())
+            for table, (names, name) in named.items()
+        }
     finally:
         tables["presence"].unpersist()
 

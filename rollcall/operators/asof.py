@@ -89,19 +89,20 @@ def elapsed(headers: DataFrame, last_known: DataFrame | None = None,
 
 
 def ordered_neighbours(df: DataFrame, order: str, value: str, ties: Sequence[str] = (),
-                       buckets: int = 1024) -> DataFrame:
+                       buckets: int = 256) -> DataFrame:
     """``prev_<value>``: ``value`` of the row before, ordered by ``order``,
     ``value`` and ``ties`` over the whole table, without a single-task window.
 
-    Rows are cut into ``buckets`` equal ranges of the numeric ``order``; each
+    Rows are cut at approximate quantiles of the numeric ``order`` into at most
+    ``buckets`` ranges of about equal size, however the values cluster; each
     range is a window partition, and the last row of each range (at most
     ``buckets`` rows) seeds the next non-empty one.
     """
-    low, high = F.min(order).alias("low"), F.max(order).alias("high")
-    bounds = df.agg(low, high)
-    low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
-    place = (F.col(order) - low) / (high - low + F.lit(1))
-    keyed = df.withColumn("_bucket", F.floor(place * buckets)).withColumn(
+    steps = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(df.approxQuantile(order, steps, 0.2 / buckets))) if steps else []
+    bucket = F.size(F.filter(
+        F.array(*map(F.lit, cuts)).cast("array<double>"), lambda cut: cut < F.col(order)))
+    keyed = df.withColumn("_bucket", bucket).withColumn(
         "_at", F.struct(F.col(order).alias("o"), F.col(value).alias("v"), *ties)
     )
     lasts = keyed.groupBy("_bucket").agg(F.max("_at").alias("_at"))

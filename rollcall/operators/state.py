@@ -97,7 +97,7 @@ def new_ids(dim: DataFrame, names: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ids for names ``dim`` (id, keys) does not hold: max id plus position.
 
     Position follows (hash prefix, key), numbered per prefix and shifted, so
-    the numbering needs no single task; it is the same on every retry.
+    no single task numbers them all; it is the same on every retry.
     """
     fresh = names.select(*keys).distinct().join(dim.select(*keys), list(keys), "left_anti")
     digest = F.md5(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,21 +43,23 @@ def write_day_tables(tables: dict[str, DataFrame], root: str, days: Iterable[dat
     """Replace ``days`` in every table. Days are whole directories, so running
     again gives the same files; a day that has no rows any more is removed.
 
-    Rows are ranged over (day, key) and sorted: a busy day is several files.
+    Rows are ranged over (day, key) and sorted: a busy day is several files. The
+    days that have rows are noted while they are written.
     """
     days = sorted(days)
     for name, df in tables.items():
         path = f"{root}/{name}"
-        rows = df.where(F.col("day").isin(days))
+        seen = Observation()
+        rows = df.where(F.col("day").isin(days)).repartitionByRange("day", KEYS[name])
         (
-            rows.repartitionByRange("day", KEYS[name])
-            .sortWithinPartitions("day", KEYS[name])
+            rows.sortWithinPartitions("day", KEYS[name])
+            .observe(seen, F.collect_set(F.col("day").cast("string")).alias("days"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("day").parquet(path)
         )
-        filled = {r.day for r in rows.select("day").distinct().collect()}
+        filled = set(seen.get["days"])
         for day in days:
-            if day not in filled:
+            if day.isoformat() not in filled:
                 remove(df.sparkSession, f"{path}/day={day.isoformat()}")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def read_jdbc(spark: SparkSession, url: str, table: str, id_column: str, low: int, high: int,
               partitions: int, **options: str) -> DataFrame:
-    """A database table read in parallel id ranges. Needs the database's own
-    driver jar on the class path."""
+    """A database table read in parallel id ranges. The database's own driver jar
+    has to be on the class path."""
     return (
         spark.read.format("jdbc")
         .options(url=url, dbtable=table, partitionColumn=id_column, lowerBound=str(low),

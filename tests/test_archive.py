@@ -144,6 +144,17 @@ def test_backfill_rolls_up_missing_days_only(spark, tmp_path):
         assert rows(got, "day", value) == rows(want, "day", value), name
 
 
+def test_clustered_ids_are_spread(spark):
+    """Two thousand close ids and a far one: many ranges, none with most rows."""
+    objects = spark.range(2000).union(spark.createDataFrame([(10**12,)], "id long")).select(
+        F.col("id").alias("first_id"), (F.col("id") + 0).alias("last_id"), F.col("id").cast("string").alias("object"))
+    got = history.ordered_neighbours(objects, "first_id", "last_id", ["object"], 50)
+    want = [(0, None), *((i, i - 1) for i in range(1, 2000)), (10**12, 1999)]
+    assert sorted((r.first_id, r.prev_last_id) for r in got.collect()) == want
+    cuts = objects.approxQuantile("first_id", [i / 50 for i in range(1, 50)], 0.004)
+    assert len(set(cuts)) > 30
+
+
 def test_tiling_states(spark):
     objects = spark.createDataFrame(
         [("a", 1, 10), ("b", 11, 20), ("c", 25, 30), ("d", 28, 40), ("e", 41, 41)],

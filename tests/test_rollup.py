@@ -151,3 +151,12 @@ def test_a_hot_key_of_copies_is_reduced_before_the_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
     assert "Partial" in plan[plan.rindex("WindowGroupLimit"):]
+
+
+def test_unknown_names_are_counted(spark, headers, clients, tmp_path):
+    h = headers((1, at(0, 1), 1, 7, "CTF", 2))
+    c = clients((1, 0, "a", "x", 0, True), (1, 1, "stranger", None, 0, True))
+    ids = (names(spark, ("a", 1)), names(spark, ("y", 5)), names(spark, ("CTF", 9)))
+    got = roll_up_days(flat(h, c), str(tmp_path / "days"), [date(2024, 1, 1)], *ids)
+    first = date(2024, 1, 1)
+    assert got == {"player_day": [(first, 1, 1)], "game_type_day": [(first, 1, 0)], "clan_day": [(first, 0, 1)]}
