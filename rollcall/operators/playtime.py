@@ -45,14 +45,14 @@ def play_time(credits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return credits.groupBy(*keys).agg(F.sum("credit").alias("play_time"))
 
 
-def all_totals(credits: DataFrame) -> DataFrame:
-    """All ten totals in one pass, tagged by ``total``.
+def all_totals(credits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All ten totals in one pass, tagged by ``total``; per value of ``by``, if given.
 
     Credits shrink to one row per distinct key combination first; only those
     rows are repeated for the ten key sets.
     """
     dims = ["server", "map", "game_type", "clan", "player"]
-    base = credits.groupBy(*dims).agg(F.sum("credit").alias("play_time"))
+    base = credits.groupBy(*dims, *by).agg(F.sum("credit").alias("play_time"))
     key_sets = F.explode(F.array(*[
         F.struct(
             F.lit(name).alias("total"),
@@ -65,10 +65,10 @@ def all_totals(credits: DataFrame) -> DataFrame:
     ]))
     clan_totals = [name for name, keys in TOTALS.items() if "clan" in keys]
     return (
-        base.select(key_sets.alias("k"), "play_time")
-        .select("k.*", "play_time")
+        base.select(key_sets.alias("k"), "play_time", *by)
+        .select("k.*", "play_time", *by)
         .where(~F.col("total").isin(clan_totals) | F.col("clan").isNotNull())
-        .groupBy("total", *dims)
+        .groupBy("total", *dims, *by)
         .agg(F.sum("play_time").alias("play_time"))
     )
 
@@ -76,5 +76,9 @@ def all_totals(credits: DataFrame) -> DataFrame:
 def add_deltas(stored: DataFrame, deltas: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Stored totals plus new deltas; a null stored value counts as zero and a
     new key starts from its delta."""
-    both = stored.select(*keys, value).unionByName(deltas.select(*keys, value))
+    return summed(stored.select(*keys, value).unionByName(deltas.select(*keys, value)), keys, value)
+
+
+def summed(both: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Stored and new rows, already in one table, as one row per key."""
     return both.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0)).alias(value))

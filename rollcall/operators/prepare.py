@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.schema import HEADER_COLUMNS
+
 # Scores and names that never count as a finishing time.
 NO_TIME_SCORE = 9999
 CONNECTING_NAME = "(connecting)"
@@ -40,9 +42,11 @@ def first_occurrence(
 
     The bound on the row number is what makes Spark keep one row per key on the
     map side already, so a key with very many copies never reaches one task
-    whole. The remaining columns break ties, which keeps retries deterministic.
+    whole. The remaining columns break ties, which keeps retries deterministic;
+    a snapshot's header columns are the same in all its rows and stay out.
     """
-    rest = [c for c in df.columns if c not in keys and c != order]
+    fixed = HEADER_COLUMNS if "snapshot_id" in keys else []
+    rest = [c for c in df.columns if c not in keys and c != order and c not in fixed]
     earliest = Window.partitionBy(*keys).orderBy(order, *rest)
     return df.withColumn("_nth", F.row_number().over(earliest)).where("_nth = 1").drop("_nth")
 

@@ -22,6 +22,7 @@ MAX_GAP_MINUTES = 30
 
 # Opponents are compared block against block; a block stays around this size.
 BLOCK_PLAYERS = 512
+PAIRS_AT_ONCE = 1 << 18  # pairs held at a time, or one row's
 
 
 def score_deltas(headers: DataFrame, clients: DataFrame, max_gap_minutes: int = MAX_GAP_MINUTES,
@@ -91,14 +92,26 @@ SUMS = T.StructType([
 def meet_blocks(mine: pd.Series, my_delta: pd.Series, theirs: pd.Series,
                 their_delta: pd.Series) -> pd.DataFrame:
     """Per row two blocks of players; summed results and win chances of each
-    player of the first against the second. Array lambdas can say the same but
-    are interpreted per element: measured twice as slow for 40 players and ten
-    times for 1,000."""
+    player of the first against the second. Rows are met many at a time: their
+    players lie end to end, and every player is repeated once per opponent."""
+    lengths, others = mine.map(len).to_numpy(), theirs.map(len).to_numpy()
     wins, expected = [], []
-    for r, s, other_r, other_s in zip(mine, my_delta, theirs, their_delta):
-        gap = np.clip(r[:, None] - other_r, -RATING_SPAN, RATING_SPAN)
-        wins.append((np.sign(s[:, None] - other_s) * 0.5 + 0.5).sum(axis=1))
-        expected.append((1.0 / (1.0 + 10.0 ** (-gap / RATING_SPAN))).sum(axis=1))
+    met = np.cumsum(lengths * others) // PAIRS_AT_ONCE
+    for part in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(met)) + 1):
+        if not len(part):
+            continue
+        n, m = lengths[part], others[part]
+        r, s = np.concatenate(mine.iloc[part].to_list()), np.concatenate(my_delta.iloc[part].to_list())
+        other_r = np.concatenate(theirs.iloc[part].to_list())
+        other_s = np.concatenate(their_delta.iloc[part].to_list())
+        times, first = np.repeat(m, n), np.repeat(np.cumsum(m) - m, n)
+        start = np.cumsum(times) - times
+        a = np.repeat(np.arange(len(r)), times)
+        b = np.arange(len(a)) + np.repeat(first - start, times)
+        gap = np.clip(r[a] - other_r[b], -RATING_SPAN, RATING_SPAN)
+        cuts = np.cumsum(n)[:-1]
+        wins += np.split(np.add.reduceat(np.sign(s[a] - other_s[b]) * 0.5 + 0.5, start), cuts)
+        expected += np.split(np.add.reduceat(1.0 / (1.0 + 10.0 ** (-gap / RATING_SPAN)), start), cuts)
     return pd.DataFrame({"wins": wins, "expected": expected})
 
 

@@ -63,9 +63,7 @@ def tagged_sql(total, keys) -> str:
     tagged_sql(n, k) for n, k in playtime.TOTALS.items())))
 def playtime_totals(t: Tables):
     """Totals stored up to the middle of the month plus the deltas after it."""
-    half = F.lit("2024-01-16").cast("timestamp")
-    all_credits = credits(t)
-    stored = playtime.all_totals(all_credits.where(F.col("ts") < half))
-    deltas = playtime.all_totals(all_credits.where(F.col("ts") >= half))
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    halves = playtime.all_totals(credits(t).withColumn("late", late), ["late"])
     keys = ["total", "server", "map", "game_type", "clan", "player"]
-    return playtime.add_deltas(stored, deltas, keys, "play_time")
+    return playtime.summed(halves, keys, "play_time")
