@@ -263,6 +263,14 @@ def missing_info(matches: DataFrame, headers: DataFrame, clients: DataFrame, inf
     )
 
 
+def with_info_rows(ratings: DataFrame, matches: DataFrame, headers: DataFrame,
+                   clients: DataFrame, scope: str, rank_method: str) -> DataFrame:
+    """Ratings and the info rows that every other client of a ranked snapshot gets,
+    spectators and joiners too, so that boards list them."""
+    rated = ratings.select(scope, "player", "rating")
+    return rated.unionByName(missing_info(matches, headers, clients, rated, scope, rank_method))
+
+
 def best_times(headers: DataFrame, clients: DataFrame,
                stored: DataFrame | None = None) -> DataFrame:
     """Best time per map and player as a rating: minus the absolute score, so

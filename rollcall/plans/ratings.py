@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rollcall.operators import prepare, rating
+from rollcall.operators import boards, prepare, rating
 from rollcall.plans.fixtures import Tables, with_cte
 from rollcall.plans.registry import query, sql_int, sql_num
 from rollcall.session import cut_lineage
@@ -89,7 +89,7 @@ def rating_totals(t: Tables):
     return rating.add_ratings(t.stored_ratings, changes, "game_type")
 
 
-def rounds_sql(matches: str, cte: str) -> str:
+def rounds_sql(matches: str, cte: str, result: str = "") -> str:
     """One pair of CTEs per week: the field of that week, then the new sums."""
     parts = [", start0 AS (SELECT '' AS game_type, '' AS player, 0.0 AS rating WHERE false)"]
     for i, week in enumerate(WEEKS):
@@ -106,8 +106,8 @@ start{i + 1} AS (
     FROM ({field_sql(f'rated{i}')}))
   GROUP BY game_type, player)""")
     body = ",".join(parts)
-    return with_cte(cte, f"""{body}
-SELECT game_type, player, {sql_num('rating')} AS rating FROM start{len(WEEKS)}""")
+    last = f"SELECT game_type, player, {sql_num('rating')} AS rating FROM start{len(WEEKS)}"
+    return with_cte(cte, f"{body}\n{result.format(last=last) or last}")
 
 
 @query("elo_rounds", rounds_sql("day_matches", "day"))
@@ -115,6 +115,28 @@ def elo_rounds(t: Tables):
     return rating.elo_rounds(day_matches(t), "game_type", F.date_trunc("week", "ts"))
 
 
+@query("elo_board", rounds_sql("day_matches", "day", """, rated_all AS ({last}),
+listed AS (
+  SELECT * FROM rated_all UNION ALL
+  SELECT DISTINCT h.game_type, c.player, 0.0 AS rating
+  FROM day_headers h JOIN day_clients c USING (snapshot_id)
+  WHERE h.snapshot_id IN (SELECT snapshot_id FROM day_matches) AND NOT EXISTS (
+    SELECT 1 FROM rated_all r WHERE r.game_type = h.game_type AND r.player = c.player))
+SELECT * FROM (
+  SELECT game_type, player, rating,
+         row_number() OVER (PARTITION BY game_type ORDER BY rating DESC, player) AS rank
+  FROM listed)
+WHERE rank <= 100"""))
+def elo_board(t: Tables):
+    """First page of every game type by rating; clients without a match are listed."""
+    found = day_matches(t)
+    ratings = rating.elo_rounds(found, "game_type", F.date_trunc("week", "ts"))
+    rows = rating.with_info_rows(
+        ratings, found, t.bucket_headers("day"), t.bucket_clients("day"), "game_type", "ELO")
+    rows = rows.withColumn("rating", F.round("rating", 6) + F.lit(0.0)).withColumn("play_time", F.lit(0))
+    return boards.page_per_scope(rows, "game_type", boards.by_rating("player")).drop("play_time")
+
+
 @query("elo_replay", rounds_sql("week_matches", "week"))
 def elo_replay(t: Tables):
     """One match per event type and week, so the exact order is the weeks."""
