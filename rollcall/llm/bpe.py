@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import Memo, Shipped, ids_by_chunk, packed, texts_of, unpacked, with_text
+from rollcall.llm.common import Memo, Shipped, few_rows, ids_by_chunk, packed, passing, texts_of, unpacked, with_text
 
 MOST_CHUNKS = 300_000  # chunks of text whose ids a Python worker keeps
 DOCS_AT_ONCE = 512
@@ -181,7 +181,7 @@ def _ids_array(ids: list[bytes]) -> pa.ListArray:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in passing(batches):
         for start in range(0, batch.num_rows, DOCS_AT_ONCE):
             yield batch.slice(start, DOCS_AT_ONCE)
 
@@ -227,7 +227,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
             data = [vocabulary.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(data, pa.binary())], names=["row", "decoded"])
 
-    rows = packed(tokens.drop("decoded"), ids=F.col(f"`{ids}`"))
+    rows = packed(few_rows(tokens).drop("decoded"), ids=F.col(f"`{ids}`"))
     return unpacked(rows.mapInArrow(add, rows.select("row").schema.add("decoded", T.BinaryType())), "decoded")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from rollcall.session import remove, shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS_AT_ONCE = 1000
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -43,9 +44,23 @@ def packed(df: DataFrame, **columns) -> DataFrame:
     return df.select(row.alias("row"), *[expr.alias(name) for name, expr in columns.items()])
 
 
+def few_rows(df: DataFrame) -> DataFrame:
+    """``df``, whose rows are about to pass through Python with their texts: the
+    session then hands over ``ROWS_AT_ONCE`` of them at a time, not ten thousand."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+    return df
+
+
+def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a task; Arrow's free memory goes back when they are through."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def with_text(df: DataFrame, text: str) -> tuple[DataFrame, int]:
     """One struct ``row`` with all columns of ``df``, and the number of the one
     named ``text``, as a string: rows that pass through Python carry texts once."""
+    few_rows(df)
     name = next(c for c in df.columns if c.lower() == text.lower())
     if df.schema[name].dataType != T.StringType():
         df = df.withColumn(name, F.col(f"`{name}`").cast("string"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import texts_of
+from rollcall.llm.common import few_rows, passing, texts_of
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
@@ -273,7 +273,7 @@ def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = Pseudonymiser(key)
-        for batch in batches:
+        for batch in passing(batches):
             column = batch.column("text")
             done = [worker.replace(t.decode("utf-8", "replace")) for t in texts_of(column)]
             null = column.is_null().to_pylist()
@@ -284,7 +284,7 @@ def pseudonymise(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
                          pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("pseudonym", pa.string())]))),
             ], names=["doc_id", "text", "found"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = few_rows(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     value = T.StructType().add("kind", "string").add("start", "integer").add("pseudonym", "string")
     schema = T.StructType([rows.schema["doc_id"]]).add("text", "string").add("found", T.ArrayType(value))
     return rows.mapInArrow(add, schema)

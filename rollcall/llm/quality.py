@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.llm import gbt
-from rollcall.llm.common import texts_of, unpacked, with_text, word_pieces
+from rollcall.llm.common import few_rows, passing, texts_of, unpacked, with_text, word_pieces
 
 MOST_LABELS = 20_000  # labelled documents at most that the trees are fitted on
 FEATURES = 24
@@ -90,10 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    rows = docs.select(key.alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    rows = few_rows(docs).select(key.alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in passing(batches):
             x = matrix(texts_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"]
@@ -110,7 +110,7 @@ def scored(docs: DataFrame, forest: gbt.Forest, text: str = "text") -> DataFrame
     rows, nth = with_text(docs, text)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in passing(batches):
             score = forest.score(matrix(texts_of(batch.column("row").field(nth))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], names=["row", "score"])
 

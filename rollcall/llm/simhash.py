@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import block_pairs, group_starts, roots, staged, texts_of, whole_groups, with_text, word_pieces
+from rollcall.llm.common import block_pairs, group_starts, passing, roots, staged, texts_of, whole_groups, with_text, word_pieces
 from rollcall.llm.components import connected_components
 
 BITS = 64
@@ -47,7 +47,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", width: int = 3) -> DataF
     rows, nth = with_text(df, text)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in passing(batches):
             prints = np.fromiter(
                 (fingerprint(t, width) for t in texts_of(batch.column("row").field(nth))), dtype=np.uint64, count=batch.num_rows
             )

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rollcall.llm.common import Memo, Shipped, ids_by_chunk, texts_of
+from rollcall.llm.common import Memo, Shipped, few_rows, ids_by_chunk, passing, texts_of
 from rollcall.session import shared_folder
 
 FRAME_IDS = 1 << 16
@@ -216,7 +216,7 @@ def _chunks(file: Shipped) -> Chunks:
 def _ordered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows dealt to tasks by ranges of doc_id, sorted; a hash of the text cuts a
     doc_id that very many rows share."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = few_rows(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     order = [F.asc_nulls_last("doc_id"), F.asc("mark")]
     return rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -247,7 +247,7 @@ def write(
         part, chunks, writer = task.partitionId(), None, None
         fs, base = file_system(folder)
         name, own = f"{base}/part-{part:06d}.ids.zst", f"{base}/.attempt-{part:06d}-{task.taskAttemptId()}"
-        for batch in batches:
+        for batch in passing(batches):
             for start in range(0, batch.num_rows, DOCS_AT_ONCE):
                 some = batch.slice(start, DOCS_AT_ONCE)
                 if writer is None:
