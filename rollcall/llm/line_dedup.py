@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +12,10 @@ from rollcall.llm.common import packed, staged, unpacked
 
 LEADING = 3  # tokens that lead to a leaf, besides the number of tokens
 RUNS = 10  # runs of tokens in which the lines of a leaf are compared
-FIXED = 0.9  # share of a leaf's lines that agree in a run of fixed tokens
-ALIKE = 0.8  # share of a leaf's runs that must be fixed
+ALIKE = 0.8  # share of the runs in which lines of one template agree
 VARIABLE = "<*>"
+# The runs that a template leaves out
+LEFT_OUT = list(combinations(range(RUNS), int(RUNS * (1 - ALIKE) + 1e-9)))
 LAST = (1 << 63) - 1  # stands for a null doc_id
 # A token with a digit, from 64 characters before its first digit on: so that long
 # runs without one are passed in linear time.
@@ -57,45 +61,45 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def generalised(kinds: DataFrame) -> DataFrame:
-    """(leaf, varying) of the leaves whose lines agree but for some runs of tokens:
-    in at least ``ALIKE`` of the runs at least ``FIXED`` of the lines are equal.
-    ``varying`` has a flag per run. Only leaves with lines of several templates
-    from several documents are looked into."""
+    """(leaf, key, template, first, last): ``kinds`` under each template that
+    leaves out as many runs as may differ (``ALIKE``). Lines of a leaf share a
+    ``key`` if they agree in all other runs, whatever else is in the leaf. Only
+    leaves with lines of several templates from several documents are looked into."""
     mixed = (
         kinds.groupBy("leaf").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("kinds"))
         .where("a <> b and kinds > 1").select("leaf")
     )
-    seen = (
-        kinds.join(mixed, "leaf").select("leaf", "n", F.posexplode("runs").alias("run", "tokens"))
-        .groupBy("leaf", "run", "tokens").agg(F.sum("n").alias("n"))
-        .groupBy("leaf", "run").agg((F.max("n") < F.lit(FIXED) * F.sum("n")).alias("varies"))
+    marks = F.array(*[F.xxhash64(F.lit(i), F.get("runs", F.lit(i))) for i in range(RUNS)])
+    rest = reduce(Column.bitwiseXOR, [F.get("marks", F.lit(i) if isinstance(i, int) else F.col(i)) for i in [*range(RUNS), "i", "j"]])
+    return (
+        kinds.where(F.size("runs") > 0).join(mixed, "leaf").withColumn("marks", marks)
+        .select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in LEFT_OUT])).alias("out"))
+        .select("*", "out.i", "out.j").select("leaf", F.xxhash64("i", "j", rest).alias("key"), "template", "first", "last")
     )
-    flags = F.transform(F.sort_array(F.collect_list(F.struct("run", "varies"))), lambda x: x["varies"])
-    return seen.groupBy("leaf").agg(flags.alias("varying"), F.count_if("varies").alias("n")).where(
-        F.col("n").between(1, int(RUNS * (1 - ALIKE) + 1e-9))
-    ).drop("n")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(key, gone): numbers of the lines of ``docs(key, text)`` whose template
-    occurs in a document of a smaller key. Equal lines are counted together before
+    """(key, gone): numbers of the lines of ``docs(key, text)`` with a template
+    that occurs in a document of a smaller key. Equal lines are counted together before
     the tree is walked, so a line that very many documents share is one row there."""
     lines = staged(lines_of(docs))
     # Staged, so that both sides of the join are dealt anew and a hot leaf can be split.
     leaves = staged(lines.groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("leaf"))
     lines = staged(lines.join(leaves, "leaf", "left_semi"))  # others meet no other document
     kinds = staged(
-        lines.groupBy("leaf", "template", "runs")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+        lines.groupBy("leaf", "template", "runs").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    )
+    alike = generalised(kinds)
+    shared = staged(
+        alike.groupBy("leaf", "key").agg(F.min("first").alias("earliest"), F.max("last").alias("latest"))
+        .where("earliest <> latest").drop("latest")
     )
-    kept = F.transform(F.arrays_zip("runs", "varying"), lambda x: F.when(~x["varying"], x["runs"]))
-    same = F.when(F.col("varying").isNull(), F.col("template")).otherwise(F.xxhash64("leaf", kept))
-    named = kinds.join(generalised(kinds), "leaf", "left").select("leaf", "template", same.alias("same"), "first", "last")
-    repeated = (
-        named.groupBy("leaf", "same").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    elsewhere = alike.join(shared, ["leaf", "key"]).where("earliest < first").select("leaf", "template", F.col("earliest").alias("first"), "last")
+    places = staged(
+        kinds.select("leaf", "template", "first", "last").union(elsewhere)
+        .groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
         .where("first <> last").drop("last")
     )
-    places = named.drop("first", "last").join(repeated, ["leaf", "same"]).drop("same")
     return (
         lines.join(places, ["leaf", "template"]).where("key <> first")
         .groupBy("key").agg(F.collect_list("line").alias("gone"))
@@ -130,11 +134,12 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     (doc_id, text, n_lines, n_dropped), by DataFrame functions only.
 
     Lines go down a tree of fixed depth: by their number of tokens, by their
-    first ``LEADING`` tokens, tokens with digits being variable fields. Lines of a
-    leaf that agree but for a few runs of tokens (:func:`generalised`) have one
-    template, others the template of their fixed tokens. A template that occurs in
-    several documents stays in the one with the smallest doc_id and is dropped from
-    all others; lines that repeat within one document only stay.
+    first ``LEADING`` tokens, tokens with digits being variable fields. A line has
+    the template of its fixed tokens and those that leave out a few of its runs of
+    tokens (:func:`generalised`); a leaf holds any number of them. A template that
+    occurs in several documents stays in the one with the smallest doc_id and a line
+    that has it is dropped from all others; lines that repeat within one document
+    only stay.
 
     Blank lines stay and count for nothing. Null texts stay null, empty ones empty.
     Null ids come last. Rows equal in doc_id and text are one document. Extra

@@ -235,6 +235,21 @@ def test_line_dedup(spark, given):
     assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == Counter((w[0], w[1], len(w[1]) if w[3] else 1) for w in stays)
     assert line_dedup.deduplicate(df.limit(0)).collect() == []
 
+def dropped_from(spark, texts):
+    return {r["doc_id"] for r in line_dedup.deduplicate(frame(spark, list(enumerate(texts)))).collect() if r["n_dropped"]}
+
+
+def test_line_dedup_crowded_leaf(spark):
+    """Two templates and unrelated lines in one leaf; a leaf that is nearly all copies of one line."""
+    words = lambda c, n: " ".join(f"{c}{x}" for x in "abcdefghijkl"[:n])
+    one = [f"All rights of {words('k', 9)} by {n} there" for n in ("ann", "bob", "cy")]
+    two = [f"All rights of {n} {words('m', 11)}" for n in ("dee", "eve", "fay")]
+    other = [f"All rights of {words(c, 12)}" for c in "pqrs"]
+    assert {len(t.split()) for t in [*one, *two, *other]} == {15}
+    assert dropped_from(spark, [*one, *two, *other]) == {1, 2, 4, 5}
+    assert dropped_from(spark, [one[0]] * 40 + one[1:]) == set(range(1, 42))
+
+
 
 # mixing
 
