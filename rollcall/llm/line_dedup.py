@@ -14,8 +14,8 @@ LEADING = 3  # tokens that lead to a leaf, besides the number of tokens
 RUNS = 10  # runs of tokens in which the lines of a leaf are compared
 ALIKE = 0.8  # share of the runs in which lines of one template agree
 VARIABLE = "<*>"
-# The runs that a template leaves out
-LEFT_OUT = list(combinations(range(RUNS), int(RUNS * (1 - ALIKE) + 1e-9)))
+# The runs that a template leaves out, by the number of a line's runs
+LEFT_OUT = {n: list(combinations(range(n), int(n * (1 - ALIKE) + 1e-9))) for n in range(1, RUNS + 1)}
 LAST = (1 << 63) - 1  # stands for a null doc_id
 # A token with a digit, from 64 characters before its first digit on: so that long
 # runs without one are passed in linear time.
@@ -32,9 +32,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """(key, line, leaf, template, runs) of each line with tokens of ``docs(key, text)``.
 
     Tokens with a digit are variable fields. ``leaf`` stands for the number of
-    tokens and the leading ones, ``template`` for all tokens, ``runs`` for up to
-    ``RUNS`` runs of tokens one by one. A line with fields in over half of its
-    tokens is taken as it is: its numbers are its content.
+    tokens and the leading ones, ``template`` for all tokens, ``runs`` for the
+    ``RUNS`` runs of tokens one by one, or for each of fewer tokens. A line with
+    fields in over half of its tokens is taken as it is: its numbers are its content.
     """
     plain = F.regexp_replace("text", BLANKS, " ")
     masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", FIELD, VARIABLE)).otherwise(F.col("text"))
@@ -46,9 +46,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
     n = F.size("tokens")
     fields = (F.length("masked") - F.length(F.replace("masked", F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
-    bound = lambda i: F.floor(n * i / F.lit(RUNS)).cast("int")
+    count = F.least(n, F.lit(RUNS))
+    bound = lambda i: F.floor(n * i / count).cast("int")
     runs = F.transform(
-        F.sequence(F.lit(0), F.lit(RUNS - 1)),
+        F.sequence(F.lit(0), count - 1),
         lambda i: F.hash(F.slice("tokens", bound(i) + 1, bound(i + 1) - bound(i))),
     )
     literal = 2 * fields > n
@@ -65,16 +66,20 @@ def generalised(kinds: DataFrame) -> DataFrame:
     leaves out as many runs as may differ (``ALIKE``). Lines of a leaf share a
     ``key`` if they agree in all other runs, whatever else is in the leaf. Only
     leaves with lines of several templates from several documents are looked into."""
-    mixed = (
+    mixed = staged(
         kinds.groupBy("leaf").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("kinds"))
         .where("a <> b and kinds > 1").select("leaf")
     )
     marks = F.array(*[F.xxhash64(F.lit(i), F.get("runs", F.lit(i))) for i in range(RUNS)])
-    rest = reduce(Column.bitwiseXOR, [F.get("marks", F.lit(i) if isinstance(i, int) else F.col(i)) for i in [*range(RUNS), "i", "j"]])
+    mark = lambda i: F.coalesce(F.get("marks", i), F.lit(0).cast("long"))
+    rest = reduce(Column.bitwiseXOR, [mark(F.lit(i)) for i in range(RUNS)] + [mark(F.get("out", F.lit(k))) for k in (0, 1)])
+    outs = F.lit(None)
+    for n, left_out in LEFT_OUT.items():
+        if left_out != [()]:
+            outs = F.when(F.size("runs") == n, F.array(*[F.array(*map(F.lit, out)) for out in left_out])).otherwise(outs)
     return (
-        kinds.where(F.size("runs") > 0).join(mixed, "leaf").withColumn("marks", marks)
-        .select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in LEFT_OUT])).alias("out"))
-        .select("*", "out.i", "out.j").select("leaf", F.xxhash64("i", "j", rest).alias("key"), "template", "first", "last")
+        kinds.join(mixed, "leaf").withColumn("marks", marks).select("*", F.explode(outs).alias("out"))
+        .select("leaf", F.xxhash64("out", rest).alias("key"), "template", "first", "last")
     )
 
 

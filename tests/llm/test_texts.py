@@ -250,6 +250,15 @@ def test_line_dedup_crowded_leaf(spark):
     assert dropped_from(spark, [one[0]] * 40 + one[1:]) == set(range(1, 42))
 
 
+def test_line_dedup_short_lines(spark):
+    """Fewer than ten tokens: 80 % of the tokens there are must agree."""
+    assert dropped_from(spark, ["Read more about our products", "Read more about climate change"]) == set()
+    assert dropped_from(spark, ["Read more about us", "Read more about them", "Read more about 5", "Read more about 6"]) == {3}
+    assert dropped_from(spark, ["a b c d e f g h i", "a b c d x f g h y", "a b c d e f g h z"]) == {2}
+    assert dropped_from(spark, ["a b c d e", "a b c d x"]) == {1}
+
+
+
 
 # mixing
 
