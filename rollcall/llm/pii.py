@@ -221,11 +221,14 @@ class Pseudonymiser:
         for rank, (kind, pattern, make) in enumerate(self.kinds):
             at = 0
             while m := pattern.search(text, at):
-                new = make(self.permuter, m.group())
+                new, end = make(self.permuter, m.group()), m.end()
+                # words behind an IBAN look like groups of it
+                while new is None and kind == "iban" and (end := text.rfind(" ", m.start(), end)) >= 0:
+                    new = make(self.permuter, text[m.start():end])
                 if new is not None:
-                    out.append((m.start(), rank, m.end(), kind, new))
+                    out.append((m.start(), rank, end, kind, new))
                 # behind a run that isn't valid a value can still begin
-                at = m.end() if new is not None else self._behind(text, m.start(), m.end())
+                at = end if new is not None else self._behind(text, m.start(), m.end())
         return sorted(out)
 
     @staticmethod

@@ -429,6 +429,17 @@ def test_pseudonyms(spark):
         assert got[100 + i]["text"] == t and got[100 + i]["found"] == []
 
 
+def test_iban_before_other_words():
+    worker = pii.Pseudonymiser(b"k")
+    belgian = "BE68 5390 0754 7034"
+    for value, behind in [(belgian, " BIC KREDBEBB"), (belgian, f" {belgian}"), (belgian.replace(" ", ""), " BIC"), (belgian, " ABCDEFG"),
+                          ("ES91 2100 0418 4502 0005 1332", " BIC"), ("AT61 1904 3002 3457 3201", " 2024 paid")]:
+        new, found = worker.replace(f"to {value}{behind}")
+        assert [f[0] for f in found] == ["iban"] * new.count(found[0][2]) and found[0][1] == 3
+        assert len(found[0][2]) == len(value) and value not in new and len(new) == 3 + len(value) + len(behind)
+        assert belgian in behind or new.endswith(behind)
+
+
 def test_no_planted_value_stays(given):
     worker = pii.Pseudonymiser(b"k")
     for _, text in given:
