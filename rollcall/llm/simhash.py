@@ -17,6 +17,8 @@ from rollcall.llm.components import connected_components
 
 BITS = 64
 SEED = 42
+BANDS, PER_BAND = 20, 5  # MinHash keys of a text, and the minima in each
+MULTIPLIERS, ADDENDS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * PER_BAND), dtype=np.uint64) * 2 + 1
 
 
 def ones_in(shingles: Iterable[bytes]) -> np.ndarray:
@@ -115,12 +117,109 @@ def near_links(prints: DataFrame, distance: int = 3, block: int = 2048) -> DataF
     return units.mapInArrow(stars, "a long, b long").distinct()
 
 
-def components_of(prints: DataFrame, distance: int = 3) -> DataFrame:
+def marks_of(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of the distinct shingles of :func:`fingerprint`, sorted."""
+    found, last, digest = [np.zeros(0, dtype="<u8")], [], xxhash.xxh64_intdigest
+    for piece in word_pieces(text.lower()):
+        words = last + piece
+        shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
+        found.append(np.unique(np.fromiter((digest(x, SEED) for x in shingles), dtype="<u8")))
+        last = words[-(width - 1):] if width > 1 else []
+    if last and not any(map(len, found)):
+        found.append(np.array([digest(b" ".join(last), SEED)], dtype="<u8"))
+    return np.unique(np.concatenate(found))
+
+
+def bands_of(marks: np.ndarray) -> list[int]:
+    """MinHash keys: two sets of similarity 0.8 share one of them with a chance of
+    99.96 %, more similar ones with a higher one."""
+    if not len(marks):
+        return []
+    least = np.full(BANDS * PER_BAND, (1 << 64) - 1, dtype=np.uint64)
+    for start in range(0, len(marks), 2048):
+        least = np.minimum(least, (marks[start:start + 2048, None] * MULTIPLIERS + ADDENDS).min(axis=0))
+    keys = [xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, PER_BAND))]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def with_bands(df: DataFrame, text: str, width: int) -> DataFrame:
+    """Rows of ``df`` as ``row`` beside ``fingerprint``, a hash of the set of shingles, and ``bands``."""
+    rows, nth = with_text(df, text)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in passing(batches):
+            prints, bands = [], []
+            for t in texts_of(batch.column("row").field(nth)):
+                marks = marks_of(t, width)
+                prints.append(xxhash.xxh64_intdigest(marks.tobytes(), SEED))
+                bands.append(bands_of(marks))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
+                names=["row", "fingerprint", "bands"],
+            )
+
+    schema = T.StructType([rows.schema["row"]]).add("fingerprint", "long").add("bands", T.ArrayType(T.LongType()))
+    return rows.mapInArrow(add, schema)
+
+
+def _similar(marks: list[np.ndarray], part: np.ndarray, across: bool, similarity: float) -> np.ndarray:
+    """Component of each set by steps of at least ``similarity`` (Jaccard), between
+    different parts only if ``across``."""
+    n, size = len(marks), np.array(list(map(len, marks)))
+    starts = size.cumsum() - size
+    distinct, codes = np.unique(np.concatenate(marks), return_inverse=True)
+    label = np.arange(n)
+    for i in range(n - 1):
+        inside = np.zeros(len(distinct), dtype=bool)
+        inside[codes[starts[i]:starts[i] + size[i]]] = True
+        later = np.arange(i + 1, n)
+        shared = np.add.reduceat(inside[codes[starts[i + 1]:]], starts[i + 1:] - starts[i + 1], dtype=np.int64)
+        hit = shared >= similarity * (size[i] + size[later] - shared) - 1e-9
+        if across:
+            hit &= part[later] != part[i]
+        label = roots(n, np.full(int(hit.sum()), i), later[hit], label)
+    return label
+
+
+def similar_links(rows: DataFrame, text: str, width: int, similarity: float, block: int = 256) -> DataFrame:
+    """Edges ``(a, b)`` between fingerprints of ``rows(row, fingerprint, bands, row_id)``
+    that join those connected by steps of at least ``similarity`` (Jaccard of shingles).
+
+    Texts that share a MinHash key are candidates. Within a component of
+    candidates all pairs are compared exactly, on one text per fingerprint and
+    within bounded units; a unit writes a star per component, never its pairs.
+    """
+    prints = staged(rows.groupBy("fingerprint").agg(F.min(F.struct("row_id", "bands")).alias("one")).select("fingerprint", "one.*"))
+    keyed = prints.select("fingerprint", F.explode("bands").alias("key"))
+    least = staged(keyed.groupBy("key").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).where("a <> b").select("key", "a"))
+    near = connected_components(keyed.join(least, "key").select("a", F.col("fingerprint").alias("b")).distinct())
+    members = near.select(F.col("node").alias("fingerprint"), "component").union(near.select("component", "component").distinct())
+    wanted = staged(members.join(prints, "fingerprint").select("row_id", "component"))
+    texts = rows.join(wanted, "row_id").select("component", "fingerprint", F.col(f"row.`{text}`").cast("string").alias("text"))
+    unit = ["component", "unit_a", "unit_b"]
+    units = block_pairs(staged(texts), ["component"], "fingerprint", block).repartition(*unit).sortWithinPartitions(*unit)
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(passing(batches), unit):
+            starts = group_starts(table, unit).tolist()
+            for start, stop in zip(starts, [*starts[1:], table.num_rows]):
+                some = table.slice(start, stop - start)
+                across = some.column("unit_a")[0] != some.column("unit_b")[0]
+                marks = [marks_of(t, width) for t in texts_of(some.column("text"))]
+                label = _similar(marks, some.column("part").to_numpy(), across, similarity)
+                prints, moved = some.column("fingerprint").to_numpy(), np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(prints[moved]), pa.array(prints[label[moved]])], names=["a", "b"])
+
+    return units.mapInArrow(stars, "a long, b long").distinct()
+
+
+def components_of(prints: DataFrame, distance: int = 3, links: DataFrame | None = None) -> DataFrame:
     """(fingerprint, component, component_id) per distinct fingerprint of
     ``prints(doc_id, fingerprint)``: ``component`` names the class by one of its
-    fingerprints, ``component_id`` is its smallest doc_id (null if it has none)."""
+    fingerprints, ``component_id`` is its smallest doc_id (null if it has none).
+    ``links`` are edges to use instead of those of at most ``distance`` bits."""
     distinct = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
-    linked = connected_components(near_links(distinct.select("fingerprint"), distance))
+    linked = connected_components(near_links(distinct.select("fingerprint"), distance) if links is None else links)
     classes = distinct.join(linked.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component")
     )
@@ -151,14 +250,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, width: int = 3) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, width: int = 3, similarity: float | None = None,
+) -> DataFrame:
     """The rows of ``docs``, one per class of near-duplicates: the one with the
-    smallest doc_id (ids before nulls; of repeated rows, one). All columns stay."""
-    rows = staged(
-        with_fingerprint(docs, text, width).withColumn("row_id", F.monotonically_increasing_id())
-    )
+    smallest doc_id (ids before nulls; of repeated rows, one). All columns stay.
+    With ``similarity``, texts are linked by that Jaccard similarity of their
+    shingles (:func:`similar_links`) instead of ``distance``."""
+    keyed = with_fingerprint(docs, text, width) if similarity is None else with_bands(docs, text, width)
+    rows = staged(keyed.withColumn("row_id", F.monotonically_increasing_id()))
     prints = rows.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "fingerprint", "row_id")
-    classes = components_of(prints, distance)
+    classes = components_of(prints, distance, None if similarity is None else similar_links(rows, text, width, similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
     kept = prints.join(classes, "fingerprint").groupBy("component").agg(first.alias("first")).select("first.row_id")
     return rows.join(kept, "row_id", "left_semi").select("row.*")

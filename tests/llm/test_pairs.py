@@ -6,8 +6,11 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rollcall.llm import embedding_dedup, knn, simhash
+from rollcall.llm.common import staged
 from rollcall.llm.components import connected_components
 
 VECTORS = "vec_id long, embedding array<float>, label int, score string, cell int"
@@ -144,6 +147,29 @@ def test_simhash(spark):
     assert simhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_stage_links_by_similarity(spark):
+    """The pipeline's stage: exact Jaccard of five-word shingles, 0.8 or more."""
+    rng = np.random.default_rng(11)
+    some = [*texts(9, 200), "", None, "One", "one two", "ONE Two"]
+    long = [f"v{i}" for i in range(300)]
+    for _ in range(30):
+        at = set(rng.choice(300, rng.integers(1, 12), replace=False).tolist())
+        some.append(" ".join(f"x{rng.integers(9)}" if i in at else w for i, w in enumerate(long)))
+    sets = []
+    for t in some:
+        words = (t or "").lower().replace("É", "é").split()
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    alike = lambda a, b: a == b or 10 * len(a & b) >= 8 * len(a | b)
+    label = classes(len(some), [(i, j) for i in range(len(some)) for j in range(i) if alike(sets[i], sets[j])])
+    df = spark.createDataFrame([(i, t, 1, "c", "r") for i, t in enumerate(some)], DOCS)
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(label))
+    few = staged(simhash.with_bands(df, "text", 5).withColumn("row_id", F.monotonically_increasing_id()))
+    edges = [simhash.similar_links(few, "text", 5, 0.8, block) for block in (7, 256)]
+    found = [{r["node"]: r["component"] for r in connected_components(e).collect()} for e in edges]
+    assert found[0] == found[1] and found[0]
+
+
 def test_simhash_large_bucket_in_blocks(spark):
     """One bucket cut into many units finds what one unit does."""
     rng = np.random.default_rng(6)
