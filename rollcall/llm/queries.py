@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import bpe, embedding_dedup, knn, line_dedup, mixing, pii, quality, simhash, token_files, urls
+from rollcall.llm import (
+    bpe, embedding_dedup, importance, knn, line_dedup, mixing, pii, quality, simhash, token_files, urls, vector_codes, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +176,117 @@ PII_KEY = "rollcall.pii.key"  # setting that holds the secret; without it a key
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.conf.get(PII_KEY, "trial key")
     return pii.pseudonymise(table(spark, sf_dir, "documents"), key.encode())
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 bit by bit: of each byte's eight steps, the first takes the byte in.
+ORACLES["op11_importance_resampling"] = r"""
+WITH words AS (
+  SELECT doc_id, 'd' AS side, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+  UNION ALL
+  SELECT NULL, 't', row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM benchmark
+), f AS (
+  SELECT side, row, feature, count(*) AS n FROM (
+    SELECT side, row, unnest(w) AS feature FROM words
+    UNION ALL
+    SELECT side, row, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+  ) GROUP BY ALL
+), b AS (
+  SELECT feature,
+    xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(range(1, strlen(feature) + 1),
+      lambda i: [('0x' || substr(hex(encode(feature)), 2 * i - 1, 2))::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, x: xor(xor(c, x) >> 1, 3988292384::UBIGINT * (xor(c, x) & 1)))) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM f)
+), c AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t
+  FROM f JOIN b USING (feature) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM c) + 10000) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000)))) AS gain FROM c
+), d AS (
+  SELECT row, sum(n) AS n, sum(n * gain) AS gain FROM f JOIN b USING (feature) JOIN g USING (bucket) WHERE side = 'd' GROUP BY row
+), r AS (
+  SELECT doc_id, row, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(floor(gain / n), 0) AS BIGINT) AS weight,
+    ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE AS h
+  FROM words LEFT JOIN d USING (row) WHERE words.side = 'd'
+), k AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM r
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM k
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM o
+"""
+
+
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    files = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.pages_of(warc.read(spark, folder, files, payloads=False))
+
+
+ORACLES["op12_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f
+"""
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def lloyd_sql(rounds: int = 6) -> str:
+    """The codes in SQL: components by (vector, part), an assignment and a mean per round."""
+    steps = ["""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT row, p AS part, list_slice(vec, p * len(vec) // 8 + 1, (p + 1) * len(vec) // 8)::DOUBLE[] AS x FROM v, range(8) AS r(p)
+), b0 AS MATERIALIZED (
+  SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS BIGINT) AS entry, x AS c
+  FROM parts JOIN (SELECT row, vec_id FROM v ORDER BY vec_id LIMIT 16) USING (row)
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+, a{i} AS MATERIALIZED (
+  SELECT row, part, arg_min(entry, (d, entry)) AS entry, CAST(min(d) AS BIGINT) AS d FROM (
+    SELECT row, part, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts JOIN b{i} USING (part)
+  ) GROUP BY row, part
+)""")
+        if i < rounds:
+            steps.append(f"""
+, m{i} AS (
+  SELECT part, entry, list(mean ORDER BY pos) AS c FROM (
+    SELECT part, entry, pos, floor(sum(y) / count(*)) AS mean FROM (
+      SELECT part, entry, unnest(x) AS y, unnest(range(len(x))) AS pos FROM a{i} JOIN parts USING (row, part)
+    ) GROUP BY part, entry, pos
+  ) GROUP BY part, entry
+), b{i + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN m{i} USING (part, entry)
+)""")
+    return "".join(steps) + f"""
+, codes AS (
+  SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row
+), books AS (
+  SELECT sha256(string_agg(array_to_string(c::BIGINT[], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN codes USING (row), books
+"""
+
+
+ORACLES["op13_vector_codes"] = lloyd_sql()
