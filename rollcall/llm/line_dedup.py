@@ -8,14 +8,17 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import packed, staged, unpacked
+from rollcall.llm.common import drop_staged, packed, staged, unpacked
 
 LEADING = 3  # tokens that lead to a leaf, besides the number of tokens
 RUNS = 10  # runs of tokens in which the lines of a leaf are compared
 ALIKE = 0.8  # share of the runs in which lines of one template agree
+VARIANTS = 3  # different lines from which a template that leaves out runs is one
 VARIABLE = "<*>"
 # The runs that a template leaves out, by the number of a line's runs
 LEFT_OUT = {n: list(combinations(range(n), int(n * (1 - ALIKE) + 1e-9))) for n in range(1, RUNS + 1)}
+# Runs of pairs of blocks (0-1, 2-3, 4-5, 6-7, 8-9), so that each three blocks hold a pair
+PREFILTER = [(0, 1, 2, 3), (4, 5, 6, 7), (4, 5, 8, 9), (6, 7, 8, 9)]
 LAST = (1 << 63) - 1  # stands for a null doc_id
 # A token with a digit, from 64 characters before its first digit on: so that long
 # runs without one are passed in linear time.
@@ -61,14 +64,30 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
+def _agreeing(kinds: DataFrame) -> DataFrame:
+    """The ``kinds`` that may share a key of :func:`generalised` with others. Two lines
+    of ten runs that differ in two agree in at least three of five blocks of two runs,
+    and each three of those hold one of the pairs ``PREFILTER``: lines without another
+    of several documents under any of the pairs needn't be looked into."""
+    pairs = [F.struct(F.lit(i).alias("pair"), F.xxhash64(*[F.get("runs", F.lit(r)) for r in runs_]).alias("hash")) for i, runs_ in enumerate(PREFILTER)]
+    long_ = kinds.where(F.size("runs") == RUNS)
+    at = long_.select("leaf", "template", "first", "last", F.explode(F.array(*pairs)).alias("at")).select("*", "at.*").drop("at")
+    crowded = staged(
+        at.groupBy("leaf", "pair", "hash").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("n"))
+        .where((F.col("a") != F.col("b")) & (F.col("n") >= VARIANTS)).select("leaf", "pair", "hash")
+    )
+    found = staged(at.join(crowded, ["leaf", "pair", "hash"], "left_semi").select("leaf", "template").distinct())
+    return long_.join(found, ["leaf", "template"], "left_semi").unionByName(kinds.where(F.size("runs") < RUNS))
+
+
 def generalised(kinds: DataFrame) -> DataFrame:
-    """(leaf, key, template, first, last): ``kinds`` under each template that
-    leaves out as many runs as may differ (``ALIKE``). Lines of a leaf share a
-    ``key`` if they agree in all other runs, whatever else is in the leaf. Only
-    leaves with lines of several templates from several documents are looked into."""
+    """(leaf, key, template, first): ``kinds`` under each template that leaves out as
+    many runs as may differ (``ALIKE``), and that has at least ``VARIANTS`` different
+    lines and lines in several documents. Lines of a leaf share a ``key`` if they agree
+    in all other runs, whatever else is in the leaf."""
     mixed = staged(
         kinds.groupBy("leaf").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("kinds"))
-        .where("a <> b and kinds > 1").select("leaf")
+        .where((F.col("a") != F.col("b")) & (F.col("kinds") >= VARIANTS)).select("leaf")
     )
     marks = F.array(*[F.xxhash64(F.lit(i), F.get("runs", F.lit(i))) for i in range(RUNS)])
     mark = lambda i: F.coalesce(F.get("marks", i), F.lit(0).cast("long"))
@@ -77,10 +96,43 @@ def generalised(kinds: DataFrame) -> DataFrame:
     for n, left_out in LEFT_OUT.items():
         if left_out != [()]:
             outs = F.when(F.size("runs") == n, F.array(*[F.array(*map(F.lit, out)) for out in left_out])).otherwise(outs)
-    return (
-        kinds.join(mixed, "leaf").withColumn("marks", marks).select("*", F.explode(outs).alias("out"))
+    alike = staged(
+        _agreeing(kinds.join(mixed, "leaf", "left_semi")).withColumn("marks", marks).select("*", F.explode(outs).alias("out"))
         .select("leaf", F.xxhash64("out", rest).alias("key"), "template", "first", "last")
     )
+    shared = staged(
+        alike.groupBy("leaf", "key").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count(F.lit(1)).alias("n"))
+        .where((F.col("a") != F.col("b")) & (F.col("n") >= VARIANTS)).select("leaf", "key")
+    )
+    return alike.join(shared, ["leaf", "key"], "left_semi").drop("last")
+
+
+def folded(alike: DataFrame) -> DataFrame:
+    """(leaf, template, holder): lines that give way to a line of an earlier document,
+    with that document's key. ``alike`` has (leaf, key, template, first).
+
+    Rounds of leader election: a line that comes first under all its keys stays; lines
+    that share a key with one that stays, and come later, give way; the rest goes into
+    the next round. So what gives way is alike to a line that stays, never only to one
+    that gives way itself. A round decides at least the first line of every chain."""
+    left, out = staged(alike), None
+    while not left.isEmpty():
+        lowest = staged(left.groupBy("leaf", "key").agg(F.min("first").alias("lowest")))
+        leaders = staged(
+            left.join(lowest, ["leaf", "key"]).groupBy("leaf", "template").agg(F.bool_or(F.col("lowest") < F.col("first")).alias("later"))
+            .where("not later").select("leaf", "template")
+        )
+        held = staged(left.join(leaders, ["leaf", "template"], "left_semi").groupBy("leaf", "key").agg(F.min("first").alias("holder")))
+        gone = staged(
+            left.join(held, ["leaf", "key"]).where("holder < first").groupBy("leaf", "template").agg(F.min("holder").alias("holder"))
+        )
+        out = gone if out is None else out.unionByName(gone)
+        decided = staged(leaders.unionByName(gone.select("leaf", "template")))
+        now = staged(left.join(decided, ["leaf", "template"], "left_anti"))
+        for done in (lowest, leaders, held, decided, left):
+            drop_staged(done)
+        left = now
+    return left.select("leaf", "template", F.col("first").alias("holder")) if out is None else out
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -94,20 +146,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     kinds = staged(
         lines.groupBy("leaf", "template", "runs").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     )
-    alike = generalised(kinds)
-    shared = staged(
-        alike.groupBy("leaf", "key").agg(F.min("first").alias("earliest"), F.max("last").alias("latest"))
-        .where("earliest <> latest").drop("latest")
-    )
-    elsewhere = alike.join(shared, ["leaf", "key"]).where("earliest < first").select("leaf", "template", F.col("earliest").alias("first"), "last")
     places = staged(
-        kinds.select("leaf", "template", "first", "last").union(elsewhere)
-        .groupBy("leaf", "template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        .where("first <> last").drop("last")
+        kinds.join(folded(generalised(kinds)), ["leaf", "template"], "left")
+        .select("leaf", "template", F.coalesce("holder", "first").alias("first"), "last").where("first <> last")
     )
     return (
         lines.join(places, ["leaf", "template"]).where("key <> first")
-        .groupBy("key").agg(F.collect_list("line").alias("gone"))
+        .groupBy("key").agg(F.collect_set("line").alias("gone"))  # rows that repeat hold a line twice
     )
 
 
@@ -141,14 +186,19 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Lines go down a tree of fixed depth: by their number of tokens, by their
     first ``LEADING`` tokens, tokens with digits being variable fields. A line has
     the template of its fixed tokens and those that leave out a few of its runs of
-    tokens (:func:`generalised`); a leaf holds any number of them. A template that
-    occurs in several documents stays in the one with the smallest doc_id and a line
-    that has it is dropped from all others; lines that repeat within one document
-    only stay.
+    tokens (:func:`generalised`); a leaf holds any number of them. Equal lines, but for
+    fields with digits, are a template from two documents on; one that leaves out runs
+    needs ``VARIANTS`` different lines beside, so that two sentences that differ in a
+    word or two are none. A line is dropped if it is equal to a line of a document with
+    a smaller doc_id, or shares a template with such a line that stays there
+    (:func:`folded`): whatever goes has its like in the output. Lines that repeat
+    within one document only stay.
 
     Blank lines stay and count for nothing. Null texts stay null, empty ones empty.
-    Null ids come last. Rows equal in doc_id and text are one document. Extra
-    columns are ignored; an empty table gives no rows. Only hashes of lines are
+    Null ids come last. Rows equal in doc_id and text are one document, of rows with one
+    doc_id and several texts the one with the smallest hash comes first. Texts are
+    taken whole, however long; a line of any length is its hashes. Extra columns are
+    ignored; an empty table gives no rows. Only hashes of lines are
     grouped; texts are shuffled once, to meet the numbers of their dropped lines.
     """
     out = _deduplicated(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")), "doc_id", "text")

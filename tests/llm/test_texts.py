@@ -1,15 +1,18 @@
 """Operators on texts against plain versions, with odd rows."""
 
+import random
 import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -177,39 +180,45 @@ def test_chunks_with_other_tokenizer(given):
 # line dedup
 
 def plain_lines(pairs):
-    """(line numbers dropped per document key) by the rules in words."""
-    keys = sorted({(i is None, i, t) for i, t in pairs if t is not None}, key=lambda k: (k[0], k[1] or 0))
+    """Line numbers dropped per document key, by the rules in words: all pairs of a leaf
+    are compared, groups of at least three lines alike in the same runs are templates,
+    and lines are judged in the order of their documents."""
+    keys = sorted({(i is None, i or 0, xxhash.xxh64(t.encode(), 42).intdigest() - (1 << 64 if xxhash.xxh64(t.encode(), 42).intdigest() >> 63 else 0), i, t) for i, t in pairs if t is not None})
     lines = []
-    for key in keys:
-        for n, line in enumerate(key[2].split("\n")):
+    for n_doc, key in enumerate(keys):
+        for n, line in enumerate(key[4].split("\n")):
             plain = " ".join(re.findall(r"[^\x20\x09-\x0D]+", line))
             if not plain:
                 continue
             tokens = [re.sub(r"^.*?[^\s\d]{0,64}?\d.*$|^[^\s\d]{0,64}\d.*$", "<*>", x) if re.search("[0-9]", x) else x for x in plain.split(" ")]
             if 2 * sum(x.count("<*>") for x in tokens) > len(tokens):
-                lines.append((key, n, ("plain", plain), plain, None))
+                lines.append((n_doc, n, ("plain", plain), plain, ()))
             else:
-                cut = [tuple(tokens[i * len(tokens) // 10:(i + 1) * len(tokens) // 10]) for i in range(10)]
-                lines.append((key, n, (len(tokens), *tokens[:3]), " ".join(tokens), cut))
-    leaves = defaultdict(list)
-    for line in lines:
-        leaves[line[2]].append(line)
-    template = {}
-    for leaf, members in leaves.items():
-        varies = None
-        if len({m[0] for m in members}) > 1 and len({m[3] for m in members}) > 1:
-            counts = [Counter(m[4][r] for m in members) for r in range(10)]
-            varies = [max(c.values()) < 0.9 * len(members) for c in counts]
-            varies = varies if 1 <= sum(varies) <= 2 else None
-        for m in members:
-            template[m[0], m[1]] = (leaf, m[3]) if varies is None else (leaf, *(None if v else r for r, v in zip(m[4], varies)))
-    first = {}
-    for m in lines:  # in the order of keys
-        first.setdefault(template[m[0], m[1]], m[0])
-    gone = defaultdict(set)
-    for m in lines:
-        if first[template[m[0], m[1]]] != m[0]:
-            gone[m[0]].add(m[1])
+                k = min(len(tokens), 10)
+                cut = tuple(tuple(tokens[i * len(tokens) // k:(i + 1) * len(tokens) // k]) for i in range(k))
+                lines.append((n_doc, n, (len(tokens), *tokens[:3]), " ".join(tokens), cut))
+    leaves, gone = defaultdict(lambda: defaultdict(list)), defaultdict(set)
+    for doc, n, leaf, template, cut in lines:
+        leaves[leaf][template, cut].append((doc, n))
+    for kinds in leaves.values():
+        groups = defaultdict(list)
+        for (template, cut), where in kinds.items():
+            for out in combinations(range(len(cut)), int(len(cut) * 0.2 + 1e-9)) if len(cut) >= 5 else ():
+                groups[out, tuple(c for r, c in enumerate(cut) if r not in out)].append((template, where))
+        beside = defaultdict(set)
+        for members in groups.values():
+            if len(members) >= 3 and len({d for _, where in members for d, _ in where}) > 1:
+                for template, _ in members:
+                    beside[template] |= {t for t, _ in members}
+        stays = {}
+        for (template, _), where in sorted(kinds.items(), key=lambda x: x[1][0]):
+            first = where[0][0]
+            holders = [d for t, d in stays.items() if t in beside[template] and d < first]
+            if not holders:
+                stays[template] = first
+            for doc, n in where:
+                if holders or doc > first:
+                    gone[keys[doc][0], keys[doc][3], keys[doc][4]].add(n)
     return gone
 
 
@@ -254,8 +263,44 @@ def test_line_dedup_short_lines(spark):
     """Fewer than ten tokens: 80 % of the tokens there are must agree."""
     assert dropped_from(spark, ["Read more about our products", "Read more about climate change"]) == set()
     assert dropped_from(spark, ["Read more about us", "Read more about them", "Read more about 5", "Read more about 6"]) == {3}
-    assert dropped_from(spark, ["a b c d e f g h i", "a b c d x f g h y", "a b c d e f g h z"]) == {2}
-    assert dropped_from(spark, ["a b c d e", "a b c d x"]) == {1}
+    assert dropped_from(spark, ["a b c d e f g h i", "a b c d x f g h y", "a b c d e f g h z", "a b c d e f g h y"]) == {2, 3}
+    assert dropped_from(spark, ["a b c d e", "a b c d x", "a b c d y"]) == {1, 2}
+
+
+def test_line_dedup_needs_variants(spark):
+    """Two sentences that differ in two words are no template; equal ones repeat."""
+    anna = ["We met Anna on Monday and she was very happy", "We met Anna on Friday and she was not happy"]
+    assert dropped_from(spark, anna) == set()
+    assert dropped_from(spark, [*anna, *anna]) == {2, 3}
+    assert dropped_from(spark, [*anna, "We met Anna on Sunday and she was so happy"]) == {1, 2}
+    assert dropped_from(spark, ["\n".join([anna[0], anna[1], anna[0].replace("Monday", "Sunday")])]) == set()
+
+
+def test_line_dedup_keeps_one_of_every_chain(spark):
+    """What goes is alike to a line that stays, not to one that goes itself."""
+    chain = ["Posted on the ka kb kc kd ke kf kg", "Posted on the ka kb kc kd ke xf xg", "Posted on the ka kb yc yd ke xf xg"]
+    assert dropped_from(spark, chain) == set()  # no template has three lines
+    also = [f"Posted on the ka kb kc kd ke {c}f {c}g" for c in "pq"] + [f"Posted on the ka kb {c}c {c}d ke xf xg" for c in "rs"]
+    texts = [*chain, *also]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.deduplicate(frame(spark, list(enumerate(texts)))).collect()}
+    assert {i for i, n in got.items() if n} == {1, 3, 4, 5, 6} and not got[2]
+    alike = lambda a, b: sum(x == y for x, y in zip(a.split(), b.split())) >= 8
+    assert all(any(alike(texts[i], texts[j]) for j in range(i) if not got[j]) for i in got if got[i])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_equals_the_plain_version(spark, seed):
+    """Crowded leaves of random variants, chains and copies of all lengths."""
+    rnd = random.Random(seed)
+    line = lambda: " ".join(["a b c", *(rnd.choice("xxxxxyz") for _ in range(rnd.choice([1, 2, 3, 6, 7, 9, 12])))])
+    pairs = [(rnd.choice([None, *range(60)]), "\n".join(line() for _ in range(rnd.randint(0, 4)))) for _ in range(90)]
+    gone = plain_lines(pairs)
+    got = Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.deduplicate(frame(spark, pairs)).collect())
+    want = Counter()
+    for i, t in pairs:
+        lost = gone.get((i is None, i, t), set())
+        want[i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in lost), len(lost)] += 1
+    assert got == want
 
 
 
