@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from rollcall.operators import prepare
 from rollcall.plans.fixtures import Tables, with_cte
-from rollcall.plans.playtimes import total_sql
+from rollcall.plans.playtimes import tagged_sql, total_sql
 from rollcall.plans.registry import query, sql_day
 from rollcall.session import shared_folder
 from rollcall.sources import archive
-from rollcall.streaming import feed, live
+from rollcall.streaming import feed, keyed, live
 
 DAYS = [date(2024, 1, 3), date(2024, 1, 4), date(2024, 1, 17)]
 MOVED_AT = "2024-01-20 00:00:00"
@@ -88,3 +88,21 @@ def live_play_time(t: Tables):
     tables.reconcile(flat.withColumn("rank_method", F.lit(None).cast("string")))
     totals = tables.play_time().where("total = 'player_game_type' and play_time <> 0")
     return totals.select("player", "game_type", "play_time")
+
+
+KEYED = {"player_game_type": ("player", "game_type"), "clan_player": ("clan", "player"), "game_type": ("game_type",)}
+
+
+@query("keyed_play_time", with_cte("events", "\nUNION ALL\n".join(
+    f"SELECT total, game_type, clan, player, play_time FROM ({tagged_sql(n, k)})" for n, k in KEYED.items())))
+def keyed_play_time(t: Tables):
+    """Totals from keyed streaming state; the youngest files come first."""
+    folder = new_folder(t, "feed")
+    rows = archive.to_archive(flat_events(t))
+    for part, test in enumerate((F.dayofmonth("createdAt") > 15, F.dayofmonth("createdAt") <= 15)):
+        rows.where(test).write.parquet(f"{folder}/drop/{part}")
+    dropped = feed.read_feed(t.spark, f"{folder}/drop/*", files_per_trigger=1)
+    tables = keyed.KeyedTables(t.spark, f"{folder}/tables")
+    keyed.start_keyed(dropped, tables, f"{folder}/checkpoint", "60 days").awaitTermination()
+    totals = tables.play_time().where(F.col("total").isin(list(KEYED)) & (F.col("play_time") != 0))
+    return totals.select("total", "game_type", "clan", "player", "play_time")

@@ -61,6 +61,12 @@ class LiveTables:
     def has_batches(self) -> bool:
         return bool(self._batches("state"))
 
+    def check_checkpoint(self, checkpoint: str) -> None:
+        """Batches are numbered by the checkpoint. With a new one they would start over
+        and replace the tables' first batches, so tables that hold any refuse it."""
+        if self.has_batches() and not has_files(self.spark, f"{checkpoint}/offsets"):
+            raise ValueError(f"{self.root} holds batches of another checkpoint than {checkpoint}")
+
     def _read(self, table: str, schema: str) -> DataFrame:
         schema = f"{schema}, batch long"
         if not self._batches(table):
@@ -243,13 +249,8 @@ class LiveTables:
 
 def start_live(feed: DataFrame, tables: LiveTables, checkpoint: str,
                trigger: dict | None = None):
-    """Run ``feed`` (deduplicated flat rows with ``rank_method``) into the tables.
-
-    Batches are numbered by the checkpoint. With a new one they would start over
-    and replace the tables' first batches, so tables that hold any refuse it.
-    """
-    if tables.has_batches() and not has_files(tables.spark, f"{checkpoint}/offsets"):
-        raise ValueError(f"{tables.root} holds batches of another checkpoint than {checkpoint}")
+    """Run ``feed`` (deduplicated flat rows with ``rank_method``) into the tables."""
+    tables.check_checkpoint(checkpoint)
     return (
         feed.writeStream.foreachBatch(tables.process)
         .option("checkpointLocation", checkpoint)

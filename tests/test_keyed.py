@@ -1,0 +1,120 @@
+"""Play time as keyed state: order doesn't matter, nothing is lost, keys are touched alone."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from rollcall import jobs
+from rollcall.operators import playtime
+from rollcall.schema import FLAT
+from rollcall.sources.archive import to_archive
+from rollcall.streaming import feed as feeds
+from rollcall.streaming import keyed
+
+START = datetime(2024, 1, 1)
+KEYS = ["total", "server", "map", "game_type", "clan", "player"]
+
+
+def polls(spark, servers=(1, 2, 3), ticks=40, minutes=7):
+    """Servers polled in turns; ties, empty snapshots, a player twice, moving crowds."""
+    out, i = [], 0
+    for tick in range(ticks):
+        for server in servers:
+            i += 1
+            ts = START + timedelta(minutes=minutes * tick + (0 if server == 3 and tick % 5 == 0 else server), microseconds=tick)
+            crowd = [(f"p{(tick // 4 + k * server) % 9}", "x" if k % 2 else None) for k in range((tick + server) % 4)]
+            head = (i, ts, server, f"s{server}", "0.6", server * 10 + tick // 20, "m", "CTF", 1, 8, len(crowd), 16)
+            if not crowd:
+                out.append((*head, None, None, None, None, None, None))
+            out += [(*head, n, c, 1, -1, True, k) for k, (n, c) in enumerate(crowd)]
+    return spark.createDataFrame(out, FLAT)
+
+
+def drop(df, folder, parts):
+    """``parts``: conditions on the rows, a file each, in the order of delivery."""
+    for i, part in enumerate(parts):
+        to_archive(df.where(part)).coalesce(1).write.parquet(f"{folder}/{i:02d}")
+
+
+def run(spark, folder, tables, checkpoint, lateness="90 days"):
+    rows = feeds.read_feed(spark, f"{folder}/*", 1)
+    keyed.start_keyed(rows, tables, checkpoint, lateness, splits=3).awaitTermination()
+
+
+def totals(df):
+    return sorted((tuple(r) for r in df.where("play_time <> 0").select(*KEYS, "play_time").collect()), key=str)
+
+
+def batch(df):
+    return totals(playtime.all_totals(playtime.credited(jobs.headers_of(df), jobs.clients_of(df))))
+
+
+HALF_HOUR = f"floor((unix_timestamp(ts) - {int(START.timestamp())}) / 1800)"
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2], [2, 0, 1], [1, 0, 1, 2, 2]])
+def test_out_of_order_equals_the_batch(spark, tmp_path, order):
+    df = polls(spark)
+    tables = keyed.KeyedTables(spark, str(tmp_path / "t"), compact_every=2)
+    drop(df, tmp_path / "drop", [f"{HALF_HOUR} % 3 = {n}" for n in order])
+    run(spark, tmp_path / "drop", tables, str(tmp_path / "ck"))
+    assert totals(tables.play_time()) == batch(df)
+    assert tables.behind().count() == 0
+
+
+def held(spark, checkpoint, batch_id):
+    state = spark.read.format("statestore").option("stateVarName", "hours").option("batchId", batch_id).load(checkpoint)
+    return {(r.key.server, r.key.split, r.user_map_key.hour): str(r.user_map_value) for r in state.collect()}
+
+
+def test_a_batch_touches_its_own_keys_only(spark, tmp_path):
+    df, ck = polls(spark), str(tmp_path / "ck")
+    tables = keyed.KeyedTables(spark, str(tmp_path / "t"))
+    drop(df, tmp_path / "drop", [f"{HALF_HOUR} < 6", f"server = 2 and {HALF_HOUR} >= 6 and {HALF_HOUR} < 8"])
+    run(spark, tmp_path / "drop", tables, ck)
+    before, after = held(spark, ck, 0), held(spark, ck, 1)
+    assert {k[0] for k in before} == {"1", "2", "3"} and {k[1] for k in before} == {0, 1, 2}
+    changed = {k for k in before.keys() | after.keys() if before.get(k) != after.get(k)}
+    assert changed and {k[0] for k in changed} == {"2"}
+    assert min(k[2] for k in changed) > min(k[2] for k in before)  # old hours of that server neither
+    seen = {r.server for r in spark.read.parquet(f"{tables.root}/playtime/batch=1").where("total = 'server'").collect()}
+    assert seen == {"2"}
+
+
+def test_rows_behind_the_watermark_are_told(spark, tmp_path):
+    """Live rows and rows behind add up to all rows, and hours behind it go from the state."""
+    df, ck = polls(spark, ticks=60), str(tmp_path / "ck")
+    tables = keyed.KeyedTables(spark, str(tmp_path / "t"), compact_every=3)
+    late = "server = 1 and hour(ts) = 1"
+    parts = [f"not ({late}) and hour(ts) = {h}" for h in range(7)] + [late]
+    drop(df, tmp_path / "drop", parts)
+    run(spark, tmp_path / "drop", tables, ck, lateness="1 hour")
+    behind, rows = tables.behind(), df.where(late)
+    assert behind.count() == rows.count() > 0
+    assert {(r.batch, r.rows) for r in tables.rows_behind().collect()} == {(len(parts) - 1, rows.count())}
+    assert [str(r.day) for r in tables.days_to_rebuild().collect()] == ["2024-01-01"]
+    assert totals(tables.play_time()) == batch(df.where(f"not ({late})"))
+    hour = lambda k: k[2] - int(START.timestamp()) // 3600
+    assert {hour(k) for k in held(spark, ck, 1)} == {0, 1}
+    assert min(hour(k) for k in held(spark, ck, len(parts) - 1)) >= 4
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    tables = keyed.KeyedTables(spark, str(tmp_path / "t"))
+    out = spark.createDataFrame([("credit", "1", "m", "g", "p", None, 7, 1, 5), ("behind", "1", "m", "g", "p", None, 0, 2, 5)], keyed.OUT)
+    for _ in range(2):
+        tables.take(out, 3)
+    assert tables.play_time().where("total = 'player'").first().play_time == 7 and tables.behind().count() == 1
+    tables.take(out.where("kind = 'credit'"), 3)
+    assert tables.behind().count() == 0
+    with pytest.raises(ValueError, match="another checkpoint"):
+        tables.check_checkpoint(str(tmp_path / "none"))
+
+
+def test_splits_hold_every_row_once(spark):
+    df = polls(spark)
+    rows = keyed.split_rows(df, 4)
+    assert rows.where("own").count() == df.count()
+    heads = rows.groupBy("snapshot_id").agg(F.countDistinct("split").alias("n")).where("n <> 4")
+    assert heads.count() == 0
