@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -13,7 +14,8 @@ from pyspark.sql import types as T
 
 from rollcall.operators.asof import previous_snapshot, whole_units
 from rollcall.operators.prepare import first_occurrence, observe, valid_times
-from rollcall.session import cut_lineage, folder_values, remove, stage_by
+from rollcall.session import cut_lineage, folder_values, remove, shared_folder, stage_by
+from rollcall.sources.rating_store import RatingStore, log_rows, settled
 
 K_FACTOR = 25.0
 RATING_SPAN = 400.0
@@ -169,41 +171,43 @@ def add_ratings(ratings: DataFrame, changes: DataFrame, scope: str) -> DataFrame
     """Stored ratings plus changes. Only a change other than zero touches a stored
     row, and then reads a null rating as zero; other rows stay as they are, null
     ones too. New participants start from zero."""
-    none = F.lit(None).cast("double")
-    delta = F.when(F.col("elo_delta") != 0, F.col("elo_delta"))
-    both = ratings.select(
-        scope, "player", "rating", none.alias("delta"), F.lit(True).alias("stored")
-    ).unionByName(changes.select(
-        scope, "player", none.alias("rating"), delta.alias("delta"), F.lit(False).alias("stored")))
-    sums = both.groupBy(scope, "player").agg(
-        F.sum("rating").alias("old"), F.sum("delta").alias("delta"),
-        F.bool_or("stored").alias("stored"))
-    kept = F.when(F.col("stored"), F.col("old")).otherwise(0.0)
-    moved = F.coalesce("old", F.lit(0.0)) + F.col("delta")
-    return sums.select(
-        scope, "player", F.when(F.col("delta").isNull(), kept).otherwise(moved).alias("rating"))
+    keys, none = [scope, "player"], F.lit(None).cast("double")
+    return settled(
+        log_rows(ratings, keys, F.col("rating"), none, True)
+        .unionByName(log_rows(changes, keys, none, F.col("elo_delta"), False)), keys)
 
 
 def elo_rounds(matches: DataFrame, scope: str, period: Column,
-               ratings: DataFrame | None = None) -> DataFrame:
+               ratings: DataFrame | None = None, fold_every: int = 16) -> DataFrame:
     """Ratings after all matches, one rating period after the other.
 
     Within a period every match reads the ratings the period started with and
     the changes add up; the next period starts from the sums. With a period of
     one poll interval this is the sequential result as long as a player is on
     one server at a time. ``period`` must sort as text (a date or timestamp).
-    The loop runs once per period and scans that period's directory only.
+    The loop runs once per period. It scans that period's directory and, of the
+    ratings, the buckets of its players (:class:`RatingStore`).
     """
-    matches = matches.withColumn("_period", period.cast("string"))
-    matches, path = stage_by(matches, "_period", "snapshot_id")
-    ratings = no_ratings(matches, scope) if ratings is None else ratings
+    spark = matches.sparkSession
+    matches, path = stage_by(matches.withColumn("_period", period.cast("string")), "_period", "snapshot_id")
+    store = rating_store(matches, scope, fold_every)
     try:
-        for value in staged_values(matches, path, "_period"):
+        if ratings is not None:
+            store.start(ratings)
+        for n, value in enumerate(staged_values(matches, path, "_period")):
             now = matches.where(F.col("_period") == value)
-            ratings = cut_lineage(add_ratings(ratings, elo_round(now, ratings, scope), scope))
+            store.add(elo_round(now, store.lookup(now, n), scope), n)
+        return cut_lineage(store.read())
     finally:
-        remove(matches.sparkSession, path)
-    return ratings
+        remove(spark, path)
+        remove(spark, store.root)
+
+
+def rating_store(matches: DataFrame, scope: str, fold_every: int = 16) -> RatingStore:
+    """An empty store for the ratings of ``matches``."""
+    spark = matches.sparkSession
+    root = f"{shared_folder(spark)}/ratings-{uuid.uuid4().hex}"
+    return RatingStore(spark, root, matches.select(scope, "player").schema, fold_every)
 
 
 def staged_values(staged: DataFrame, path: str, column: str) -> list[str]:

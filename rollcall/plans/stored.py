@@ -103,6 +103,6 @@ def keyed_play_time(t: Tables):
         rows.where(test).write.parquet(f"{folder}/drop/{part}")
     dropped = feed.read_feed(t.spark, f"{folder}/drop/*", files_per_trigger=1)
     tables = keyed.KeyedTables(t.spark, f"{folder}/tables")
-    keyed.start_keyed(dropped, tables, f"{folder}/checkpoint", "60 days").awaitTermination()
+    keyed.start_keyed(dropped, tables, f"{folder}/checkpoint", "60 days", splits=2).awaitTermination()
     totals = tables.play_time().where(F.col("total").isin(list(KEYED)) & (F.col("play_time") != 0))
     return totals.select("total", "game_type", "clan", "player", "play_time")
