@@ -25,6 +25,7 @@ MAX_GAP_MINUTES = 30
 # Opponents are compared block against block; a block stays around this size.
 BLOCK_PLAYERS = 512
 PAIRS_AT_ONCE = 1 << 18  # pairs held at a time, or one row's
+REPLAY_ROWS = 200_000  # rows of connected matches that one task replays
 
 
 def score_deltas(headers: DataFrame, clients: DataFrame, max_gap_minutes: int = MAX_GAP_MINUTES,
@@ -215,40 +216,135 @@ def staged_values(staged: DataFrame, path: str, column: str) -> list[str]:
     return [unquote(v) for v in folder_values(staged.sparkSession, path, column)]
 
 
+def whole_field(ratings: np.ndarray, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Results and summed win chances of every player of a match against all others:
+    results by sorting, chances between the distinct ratings, each with its players."""
+    order = np.sort(deltas)
+    below = np.searchsorted(order, deltas, side="left")
+    wins = below + 0.5 * (np.searchsorted(order, deltas, side="right") - below - 1)
+    distinct, which, players = np.unique(ratings, return_inverse=True, return_counts=True)
+    expected, step = np.empty(len(distinct)), max(1, PAIRS_AT_ONCE // len(distinct))
+    for start in range(0, len(distinct), step):
+        gap = np.clip(distinct[start:start + step, None] - distinct[None], -RATING_SPAN, RATING_SPAN)
+        expected[start:start + step] = (1.0 / (1.0 + 10.0 ** (-gap / RATING_SPAN))) @ players
+    return wins, expected[which] - 0.5
+
+
+def replayed(pdf: pd.DataFrame, scope: str) -> pd.DataFrame:
+    """Rating change per place and player after the matches of ``pdf`` in event order."""
+    places, players = (pd.factorize(pdf[c]) for c in (scope, "player"))
+    code = places[0].astype(np.int64) * max(len(players[1]), 1) + players[0]
+    _, first, who = np.unique(code, return_index=True, return_inverse=True)
+    now = pdf["rating"].to_numpy(dtype=float)[first]
+    change, score = np.zeros(len(first)), pdf["score_delta"].to_numpy(dtype=float)
+    turn = pd.MultiIndex.from_arrays([pdf["ts"], pdf["snapshot_id"]])
+    match, turns = pd.factorize(turn, sort=True)
+    order = np.argsort(match, kind="stable")
+    for rows in np.split(order, np.cumsum(np.bincount(match, minlength=len(turns)))[:-1]):
+        wins, expected = whole_field(now[who[rows]], score[rows])
+        moved = K_FACTOR * (wins - expected) / (len(rows) - 1)
+        now[who[rows]] += moved
+        change[who[rows]] += moved
+    return pd.DataFrame({scope: pdf[scope].to_numpy()[first], "player": pdf["player"].to_numpy()[first], "elo_delta": change})
+
+
+def conflict_groups(matches: DataFrame, scope: str) -> DataFrame:
+    """(snapshot_id, group): matches of a scope that are connected by players, in one
+    or several steps, share a group, the smallest of their ids. Labels go from matches
+    to their players and back until none changes, a few rounds of grouped minimums."""
+    sides = matches.select(scope, "player", "snapshot_id")
+    groups = cut_lineage(sides.select("snapshot_id", F.col("snapshot_id").alias("group")).distinct())
+    while True:
+        of_player = sides.join(groups, "snapshot_id").groupBy(scope, "player").agg(F.min("group").alias("least"))
+        now = sides.join(of_player, [scope, "player"]).groupBy("snapshot_id").agg(F.min("least").alias("least"))
+        # A label is the id of a match: it goes on to that match's own label at once.
+        ahead = now.select(F.col("snapshot_id").alias("least"), F.col("least").alias("group"))
+        moved = cut_lineage(now.join(ahead, "least").select("snapshot_id", "group"))
+        if moved.join(groups, ["snapshot_id", "group"], "left_anti").isEmpty():
+            return moved
+        groups = moved
+
+
+def wave_changes(left: DataFrame, ratings: DataFrame, scope: str) -> DataFrame:
+    """Rating changes after waves of matches: each takes every match that is the
+    earliest one left for all its players. For connected matches too many for one task."""
+    start, ratings = ratings, cut_lineage(ratings)
+    left = cut_lineage(left)
+    while not left.isEmpty():
+        turn = F.struct("ts", "snapshot_id")
+        heads = left.groupBy(scope, "player").agg(F.min(turn).alias("_head"))
+        ready = (
+            left.join(heads, [scope, "player"])
+            .groupBy("snapshot_id")
+            .agg(F.bool_and(F.col("_head.snapshot_id") == F.col("snapshot_id")).alias("_ready"))
+            .where("_ready")
+            .select("snapshot_id")
+        )
+        ready = cut_lineage(ready)
+        now = left.join(ready, "snapshot_id", "left_semi")
+        ratings = cut_lineage(add_ratings(ratings, elo_round(now, ratings, scope), scope))
+        left = cut_lineage(left.join(ready, "snapshot_id", "left_anti"))
+    before = start.select(scope, "player", F.col("rating").alias("_before"))
+    moved = F.coalesce("rating", F.lit(0.0)) - F.coalesce("_before", F.lit(0.0))
+    return ratings.join(before, [scope, "player"], "left").select(scope, "player", moved.alias("elo_delta"))
+
+
+def replay_changes(matches: DataFrame, ratings: DataFrame, scope: str,
+                   rows_at_once: int = REPLAY_ROWS) -> DataFrame:
+    """Rating changes after all ``matches`` in exact (ts, snapshot_id) order.
+
+    Matches without a common player can't affect each other. Places with up to
+    ``rows_at_once`` rows are replayed by a task each; a larger place is cut into
+    groups of connected matches, which are a task each, and only a group that is
+    itself larger goes in waves. Whatever way a match goes, the changes are the same.
+    """
+    columns = [scope, "player", "snapshot_id", "ts", "score_delta"]
+    kind = T.StructType([*matches.select(scope, "player").schema.fields, T.StructField("elo_delta", T.DoubleType())])
+    run = lambda pdf: replayed(pdf, scope)
+
+    def in_groups(rows: DataFrame, *keys: str) -> DataFrame:
+        return with_ratings(rows.select(*columns, *[k for k in keys if k != scope]), ratings, scope).groupBy(*keys).applyInPandas(run, kind)
+
+    def above(rows: DataFrame, key: str) -> DataFrame:
+        return cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_at_once).select(key))
+
+    crowded = above(matches, scope)
+    if crowded.isEmpty():
+        return in_groups(matches, scope)
+    large = matches.join(crowded, scope, "left_semi")
+    grouped = large.join(conflict_groups(large, scope), "snapshot_id")
+    tangled = above(grouped, "group")
+    out = in_groups(matches.join(crowded, scope, "left_anti"), scope).unionByName(
+        in_groups(grouped.join(tangled, "group", "left_anti"), scope, "group"))
+    if tangled.isEmpty():
+        return out
+    rows = grouped.join(tangled, "group", "left_semi").drop("group")
+    return out.unionByName(wave_changes(rows, ratings.join(rows.select(scope, "player").distinct(), [scope, "player"], "left_semi"), scope))
+
+
 def elo_replay(matches: DataFrame, scope: str, slice_by: Column,
-               ratings: DataFrame | None = None) -> DataFrame:
+               ratings: DataFrame | None = None, rows_at_once: int = REPLAY_ROWS) -> DataFrame:
     """Ratings after replaying all matches in exact (ts, snapshot_id) order.
 
-    Matches of one scope that share no player cannot affect each other, so each
-    wave takes every match that is the earliest one left for all its players.
-    Waves run inside time slices, so a wave reads one slice and never a whole
-    scope, and no scope is held by one task. The number of waves is the longest
-    run of matches any player has in a slice: meant for short spans, with
-    :func:`elo_rounds` for long histories.
+    The loop runs once per time slice (``slice_by`` must sort as text): it reads that
+    slice, looks up the ratings of its players (:class:`RatingStore`) and replays
+    place by place (:func:`replay_changes`), in a number of jobs that doesn't depend
+    on the matches in a slice as long as no place has more than ``rows_at_once`` rows
+    there that are connected by players.
     """
-    matches = matches.withColumn("_slice", slice_by.cast("string"))
-    matches, path = stage_by(matches, "_slice", "snapshot_id")
-    ratings = no_ratings(matches, scope) if ratings is None else ratings
+    spark = matches.sparkSession
+    matches, path = stage_by(matches.withColumn("_slice", slice_by.cast("string")), "_slice", "snapshot_id")
+    store = rating_store(matches, scope)
     try:
-        for value in staged_values(matches, path, "_slice"):
-            left = matches.where(F.col("_slice") == value)
-            while not left.isEmpty():
-                turn = F.struct("ts", "snapshot_id")
-                heads = left.groupBy(scope, "player").agg(F.min(turn).alias("_head"))
-                ready = (
-                    left.join(heads, [scope, "player"])
-                    .groupBy("snapshot_id")
-                    .agg(F.bool_and(F.col("_head.snapshot_id") == F.col("snapshot_id")).alias("_ready"))
-                    .where("_ready")
-                    .select("snapshot_id")
-                )
-                ready = cut_lineage(ready)
-                now = left.join(ready, "snapshot_id", "left_semi")
-                ratings = cut_lineage(add_ratings(ratings, elo_round(now, ratings, scope), scope))
-                left = cut_lineage(left.join(ready, "snapshot_id", "left_anti"))
+        if ratings is not None:
+            store.start(ratings)
+        for n, value in enumerate(staged_values(matches, path, "_slice")):
+            now = matches.where(F.col("_slice") == value)
+            store.add(replay_changes(now, store.lookup(now, n), scope, rows_at_once), n)
+        return cut_lineage(store.read())
     finally:
-        remove(matches.sparkSession, path)
-    return ratings
+        remove(spark, path)
+        remove(spark, store.root)
 
 
 def missing_info(matches: DataFrame, headers: DataFrame, clients: DataFrame, info: DataFrame,

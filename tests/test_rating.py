@@ -1,6 +1,7 @@
 import random
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,57 @@ def test_null_ratings_stay_until_a_change(spark):
         [(7, "tied", 0.0), (7, "up", 1.5), (7, "new", 0.0), (7, "low", 0.0)], "map int, player string, elo_delta double")
     assert rows(rating.add_ratings(stored, moved, "map"), "player", "rating") == [
         ("idle", None), ("low", -3.0), ("new", 0.0), ("tied", None), ("up", 1.5)]
+
+
+def history_of(spark, seed, places=3, matches=30, crowd=12):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(matches):
+        place, n, ts = rnd.randrange(places), rnd.randint(2, 5), at(rnd.randrange(9))
+        who = rnd.sample(range(crowd), n)
+        out += [(f"m{i:03d}", ts, place, f"p{w}", rnd.randint(-2, 6), n, 0.0) for w in who]
+    return spark.createDataFrame(out, "snapshot_id string, ts timestamp, map int, player string, score_delta int, players long, mean_delta double")
+
+
+def plain_replay(df, start):
+    now, matches = dict(start), {}
+    for r in df.collect():
+        matches.setdefault((r.ts, r.snapshot_id), []).append(r)
+    for _, field in sorted(matches.items()):
+        old = {r.player: now.get((r.map, r.player)) or 0.0 for r in field}
+        for r in field:
+            moved = 0.0
+            for o in field:
+                if o.player != r.player:
+                    result = 0.5 + 0.5 * ((r.score_delta > o.score_delta) - (r.score_delta < o.score_delta))
+                    gap = max(-400.0, min(400.0, old[r.player] - old[o.player]))
+                    moved += result - 1 / (1 + 10 ** (-gap / 400))
+            now[r.map, r.player] = old[r.player] + 25 * moved / (len(field) - 1)
+    return {k: None if v is None else round(v, 9) + 0.0 for k, v in now.items()}
+
+
+@pytest.mark.parametrize("rows_at_once,crowd", [(10_000, 12), (20, 40), (0, 12), (12, 60)])
+def test_replay_is_exact_whatever_way_a_match_goes(spark, rows_at_once, crowd):
+    """Places in one task, places cut into connected groups, and groups in waves."""
+    df = history_of(spark, rows_at_once, crowd=crowd)
+    start = {(0, "p1"): 300.0, (1, "p2"): None, (2, "zz"): None, (2, "p3"): -50.0}
+    ratings = spark.createDataFrame([(*k, v) for k, v in start.items()], "map int, player string, rating double")
+    got = rating.elo_replay(df, "map", F.expr("minute(ts) div 5"), ratings, rows_at_once)
+    assert {(r.map, r.player): None if r.rating is None else round(r.rating, 9) + 0.0 for r in got.collect()} == plain_replay(df, start)
+
+
+def test_connected_matches_share_a_group(spark):
+    sides = [("a", 1, "p"), ("b", 1, "p"), ("b", 1, "q"), ("c", 1, "q"), ("d", 2, "p"), ("e", 1, "r"), *[(f"x{i:02d}", 3, f"s{i + k}") for i in range(20) for k in (0, 1)]]
+    got = dict(map(tuple, rating.conflict_groups(spark.createDataFrame(sides, "snapshot_id string, map int, player string"), "map").collect()))
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", **{f"x{i:02d}": "x00" for i in range(20)}}
+
+
+def test_a_large_field_by_sorting():
+    rnd = np.random.default_rng(1)
+    r, s = np.where(rnd.random(700) < 0.8, 0.0, rnd.normal(0, 300, 700)), rnd.integers(-3, 9, 700)
+    wins, expected = rating.whole_field(r, s)
+    result = 0.5 + 0.5 * np.sign(s[:, None] - s[None])
+    chance = 1 / (1 + 10 ** (-np.clip(r[:, None] - r[None], -400, 400) / 400))
+    assert np.allclose(wins, result.sum(axis=1) - 0.5) and np.allclose(expected, chance.sum(axis=1) - 0.5)
+    wins, _ = rating.whole_field(np.zeros(50_000), np.arange(50_000.0))
+    assert (wins == np.arange(50_000)).all()
