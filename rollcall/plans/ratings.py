@@ -1,11 +1,14 @@
 """Named queries: matches, Elo and best times."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rollcall.operators import boards, prepare, rating
 from rollcall.plans.fixtures import Tables, with_cte
 from rollcall.plans.registry import query, sql_int, sql_num
-from rollcall.session import cut_lineage
+from rollcall.session import cut_lineage, shared_folder
+from rollcall.streaming.live import LiveTables
 
 DAY_MINUTES = 1440
 WEEKS = ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29")
@@ -89,15 +92,18 @@ def rating_totals(t: Tables):
     return rating.add_ratings(t.stored_ratings, changes, "game_type")
 
 
-def rounds_sql(matches: str, cte: str, result: str = "") -> str:
-    """One pair of CTEs per week: the field of that week, then the new sums."""
+WEEKLY = [f"date_trunc('week', m.ts) = DATE '{week}'" for week in WEEKS]
+
+
+def rounds_sql(matches: str, cte: str, result: str = "", periods: list[str] = WEEKLY) -> str:
+    """One pair of CTEs per period: the field of that period, then the new sums."""
     parts = [", start0 AS (SELECT '' AS game_type, '' AS player, 0.0 AS rating WHERE false)"]
-    for i, week in enumerate(WEEKS):
+    for i, test in enumerate(periods):
         parts.append(f"""
 rated{i} AS (
   SELECT m.*, coalesce(r.rating, 0.0) AS rating
   FROM {matches} m LEFT JOIN start{i} r USING (game_type, player)
-  WHERE date_trunc('week', m.ts) = DATE '{week}'),
+  WHERE {test}),
 start{i + 1} AS (
   SELECT game_type, player, sum(rating) AS rating FROM (
     SELECT game_type, player, rating FROM start{i}
@@ -106,7 +112,7 @@ start{i + 1} AS (
     FROM ({field_sql(f'rated{i}')}))
   GROUP BY game_type, player)""")
     body = ",".join(parts)
-    last = f"SELECT game_type, player, {sql_num('rating')} AS rating FROM start{len(WEEKS)}"
+    last = f"SELECT game_type, player, {sql_num('rating')} AS rating FROM start{len(periods)}"
     return with_cte(cte, f"{body}\n{result.format(last=last) or last}")
 
 
@@ -176,3 +182,36 @@ def best_time_kept(t: Tables):
         "map", "player", F.lit(-20.0).alias("rating")
     ).distinct()
     return rating.best_times(t.order_headers, t.order_clients, stored)
+
+
+HALVES = ["day(ts) <= 15", "day(ts) > 15"]
+
+
+@query("live_ratings", rounds_sql("day_matches", "day", """, rated_all AS ({last}),
+ranked AS (SELECT DISTINCT snapshot_id FROM day_matches WHERE game_type >= 'm')
+SELECT 'ELO' AS rank_method, game_type AS place, player, rating FROM rated_all
+UNION ALL
+SELECT DISTINCT 'ELO', h.game_type, c.player, 0.0
+FROM day_headers h JOIN day_clients c USING (snapshot_id) JOIN ranked USING (snapshot_id)
+WHERE NOT EXISTS (SELECT 1 FROM rated_all r WHERE r.game_type = h.game_type AND r.player = c.player)
+UNION ALL
+SELECT 'TIME', h.map, c.player, round(CAST(max(CASE WHEN in_game AND abs(score) <> 9999 THEN -abs(score) END) AS DOUBLE), 6)
+FROM day_headers h JOIN day_clients c USING (snapshot_id) WHERE h.game_type < 'm' GROUP BY h.map, c.player""",
+    [f"m.game_type >= 'm' AND {half.replace('ts', 'm.ts')}" for half in HALVES]))
+def live_ratings(t: Tables):
+    """Ratings by both methods as the live tables keep them, in two batches; clients
+    without a match or a time are listed."""
+    method = F.when(F.col("game_type") >= "m", "ELO").otherwise("TIME")
+    text, zero = F.lit("-"), F.lit(0)
+    heads = t.bucket_headers("day").withColumnsRenamed({"snapshot_id": "label"}).select(
+        "label", F.xxhash64("label").alias("snapshot_id"), "ts", "server", text.alias("server_name"), text.alias("version"),
+        "map", F.col("map").alias("map_name"), "game_type", zero.alias("num_players"), zero.alias("max_players"), "num_clients",
+        zero.alias("max_clients"), method.alias("rank_method"))
+    clients = prepare.first_occurrence(t.bucket_clients("day")).withColumnRenamed("snapshot_id", "label")
+    rows = cut_lineage(heads.join(clients.withColumn("country", zero), "label").drop("label").withColumn("ordinal", zero))
+    root = f"{shared_folder(t.spark)}/live-{uuid.uuid4().hex}"
+    tables = LiveTables(t.spark, root, DAY_MINUTES)
+    for batch, half in enumerate(HALVES):
+        tables.process(rows.where(half), batch)
+    listed = tables.info_rows().where("rank_method = 'TIME' or scope = 'game_type'")
+    return listed.select("rank_method", "place", "player", "rating")

@@ -8,10 +8,11 @@ batch that is run again replaces what it wrote:
   late/batch=N      rows too late for the live path, until ``reconcile`` has them
   corrections/batch=N  play-time deltas of late rows up to that batch
   playtime/batch=N  play-time deltas
-  elo/batch=N       Elo changes per map and per game type
+  ratings/          Elo ratings per map and per game type, a period per batch
   times/batch=N     best times seen
+  info/batch=N      clients of ranked snapshots, spectators and joiners too
 
-The last three also have a ``_base`` table that holds everything up to a batch,
+Play time, times and info also have a ``_base`` table that holds everything up to a batch,
 written now and then so that reading stays cheap.
 """
 
@@ -22,12 +23,14 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.jobs import clients_of, headers_of
 from rollcall.operators import playtime, rating
 from rollcall.operators.prepare import first_occurrence
 from rollcall.schema import RANK_METHODS
 from rollcall.session import folder_values, has_files, remove
+from rollcall.sources.rating_store import RatingStore
 
 STATE = ("server string, ts timestamp, snapshot_id long, map string, "
          "clients array<struct<ordinal:int,player:string,score:int,in_game:boolean>>")
@@ -37,9 +40,9 @@ DELTAS = {
         "total string, server string, map string, game_type string, clan string, player string, "
         "play_time long",
         ["total", "server", "map", "game_type", "clan", "player"], "play_time", F.sum),
-    "elo": ("scope string, place string, player string, rating double",
-            ["scope", "place", "player"], "rating", F.sum),
     "times": ("map string, player string, rating double", ["map", "player"], "rating", F.max),
+    "info": ("rank_method string, scope string, place string, player string, seen int",
+             ["rank_method", "scope", "place", "player"], "seen", F.max),
 }
 SCOPES = ("map", "game_type")
 
@@ -73,16 +76,16 @@ class LiveTables:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
 
-    def _combined(self, table: str, batch: int | None = None, own: bool = True) -> DataFrame:
+    def _combined(self, table: str, batch: int | None = None) -> DataFrame:
         """Newest base and the deltas after it. For a running ``batch`` only
         older bases count, so that a batch run again never reads a base it is
-        to replace, and with ``own`` false only older deltas too."""
+        to replace."""
         schema, keys, value, combine = DELTAS[table]
         bases = [b for b in self._batches(f"{table}_base") if batch is None or b < batch]
         newest = bases[-1] if bases else -1
         deltas = self._read(table, schema).where(F.col("batch") > newest)
         if batch is not None:
-            deltas = deltas.where(F.col("batch") <= (batch if own else batch - 1))
+            deltas = deltas.where(F.col("batch") <= batch)
         rows = deltas.drop("batch")
         if table == "playtime" and batch is None:
             rows = rows.unionByName(self._read("corrections", schema).drop("batch"))
@@ -95,13 +98,29 @@ class LiveTables:
         """Totals so far."""
         return self._combined("playtime")
 
-    def ratings(self, before: int | None = None) -> DataFrame:
-        """Elo ratings so far, or as a batch finds them."""
-        return self._combined("elo", before, own=False)
+    @property
+    def store(self) -> RatingStore:
+        keys = T.StructType.fromDDL("scope string, place string, player string")
+        return RatingStore(self.spark, f"{self.root}/ratings", keys, self.compact_every)
+
+    def ratings(self) -> DataFrame:
+        """Elo ratings so far."""
+        return self.store.read()
 
     def best_times(self) -> DataFrame:
         return self._combined("times")
 
+    def info_rows(self) -> DataFrame:
+        """Ratings as boards list them: (rank_method, scope, place, player, rating) of
+        every client of a ranked snapshot, 0 without a match, null without a time."""
+        elo, time = (F.lit(m) for m in RANK_METHODS)
+        rated = self.ratings().select(elo.alias("rank_method"), "scope", "place", "player", "rating").unionByName(
+            self.best_times().select(time.alias("rank_method"), F.lit("map").alias("scope"), F.col("map").alias("place"), "player", "rating"))
+        keys = DELTAS["info"][1]
+        start = F.when(F.col("rank_method") == RANK_METHODS[0], F.lit(0.0))
+        return rated.unionByName(
+            self._combined("info").select(*keys).join(rated.select(*keys), keys, "left_anti").withColumn("rating", start))
+
     def last_states(self, before: int) -> DataFrame:
         return self._read("state", STATE).where(F.col("batch") == before - 1).drop("batch")
 
@@ -175,11 +194,19 @@ class LiveTables:
         ]))
         twice = matches.withColumn("at", scoped).withColumn(
             "snapshot_id", F.struct("at.scope", "snapshot_id"))
-        stored = self.ratings(before=batch).select(
+        # Only the buckets of this batch's players are read and written.
+        stored = self.store.lookup(twice.select("at.*", "player"), batch).select(
             F.struct("scope", "place").alias("at"), "player", "rating")
         moved = rating.elo_round(twice, stored, "at").groupBy("at", "player").agg(
-            F.sum("elo_delta").alias("rating"))
-        self._write(moved.select("at.*", "player", "rating"), "elo", batch)
+            F.sum(F.when(F.col("elo_delta") != 0, F.col("elo_delta"))).alias("elo_delta"))
+        self.store.add(moved.select("at.*", "player", F.coalesce("elo_delta", F.lit(0.0)).alias("elo_delta")), batch)
+
+        ranked = live.join(matches.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
+        timed = live.where(F.col("rank_method") == RANK_METHODS[1])
+        info = ranked.select(F.lit(elo).alias("rank_method"), scoped.alias("at"), "player").select("rank_method", "at.*", "player").unionByName(
+            timed.select("rank_method", F.lit("map").alias("scope"), F.col("map").alias("place"), "player"))
+        info = info.where("player is not null").distinct()
+        self._write(info.withColumn("seen", F.lit(1)), "info", batch)
         deltas.unpersist()
 
     def _times(self, rows: DataFrame) -> DataFrame:
