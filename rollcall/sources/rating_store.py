@@ -97,13 +97,16 @@ class RatingStore:
 
     def lookup(self, wanted: DataFrame, before: int | None = None) -> DataFrame:
         """Ratings of the keys in ``wanted``, as period ``before`` finds them. The buckets
-        of these keys are listed first, and no other directory is read."""
+        of these keys are listed first, and no other directory is read; a store that is
+        still small is read as it is."""
         buckets, parts = self._log(before)
         if not parts:
             return self.spark.createDataFrame([], T.StructType([*self.keys.fields, T.StructField("rating", T.DoubleType())]))
         wanted = wanted.select(*self.names).distinct()
-        hit = sorted(r[0] for r in wanted.select(self._bucket(buckets)).distinct().collect())
-        rows = reduce(DataFrame.unionByName, [p.where(F.col("bucket").isin(hit)) for p in parts]).drop("bucket")
+        if buckets > FIRST_BUCKETS:
+            hit = sorted(r[0] for r in wanted.select(self._bucket(buckets)).distinct().collect())
+            parts = [p.where(F.col("bucket").isin(hit)) for p in parts]
+        rows = reduce(DataFrame.unionByName, parts).drop("bucket")
         return settled(rows.join(wanted, self.names, "left_semi"), self.names)
 
     def add(self, changes: DataFrame, period: int) -> None:
