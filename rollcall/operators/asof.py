@@ -88,23 +88,28 @@ def elapsed(headers: DataFrame, last_known: DataFrame | None = None,
     )
 
 
-def ordered_neighbours(df: DataFrame, order: str, value: str, ties: Sequence[str] = (),
-                       buckets: int = 256) -> DataFrame:
-    """``prev_<value>``: ``value`` of the row before, ordered by ``order``,
-    ``value`` and ``ties`` over the whole table, without a single-task window.
-
-    Rows are cut at approximate quantiles of the numeric ``order`` into at most
-    ``buckets`` ranges of about equal size, however the values cluster; each
-    range is a window partition, and the last row of each range (at most
-    ``buckets`` rows) seeds the next non-empty one.
-    """
+def ranged(df: DataFrame, order: str, value: str, ties: Sequence[str], buckets: int) -> DataFrame:
+    """``df`` cut at approximate quantiles of the numeric ``order`` into at most
+    ``buckets`` ranges (``_bucket``) of about equal size, however the values cluster;
+    ``_at`` sorts by ``order``, ``value`` and ``ties``."""
     steps = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(order, steps, 0.2 / buckets))) if steps else []
     bucket = F.size(F.filter(
         F.array(*map(F.lit, cuts)).cast("array<double>"), lambda cut: cut < F.col(order)))
-    keyed = df.withColumn("_bucket", bucket).withColumn(
+    return df.withColumn("_bucket", bucket).withColumn(
         "_at", F.struct(F.col(order).alias("o"), F.col(value).alias("v"), *ties)
     )
+
+
+def ordered_neighbours(df: DataFrame, order: str, value: str, ties: Sequence[str] = (),
+                       buckets: int = 256) -> DataFrame:
+    """``prev_<value>``: ``value`` of the row before, ordered by ``order``,
+    ``value`` and ``ties`` over the whole table, without a single-task window.
+
+    Each range (:func:`ranged`) is a window partition, and the last row of each range
+    (at most ``buckets`` rows) seeds the next non-empty one.
+    """
+    keyed = ranged(df, order, value, ties, buckets)
     lasts = keyed.groupBy("_bucket").agg(F.max("_at").alias("_at"))
     seeds = lasts.withColumn("_at", F.lag("_at").over(Window.orderBy("_bucket"))).where(
         F.col("_at").isNotNull()
@@ -118,6 +123,28 @@ def ordered_neighbours(df: DataFrame, order: str, value: str, ties: Sequence[str
     )
 
 
+def highest_before(df: DataFrame, order: str, value: str, ties: Sequence[str] = (),
+                   buckets: int = 256) -> DataFrame:
+    """``highest_<value>``: the largest ``value`` of all rows before, in the order of
+    :func:`ordered_neighbours`: a running maximum, as a prefix scan over the ranges.
+    The maximum of each range (at most ``buckets`` rows) goes on to all later ones."""
+    keyed = ranged(df, order, value, ties, buckets)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = (
+        keyed.groupBy("_bucket").agg(F.max(value).alias("_high"))
+        .withColumn("_high", F.max("_high").over(before)).where(F.col("_high").isNotNull())
+    )
+    rows = keyed.withColumn("_own", F.lit(True)).withColumn("_high", F.col(value)).unionByName(
+        seeds, allowMissingColumns=True)
+    inside = Window.partitionBy("_bucket").orderBy(F.col("_at").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    return (
+        rows.withColumn(f"highest_{value}", F.max("_high").over(inside))
+        .where(F.col("_own"))
+        .drop("_bucket", "_at", "_own", "_high")
+    )
+
+
 def positions(df: DataFrame, scope: Sequence[str], bucket: str,
               order: Sequence[Column]) -> DataFrame:
     """``position`` (from 1) and ``total`` of each row in its scope's order.

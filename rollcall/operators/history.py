@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions.dates import day_end, hours_before
-from rollcall.operators.asof import ordered_neighbours
+from rollcall.operators.asof import highest_before
 
 RETENTION_HOURS = 48
 BACKFILL_DAYS = 4
@@ -79,16 +79,17 @@ def archive_backlog(headers: DataFrame, now: Column, hours: int = RETENTION_HOUR
 
 
 def tiling(objects: DataFrame) -> DataFrame:
-    """How each archive object's id range follows the one before: ``tile``,
-    ``gap`` or ``overlap`` (``first`` for the first)."""
-    previous = F.col("prev_last_id")
+    """How each archive object's id range follows all those before, which begin at
+    smaller ids: ``tile``, ``gap`` or ``overlap`` (``first`` for the first). A long
+    object covers what stands behind a short one inside it."""
+    reached = F.col("highest_last_id")
     state = (
-        F.when(previous.isNull(), "first")
-        .when(F.col("first_id") > previous + 1, "gap")
-        .when(F.col("first_id") <= previous, "overlap")
+        F.when(reached.isNull(), "first")
+        .when(F.col("first_id") > reached + 1, "gap")
+        .when(F.col("first_id") <= reached, "overlap")
         .otherwise("tile")
     )
-    return ordered_neighbours(objects, "first_id", "last_id", ["object"]).withColumn("state", state)
+    return highest_before(objects, "first_id", "last_id", ["object"]).withColumn("state", state)
 
 
 def merged_history(hot: DataFrame, archive: DataFrame) -> DataFrame:
@@ -109,3 +110,32 @@ def archive_minutes(flat: DataFrame) -> DataFrame:
     return flat.where("in_game").groupBy("day", "player").agg(
         (F.count("*") * MINUTES_PER_OBSERVATION).alias("approx_minutes")
     )
+
+
+ID_RANGE = 1 << 16  # ids of one window; intervals end at its multiples
+
+
+def id_intervals(ids: DataFrame) -> DataFrame:
+    """(first_id, last_id, snapshots): runs of ids without a gap, of ``ids(snapshot_id)``.
+    Runs are found inside ranges of ``ID_RANGE`` ids, so no window holds the table."""
+    runs = Window.partitionBy("_range").orderBy("snapshot_id")
+    return (
+        ids.select("snapshot_id").distinct().withColumn("_range", F.floor(F.col("snapshot_id") / ID_RANGE))
+        .withColumn("_run", F.col("snapshot_id") - F.row_number().over(runs))
+        .groupBy("_range", "_run")
+        .agg(F.min("snapshot_id").alias("first_id"), F.max("snapshot_id").alias("last_id"), F.count(F.lit(1)).alias("snapshots"))
+        .drop("_range", "_run")
+    )
+
+
+def outside(ids: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The distinct ``ids(snapshot_id)`` that lie in none of :func:`id_intervals`: an
+    anti-join by range. Inside a range of ids the last interval that begins at or
+    before an id reaches the furthest, however often intervals overlap."""
+    place = F.floor(F.col("snapshot_id") / ID_RANGE).alias("_range")
+    wanted = ids.select("snapshot_id").distinct().select(place, "snapshot_id", F.lit(None).cast("long").alias("_upto"))
+    begin = intervals.select(F.col("first_id").alias("snapshot_id"), F.col("last_id").alias("_upto")).select(place, "snapshot_id", "_upto")
+    before = Window.partitionBy("_range").orderBy("snapshot_id", F.col("_upto").desc_nulls_last())
+    reached = F.coalesce(F.max("_upto").over(before.rowsBetween(Window.unboundedPreceding, 0)), F.col("snapshot_id") - 1)
+    both = wanted.unionByName(begin).withColumn("_reached", reached)
+    return both.where("_upto is null and _reached < snapshot_id").select("snapshot_id")

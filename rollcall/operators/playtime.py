@@ -82,3 +82,13 @@ def add_deltas(stored: DataFrame, deltas: DataFrame, keys: Sequence[str], value:
 def summed(both: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Stored and new rows, already in one table, as one row per key."""
     return both.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0)).alias(value))
+
+
+def play_sessions(observations: DataFrame, keys: Sequence[str] = ("player",), gap: str = "10 minutes") -> DataFrame:
+    """Play sessions, an addition of this library: runs of a player's observations that
+    are at most ``gap`` apart. (keys, started, last_seen, snapshots). The same on a batch
+    and, behind a watermark on ``ts`` and in append mode, on a stream."""
+    window = F.session_window("ts", gap)
+    return observations.groupBy(*keys, window.alias("session")).agg(
+        F.min("ts").alias("started"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("snapshots")
+    ).drop("session")

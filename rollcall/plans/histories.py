@@ -91,19 +91,21 @@ def rollup_coverage(t: Tables):
 , objects AS (
   SELECT strftime(date_trunc('hour', ts), '%Y%m%d%H') AS object, min(event_id) AS first_id,
          max(event_id) AS last_id
-  FROM ev WHERE k >= 10 GROUP BY 1
+  FROM ev GROUP BY 1
   UNION ALL
   SELECT event_type || strftime(ts, '%Y%m%d'), min(event_id), max(event_id)
-  FROM ev WHERE event_type = 'signup' GROUP BY 1)
+  FROM ev GROUP BY 1)
 SELECT object, first_id, last_id,
-       CASE WHEN prev IS NULL THEN 'first' WHEN first_id > prev + 1 THEN 'gap'
-            WHEN first_id <= prev THEN 'overlap' ELSE 'tile' END AS state
-FROM (SELECT *, lag(last_id) OVER (ORDER BY first_id, last_id, object) AS prev FROM objects)"""))
+       CASE WHEN reached IS NULL THEN 'first' WHEN first_id > reached + 1 THEN 'gap'
+            WHEN first_id <= reached THEN 'overlap' ELSE 'tile' END AS state
+FROM (SELECT *, max(last_id) OVER (ORDER BY first_id, last_id, object
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+      FROM objects)"""))
 def archive_tiling(t: Tables):
     ids = [F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")]
-    hourly = t.events.where("k >= 10").groupBy(
+    hourly = t.events.groupBy(
         F.date_format("ts", "yyyyMMddHH").alias("object")).agg(*ids)
-    daily = t.events.where("event_type = 'signup'").groupBy(
+    daily = t.events.groupBy(
         F.concat("event_type", F.date_format("ts", "yyyyMMdd")).alias("object")).agg(*ids)
     tiles = history.tiling(hourly.unionByName(daily))
     return tiles.select("object", "first_id", "last_id", "state")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rollcall.operators import asof, playtime
+from rollcall.operators import asof, playtime, prepare
 from rollcall.plans.fixtures import Tables, with_cte
 from rollcall.plans.registry import query, sql_int, sql_ts
 
@@ -67,3 +67,18 @@ def playtime_totals(t: Tables):
     halves = playtime.all_totals(credits(t).withColumn("late", late), ["late"])
     keys = ["total", "server", "map", "game_type", "clan", "player"]
     return playtime.summed(halves, keys, "play_time")
+
+
+@query("play_sessions", with_cte("events", f"""
+, marked AS (
+  SELECT player, server, ts,
+         CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens
+  FROM eseen WINDOW w AS (PARTITION BY player, server ORDER BY ts)),
+numbered AS (
+  SELECT *, sum(opens) OVER (PARTITION BY player, server ORDER BY ts) AS session FROM marked)
+SELECT player, server, {sql_ts('min(ts)')} AS started, {sql_ts('max(ts)')} AS last_seen, count(*) AS snapshots
+FROM numbered GROUP BY player, server, session"""))
+def play_sessions(t: Tables):
+    """Sessions per player and server; the twin finds them by gaps and islands."""
+    seen = prepare.observe(t.event_headers, t.event_clients)
+    return playtime.play_sessions(seen, ("player", "server"), "6 hours")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rollcall.functions import dates
 from rollcall.operators import prepare, rollup
 from rollcall.plans.fixtures import Tables, with_cte
 from rollcall.plans.registry import query, sql_day, sql_int
@@ -194,3 +195,14 @@ def poll_headers(t: Tables):
         F.col("ordinal.l_linestatus").alias("status"), F.col("in_game").alias("has_header"),
     )
     return prepare.last_header(responses, ["snapshot_id"], ["player", "status"], "arrival")
+
+
+@query("month_play_time", with_cte("orders", f"""
+SELECT {sql_day("date_trunc('month', ts)")} AS month, player, {SECONDS} AS play_time
+FROM oseen JOIN (SELECT DISTINCT s_name AS player FROM supplier WHERE s_acctbal > 0) USING (player)
+GROUP BY 1, 2"""))
+def month_play_time(t: Tables):
+    """Play time by month, of the players on a list of any size."""
+    listed = t.suppliers.where("s_acctbal > 0").select("player").distinct()
+    days = prepare.keep_listed(rollup.player_day(order_presence(t)), listed, ["player"])
+    return days.groupBy(dates.month_start("day").alias("month"), "player").agg(F.sum("play_time").alias("play_time"))

@@ -4,14 +4,16 @@ tables, under the shared folder, and then read back what is there."""
 import uuid
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rollcall import jobs
 from rollcall.operators import prepare
 from rollcall.plans.fixtures import Tables, with_cte
 from rollcall.plans.playtimes import tagged_sql, total_sql
-from rollcall.plans.registry import query, sql_day
+from rollcall.plans.registry import query, sql_day, sql_int
 from rollcall.session import shared_folder
-from rollcall.sources import archive
+from rollcall.sources import archive, day_tables
 from rollcall.streaming import feed, keyed, live
 
 DAYS = [date(2024, 1, 3), date(2024, 1, 4), date(2024, 1, 17)]
@@ -106,3 +108,74 @@ def keyed_play_time(t: Tables):
     keyed.start_keyed(dropped, tables, f"{folder}/checkpoint", "60 days", splits=2).awaitTermination()
     totals = tables.play_time().where(F.col("total").isin(list(KEYED)) & (F.col("play_time") != 0))
     return totals.select("total", "game_type", "clan", "player", "play_time")
+
+
+def all_days(rows) -> list[date]:
+    return [r.day for r in rows.select(F.to_date("ts").alias("day")).distinct().collect()]
+
+
+def event_names(t: Tables, column: str, number):
+    """(name, id) of the players or clans of the events."""
+    return t.events.select(F.col(column).cast("string").alias("name"), number.cast("int").alias("id")).dropna().distinct()
+
+
+@query("stored_player_days", with_cte("events", f"""
+SELECT {sql_day('day')} AS day, CAST(player AS BIGINT) AS player_id, CAST(play_time AS BIGINT) AS play_time FROM epday"""))
+def stored_player_days(t: Tables):
+    """Day tables of all days, written to their folders, some twice, and read back."""
+    rows, root = flat_events(t), new_folder(t, "days")
+    players, clans = event_names(t, "user_id", F.col("user_id")), event_names(t, "clan", F.substring("clan", 6, 9))
+    games = t.events.select(F.col("event_type").alias("name"), (F.crc32(F.col("event_type").cast("binary")) % (1 << 31)).cast("int").alias("id")).distinct()
+    for days in (all_days(rows), DAYS):
+        jobs.roll_up_days(rows, root, days, players, clans, games)
+    return day_tables.read_day_table(t.spark, root, "player_day")
+
+
+def streamed(t: Tables, name: str, stream, mode: str):
+    """What a stream over dropped files gives, run to its end: a folder sink with its own
+    ledger of batches, or for running results the rows of the last batch."""
+    folder = new_folder(t, name)
+    archive.to_archive(flat_events(t)).write.parquet(f"{folder}/drop")
+    rows = stream(feed.read_feed(t.spark, f"{folder}/drop"))
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/out")
+    else:
+        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"))
+    writer.start().awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+@query("closed_server_days", with_cte("events", f"""
+SELECT {sql_day('hour')} AS day, CAST(server AS BIGINT) AS server,
+       {sql_int('round(round(avg(client_sum / snapshot_count), 9))')} AS avg_clients,
+       {sql_int('max(max_clients)')} AS max_clients
+FROM (SELECT crc AS server, date_trunc('hour', ts) AS hour, count(*) AS snapshot_count,
+             sum(num_clients) AS client_sum, max(num_clients) AS max_clients
+      FROM eh JOIN (SELECT DISTINCT server, dense_rank() OVER (ORDER BY server) AS crc FROM eh) USING (server) GROUP BY 1, 2)
+WHERE client_sum > 0 AND CAST(hour AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) FROM eh) GROUP BY 1, 2"""))
+def closed_server_days(t: Tables):
+    """Days that the watermark has closed, from a stream into a folder; servers by rank of their name."""
+    closed = streamed(t, "days", lambda rows: feed.server_days(feed.unique_headers(rows, "1 hour")), "append")
+    names = t.events.select("event_type").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("event_type")))
+    numbers = names.select((F.crc32(F.col("event_type").cast("binary")) % (1 << 31)).cast("int").alias("server"), "n")
+    return closed.join(numbers, "server").select("day", F.col("n").alias("server"), "avg_clients", "max_clients")
+
+
+@query("streamed_states", with_cte("events", """
+SELECT server AS name, arg_max(snapshot_id, (ts, snapshot_id)) AS snapshot_id, arg_max(num_clients, (ts, snapshot_id)) AS num_clients
+FROM eh GROUP BY server"""))
+def streamed_states(t: Tables):
+    """Last header of every server, from a stream."""
+    columns = ["server", "ts", "snapshot_id", "server_name", "num_clients"]
+    last = streamed(t, "states", lambda rows: feed.latest_states(rows.select(*columns)), "complete")
+    return last.select(F.col("server_name").alias("name"), "snapshot_id", "num_clients")
+
+
+@query("streamed_counts", with_cte("events", """
+SELECT 'snapshots' AS entity, count(DISTINCT event_id) AS added, max(event_id) AS cursor FROM ev"""))
+def streamed_counts(t: Tables):
+    """Snapshots counted by a stream as they come."""
+    def ids(rows):
+        return feed.unique_headers(rows).select(F.lit("snapshots").alias("entity"), F.col("snapshot_id").alias("id"))
+    return streamed(t, "counts", lambda rows: feed.entity_counts(ids(rows)), "complete")

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.operators.history import watermark
+from rollcall.operators.history import id_intervals, outside, watermark
 from rollcall.schema import ARCHIVE, ARCHIVE_NAMES
-from rollcall.session import day_folders
+from rollcall.session import cut_lineage, day_folders, has_files, remove
 
 SORT = ["dt", "gameServerId", "createdAt", "snapshotId"]
 READ_SCHEMA = T.StructType([*ARCHIVE.fields, T.StructField("dt", T.DateType())])
@@ -86,14 +86,44 @@ def day_summary(flat: DataFrame) -> DataFrame:
     )
 
 
+MANIFEST = "first_id long, last_id long, snapshots long"
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Intervals of archived ids, a few rows per archive run."""
+    if not has_files(spark, f"{root}/_manifest/done"):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{root}/_manifest/done")
+
+
+def files_of(spark: SparkSession, root: str, days: list[date]) -> set[str]:
+    """Data files of some days; their folders are listed, nothing is opened."""
+    return set(read_archive(spark, root, days=days).inputFiles()) if days else set()
+
+
+def not_archived(due: DataFrame, root: str, days: list[date]) -> DataFrame:
+    """Ids of ``due`` that the archive doesn't hold. The manifest tells, unless there is
+    none yet or a run died between its files and its entry: then the days are read."""
+    spark, ids = due.sparkSession, due.select("snapshot_id").distinct()
+    sure = has_files(spark, f"{root}/_manifest/done") and not has_files(spark, f"{root}/_manifest/open")
+    if not sure and not files_of(spark, root, days):
+        return ids
+    if not sure:
+        held = read_archive(spark, root, days=days).select("snapshot_id").distinct()
+        return ids.join(held, "snapshot_id", "left_anti")
+    return outside(ids, manifest(spark, root))
+
+
 def archive_batch(hot: DataFrame, root: str, now: Column, hours: int) -> DataFrame:
     """Move what is past retention from the hot rows to the archive.
 
     The clock is read once: all steps go by the watermark id found then.
 
-    Writes the snapshots the archive does not hold yet (so a run that died half
-    way can simply run again), reads the days back and compares them with the
-    source before anything may be dropped. Returns the hot rows that stay.
+    Writes the snapshots the archive does not hold yet, by the manifest's intervals of
+    ids, then reads back the files it has written, and no others, and compares them with
+    the source before they are entered and anything may be dropped. A run that died half
+    way leaves an open mark, and the next one looks into the days themselves.
+    Returns the hot rows that stay.
     """
     spark = hot.sparkSession
     bound = watermark(hot, now, hours).first()[0]
@@ -101,13 +131,21 @@ def archive_batch(hot: DataFrame, root: str, now: Column, hours: int) -> DataFra
         return hot
     due = hot.where(F.col("snapshot_id") <= bound)
     days = [r.day for r in due.select(F.to_date("ts").alias("day")).distinct().collect()]
-    held = read_archive(spark, root, days=days).select("snapshot_id").distinct()
-    write_archive(due.join(held, "snapshot_id", "left_anti"), root)
-
-    written = read_archive(spark, root, days=days)
-    kept = written.join(due.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
-    expected, found = day_summary(due), day_summary(kept)
-    missing = expected.exceptAll(found)
-    if not missing.isEmpty():
+    # Kept before the archive changes: the mark and the files below would change what it says.
+    fresh = cut_lineage(not_archived(due, root, days))
+    before = files_of(spark, root, days)
+    mark = f"{root}/_manifest/open"
+    spark.range(1).write.mode("overwrite").parquet(mark)
+    rows = due.join(fresh, "snapshot_id", "left_semi")
+    write_archive(rows, root)
+
+    written = sorted(files_of(spark, root, days) - before)
+    found = spark.createDataFrame([], rows.schema)
+    if written:
+        back = spark.read.schema(READ_SCHEMA).option("basePath", root).parquet(*written)
+        found = from_archive(back).where(F.to_date("ts") == F.col("dt"))
+    if not day_summary(rows).exceptAll(day_summary(found)).isEmpty():
         raise RuntimeError(f"archive under {root} does not hold all rows; nothing retired")
-    return hot.join(kept.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
+    id_intervals(due).write.mode("append").parquet(f"{root}/_manifest/done")
+    remove(spark, mark)
+    return hot.where(F.col("snapshot_id") > bound)

@@ -51,13 +51,12 @@ def _by_format(value) -> Column:
 def decode_server_info(packets: DataFrame) -> DataFrame:
     """One row per recognised answer: source rank, header fields (null where
     the format has none), ``clients`` and whether the answer is well formed.
-    Datagrams that are no answers are skipped."""
-    known = [magic_hex(n) for n in FORMATS]
+    Datagrams that are no answers are skipped; an answer of an unknown format is a
+    malformed one."""
     text = F.expr(f"substring(payload, {BODY})").cast("string")
     rows = (
         packets.withColumn("_magic", F.hex(F.expr("substring(payload, 7, 8)")))
         .where(F.hex(F.expr("substring(payload, 1, 1)")) == PAYLOAD_MARK)
-        .where(F.col("_magic").isin(known))
         .withColumn("_fields", F.split(text, "\\x00"))
         .withColumn("_count", F.size("_fields") - 1)
         .withColumn("_base", _by_format(lambda rank, header, base, stride: F.lit(base)))
@@ -81,7 +80,7 @@ def decode_server_info(packets: DataFrame) -> DataFrame:
             F.coalesce(_number(field(4)) != 0, F.lit(True)).alias("in_game"),
         )
 
-    whole = (F.col("_count") >= F.col("_base")) & (
+    whole = F.col("_base").isNotNull() & (F.col("_count") >= F.col("_base")) & (
         F.col("_count") == F.col("_base") + F.col("_clients") * F.col("_stride")
     ) & (F.get("_fields", F.col("_count")) == "")
     # A list of one dummy index is cut away again for empty client lists.

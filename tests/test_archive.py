@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall import jobs
-from rollcall.operators import history, prepare, rollup
+from rollcall.operators import asof, history, prepare, rollup
 from rollcall.schema import FLAT
 from rollcall.sources import archive, day_tables
 from tests.conftest import rows
@@ -148,7 +148,7 @@ def test_clustered_ids_are_spread(spark):
     """Two thousand close ids and a far one: many ranges, none with most rows."""
     objects = spark.range(2000).union(spark.createDataFrame([(10**12,)], "id long")).select(
         F.col("id").alias("first_id"), (F.col("id") + 0).alias("last_id"), F.col("id").cast("string").alias("object"))
-    got = history.ordered_neighbours(objects, "first_id", "last_id", ["object"], 50)
+    got = asof.ordered_neighbours(objects, "first_id", "last_id", ["object"], 50)
     want = [(0, None), *((i, i - 1) for i in range(1, 2000)), (10**12, 1999)]
     assert sorted((r.first_id, r.prev_last_id) for r in got.collect()) == want
     cuts = objects.approxQuantile("first_id", [i / 50 for i in range(1, 50)], 0.004)
@@ -160,12 +160,52 @@ def test_tiling_states(spark):
         [("a", 1, 10), ("b", 11, 20), ("c", 25, 30), ("d", 28, 40), ("e", 41, 41)],
         "object string, first_id long, last_id long")
     for buckets in (1, 2, 1024):
-        got = history.ordered_neighbours(objects, "first_id", "last_id", ["object"], buckets)
+        got = asof.ordered_neighbours(objects, "first_id", "last_id", ["object"], buckets)
         assert rows(got, "first_id", "prev_last_id") == [(1, None), (11, 10), (25, 20), (28, 30), (41, 40)]
     assert [r.state for r in history.tiling(objects).orderBy("first_id").collect()] == [
         "first", "tile", "gap", "overlap", "tile"]
 
 
+def test_a_long_object_leaves_no_gap_behind(spark):
+    objects = spark.createDataFrame(
+        [("a", 1, 100), ("b", 10, 20), ("c", 50, 60), ("d", 101, 101), ("e", 103, 104)], "object string, first_id long, last_id long")
+    for buckets in (1, 2, 1024):
+        got = asof.highest_before(objects, "first_id", "last_id", ["object"], buckets)
+        assert rows(got, "first_id", "highest_last_id") == sorted([(1, None), (10, 100), (50, 100), (101, 100), (103, 101)], key=str)
+    assert [r.state for r in history.tiling(objects).orderBy("first_id").collect()] == ["first", "overlap", "overlap", "tile", "gap"]
+
+
+def test_intervals_of_ids(spark):
+    ids = [1, 2, 3, 3, 7, 65535, 65536, 65537, 200_000, -1]
+    df = spark.createDataFrame([(i,) for i in ids], "snapshot_id long")
+    got = history.id_intervals(df)
+    assert rows(got) == sorted([(1, 3, 3), (7, 7, 1), (65535, 65535, 1), (65536, 65537, 2), (200_000, 200_000, 1), (-1, -1, 1)], key=str)
+    asked = spark.createDataFrame([(i,) for i in (-2, -1, 0, 1, 3, 4, 7, 8, 65534, 65537, 65538, 65538, 300_000)], "snapshot_id long")
+    wider = got.unionByName(spark.createDataFrame([(2, 4, 3), (2, 2, 1)], got.schema))
+    assert rows(history.outside(asked, wider)) == sorted([(-2,), (0,), (8,), (65534,), (65538,), (300_000,)], key=str)
+
+
+def test_a_run_reads_what_it_wrote_and_no_more(spark, tmp_path, monkeypatch):
+    """The second run goes by the manifest; one that died is found by its mark."""
+    root, hot = str(tmp_path / "a"), month(spark)
+    read = []
+    whole = archive.read_archive
+    monkeypatch.setattr(archive, "files_of", lambda s, r, d: set(whole(s, r, days=d).inputFiles()))
+    monkeypatch.setattr(archive, "read_archive", lambda *a, **k: read.append(k) or whole(*a, **k))
+    archive.archive_batch(hot, root, F.lit(datetime(2024, 1, 6, 0, 5)), 48)
+    assert read == [] and archive.manifest(spark, root).agg(F.sum("snapshots")).first()[0] == 13
+    files = set(whole(spark, root).inputFiles())
+    late = hot.where("snapshot_id = 3").withColumn("snapshot_id", F.lit(0).cast("long"))
+    archive.archive_batch(hot.unionByName(late), root, F.lit(datetime(2024, 1, 6, 0, 5)), 48)
+    added = set(whole(spark, root).inputFiles()) - files
+    assert read == [] and len(added) == 1 and whole(spark, root).where("snapshot_id = 0").count() == late.count()
+    # Files without an entry: the run after it reads the days and writes nothing twice.
+    spark.range(1).write.parquet(f"{root}/_manifest/open")
+    archive.write_archive(hot.where("snapshot_id = 14"), root)
+    archive.archive_batch(hot, root, F.lit(datetime(2024, 2, 6)), 48)
+    assert len(read) == 1 and whole(spark, root).drop("dt").where("snapshot_id > 0").count() == hot.count()
+
+
 def test_one_history_from_hot_rows_and_archive(spark):
     df = month(spark)
     both = history.merged_history(df.where("snapshot_id > 5"), df.where("snapshot_id < 12"))

@@ -56,6 +56,14 @@ def test_answers_of_a_poll_merge(spark):
                    (2, "name1", "clan1", 10, True)]
 
 
+def test_an_unknown_format_spoils_its_poll(spark):
+    df = table(spark, (1, vanilla([A])), (1, answer("what", "tok", "x")), (2, vanilla([B])), (2, bytearray(b"\x04" + bytes(30))))
+    found = packets.decode_server_info(df)
+    assert rows(found, "poll", "valid") == [(1, False), (1, True), (2, True)]
+    headers, clients = packets.merge_polls(found)
+    assert rows(headers, "poll") == [(2,)] and rows(clients, "poll", "player") == [(2, "name2")]
+
+
 def test_master_lists(spark):
     v4 = bytes(10) + b"\xff\xff\x01\x02\x03\x04\x20\x6f"
     v6 = bytes.fromhex("20010db8000000000000000000000001") + b"\x20\x70"
