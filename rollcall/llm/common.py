@@ -81,7 +81,7 @@ BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 def word_pieces(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a text (runs of bytes other than ASCII blanks), in lists cut
-    from about ``size`` bytes, so that a very long text needs bounded memory."""
+    from about ``size`` bytes, so that a very long text takes bounded memory."""
     start = 0
     while start < len(text):
         cut = BLANK.search(text, min(start + size, len(text)))

@@ -45,7 +45,7 @@ def fit(
     least: float = 2.0,
 ) -> Forest:
     """Logistic boosting: each level is one histogram of gradients and curvatures
-    over (node, feature, bin); a split needs ``least`` curvature on both sides.
+    over (node, feature, bin); a split has ``least`` curvature on both sides.
     Without rows, or with one label only, all rows get the smoothed share of 1."""
     share = (y.sum() + 1) / (len(y) + 2)
     if not len(y) or y.min() == y.max():

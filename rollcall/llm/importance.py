@@ -187,7 +187,7 @@ def resample(
 
     All texts are read whole, twice: for the counts and for the scores; a text is
     taken in pieces of about four megabytes, cut at separators, so that a very long
-    one needs bounded memory. No text is shuffled; ranks come from a sort by range.
+    one takes bounded memory. No text is shuffled; ranks come from a sort by range.
 
     Null texts have no features and weight 0. A null doc_id counts as an empty text in
     the noise and comes last among equal scores. Rows that repeat a doc_id are

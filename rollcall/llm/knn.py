@@ -143,7 +143,7 @@ def top_k(
         nearest[r["cell"], r["at"] - 1] = r["away"]
 
     # Bounds per query cell: the k-th distance, and from it the least distance to
-    # its pivot that a data row of each cell needs to be of use.
+    # its pivot from which on a data row of each cell is of use.
     apart = distances(points, points)
     least, groups, filled = {}, {}, 0
     for c, r in sorted(asks.items()):

@@ -188,7 +188,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     the template of its fixed tokens and those that leave out a few of its runs of
     tokens (:func:`generalised`); a leaf holds any number of them. Equal lines, but for
     fields with digits, are a template from two documents on; one that leaves out runs
-    needs ``VARIANTS`` different lines beside, so that two sentences that differ in a
+    has ``VARIANTS`` different lines beside, so that two sentences that differ in a
     word or two are none. A line is dropped if it is equal to a line of a document with
     a smaller doc_id, or shares a template with such a line that stays there
     (:func:`folded`): whatever goes has its like in the output. Lines that repeat
