@@ -156,7 +156,7 @@ class LiveTables:
 
     def _process(self, rows: DataFrame, batch: int) -> None:
         before = self.last_states(batch)
-        self._write(self._times(rows), "times", batch)  # a best time needs no order
+        self._write(self._times(rows), "times", batch)  # a best time has no order
         reached = before.select("server", F.col("ts").alias("_reached"))
         marked = rows.join(reached, "server", "left")
         too_late = F.col("_reached").isNotNull() & (F.col("ts") <= F.col("_reached"))
