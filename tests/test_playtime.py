@@ -103,3 +103,23 @@ def test_positions_over_buckets(spark):
     df = spark.createDataFrame([("s", i // 3, i) for i in range(10)], "k string, b int, v int")
     got = rows(asof.positions(df, ["k"], "b", [F.col("v")]), "v", "position", "total")
     assert sorted(got) == [(i, i + 1, 10) for i in range(10)]
+
+
+def test_play_sessions(spark):
+    data = [("a", at(0)), ("a", at(5)), ("a", at(15)), ("a", at(25.5)), ("b", at(0)), ("b", at(0)), ("b", at(0, day=2))]
+    df = spark.createDataFrame(data, "player string, ts timestamp")
+    got = rows(playtime.play_sessions(df), "player", "started", "last_seen", "snapshots")
+    assert got == sorted([("a", at(0), at(15), 3), ("a", at(25.5), at(25.5), 1), ("b", at(0), at(0), 2), ("b", at(0, day=2), at(0, day=2), 1)], key=str)
+    assert playtime.play_sessions(df.limit(0)).count() == 0
+
+
+def test_play_sessions_of_a_stream_equal_the_batch(spark, tmp_path):
+    data = [(p, at(7 * i + 40 * (i // 3))) for i in range(9) for p in ("a", "b")]
+    df = spark.createDataFrame(data, "player string, ts timestamp")
+    for n, part in enumerate((df, spark.createDataFrame([("z", at(0, day=9))], df.schema))):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = (playtime.play_sessions(stream.withWatermark("ts", "1 hour")).writeStream.format("parquet").outputMode("append")
+             .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(playtime.play_sessions(df))
