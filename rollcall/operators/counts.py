@@ -47,6 +47,23 @@ def map_server_counts(maps: DataFrame, live: DataFrame) -> DataFrame:
     return with_counts(maps.select("map"), "map", server_count=live)
 
 
+def first_seen(known: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of new rows that are not known yet, once each; keys with a null are none.
+    ``known`` and these together are what is known next."""
+    return rows.select(*keys).dropna().distinct().join(known.select(*keys), list(keys), "left_anti")
+
+
+def moved_counts(stored: DataFrame, dim: DataFrame, key: str, **fresh: DataFrame) -> DataFrame:
+    """Counts kept up by new keys alone: the ``stored`` ones and what :func:`first_seen`
+    found since, table by table. A row of ``dim`` that isn't stored starts from zero; the
+    rows that were counted before are not read again."""
+    names = list(fresh)
+    now = with_counts(dim.select(key), key, **fresh)
+    before = stored.select(key, *[F.col(c).alias(f"_{c}") for c in names])
+    return now.join(before, key, "left").select(
+        key, *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0).cast("long"))).alias(c) for c in names])
+
+
 def differs(columns: Sequence[str], old: str, new: str) -> Column:
     """Null-safe: true when any column changed."""
     before = F.struct(*[F.col(f"{old}.{c}") for c in columns])

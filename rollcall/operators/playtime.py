@@ -38,6 +38,22 @@ def credited(headers: DataFrame, clients: DataFrame,
     return first_occurrence(observe(worth, present)).drop("ordinal")
 
 
+def credited_again(headers: DataFrame, clients: DataFrame, late: DataFrame) -> DataFrame:
+    """What the credits of all snapshots have beyond those without the ``late`` ones
+    (``snapshot_id``), as rows of :func:`credited`; credits may be negative. Headers
+    are measured twice; client rows are read for the snapshots that differ only: the
+    late ones and the next ones of their servers."""
+    zero = F.lit(0).cast("long")
+    on_time = elapsed(headers.join(late, "snapshot_id", "left_anti")).select("snapshot_id", F.col("credit").alias("_known"))
+    differ = (
+        elapsed(headers).join(on_time, "snapshot_id", "left")
+        .withColumn("credit", F.coalesce("credit", zero) - F.coalesce("_known", zero))
+        .where("credit <> 0").select("snapshot_id", "ts", "server", "map", "game_type", "credit")
+    )
+    present = clients.select("snapshot_id", "player", "clan", "ordinal")
+    return first_occurrence(observe(differ, present)).drop("ordinal")
+
+
 def play_time(credits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Total seconds per key; a missing clan is no clan."""
     if "clan" in keys:

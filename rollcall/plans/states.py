@@ -281,3 +281,17 @@ def rank_methods(t: Tables):
         t.read("events").select(F.col("event_type").alias("game_type"))).distinct()
     stored = found.withColumn("rank_method", F.lit(None).cast("string"))
     return state.set_rank_methods(stored, default_rank_methods(t.spark))
+
+
+@query("map_counts_moved", with_cte("orders", f", {RUNS}, {ALL_MAPS}\n" + count_sql(
+    "map", "SELECT map FROM maps", {"player_count": PLAYERS, "clan_count": CLANS})))
+def map_counts_moved(t: Tables):
+    """Counts of the rows up to 1998, moved by the pairs first seen after it."""
+    rows = prepare.observe(t.order_headers, t.order_clients).select("ts", "map", "player", "clan")
+    cut = F.lit("1998-01-01").cast("timestamp")
+    pairs = {"player_count": ["map", "player"], "clan_count": ["map", "clan"]}
+    none = t.spark.createDataFrame([], "map string, player string, clan string")
+    before = {c: counts.first_seen(none, rows.where(F.col("ts") < cut), keys) for c, keys in pairs.items()}
+    stored = counts.with_counts(all_maps(t).select("map"), "map", **before)
+    fresh = {c: counts.first_seen(before[c], rows.where(F.col("ts") >= cut), keys) for c, keys in pairs.items()}
+    return counts.moved_counts(stored, all_maps(t), "map", **fresh)

@@ -224,12 +224,13 @@ class LiveTables:
         result; returns how many late batches were taken in.
 
         ``history`` holds the flat rows of these servers, late ones included (the
-        archive and the hot rows). Credits of all their snapshots, less those of
-        their snapshots without the late ones, are what the live path missed. They
-        are written under the highest batch taken in, before its late rows go, so
-        a run that died half way only has to delete. Best times take late rows at
-        once. Elo changes of late rows are left out: they depend on the order in
-        which matches are rated, and ``rating.elo_rounds`` over the archive has them.
+        archive and the hot rows). The headers of a server with late rows are measured
+        with and without them; only snapshots whose credit differs, the late ones and
+        those right behind them, meet their clients. What the live path missed is
+        written under the highest batch taken in, before its late rows go, so a run that
+        died half way only has to delete. Best times take late rows at once. Elo changes
+        of late rows are left out: they depend on the order in which matches are rated,
+        and ``rating.elo_rounds`` over the archive has them.
         """
         done = max(self._batches("corrections"), default=-1)
         self._drop("late", done)
@@ -239,17 +240,9 @@ class LiveTables:
         late = self.spark.read.parquet(f"{self.root}/late").where(F.col("batch") <= taken[-1])
         history = history.withColumns({c: F.col(c).cast("string") for c in ("server", "map")})
         whole = history.join(late.select("server").distinct(), "server", "left_semi")
-        seen = whole.join(late.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
-
-        def totals(rows: DataFrame, sign: int) -> DataFrame:
-            credits = playtime.credited(headers_of(rows), clients_of(rows))
-            return playtime.all_totals(credits).withColumn("play_time", sign * F.col("play_time"))
-
         schema, keys, value, _ = DELTAS["playtime"]
-        missed = (
-            totals(whole, 1).unionByName(totals(seen, -1))
-            .groupBy(*keys).agg(F.sum(value).alias(value)).where(F.col(value) != 0)
-        )
+        credits = playtime.credited_again(headers_of(whole), clients_of(whole), late.select("snapshot_id").distinct())
+        missed = playtime.all_totals(credits).where(F.col(value) != 0)
         self._write(missed, "corrections", taken[-1])
         self._drop("late", taken[-1])
         return len(taken)

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -162,3 +163,21 @@ def test_half_open_range(headers):
 def test_ids_above_a_cursor(spark):
     assert counts.count_since(spark.range(5), 2).first() == (2, 4)
     assert counts.count_since(spark.range(5).where(F.col("id") > 9), 2).first() == (0, 2)
+
+
+def test_counts_moved_by_new_keys_equal_a_recount(spark):
+    """Three deltas; later ones read the stored counts and the known keys, not the rows."""
+    rnd = random.Random(3)
+    data = [(rnd.choice(["m1", "m2", None]), rnd.choice([None, *"abcdefg"]), rnd.choice([None, "x", "y"])) for _ in range(60)]
+    df = [spark.createDataFrame(data[i:i + 20], "map string, player string, clan string") for i in (0, 20, 40)]
+    maps = spark.createDataFrame([("m1",), ("m2",), ("m3",)], "map string")
+    pairs = {"player_count": ["map", "player"], "clan_count": ["map", "clan"]}
+    known = {c: df[0].select(*keys).limit(0) for c, keys in pairs.items()}
+    stored = counts.with_counts(maps.limit(0), "map", **{c: known[c] for c in pairs})
+    for n in range(3):
+        fresh = {c: counts.first_seen(known[c], df[n], keys) for c, keys in pairs.items()}
+        stored = counts.moved_counts(stored, maps, "map", **fresh)
+        known = {c: known[c].unionByName(fresh[c]) for c in pairs}
+        seen = data[:20 * n + 20]
+        want = [(m, len({p for a, p, _ in seen if a == m and p}), len({c for a, _, c in seen if a == m and c})) for m in ("m1", "m2", "m3")]
+        assert rows(stored, "map", "player_count", "clan_count") == want
