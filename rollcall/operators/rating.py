@@ -8,7 +8,7 @@ from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,17 +151,66 @@ def field_results(rated: DataFrame, block_players: int = BLOCK_PLAYERS) -> DataF
     )
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def chances_between(mine: pd.Series, theirs: pd.Series, their_players: pd.Series) -> pd.Series:
+    """Per row a block of ratings: the win chances of each against the ratings of
+    another block, each counted for its players."""
+    out = []
+    for r, other, players in zip(mine, theirs, their_players):
+        gap = np.clip(np.subtract.outer(r, other), -RATING_SPAN, RATING_SPAN)
+        out.append((1.0 / (1.0 + 10.0 ** (-gap / RATING_SPAN))) @ players)
+    return pd.Series(out)
+
+
+def large_field_results(rated: DataFrame, block_ratings: int = BLOCK_PLAYERS) -> DataFrame:
+    """The columns of :func:`field_results`, without comparing players.
+
+    Results follow from how many players of the match have a smaller or the same score
+    change: a count per change and a running sum over the changes of the match. Chances
+    follow from the distinct ratings and the players that have each: most players start
+    at the same one. Blocks of distinct ratings meet, never blocks of players, so a match
+    costs a sort and its distinct ratings squared, and no row or key grows with it.
+    """
+    match = "snapshot_id"
+    below = Window.partitionBy(match).orderBy("score_delta").rowsBetween(Window.unboundedPreceding, -1)
+    results = (
+        rated.groupBy(match, "score_delta").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("wins", F.coalesce(F.sum("_n").over(below), F.lit(0)) + 0.5 * (F.col("_n") - 1)).drop("_n")
+    )
+    blocks_needed = F.ceil(F.col("_players") / F.lit(block_ratings))
+    blocks = (
+        rated.groupBy(match, "rating").agg(F.count(F.lit(1)).alias("_n"), F.max("players").alias("_players"))
+        .withColumn("block", F.pmod(F.xxhash64("rating"), blocks_needed))
+        .groupBy(match, "block").agg(F.collect_list("rating").alias("mine"), F.collect_list("_n").alias("n"))
+    )
+    present = blocks.groupBy(match).agg(F.collect_list("block").alias("blocks"))
+    theirs = blocks.select(match, "block", F.col("mine").alias("theirs"), F.col("n").alias("their_players"))
+    chances = (
+        blocks.join(present, match).select(match, "mine", F.explode("blocks").alias("block"))
+        .join(theirs, [match, "block"])
+        .withColumn("expected", chances_between("mine", "theirs", "their_players"))
+        .select(match, F.inline(F.arrays_zip(F.col("mine").alias("rating"), "expected")))
+        .groupBy(match, "rating").agg((F.sum("expected") - 0.5).alias("expected"))  # less the one against oneself
+    )
+    return rated.join(results, [match, "score_delta"]).join(chances, [match, "rating"]).select(*rated.columns, "wins", "expected")
+
+
 def elo_round(matches: DataFrame, ratings: DataFrame, scope: str,
-              block_players: int = BLOCK_PLAYERS) -> DataFrame:
+              block_players: int = BLOCK_PLAYERS, large_players: int | None = None) -> DataFrame:
     """Rating change of every participant, all ratings read before the round.
 
     ``matches`` comes from :func:`ranked_matches`; the change is the mean over
-    opponents of K * (result - win chance).
+    opponents of K * (result - win chance). Where matches can be very large, those of
+    more than ``large_players`` players go by :func:`large_field_results`.
     """
     gain = K_FACTOR * (F.col("wins") - F.col("expected")) / (F.col("players") - 1)
-    return field_results(with_ratings(matches, ratings, scope), block_players).withColumn(
-        "elo_delta", gain
-    )
+    rated = with_ratings(matches, ratings, scope)
+    if large_players is None:
+        return field_results(rated, block_players).withColumn("elo_delta", gain)
+    large = F.col("players") > large_players
+    both = field_results(rated.where(~large), block_players).unionByName(
+        large_field_results(rated.where(large), block_players))
+    return both.withColumn("elo_delta", gain)
 
 
 def no_ratings(matches: DataFrame, scope: str) -> DataFrame:

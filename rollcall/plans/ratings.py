@@ -76,6 +76,16 @@ def elo_round(t: Tables):
     return changes.select("snapshot_id", "player", "elo_delta")
 
 
+@query("elo_round_large", with_cte("day", f"""
+{RATED}
+SELECT snapshot_id, player, {sql_num('25.0 * (wins - expected) / (players - 1)')} AS elo_delta
+FROM ({field_sql('rated')})"""))
+def elo_round_large(t: Tables):
+    """The same round; matches of more than a hundred players by sorting and distinct ratings."""
+    changes = rating.elo_round(day_matches(t), t.stored_ratings, "game_type", large_players=100)
+    return changes.select("snapshot_id", "player", "elo_delta")
+
+
 @query("rating_totals", with_cte("day", f"""
 {RATED}
 , changes AS (

@@ -225,3 +225,34 @@ def test_a_large_field_by_sorting():
     assert np.allclose(wins, result.sum(axis=1) - 0.5) and np.allclose(expected, chance.sum(axis=1) - 0.5)
     wins, _ = rating.whole_field(np.zeros(50_000), np.arange(50_000.0))
     assert (wins == np.arange(50_000)).all()
+
+
+def field(spark, data):
+    return spark.createDataFrame(data, "snapshot_id long, map int, player string, rating double, score_delta int, players long")
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_large_fields_equal_the_blocks(spark, block):
+    rnd = random.Random(block)
+    data = [(m, 1, f"p{i}", rnd.choice([0.0, 0.0, 900.0, -5.0, rnd.random() * 300]), rnd.randint(-2, 3), n) for m, n in enumerate([2, 3, 40, 75]) for i in range(n)]
+    df = field(spark, data)
+    norm = lambda d: sorted((r.snapshot_id, r.player, r.wins, round(r.expected, 9)) for r in d.collect())
+    want = norm(rating.field_results(df))
+    assert norm(rating.large_field_results(df, block)) == want and len(want) == 120
+    ratings = df.select("map", F.concat("snapshot_id", F.lit("/"), "player").alias("player"), "rating")
+    matches = df.withColumn("player", F.concat("snapshot_id", F.lit("/"), "player")).drop("rating")
+    norm = lambda d: sorted((r.player, round(r.elo_delta, 9)) for r in d.collect())
+    assert norm(rating.elo_round(matches, ratings, "map", block, 39)) == norm(rating.elo_round(matches, ratings, "map"))
+
+
+def test_a_match_of_fifty_thousand(spark):
+    n = 50_000
+    df = spark.range(n).select(
+        F.lit(1).cast("long").alias("snapshot_id"), F.lit(1).alias("map"), F.concat(F.lit("p"), "id").alias("player"),
+        F.when(F.col("id") % 10 < 8, 0.0).otherwise((F.col("id") % 997).cast("double")).alias("rating"),
+        (F.col("id") % 41 - 3).cast("int").alias("score_delta"), F.lit(n).cast("long").alias("players"))
+    got = rating.large_field_results(df).toPandas().sort_values("player")
+    pdf = df.toPandas().sort_values("player")
+    wins, expected = rating.whole_field(pdf["rating"].to_numpy(), pdf["score_delta"].to_numpy())
+    assert len(got) == n and (got["wins"].to_numpy() == wins).all() and np.allclose(got["expected"], expected)
+    assert abs(got["wins"].sum() - n * (n - 1) / 2) < 1 and abs(got["expected"].sum() - n * (n - 1) / 2) < 1
