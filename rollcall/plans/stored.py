@@ -14,7 +14,7 @@ from rollcall.plans.playtimes import tagged_sql, total_sql
 from rollcall.plans.registry import query, sql_day, sql_int
 from rollcall.session import shared_folder
 from rollcall.sources import archive, day_tables
-from rollcall.streaming import feed, keyed, live
+from rollcall.streaming import closed_days, feed, keyed, live
 
 DAYS = [date(2024, 1, 3), date(2024, 1, 4), date(2024, 1, 17)]
 MOVED_AT = "2024-01-20 00:00:00"
@@ -131,17 +131,13 @@ def stored_player_days(t: Tables):
     return day_tables.read_day_table(t.spark, root, "player_day")
 
 
-def streamed(t: Tables, name: str, stream, mode: str):
-    """What a stream over dropped files gives, run to its end: a folder sink with its own
-    ledger of batches, or for running results the rows of the last batch."""
+def streamed(t: Tables, name: str, stream):
+    """Running results of a stream over dropped files after its last batch."""
     folder = new_folder(t, name)
     archive.to_archive(flat_events(t)).write.parquet(f"{folder}/drop")
     rows = stream(feed.read_feed(t.spark, f"{folder}/drop"))
-    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        writer = writer.format("parquet").option("path", f"{folder}/out")
-    else:
-        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"))
+    writer = rows.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"))
     writer.start().awaitTermination()
     return t.spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
@@ -155,8 +151,14 @@ FROM (SELECT crc AS server, date_trunc('hour', ts) AS hour, count(*) AS snapshot
       FROM eh JOIN (SELECT DISTINCT server, dense_rank() OVER (ORDER BY server) AS crc FROM eh) USING (server) GROUP BY 1, 2)
 WHERE client_sum > 0 AND CAST(hour AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) FROM eh) GROUP BY 1, 2"""))
 def closed_server_days(t: Tables):
-    """Days that the watermark has closed, from a stream into a folder; servers by rank of their name."""
-    closed = streamed(t, "days", lambda rows: feed.server_days(feed.unique_headers(rows, "1 hour")), "append")
+    """Days that the watermark has closed, from a stream into day folders; one is written
+    again from history. Servers by rank of their name."""
+    folder, rows = new_folder(t, "days"), flat_events(t)
+    archive.to_archive(rows).write.parquet(f"{folder}/drop")
+    table = closed_days.ClosedDays(t.spark, f"{folder}/days")
+    closed_days.start_closed_days(feed.read_feed(t.spark, f"{folder}/drop"), table, f"{folder}/checkpoint", "1 hour").awaitTermination()
+    table.reopen(rows, DAYS[:1])
+    closed = table.read().withColumnRenamed("server_id", "server")
     names = t.events.select("event_type").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("event_type")))
     numbers = names.select((F.crc32(F.col("event_type").cast("binary")) % (1 << 31)).cast("int").alias("server"), "n")
     return closed.join(numbers, "server").select("day", F.col("n").alias("server"), "avg_clients", "max_clients")
@@ -168,7 +170,7 @@ FROM eh GROUP BY server"""))
 def streamed_states(t: Tables):
     """Last header of every server, from a stream."""
     columns = ["server", "ts", "snapshot_id", "server_name", "num_clients"]
-    last = streamed(t, "states", lambda rows: feed.latest_states(rows.select(*columns)), "complete")
+    last = streamed(t, "states", lambda rows: feed.latest_states(rows.select(*columns)))
     return last.select(F.col("server_name").alias("name"), "snapshot_id", "num_clients")
 
 
@@ -178,4 +180,4 @@ def streamed_counts(t: Tables):
     """Snapshots counted by a stream as they come."""
     def ids(rows):
         return feed.unique_headers(rows).select(F.lit("snapshots").alias("entity"), F.col("snapshot_id").alias("id"))
-    return streamed(t, "counts", lambda rows: feed.entity_counts(ids(rows)), "complete")
+    return streamed(t, "counts", lambda rows: feed.entity_counts(ids(rows)))

@@ -7,6 +7,7 @@ from rollcall import jobs
 from rollcall.operators import playtime, rating, rollup, state
 from rollcall.schema import FLAT
 from rollcall.sources.archive import to_archive
+from rollcall.streaming import closed_days
 from rollcall.streaming import feed as feeds
 from rollcall.streaming import live
 
@@ -87,6 +88,32 @@ def test_closed_days(spark, tmp_path):
     same(first, want, ["day", "server", "avg_clients", "max_clients"])
 
 
+def test_closed_days_are_written_once_and_reopened(spark, tmp_path):
+    """Day folders from a stream; a batch that runs again and a late row change what they should."""
+    df = polls(spark)
+    later = [df.withColumn("ts", F.col("ts") + F.expr(f"interval {n} days")).withColumn("snapshot_id", F.col("snapshot_id") + 1000 * n) for n in (0, 1, 4)]
+    for i, part in enumerate(later):
+        to_archive(part).coalesce(1).write.parquet(str(tmp_path / "drop" / str(i)))
+    table = closed_days.ClosedDays(spark, str(tmp_path / "days"))
+    run_all = lambda: closed_days.start_closed_days(feeds.read_feed(spark, f"{tmp_path}/drop/*", 1), table, str(tmp_path / "ck"), "1 hour").awaitTermination()
+    run_all()
+    run_all()
+    columns = ["day", "server", "avg_clients", "max_clients"]
+    got = lambda: table.read().withColumnRenamed("server_id", "server")
+    want = rollup.server_day(jobs.headers_of(later[0].unionByName(later[1])))
+    same(got(), want, columns)
+    entries = table.ledger().collect()
+    assert sorted(str(e.day) for e in entries) == ["2024-01-01", "2024-01-02"] and all(e.query and e.rows == 2 for e in entries)
+    # A late snapshot of the first day, behind the watermark: the day is written again.
+    late = df.where("snapshot_id = 47").withColumn("snapshot_id", F.lit(999).cast("long")).withColumn("num_clients", F.lit(90)).withColumn("ts", F.col("ts") + F.expr("interval 8 hours"))
+    whole = later[0].unionByName(later[1]).unionByName(late)
+    table.reopen(whole, [START.date()])
+    same(got(), rollup.server_day(jobs.headers_of(whole)), columns)
+    assert table.ledger().where(f"batch = {closed_days.REOPENED}").count() == 1
+    table.reopen(whole.limit(0), [START.date()])
+    assert [str(r.day) for r in got().select("day").distinct().collect()] == ["2024-01-02"]
+
+
 def test_latest_state_and_counts(spark, drops, tmp_path):
     stream = read(spark, drops, 2).select("server", "ts", "snapshot_id", "map", "num_clients")
     got = run(feeds.latest_states(stream), spark, "latest", "complete", tmp_path)
