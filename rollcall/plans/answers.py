@@ -4,6 +4,7 @@ decoded again."""
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rollcall.operators import prepare
 from rollcall.plans.fixtures import Tables, with_cte
 from rollcall.plans.registry import query, sql_int
 from rollcall.plans.rollups import nested_orders
@@ -61,6 +62,68 @@ def decode_headers(t: Tables):
     return headers.select("poll", "server_name", "map_name", "game_type", "num_clients", "max_clients")
 
 
+def packed(n: Column) -> Column:
+    """Hex digits of a whole number in the packed form of version 0.7."""
+    value = F.when(n < 0, F.bitwise_not(n)).otherwise(n)
+    sign = F.when(n < 0, 0x40).otherwise(0)
+    out = []
+    for at, bits in ((0, 6), (6, 7), (13, 7), (20, 7), (27, 7)):
+        here = F.shiftright(value, at).bitwiseAND((1 << bits) - 1)
+        more = F.shiftright(value, min(at + bits, 31)) > 0
+        byte = here + F.when(more, 0x80).otherwise(0) + (sign if at == 0 else 0)
+        written = F.lpad(F.hex(byte), 2, "0")
+        out.append(written if at == 0 else F.when(F.shiftright(value, at) > 0, written).otherwise(""))
+    return F.concat(*out)
+
+
+def packed_answers(t: Tables):
+    """An answer of version 0.7 per order; scores have one to five bytes."""
+
+    def text(c: Column) -> Column:
+        return F.concat(F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-8")), F.lit("00"))
+
+    at = F.col("ordinal")
+    part, line = at.l_partkey.cast("int"), at.l_linenumber.cast("int")
+    sized = F.call_function("shiftright", part % 100003 * 7919, line % 5 * 6)
+    flat = t.order_clients.select(
+        "snapshot_id", "ordinal", "player", "clan", (line - 4).alias("country"),
+        F.when(line % 2 == 0, -sized).otherwise(sized).alias("score"),
+        F.when(F.col("in_game"), 0).otherwise(1).alias("kind"))
+    headers = prepare.with_day(t.order_headers.select("snapshot_id", "ts", "server")).drop("ts")
+    orders = prepare.regroup(
+        headers.join(flat, "snapshot_id", "left"), ["player", "clan", "country", "score", "kind"]
+    ).join(
+        t.counted_order_headers.select("snapshot_id", "map", "game_type", "num_clients", "max_clients"), "snapshot_id")
+    zero = packed(F.lit(0))
+    head = [
+        zero, text(F.lit("0.7")), text(F.concat(F.lit("server "), F.col("server").cast("string"))), text(F.lit("host")),
+        text(F.col("map")), text(F.col("game_type")), zero, zero, zero, zero,
+        packed(F.col("num_clients")), packed(F.col("max_clients")),
+    ]
+    client = F.transform("clients", lambda c: F.concat(
+        text(c.player), text(c.clan), packed(c.country), packed(c.score), packed(c.kind)))
+    start = F.lit((b"\x21" + bytes(8) + b"\xff" * 4 + b"inf3").hex())
+    return orders.select(
+        F.col("snapshot_id").alias("poll"), F.lit(0).alias("arrival"),
+        F.unhex(F.concat(start, *head, F.array_join(client, ""))).alias("payload"))
+
+
+@query("decode_packed", with_cte("orders", f"""
+, sized AS (
+  SELECT snapshot_id, player, clan, in_game, l_linenumber AS line, nth,
+         ((l_partkey % 100003) * 7919) >> CAST((l_linenumber % 5) * 6 AS INTEGER) AS size
+  FROM oc)
+SELECT snapshot_id AS poll, 'server ' || CAST(server AS VARCHAR) AS server_name, map AS map_name,
+       {sql_int('max_clients')} AS max_clients, player, clan, {sql_int('line - 4')} AS country,
+       {sql_int('CASE WHEN line % 2 = 0 THEN -size ELSE size END')} AS score, in_game
+FROM ohc LEFT JOIN (SELECT * FROM sized WHERE nth = 1) USING (snapshot_id)"""))
+def decode_packed(t: Tables):
+    """Headers and clients of the packed answers; a poll without clients has one row."""
+    headers, clients = packets.merge_polls(packets.decode_server_info(packed_answers(t)))
+    return headers.join(clients, "poll", "left").select(
+        "poll", "server_name", "map_name", "max_clients", "player", "clan", "country", "score", "in_game")
+
+
 @query("decode_master_list", """
 SELECT CAST(c_nationkey AS BIGINT) AS poll,
        CAST((c_custkey >> 24) & 255 AS VARCHAR) || '.' || CAST((c_custkey >> 16) & 255 AS VARCHAR) || '.' ||

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the wire format. Six padding bytes, four 0xff bytes and a
-# four-letter name come first, then NUL-terminated fields.
-BODY = 15
+# Fixed values of the wire format. Padding bytes (six, or nine in version 0.7),
+# four 0xff bytes and a four-letter name come first, then NUL-terminated fields.
 PAYLOAD_MARK = "FF"
+PAYLOAD_MARKS_7 = ("20", "21", "22", "23")
 MAGIC = "FFFFFFFF"
 
 # name -> (rank among sources, header field positions, first client field,
@@ -24,7 +24,15 @@ FORMATS = {
     "dtsf": (1, (1, 2, 3, 4, 6, 7, 8, 9), 11, 5),
     "iext": (2, (1, 2, 3, 6, 8, 9, 10, 11), 13, 6),
     "iex+": (3, None, 2, 6),
+    "inf3/7": (4, (1, 2, 4, 5, 8, 9, 10, 11), 12, 5),
 }
+# Version 0.7 packs whole numbers into one to five bytes: an extend bit, a sign bit
+# and six bits, then extend bits and seven bits each, lowest first. The bytes are
+# read as ISO 8859-1, so a character is a byte. Numbers cut off at the end are 0.
+TEXT_7 = r"([^\x00]*+)\x00"
+NUMBER_7 = r"([\x80-\xff]{4}(?:[\x00-\xff]|\z)|[\x80-\xff]{0,3}(?:[\x00-\x7f]|\z))"
+HEAD_7 = r"\A" + NUMBER_7 + 5 * TEXT_7 + 6 * NUMBER_7
+CLIENT_7 = r"\G" + 2 * TEXT_7 + 3 * NUMBER_7
 MASTER_LIST = "lis2"
 RECORD = 18
 IPV4_PREFIX = "00000000000000000000FFFF"
@@ -43,21 +51,79 @@ def _by_format(value) -> Column:
     column = None
     for name, spec in FORMATS.items():
         branch = value(*spec)
-        test = F.col("_magic") == magic_hex(name)
+        test = F.col("_format") == name
         column = F.when(test, branch) if column is None else column.when(test, branch)
     return column
 
 
+def _start(payload: str = "payload") -> Column:
+    """Where the four 0xff bytes begin, from 1; null for other datagrams."""
+    first = F.hex(F.expr(f"substring({payload}, 1, 1)"))
+    return F.when(first == PAYLOAD_MARK, 7).when(first.isin(*PAYLOAD_MARKS_7), 10)
+
+
+def _format() -> Column:
+    """Name of the format, null if unknown."""
+    magic = F.hex(F.expr("substring(payload, _start, 8)"))
+    found = F.when((magic == magic_hex("inf3")) & (F.col("_start") == 10), "inf3/7")
+    for name in FORMATS:
+        found = found.when(magic == magic_hex(name), name)
+    return found
+
+
+def unpacked_number(piece: Column) -> Column:
+    """Value of a packed number, given as a text of a character per byte."""
+    byte = [F.ascii(F.substring(piece, i, 1)) for i in range(1, 6)]
+    value = byte[0].bitwiseAND(0x3F)
+    for i, mask in enumerate((0x7F, 0x7F, 0x7F, 0x0F)):
+        value = value.bitwiseOR(F.shiftleft(byte[i + 1].bitwiseAND(mask), 6 + 7 * i))
+    return F.when(byte[0].bitwiseAND(0x40) != 0, F.bitwise_not(value)).otherwise(value)
+
+
+def _fields_7(body: Column, head: Column, clients: Column) -> Column:
+    """Fields of a 0.7 answer as texts, like those of the formats with NULs only; null
+    if its bytes aren't a head and whole clients."""
+
+    def text(source: Column, pattern: str, group: int) -> Column:
+        return F.encode(F.regexp_extract(source, pattern, group), "ISO-8859-1").cast("string")
+
+    def number(source: Column, pattern: str, group: int) -> Column:
+        return unpacked_number(F.regexp_extract(source, pattern, group))
+
+    def client(c: Column) -> Column:
+        playing = number(c, CLIENT_7, 5).bitwiseAND(1) == 0  # 1: spectator, 2: bot
+        return F.array(
+            text(c, CLIENT_7, 1), text(c, CLIENT_7, 2), number(c, CLIENT_7, 3).cast("string"),
+            number(c, CLIENT_7, 4).cast("string"), F.when(playing, "1").otherwise("0"))
+
+    first = [
+        text(head, HEAD_7, i) if 2 <= i <= 6 else number(head, HEAD_7, i).cast("string") for i in range(1, 13)
+    ]
+    whole = (head != "") & (F.length(head) + F.length(F.array_join(clients, "")) == F.length(body))
+    return F.when(whole, F.concat(F.array(*first), F.flatten(F.transform(clients, client)), F.array(F.lit(""))))
+
+
 def decode_server_info(packets: DataFrame) -> DataFrame:
     """One row per recognised answer: source rank, header fields (null where
     the format has none), ``clients`` and whether the answer is well formed.
+    Formats are those of version 0.6 and the packed one of 0.7.
     Datagrams that are no answers are skipped; an answer of an unknown format is a
     malformed one."""
-    text = F.expr(f"substring(payload, {BODY})").cast("string")
+    packed = F.col("_format") == "inf3/7"
+    body = F.expr("substring(payload, _start + 8)")
+    rest = F.expr("substring(_body, length(_head) + 1)")
     rows = (
-        packets.withColumn("_magic", F.hex(F.expr("substring(payload, 7, 8)")))
-        .where(F.hex(F.expr("substring(payload, 1, 1)")) == PAYLOAD_MARK)
-        .withColumn("_fields", F.split(text, "\\x00"))
+        packets.withColumn("_start", _start())
+        .where("_start is not null")
+        .withColumn("_format", _format())
+        .withColumn("_body", F.when(packed, F.decode(body, "ISO-8859-1")))
+        .withColumn("_head", F.when(packed, F.regexp_extract("_body", HEAD_7, 0)))
+        .withColumn("_found", F.when(packed, F.regexp_extract_all(rest, F.lit(CLIENT_7), F.lit(0))))
+        # A list of one: filters on what follows can't be pushed below, where they
+        # would repeat all of the above for each field that they name.
+        .select("poll", "arrival", "_format", F.explode(F.array(
+            F.when(packed, _fields_7(F.col("_body"), F.col("_head"), F.col("_found")))
+            .otherwise(F.split(body.cast("string"), "\\x00")))).alias("_fields"))
         .withColumn("_count", F.size("_fields") - 1)
         .withColumn("_base", _by_format(lambda rank, header, base, stride: F.lit(base)))
         .withColumn("_stride", _by_format(lambda rank, header, base, stride: F.lit(stride)))
@@ -138,11 +204,8 @@ def merge_polls(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 def decode_master_list(packets: DataFrame) -> DataFrame:
     """``poll, arrival, ordinal, ip, port`` of every listed server. Addresses
     mapped from IPv4 are dotted, others are groups of hex digits."""
-    first = F.hex(F.expr("substring(payload, 1, 1)"))
-    # The newer header is three bytes longer.
-    start = F.when(first == PAYLOAD_MARK, 7).when(first.isin("20", "21", "22", "23"), 10)
     rows = (
-        packets.withColumn("_start", start)
+        packets.withColumn("_start", _start())
         .where(F.hex(F.expr("substring(payload, _start, 8)")) == magic_hex(MASTER_LIST))
         .withColumn("_n", F.expr(f"(length(payload) - _start - 7) div {RECORD}").cast("int"))
         .where(F.col("_n") > 0)

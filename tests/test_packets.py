@@ -64,6 +64,68 @@ def test_an_unknown_format_spoils_its_poll(spark):
     assert rows(headers, "poll") == [(2,)] and rows(clients, "poll", "player") == [(2, "name2")]
 
 
+def packed(value):
+    """A whole number in the packed form of version 0.7."""
+    sign, value = (0x40, ~value) if value < 0 else (0, value)
+    out, value = [sign | value & 0x3F], value >> 6
+    while value:
+        out[-1] |= 0x80
+        out.append(value & 0x7F)
+        value >>= 7
+    return bytes(out)
+
+
+def answer7(*fields, magic="inf3"):
+    body = b"".join(packed(f) if isinstance(f, int) else f.encode() + b"\0" for f in fields)
+    return bytearray(b"\x21" + bytes(range(1, 9)) + b"\xff" * 4 + magic.encode() + body)
+
+
+HEAD7 = (0, "0.7.5", "srv ü", "host", "ctf5", "CTF", 1, 1, 1, 8, 2, 16)
+
+
+def test_packed_numbers(spark):
+    values = [0, 1, 63, 64, -1, -64, -65, 8191, 8192, 1234567, -1234567, 2**27 - 1, 2**27, 2**31 - 1, -2**31]
+    df = spark.createDataFrame([(v, bytearray(packed(v))) for v in values], "v long, b binary")
+    got = df.select("v", packets.unpacked_number(F.decode("b", "ISO-8859-1")).alias("got")).collect()
+    assert len(got) == len(values) and all(r.v == r.got for r in got)
+
+
+def test_merging_does_not_repeat_the_decoding(spark):
+    _, clients = packets.merge_polls(packets.decode_server_info(table(spark, (1, vanilla([A])))))
+    # Once for the answers and once for the spoiled polls.
+    assert clients._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
+
+
+def test_packed_answers(spark):
+    many = [f for i in range(200) for f in (f"p{i}", "", i * 1000 - 50, -i * 777777, i % 4)]
+    df = table(
+        spark, (1, answer7(*HEAD7, "player1", "clän1", -1, 10, 0, "spectator1", "", 64, -3, 1)), (2, answer7(*HEAD7)),
+        (3, answer7(*HEAD7, *many)), (4, bytearray(b"\x04" + bytes(11))), (5, vanilla([A])),
+        (5, answer7(*HEAD7, "name1", "seven", 7, -7, 3)))
+    found = packets.decode_server_info(df)
+    assert all(r.valid and r.has_header for r in found.collect())
+    headers, clients = packets.merge_polls(found)
+    assert rows(headers, "poll", *packets.HEADER)[0] == (1, "0.7.5", "srv ü", "ctf5", "CTF", 1, 8, 2, 16)
+    assert rows(headers, "poll") == [(1,), (2,), (3,), (5,)]
+    got = [tuple(r) for r in clients.orderBy("poll", "ordinal").select(
+        "poll", "player", "clan", "country", "score", "in_game").collect()]
+    assert got[:2] == [(1, "player1", "clän1", -1, 10, True), (1, "spectator1", None, 64, -3, False)]
+    assert got[2:-1] == [(3, f"p{i}", None, i * 1000 - 50, -i * 777777, i % 2 == 0) for i in range(200)]
+    assert got[-1] == (5, "name1", "seven", 7, -7, False)
+
+
+def test_broken_packed_answers(spark):
+    whole = answer7(*HEAD7, "player1", "c", -1, 100000, 0)
+    df = table(
+        spark, (1, whole[:-2]), (2, whole[:-8]), (3, answer7(*HEAD7[:-2])), (4, answer7(*HEAD7[:4])[:-1]),
+        (5, answer7(0)), (6, answer7(*HEAD7, magic="what")))
+    got = {r.poll: r for r in packets.decode_server_info(df).collect()}
+    # Numbers that are cut off count as 0, unterminated texts and unknown formats are malformed.
+    assert {p: r.valid for p, r in got.items()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
+    assert [tuple(c) for c in got[1].clients] == [("player1", "c", -1, 100000 & 0x1FFF, True)]
+    assert (got[3].max_players, got[3].num_clients, got[3].max_clients) == (8, 0, 0)
+
+
 def test_master_lists(spark):
     v4 = bytes(10) + b"\xff\xff\x01\x02\x03\x04\x20\x6f"
     v6 = bytes.fromhex("20010db8000000000000000000000001") + b"\x20\x70"
@@ -76,5 +138,5 @@ def test_master_lists(spark):
 
 
 def test_decoding_stays_in_the_engine(spark):
-    plan = packets.decode_server_info(table(spark, (1, vanilla([A]))).withColumn("x", F.lit(1)))
+    plan = packets.decode_server_info(table(spark, (1, vanilla([A])), (2, answer7(*HEAD7))).withColumn("x", F.lit(1)))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
