@@ -9,10 +9,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import A_TO_Z
+from rollcall.llm.common import A_TO_Z, staged
 
 MOST_URLS = 20_000  # labelled URLs at most that the trees are fitted on
 PRIOR = 10.0  # weight of the overall share in a suffix's share
+FOLDS = 5  # of hosts: a row's suffix is described by the other folds' rows while fitting
 
 
 @dataclass(frozen=True)
@@ -91,17 +92,88 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _suffixes(sample: DataFrame) -> tuple[DataFrame, float]:
-    """Smoothed share of blocked URLs per suffix, and the overall share."""
-    overall = sample.agg(F.avg("label")).first()[0] or 0.0
-    share = (F.sum("label") + F.lit(PRIOR * overall)) / (F.count(F.lit(1)) + F.lit(PRIOR))
-    seen = sample.groupBy("suffix").agg(share.alias("f_suffix"), F.log1p(F.count(F.lit(1))).alias("f_suffix_seen"))
-    return seen, overall
+def _share(blocked: Column, rows: Column, overall: float) -> list[Column]:
+    """Smoothed share of blocked URLs, and how many it rests on."""
+    share = (blocked + F.lit(PRIOR * overall)) / (rows + F.lit(PRIOR))
+    return [share.alias("f_suffix"), F.log1p(rows).alias("f_suffix_seen")]
 
 
-def _with_suffix(rows: DataFrame, seen: DataFrame, overall: float) -> DataFrame:
-    """``seen`` has a row per suffix of the sample, MOST_URLS at most."""
-    return rows.join(F.broadcast(seen), "suffix", "left").fillna({"f_suffix": overall, "f_suffix_seen": 0.0})
+def _out_of_fold(known: DataFrame, overall: float) -> DataFrame:
+    """``known`` with the share of its suffix among rows of other folds of hosts, so
+    that no label, and no label of the same host, describes the row it is fitted on."""
+    sums = [F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n")]
+    own = known.groupBy("suffix", "fold").agg(*sums)
+    total = own.groupBy("suffix").agg(F.sum("blocked").alias("all_blocked"), F.sum("n").alias("all_n"))
+    others = own.join(total, "suffix").select(
+        "suffix", "fold", *_share(F.col("all_blocked") - F.col("blocked"), F.col("all_n") - F.col("n"), overall))
+    return known.join(others, ["suffix", "fold"])
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """``rows`` (url, host, path) with their lexical features."""
+    return rows.select("*", *[c.alias(n) for n, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
+
+
+class Learned:
+    """Boosted trees fitted on described URLs (url, host, path, suffix, label 0.0 or 1.0)."""
+
+    def __init__(self, known: DataFrame, trees: int, depth: int):
+        known = known.withColumn("fold", F.pmod(F.xxhash64("host", F.lit("fold")), F.lit(FOLDS)))
+        self.overall = known.agg(F.avg("label")).first()[0]
+        # A row per suffix of the sample, as many as its URLs at most.
+        self.seen = staged(known.groupBy("suffix").agg(*_share(F.sum("label"), F.count(F.lit(1)), self.overall)))
+        names = [*lexical(F.col("url"), F.col("host"), F.col("path")), "f_suffix", "f_suffix_seen"]
+        self.assemble = VectorAssembler(inputCols=names, outputCol="features")
+        learner = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, labelCol="label", featuresCol="features")
+        self.model = learner.fit(self.assemble.transform(_out_of_fold(known, self.overall)).select("label", "features"))
+
+    def judged(self, rows: DataFrame) -> DataFrame:
+        """Described ``rows`` with a ``prediction``, 1.0 to block."""
+        rows = rows.join(F.broadcast(self.seen), "suffix", "left")
+        rows = rows.fillna({"f_suffix": self.overall, "f_suffix_seen": 0.0})
+        return self.model.transform(self.assemble.transform(rows))
+
+
+def with_parts(pages: DataFrame, rules: list[Rule], page_id: str, url: str) -> DataFrame:
+    """(page_id, url, host, path, fit, suffix): ``fit`` is the rule that decides."""
+    rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"))
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    return rows.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).withColumn("suffix", suffix_of(F.col("host")))
+
+
+def known_urls(rows: DataFrame, labelled: DataFrame | None, most: int) -> DataFrame:
+    """Described URLs with a label: those of ``labelled``, or else the verdicts of
+    rules; ``most`` distinct ones at most, chosen by hash, none with both labels."""
+    if labelled is None:
+        known = rows.where("fit is not null").select("url", (F.col("fit.verdict") == "block").cast("int").alias("label"))
+    else:
+        known = labelled.select("url", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+    known = (
+        known.where("url is not null").groupBy("url").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+        .where("label = other").drop("other")
+        .orderBy(F.xxhash64("url"), "url").limit(most)
+        .withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+        .withColumn("suffix", suffix_of(F.col("host")))
+    )
+    return _described(known).withColumn("label", F.col("label").cast("double"))
+
+
+def held_out(
+    pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, page_id: str = "page_id", url: str = "url",
+    most: int = MOST_URLS, trees: int = 20, depth: int = 4,
+) -> DataFrame:
+    """(label, prediction, urls): how trees fitted without a fifth of the hosts, chosen
+    by hash, judge the URLs of those hosts. No rows if the others' labels are of one kind."""
+    known = known_urls(with_parts(pages, rules, page_id, url), labelled, most).persist()
+    try:
+        out = F.pmod(F.xxhash64("host", F.lit("held out")), F.lit(5)) == 0
+        rest = known.where(~out)
+        if rest.select("label").distinct().count() < 2:
+            return known.sparkSession.createDataFrame([], "label double, prediction double, urls long")
+        judged = Learned(rest, trees, depth).judged(known.where(out))
+        return staged(judged.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("urls")))
+    finally:
+        known.unpersist()
 
 
 def judge(
@@ -116,39 +188,23 @@ def judge(
     last two labels. They learn from ``labelled`` (url, label: 1 to block, 0 to
     allow), by default from the pages that a rule decides; at most ``most``
     distinct URLs, chosen by hash, are used and a URL with both labels isn't.
-    Without labels of both kinds the method allows all.
+    While fitting, a suffix's share comes from other hosts only; :func:`held_out`
+    measures the trees on hosts they haven't seen. Without labels of both kinds
+    the method allows all.
 
     Null URLs and URLs without :// have an empty host and path and are judged by
     the method as well. Every row, repeated or with a null id, gets one; extra
     columns are ignored; an empty table gives no rows.
     """
-    rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"))
-    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    rows = rows.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).withColumn("suffix", suffix_of(F.col("host")))
-    if labelled is None:
-        known = rows.where("fit is not null").select("url", (F.col("fit.verdict") == "block").cast("int").alias("label"))
-    else:
-        known = labelled.select("url", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
-    known = (
-        known.where("url is not null").groupBy("url").agg(F.min("label").alias("label"), F.max("label").alias("other"))
-        .where("label = other").drop("other")
-        .orderBy(F.xxhash64("url"), "url").limit(most)
-        .withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-        .withColumn("suffix", suffix_of(F.col("host")))
-        .select("*", *[c.alias(n) for n, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
-        .withColumn("label", F.col("label").cast("double")).persist()
-    )
-    kinds = known.select("label").distinct().count()
-    if kinds < 2:
+    rows = with_parts(pages, rules, page_id, url)
+    known = known_urls(rows, labelled, most).persist()
+    try:
+        if known.select("label").distinct().count() < 2:
+            return _verdicts(rows.withColumn("prediction", F.lit(0.0)))
+        learned = Learned(known, trees, depth)
+    finally:
         known.unpersist()
-        return _verdicts(rows.withColumn("prediction", F.lit(0.0)))
-    seen, overall = _suffixes(known)
-    names = [*lexical(F.col("url"), F.col("host"), F.col("path")), "f_suffix", "f_suffix_seen"]
-    assemble = VectorAssembler(inputCols=names, outputCol="features")
-    learner = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, labelCol="label", featuresCol="features")
-    model = learner.fit(assemble.transform(_with_suffix(known, seen, overall)).select("label", "features"))
-    described = rows.select("*", *[c.alias(n) for n, c in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
-    return _verdicts(model.transform(assemble.transform(_with_suffix(described, seen, overall))))
+    return _verdicts(learned.judged(_described(rows)))
 
 
 def _verdicts(rows: DataFrame) -> DataFrame:

@@ -424,6 +424,28 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), RULES).collect() == []
 
 
+def test_suffixes_are_described_by_other_hosts(spark):
+    rows = [(f"http://h{i}.site{i}.net/", f"h{i}.site{i}.net", f"site{i}.net", float(i % 2), i % 5) for i in range(20)]
+    rows += [(f"http://w{i}.shared.net/", f"w{i}.shared.net", "shared.net", float(i == 0), i) for i in range(2)]
+    known = spark.createDataFrame(rows, "url string, host string, suffix string, label double, fold int")
+    got = {r.url: r for r in urls._out_of_fold(known, 0.5).collect()}
+    assert len(got) == len(rows)
+    # A suffix with one host tells nothing; one with two tells each the other's label.
+    assert all(got[r[0]].f_suffix == 0.5 and got[r[0]].f_suffix_seen == 0 for r in rows[:20])
+    assert got["http://w0.shared.net/"].f_suffix == 5 / 11 and got["http://w1.shared.net/"].f_suffix == 6 / 11
+
+
+def test_urls_of_hosts_not_seen(spark):
+    pages = [(f"https://www.news{i}.org/article/{i % 7}",) for i in range(150)]
+    pages += [(f"http://x{i}8391.win{i}.biz/?id={i}&sid=77{i}&t=9",) for i in range(150)]
+    df = spark.createDataFrame([(i, u) for i, (u,) in enumerate(pages)], "page_id long, url string")
+    rules = [urls.Rule("allow", "org", "/"), urls.Rule("block", "biz", "/")]
+    got = urls.held_out(df, rules).collect()
+    assert 20 <= sum(r.urls for r in got) <= 120
+    assert sum(r.urls for r in got if r.label == r.prediction) >= 0.9 * sum(r.urls for r in got)
+    assert urls.held_out(df, rules[:1]).collect() == urls.held_out(df.limit(0), rules).collect() == []
+
+
 def test_urls_learn_from_labels(spark):
     good = [(f"http://site{i}.example.net/en/{i}", 0) for i in range(150)]
     bad = [(f"http://w{i}w.cheap-pills-{i}.example.info/buy/now/{i}{i}?a={i}&b=2&c=3", 1) for i in range(150)]
