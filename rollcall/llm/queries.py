@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import public_tokenizers
@@ -174,7 +175,10 @@ PII_KEY = "rollcall.pii.key"  # setting that holds the secret; without it a key
 
 @query
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get(PII_KEY, "trial key")
+    key = spark.conf.get(PII_KEY, "")
+    if not key:
+        warnings.warn(f"{PII_KEY} is not set: pseudonyms of a public trial key can be turned back", stacklevel=2)
+        key = "trial key"
     return pii.pseudonymise(table(spark, sf_dir, "documents"), key.encode())
 
 
