@@ -62,13 +62,28 @@ def test_top_k(spark, sizes):
 
 
 def test_top_k_prunes_far_cells(spark):
-    """Rows around two far points: queries near one need the other's rows no more."""
-    m = np.concatenate([vectors(2, 80) * 0.01 + 5, vectors(3, 80) * 0.01 - 5])
+    """Rows around eight far points: the queries lie near two of them and get no others' rows."""
+    rng = np.random.default_rng(2)
+    points = 8 * np.eye(8)
+    m = (points[np.arange(320) % 8] + rng.normal(size=(320, 8)) * 0.01).astype(np.float32)
     df = spark.createDataFrame([(i, [float(x) for x in v], 0, "s", 1) for i, v in enumerate(m)], VECTORS)
-    got = knn.top_k(df, df.where("vec_id < 10"), k=3, pivots=4, queries_per_group=4, rows_per_block=16).collect()
-    w = np.floor(1024 * m.astype(np.float32).astype(np.float64)).astype(np.int64)
-    for r in got:
-        assert r["score"] == sorted((int(x) for i, x in enumerate(w @ w[r["query_id"]]) if i != r["query_id"]), reverse=True)[r["rank"] - 1]
+    asked = df.where("vec_id < 80 and vec_id % 8 in (1, 4)")
+    sizes = {"pivots": 64, "queries_per_group": 1, "rows_per_block": 16}
+    units, least, _ = knn.search_units(df, asked, 3, "vec_id", "embedding", 1024, **sizes)
+    rows = units.where("not asks").collect()
+    assert rows and {r["vec_id"] % 8 for r in rows} == {1, 4}
+    of = {(r["grp"], r["cell"]) for r in units.where("asks").collect()}
+    assert all(any(r["away"] >= least[c][r["cell"]] for g, c in of if g == r["grp"]) for r in rows)
+    # One group for all queries: rows of both points are in each block, and each cell skips the other's.
+    for per_group in (1, 1000):
+        got = knn.top_k(df, asked, k=3, **sizes | {"queries_per_group": per_group}).collect()
+        w = np.floor(1024 * m.astype(np.float64)).astype(np.int64)
+        want = []
+        for q in [i for i in range(80) if i % 8 in (1, 4)]:
+            s = w @ w[q]
+            best = sorted((-int(s[i]), i) for i in range(320) if i != q)[:3]
+            want += [(q, r + 1, i, -x) for r, (x, i) in enumerate(best)]
+        assert sorted(tuple(r) for r in got) == sorted(want)
 
 
 def test_top_k_few_and_none(spark):
@@ -80,9 +95,10 @@ def test_top_k_few_and_none(spark):
     assert knn.top_k(df, df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_embedding_links(spark, monkeypatch, block):
-    monkeypatch.setattr(embedding_dedup, "ROWS_PER_CELL", 20)
+@pytest.mark.parametrize("shape", [(1, 4), (4, 4), (3, 5)])
+@pytest.mark.parametrize("block", [4096, 7])
+def test_embedding_links(spark, monkeypatch, block, shape):
+    monkeypatch.setattr(embedding_dedup, "SHAPES", [shape])
     m = vectors(4, 200)
     labels = [(i * 7) % 3 for i in range(200)]
     rows = [(i, [float(x) for x in v], labels[i], "s", 1) for i, v in enumerate(m)]
@@ -100,6 +116,39 @@ def test_embedding_links(spark, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize("shape", [(1, 4), (4, 4), (8, 8)])
+def test_tree_lets_each_near_pair_meet_once(shape):
+    m = vectors(7, 400).astype(np.float64)
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    reach = embedding_dedup.reach_of(0.98)
+    tree = embedding_dedup.Tree(unit, *shape)
+    cell, angle = tree.angles(unit)
+    tree.bound(cell, angle, angle)
+    row, cell, own = tree.deal(unit, reach)
+    held = [set(cell[row == i].tolist()) for i in range(len(unit))]
+    assert len(set(zip(row.tolist(), cell.tolist()))) == len(row) and all(own[i] in held[i] for i in range(len(unit)))
+    near = np.linalg.norm(unit[:, None] - unit[None], axis=2) <= reach
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        assert sum(c in (own[i], own[j]) for c in held[i] & held[j]) == 1
+
+
+def test_cells_follow_clusters_and_rows():
+    """Clustered vectors get cells by their number; noise, of which every cell borders on most, gets few."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(300, 64))
+    clustered = centres[rng.integers(0, 300, 8192)] + rng.normal(size=(8192, 64)) * 0.02
+    noise = rng.normal(size=(8192, 64))
+    trees = {}
+    for name, m in (("clustered", clustered), ("noise", noise)):
+        unit = m / np.linalg.norm(m, axis=1)[:, None]
+        for rows in (8192, 50_000_000):
+            tree = embedding_dedup.fitted(unit, rows, rows / 10, embedding_dedup.reach_of(0.98), 4096)
+            trees[name, rows] = tree.cells, len(tree.deal(unit, embedding_dedup.reach_of(0.98))[0]) / len(unit)
+    assert trees["clustered", 8192][0] == 4 and trees["clustered", 50_000_000][0] >= 64
+    assert trees["clustered", 50_000_000][1] < 3
+    assert trees["noise", 8192][0] == 4 and trees["noise", 50_000_000][0] == 4
+
+
 def test_embedding_empty(spark):
     df = spark.createDataFrame([], VECTORS)
     assert embedding_dedup.near_duplicates(df).collect() == []
