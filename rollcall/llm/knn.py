@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from rollcall.llm.common import staged
 from rollcall.llm.vectors import stacked, usable
 
-PIVOTS = 128
+FEWEST_PIVOTS, MOST_PIVOTS = 128, 1024  # between them, the root of the number of rows
 QUERIES_PER_GROUP = 1024
 ROWS_PER_BLOCK = 16384
 SLACK = 1e-6  # of a distance: room for rounding in bounds
@@ -56,8 +57,10 @@ def _celled(vectors: DataFrame, pivots: np.ndarray, longest: float, query: bool)
     return vectors.mapInPandas(nearest, "vec_id long, vec array<long>, cell int, away double")
 
 
-def _solver(k: int, width: int):
-    """Best ``k`` of a block of data for each query of a group."""
+def _solver(k: int, width: int, least: dict[int, np.ndarray]):
+    """Best ``k`` of a block of data for each query of a group. Rows of a block came
+    for some cell of the group; each cell of queries leaves out what its own bounds
+    (``least``) exclude, if that is a quarter of the block or more."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy()
@@ -70,17 +73,29 @@ def _solver(k: int, width: int):
         kind = np.float64 if size < EXACT else np.int64
         x, q = x.astype(kind), q.astype(kind)
         found = []
-        for start in range(0, len(q), 64):
-            score = (q[start:start + 64] @ x.T).astype(np.int64)
-            for row, who in zip(score, asked[start:start + 64]):
-                keep = np.flatnonzero(ids != who)
-                mine = row[keep]
-                if len(mine) > k:
-                    least = np.partition(mine, len(mine) - k)[len(mine) - k]
-                    keep = keep[mine >= least]
-                # ids ascend, so a stable sort leaves ties to the smaller one
-                best = keep[np.argsort(-row[keep], kind="stable")[:k]]
-                found.append((np.full(len(best), who), ids[best], row[best]))
+
+        def search(q: np.ndarray, asked: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+            for start in range(0, len(q), 64):
+                score = (q[start:start + 64] @ x.T).astype(np.int64)
+                for row, who in zip(score, asked[start:start + 64]):
+                    keep = np.flatnonzero(ids != who)
+                    mine = row[keep]
+                    if len(mine) > k:
+                        last = np.partition(mine, len(mine) - k)[len(mine) - k]
+                        keep = keep[mine >= last]
+                    # ids ascend, so a stable sort leaves ties to the smaller one
+                    best = keep[np.argsort(-row[keep], kind="stable")[:k]]
+                    found.append((np.full(len(best), who), ids[best], row[best]))
+
+        cell, away, of = data["cell"].to_numpy(), data["away"].to_numpy(), queries["cell"].to_numpy()
+        whole = np.zeros(len(q), dtype=bool)
+        for c in np.unique(of):
+            mine, use = of == c, away >= least[c][cell]
+            if 4 * np.count_nonzero(use) > 3 * len(use):
+                whole |= mine
+            else:
+                search(q[mine], asked[mine], x[use], ids[use])
+        search(q[whole], asked[whole], x, ids)
         who, vec, score = (np.concatenate(c) for c in zip(*found))
         return pd.DataFrame({"query_id": who, "vec_id": vec, "score": score})
 
@@ -89,7 +104,7 @@ def _solver(k: int, width: int):
 
 def top_k(
     table: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024,
-    pivots: int = PIVOTS, queries_per_group: int = QUERIES_PER_GROUP, rows_per_block: int = ROWS_PER_BLOCK,
+    pivots: int | None = None, queries_per_group: int = QUERIES_PER_GROUP, rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """The ``k`` largest inner products of each query with the other rows of
     ``table``: (query_id, rank, vec_id, score), all rows if there are fewer.
@@ -97,8 +112,8 @@ def top_k(
     Components are floor(scale * x), scores are whole numbers (64 bits); ties go
     to the smaller vec_id. A row isn't its own candidate. The result is exact:
 
-    1. ``pivots`` rows, chosen by hash, cut space into Voronoi cells; queries and
-       data are assigned to the nearest one after a lift that turns inner products
+    1. ``pivots`` rows, chosen by hash, cut space into Voronoi cells: if not given,
+       the root of the number of rows, from 128 to 1024. Queries and data are assigned to the nearest one after a lift that turns inner products
        into distances.
     2. Per cell a summary: row count, largest distance to the pivot, and the k + 1
        smallest ones (pivots * (k + 4) numbers reach the driver). They bound the
@@ -107,21 +122,39 @@ def top_k(
        goes to a group only if some of its cells can have it nearer than its
        bound. Rows of a group are cut into blocks of ``rows_per_block`` by hash; its
        queries go to each block; a cell with many queries is cut as well.
-    4. Each block solves its queries; a ranked window merges the lists.
+    4. Each block solves its queries, each cell with the rows that its own bounds
+       leave; a ranked window merges the lists.
 
     Null ids and vectors that are null or hold null or non-finite components take
     no part; shorter vectors count as ended by zeros. Rows that repeat an id count
     as one (its smallest vector). Empty input gives no rows; extra columns are
     ignored.
     """
-    spark = table.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    units, least, width = search_units(table, queries, k, vec_id, vector, scale, pivots, queries_per_group, rows_per_block)
+    if units is None:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    lists = units.groupBy("grp", "part", "block").applyInPandas(_solver(k, width, least), "query_id long, vec_id long, score long")
+    ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return (
+        lists.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
+    )
+
+
+def search_units(
+    table: DataFrame, queries: DataFrame, k: int, vec_id: str, vector: str, scale: int,
+    pivots: int | None, queries_per_group: int, rows_per_block: int,
+) -> tuple[DataFrame | None, dict[int, np.ndarray], int]:
+    """Steps 1 to 3 of :func:`top_k`: the rows of each unit (grp, part, block), data
+    and queries (``asks``); per query cell the distance to each pivot from which on
+    a data row of its cell is of use; the width of the vectors."""
     data = staged(whole_vectors(table, vec_id, vector, scale))
     asked = data.join(queries.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
     length = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    shape = data.agg(F.max(F.size("vec")).alias("width"), F.max(length).alias("longest")).first()
+    shape = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width"), F.max(length).alias("longest")).first()
     if shape["width"] is None:
-        return empty
+        return None, {}, 0
+    pivots = pivots or min(MOST_PIVOTS, max(FEWEST_PIVOTS, math.isqrt(shape["n"])))
     width, longest = shape["width"], shape["longest"]
     chosen = data.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").select("vec").limit(pivots).toPandas()
     points = lifted(stacked(chosen["vec"], width, np.float64), longest, False)
@@ -131,7 +164,7 @@ def top_k(
     ask_cells = staged(_celled(asked, points, longest, True))
     asks = {r["cell"]: r for r in ask_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect()}
     if not asks:
-        return empty
+        return None, {}, width
     # Summary of the data: a query's own row is none of its candidates, hence k + 1.
     counts, far = np.zeros(cells, dtype=np.int64), np.zeros(cells)
     for r in data_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect():
@@ -194,17 +227,13 @@ def top_k(
     def _unit(pdf, row, g, part, block, asks):
         return pd.DataFrame({
             "grp": g.astype(np.int64), "part": part.astype(np.int64), "block": block.astype(np.int64), "asks": asks,
-            "vec_id": pdf["vec_id"].to_numpy()[row], "vec": [pdf["vec"].iat[i] for i in row],
+            "cell": pdf["cell"].to_numpy()[row], "away": pdf["away"].to_numpy()[row],
+            "vec_id": pdf["vec_id"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row],
         })
 
-    kind = "grp long, part long, block long, asks boolean, vec_id long, vec array<long>"
+    kind = "grp long, part long, block long, asks boolean, cell int, away double, vec_id long, vec array<long>"
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)).alias("spread")
     units = data_cells.select("*", spread).mapInPandas(replicate, kind).union(
         ask_cells.select("*", spread).mapInPandas(to_blocks, kind)
     )
-    lists = units.groupBy("grp", "part", "block").applyInPandas(_solver(k, width), "query_id long, vec_id long, score long")
-    ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        lists.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return units, least, width
