@@ -116,6 +116,19 @@ def test_embedding_links(spark, monkeypatch, block, shape):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["array<float>", "array<double>", "array<int>"])
+def test_embedding_few_rows_of_any_number(spark, kind):
+    """Two and three vectors, of unequal length, large and small components."""
+    big = 1 << 30
+    rows = [(1, [3, 4], 0), (2, [3 * 2**20, 2**22], 0), (3, [4, -3, 0], 0), (4, [big], 7), (5, [1, 0, 0], 7), (6, [1], 8)]
+    whole = kind == "array<int>"
+    df = spark.createDataFrame([(i, [x if whole else float(x) for x in v], n) for i, v, n in rows], f"vec_id long, embedding {kind}, label int")
+    want = {(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True)}
+    assert {tuple(r) for r in embedding_dedup.near_duplicates(df).collect()} == want
+    two = embedding_dedup.near_duplicates(df.where("vec_id < 3")).collect()
+    assert {tuple(r) for r in two} == {(1, 1, 1, True), (2, 1, 1, False)}
+
+
 @pytest.mark.parametrize("shape", [(1, 4), (4, 4), (8, 8)])
 def test_tree_lets_each_near_pair_meet_once(shape):
     m = vectors(7, 400).astype(np.float64)
