@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
+STATE_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(app: str = "rollcall", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,10 +30,7 @@ def build_session(app: str = "rollcall", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
+        .config(STATE_CONF, STATE_ON_DISK)
     )
     if master is not None:
         builder = builder.master(master)
@@ -38,6 +39,19 @@ def build_session(app: str = "rollcall", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state on disk, the only store that takes keyed
+    state, in sessions not from :func:`build_session` too; a stream takes its settings
+    along when it starts, so the session gets its own back."""
+    own = spark.conf.get(STATE_CONF, None)
+    spark.conf.set(STATE_CONF, STATE_ON_DISK)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_CONF) if own is None else spark.conf.set(STATE_CONF, own)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

@@ -10,17 +10,19 @@ whatever order the rows came.
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rollcall.operators import playtime
 from rollcall.operators.asof import PLAY_GAP_CREDIT, PLAY_GAP_SECONDS
-from rollcall.session import remove
+from rollcall.session import keyed_state, remove
 from rollcall.streaming.feed import LATENESS
 from rollcall.streaming.live import LiveTables
 
@@ -30,6 +32,10 @@ POLL = "t long, id long, map string, game_type string, worth long, players array
 HELD = f"polls array<struct<{', '.join(f.replace(' ', ':', 1) for f in POLL.split(', '))}>>"
 OUT = "kind string, server string, map string, game_type string, player string, clan string, credit long, snapshot_id long, t long"
 
+# The worker that prepares the state on the driver gets no files of the session
+# (addPyFile, --py-files), so the operator travels whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def worth(before: int | None, t: int) -> int:
     """Seconds that a snapshot is worth behind one at ``before``."""
@@ -209,8 +215,10 @@ def start_keyed(feed: DataFrame, tables: KeyedTables, checkpoint: str, lateness:
     """Run ``feed`` (flat rows) into the tables. Number of splits and lateness belong to
     the checkpoint: they must stay as they are."""
     tables.check_checkpoint(checkpoint)
-    return (
+    writer = (
         credit_stream(feed, lateness, splits).writeStream.foreachBatch(tables.take)
         .option("checkpointLocation", checkpoint).outputMode("append")
-        .trigger(**(trigger or {"availableNow": True})).start()
+        .trigger(**(trigger or {"availableNow": True}))
     )
+    with keyed_state(tables.spark):
+        return writer.start()

@@ -1,8 +1,12 @@
 """Play time as keyed state: order doesn't matter, nothing is lost, keys are touched alone."""
 
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from rollcall import jobs
@@ -118,3 +122,27 @@ def test_splits_hold_every_row_once(spark):
     assert rows.where("own").count() == df.count()
     heads = rows.groupBy("snapshot_id").agg(F.countDistinct("split").alias("n")).where("n <> 4")
     assert heads.count() == 0
+
+
+def test_a_stream_runs_in_a_session_of_any_state_store(spark, tmp_path):
+    """Sessions that others build keep state in memory, a store that takes no keyed state."""
+    df, conf = polls(spark, ticks=4), "spark.sql.streaming.stateStore.providerClass"
+    own, other = spark.conf.get(conf), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    drop(df, tmp_path / "drop", ["true"])
+    tables = keyed.KeyedTables(spark, str(tmp_path / "t"))
+    spark.conf.set(conf, other)
+    try:
+        run(spark, tmp_path / "drop", tables, str(tmp_path / "ck"))
+        assert spark.conf.get(conf) == other
+    finally:
+        spark.conf.set(conf, own)
+    assert totals(tables.play_time()) == batch(df)
+
+
+def test_the_operator_needs_no_module_of_the_session(tmp_path):
+    """The worker on the driver has only Spark's own path."""
+    (tmp_path / "operator").write_bytes(cloudpickle.dumps(keyed.Credits()))
+    code = "import pickle, sys; print(type(pickle.load(open(sys.argv[1], 'rb'))).__name__, 'rollcall' in sys.modules)"
+    path = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    found = subprocess.run([sys.executable, "-c", code, tmp_path / "operator"], cwd=tmp_path, env=path, capture_output=True, text=True, check=True)
+    assert found.stdout.split()[-2:] == ["Credits", "False"]
