@@ -33,6 +33,7 @@ TEXT_7 = r"([^\x00]*+)\x00"
 NUMBER_7 = r"([\x80-\xff]{4}(?:[\x00-\xff]|\z)|[\x80-\xff]{0,3}(?:[\x00-\x7f]|\z))"
 HEAD_7 = r"\A" + NUMBER_7 + 5 * TEXT_7 + 6 * NUMBER_7
 CLIENT_7 = r"\G" + 2 * TEXT_7 + 3 * NUMBER_7
+CUT_7 = "\u0100"
 MASTER_LIST = "lis2"
 RECORD = 18
 IPV4_PREFIX = "00000000000000000000FFFF"
@@ -80,27 +81,35 @@ def unpacked_number(piece: Column) -> Column:
     return F.when(byte[0].bitwiseAND(0x40) != 0, F.bitwise_not(value)).otherwise(value)
 
 
+def _pieces(source: Column, pattern: str, groups: int) -> Column:
+    """What the groups of ``pattern`` hold in ``source``, by one match for all of them. No
+    byte is the character between them."""
+    return F.split(F.regexp_replace(source, F.lit(pattern), F.lit(CUT_7.join(f"${i + 1}" for i in range(groups)))), CUT_7)
+
+
 def _fields_7(body: Column, head: Column, clients: Column) -> Column:
     """Fields of a 0.7 answer as texts, like those of the formats with NULs only; null
-    if its bytes aren't a head and whole clients."""
+    if its bytes aren't a head and whole clients. The parameters of the lambdas hold
+    what is matched, so that no field matches again."""
+
+    def text(piece: Column) -> Column:
+        return F.encode(piece, "ISO-8859-1").cast("string")
 
-    def text(source: Column, pattern: str, group: int) -> Column:
-        return F.encode(F.regexp_extract(source, pattern, group), "ISO-8859-1").cast("string")
+    def number(piece: Column) -> Column:
+        return unpacked_number(piece).cast("string")
 
-    def number(source: Column, pattern: str, group: int) -> Column:
-        return unpacked_number(F.regexp_extract(source, pattern, group))
+    def client(p: Column) -> Column:
+        playing = F.ascii(p[4]).bitwiseAND(1) == F.shiftright(F.ascii(p[4]), 6).bitwiseAND(1)  # 1: spectator, 2: bot
+        return F.array(text(p[0]), text(p[1]), number(p[2]), number(p[3]), F.when(playing, "1").otherwise("0"))
 
-    def client(c: Column) -> Column:
-        playing = number(c, CLIENT_7, 5).bitwiseAND(1) == 0  # 1: spectator, 2: bot
-        return F.array(
-            text(c, CLIENT_7, 1), text(c, CLIENT_7, 2), number(c, CLIENT_7, 3).cast("string"),
-            number(c, CLIENT_7, 4).cast("string"), F.when(playing, "1").otherwise("0"))
+    def first(p: Column) -> Column:
+        return F.array(*[text(p[i]) if 1 <= i <= 5 else number(p[i]) for i in range(12)])
 
-    first = [
-        text(head, HEAD_7, i) if 2 <= i <= 6 else number(head, HEAD_7, i).cast("string") for i in range(1, 13)
-    ]
     whole = (head != "") & (F.length(head) + F.length(F.array_join(clients, "")) == F.length(body))
-    return F.when(whole, F.concat(F.array(*first), F.flatten(F.transform(clients, client)), F.array(F.lit(""))))
+    return F.when(whole, F.concat(
+        F.flatten(F.transform(F.array(_pieces(head, HEAD_7, 12)), first)),
+        F.flatten(F.transform(F.transform(clients, lambda c: _pieces(c, CLIENT_7, 5)), client)),
+        F.array(F.lit(""))))
 
 
 def decode_server_info(packets: DataFrame) -> DataFrame:
@@ -172,11 +181,13 @@ def merge_polls(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     header (blank and zero when none has one); a player in several answers
     keeps its first place and takes the values of the richest source.
     """
-    spoiled = responses.where(~F.col("valid")).select("poll").distinct()
-    good = responses.join(spoiled, "poll", "left_anti")
-
     head = F.struct("arrival", *HEADER)
-    latest = good.groupBy("poll").agg(F.max(F.when(F.col("has_header"), head)).alias("_h"))
+    # Answers of no poll spoil none.
+    latest = (
+        responses.groupBy("poll")
+        .agg(F.max(F.when(F.col("has_header"), head)).alias("_h"), F.bool_and("valid").alias("_good"))
+        .where(F.col("_good") | F.col("poll").isNull())
+    )
     headers = latest.select(
         "poll",
         *[
@@ -185,7 +196,10 @@ def merge_polls(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
         ],
     )
 
-    rows = good.select("poll", "arrival", "source", F.posexplode("clients").alias("_at", "_c"))
+    spoiled = responses.where(~F.col("valid")).select("poll").distinct()
+    good = responses.join(spoiled, "poll", "left_anti")
+    # An outer one: for others Spark asks for the size of the list first, and makes it twice.
+    rows = good.select("poll", "arrival", "source", F.posexplode_outer("clients").alias("_at", "_c")).where("_at is not null")
     place = F.struct("arrival", "_at")
     values = ["clan", "country", "score", "in_game"]
     best = F.min(F.struct(

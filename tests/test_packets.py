@@ -140,3 +140,22 @@ def test_master_lists(spark):
 def test_decoding_stays_in_the_engine(spark):
     plan = packets.decode_server_info(table(spark, (1, vanilla([A])), (2, answer7(*HEAD7))).withColumn("x", F.lit(1)))
     assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packed_fields_are_matched_once(spark):
+    """One match for all fields of a head, and one for those of a client."""
+    found = packets.decode_server_info(table(spark, (1, answer7(*HEAD7))))
+    assert plan_of(found).count("regexp_") <= 10
+    headers, clients = packets.merge_polls(found)
+    assert plan_of(headers).count("regexp_extract_all(") == 1
+    assert plan_of(clients).count("slice(") == 1
+
+
+def test_answers_of_no_poll_spoil_none(spark):
+    df = table(spark, (None, vanilla([A])), (None, answer("what", "x")), (1, vanilla([B])), (1, answer("what", "x")))
+    headers, clients = packets.merge_polls(packets.decode_server_info(df))
+    assert rows(headers, "poll", "server_name") == [(None, "srv ü")] and rows(clients, "poll", "player") == [(None, "name1")]
