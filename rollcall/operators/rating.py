@@ -25,9 +25,32 @@ MAX_GAP_MINUTES = 30
 # Opponents are compared block against block; a block stays around this size.
 BLOCK_PLAYERS = 512
 PAIRS_AT_ONCE = 1 << 18  # pairs held at a time, or one row's
+# Ratings lie in cells. Chances between two cells are a polynomial of either rating, exact
+# to the last digits of a double; eight cells are the span, where chances stop to change.
+CELL = RATING_SPAN / 8
+DEGREES = 14
 REPLAY_ROWS = 200_000  # rows of connected matches that one task replays
 
 
+def basis(ratings: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Chebyshev polynomials, a column each, of ratings within their cells."""
+    place = np.clip(2 * (ratings / CELL - cells) - 1, -1.0, 1.0)
+    return np.cos(np.arccos(place)[:, None] * np.arange(DEGREES))
+
+
+def chance(gap: np.ndarray) -> np.ndarray:
+    """Win chance of a player rated ``gap`` above another, without the span."""
+    return 1.0 / (1.0 + 10.0 ** (-gap / RATING_SPAN))
+
+
+# Chebyshev coefficients, in both ratings, of the chances between cells that are so far apart.
+_NODES = np.cos((np.arange(DEGREES) + 0.5) * np.pi / DEGREES)
+_FIT = np.cos(np.arccos(_NODES)[:, None] * np.arange(DEGREES)).T * np.where(np.arange(DEGREES) == 0, 1, 2)[:, None] / DEGREES
+BETWEEN = {
+    apart: _FIT @ chance(CELL * (apart + (_NODES[:, None] - _NODES[None]) / 2)) @ _FIT.T for apart in range(-8, 9)
+}
+
+
 def score_deltas(headers: DataFrame, clients: DataFrame, max_gap_minutes: int = MAX_GAP_MINUTES,
                  last_known: DataFrame | None = None,
                  earlier_clients: DataFrame | None = None, bucket: str = "day") -> DataFrame:
@@ -118,10 +141,22 @@ def meet_blocks(mine: pd.Series, my_delta: pd.Series, theirs: pd.Series,
     return pd.DataFrame({"wins": wins, "expected": expected})
 
 
-def field_results(rated: DataFrame, block_players: int = BLOCK_PLAYERS) -> DataFrame:
+def field_results(rated: DataFrame, block_players: int = BLOCK_PLAYERS, large_players: int | None = None) -> DataFrame:
     """Each participant against everyone else in the match, without pair rows.
 
-    Adds ``wins`` (ties count half) and ``expected`` (summed win chances).
+    Adds ``wins`` (ties count half) and ``expected`` (summed win chances). Matches of
+    more than ``large_players`` players, by default those of more than one block, go by
+    :func:`large_field_results`, all others by :func:`block_results`.
+    """
+    large = F.col("players") > (block_players if large_players is None else large_players)
+    if rated.where(large).isEmpty():
+        return block_results(rated, block_players)
+    return block_results(rated.where(~large), block_players).unionByName(large_field_results(rated.where(large), block_players))
+
+
+def block_results(rated: DataFrame, block_players: int = BLOCK_PLAYERS) -> DataFrame:
+    """:func:`field_results` by comparing players.
+
     Players are spread over blocks by hash, and every block meets every block
     of its match inside one row, so neither a row nor a key grows with the size
     of a match; a match of ordinary size is one block.
@@ -162,14 +197,23 @@ def chances_between(mine: pd.Series, theirs: pd.Series, their_players: pd.Series
     return pd.Series(out)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def chances_from(apart: pd.Series, sums: pd.Series) -> pd.Series:
+    """Per row the sums of a cell's polynomials: the coefficients of the chances that
+    ratings ``apart`` cells above have against it."""
+    return pd.Series([BETWEEN[int(n)] @ s for n, s in zip(apart, sums)])
+
+
 def large_field_results(rated: DataFrame, block_ratings: int = BLOCK_PLAYERS) -> DataFrame:
     """The columns of :func:`field_results`, without comparing players.
 
     Results follow from how many players of the match have a smaller or the same score
     change: a count per change and a running sum over the changes of the match. Chances
     follow from the distinct ratings and the players that have each: most players start
-    at the same one. Blocks of distinct ratings meet, never blocks of players, so a match
-    costs a sort and its distinct ratings squared, and no row or key grows with it.
+    at the same one. As in :func:`summed_chances`, sums of polynomials stand for the
+    ratings of a cell. Only cells eight apart, between which some chances are beyond the
+    span and some aren't, meet in blocks of ratings. So a match costs a sort, and no row
+    or key grows with it.
     """
     match = "snapshot_id"
     below = Window.partitionBy(match).orderBy("score_delta").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,19 +221,44 @@ def large_field_results(rated: DataFrame, block_ratings: int = BLOCK_PLAYERS) ->
         rated.groupBy(match, "score_delta").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("wins", F.coalesce(F.sum("_n").over(below), F.lit(0)) + 0.5 * (F.col("_n") - 1)).drop("_n")
     )
-    blocks_needed = F.ceil(F.col("_players") / F.lit(block_ratings))
-    blocks = (
+    cell = F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), F.col("rating") / CELL)))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (F.col("rating") / CELL - F.col("cell")) - 1)))
+    ratings = (
         rated.groupBy(match, "rating").agg(F.count(F.lit(1)).alias("_n"), F.max("players").alias("_players"))
-        .withColumn("block", F.pmod(F.xxhash64("rating"), blocks_needed))
-        .groupBy(match, "block").agg(F.collect_list("rating").alias("mine"), F.collect_list("_n").alias("n"))
+        .withColumn("cell", cell).withColumn("_angle", angle)
     )
-    present = blocks.groupBy(match).agg(F.collect_list("block").alias("blocks"))
-    theirs = blocks.select(match, "block", F.col("mine").alias("theirs"), F.col("n").alias("their_players"))
-    chances = (
-        blocks.join(present, match).select(match, "mine", F.explode("blocks").alias("block"))
-        .join(theirs, [match, "block"])
+    waves = [F.cos(F.col("_angle") * i) for i in range(DEGREES)]
+    cells = ratings.groupBy(match, "cell").agg(
+        F.array(*[F.sum(F.col("_n") * w) for w in waves]).alias("sums"), F.sum("_n").alias("here"))
+    ordered, (least, most) = Window.partitionBy(match).orderBy("cell"), chance(np.array([-RATING_SPAN, RATING_SPAN])).tolist()
+    beyond = [
+        F.coalesce(F.sum("here").over(ordered.rangeBetween(*r)), F.lit(0))
+        for r in ((Window.unboundedPreceding, -9), (9, Window.unboundedFollowing))
+    ]
+    far = cells.select(match, "cell", (most * beyond[0] + least * beyond[1]).alias("_far"))
+    near = (
+        cells.withColumn("apart", F.explode(F.sequence(F.lit(-7), F.lit(7))))
+        .select(match, (F.col("cell") + F.col("apart")).alias("cell"), chances_from("apart", "sums").alias("_c"))
+        .groupBy(match, "cell").agg(*[F.sum(F.col("_c")[i]).alias(f"_c{i}") for i in range(DEGREES)])
+    )
+    expected = sum((F.col(f"_c{i}") * w for i, w in enumerate(waves)), F.col("_far"))
+    within = ratings.join(far, [match, "cell"]).join(near, [match, "cell"]).select(match, "rating", expected.alias("expected"))
+
+    edges = cells.select(match, "cell", F.explode(F.array(F.col("cell") - 8, F.col("cell") + 8)).alias("other"))
+    edges = edges.join(cells.select(match, F.col("cell").alias("other")), [match, "other"])
+    blocks = (
+        ratings.join(edges.select(match, "cell").distinct(), [match, "cell"])
+        .withColumn("block", F.pmod(F.xxhash64("rating"), F.ceil(F.col("_players") / F.lit(block_ratings))))
+        .groupBy(match, "cell", "block").agg(F.collect_list("rating").alias("mine"), F.collect_list("_n").alias("n"))
+    )
+    theirs = blocks.select(match, F.col("cell").alias("other"), F.col("mine").alias("theirs"), F.col("n").alias("their_players"))
+    across = (
+        blocks.join(edges, [match, "cell"]).join(theirs, [match, "other"])
         .withColumn("expected", chances_between("mine", "theirs", "their_players"))
         .select(match, F.inline(F.arrays_zip(F.col("mine").alias("rating"), "expected")))
+    )
+    chances = (
+        within.unionByName(across)
         .groupBy(match, "rating").agg((F.sum("expected") - 0.5).alias("expected"))  # less the one against oneself
     )
     return rated.join(results, [match, "score_delta"]).join(chances, [match, "rating"]).select(*rated.columns, "wins", "expected")
@@ -200,17 +269,12 @@ def elo_round(matches: DataFrame, ratings: DataFrame, scope: str,
     """Rating change of every participant, all ratings read before the round.
 
     ``matches`` comes from :func:`ranked_matches`; the change is the mean over
-    opponents of K * (result - win chance). Where matches can be very large, those of
-    more than ``large_players`` players go by :func:`large_field_results`.
+    opponents of K * (result - win chance). Matches of more than ``large_players``
+    players, by default more than a block, go by :func:`large_field_results`.
     """
     gain = K_FACTOR * (F.col("wins") - F.col("expected")) / (F.col("players") - 1)
     rated = with_ratings(matches, ratings, scope)
-    if large_players is None:
-        return field_results(rated, block_players).withColumn("elo_delta", gain)
-    large = F.col("players") > large_players
-    both = field_results(rated.where(~large), block_players).unionByName(
-        large_field_results(rated.where(large), block_players))
-    return both.withColumn("elo_delta", gain)
+    return field_results(rated, block_players, large_players).withColumn("elo_delta", gain)
 
 
 def no_ratings(matches: DataFrame, scope: str) -> DataFrame:
@@ -265,17 +329,43 @@ def staged_values(staged: DataFrame, path: str, column: str) -> list[str]:
     return [unquote(v) for v in folder_values(staged.sparkSession, path, column)]
 
 
+def summed_chances(distinct: np.ndarray, players: np.ndarray) -> np.ndarray:
+    """Summed win chances of each of the sorted ``distinct`` ratings against all of them,
+    each counted for its players. Sums of the polynomials over the ratings so far stand
+    for the opponents, so it costs the ratings, not their pairs: opponents within the
+    span by cell, all beyond it at once."""
+    cells = np.floor(distinct / CELL)
+    count = np.concatenate([[0.0], np.cumsum(players, dtype=float)])
+    low = np.searchsorted(distinct, distinct - RATING_SPAN, side="left")
+    high = np.searchsorted(distinct, distinct + RATING_SPAN, side="right")
+    least, most = chance(np.array([-RATING_SPAN, RATING_SPAN]))
+    expected = most * count[low] + least * (count[-1] - count[high])
+    own = basis(distinct, cells)
+    known, first = np.unique(cells, return_index=True)
+    last = np.append(first[1:], len(distinct))
+    # Sums start anew in each cell, so that no large number takes digits of a small one.
+    sums = [np.vstack([np.zeros(DEGREES), np.cumsum(own[i:j] * players[i:j, None], axis=0)]) for i, j in zip(first, last)]
+    for at, (cell, i, j) in enumerate(zip(known, first, last)):
+        for other in range(*np.searchsorted(known, [cell - 8, cell + 9])):
+            start, stop = first[other], last[other]
+            a, b = np.clip(low[i:j], start, stop) - start, np.clip(high[i:j], start, stop) - start
+            met = sums[other][b] - sums[other][a]
+            expected[i:j] += ((own[i:j] @ BETWEEN[int(cell - known[other])]) * met).sum(axis=1)
+    return expected
+
+
 def whole_field(ratings: np.ndarray, deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Results and summed win chances of every player of a match against all others:
-    results by sorting, chances between the distinct ratings, each with its players."""
+    results by sorting, chances from the distinct ratings, each with its players."""
     order = np.sort(deltas)
     below = np.searchsorted(order, deltas, side="left")
     wins = below + 0.5 * (np.searchsorted(order, deltas, side="right") - below - 1)
     distinct, which, players = np.unique(ratings, return_inverse=True, return_counts=True)
-    expected, step = np.empty(len(distinct)), max(1, PAIRS_AT_ONCE // len(distinct))
-    for start in range(0, len(distinct), step):
-        gap = np.clip(distinct[start:start + step, None] - distinct[None], -RATING_SPAN, RATING_SPAN)
-        expected[start:start + step] = (1.0 / (1.0 + 10.0 ** (-gap / RATING_SPAN))) @ players
+    finite, expected = np.isfinite(distinct), np.full(len(distinct), np.nan)  # others have no chance against themselves
+    if not np.isnan(distinct).any():
+        over, under = players[distinct == np.inf].sum(), players[distinct == -np.inf].sum()
+        beyond = chance(np.array([-RATING_SPAN, RATING_SPAN])) @ [over, under]
+        expected[finite] = summed_chances(distinct[finite], players[finite]) + beyond
     return wins, expected[which] - 0.5
 
 

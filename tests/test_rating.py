@@ -256,3 +256,28 @@ def test_a_match_of_fifty_thousand(spark):
     wins, expected = rating.whole_field(pdf["rating"].to_numpy(), pdf["score_delta"].to_numpy())
     assert len(got) == n and (got["wins"].to_numpy() == wins).all() and np.allclose(got["expected"], expected)
     assert abs(got["wins"].sum() - n * (n - 1) / 2) < 1 and abs(got["expected"].sum() - n * (n - 1) / 2) < 1
+
+
+@pytest.mark.parametrize("spread", [5, 300, 3000])
+def test_chances_without_pairs(spark, spread):
+    """Ratings near each other, around the span and far beyond it; those on the edges of cells."""
+    rnd = np.random.default_rng(spread)
+    r = np.round(np.concatenate([rnd.normal(0, spread, 600), 50.0 * rnd.integers(-20, 20, 100)]), 3)
+    distinct, players = np.unique(r, return_counts=True)
+    chance = 1 / (1 + 10 ** (-np.clip(distinct[:, None] - distinct[None], -400, 400) / 400))
+    assert np.allclose(rating.summed_chances(distinct, players), chance @ players, rtol=1e-12)
+    df = field(spark, [(1, 1, f"p{i}", float(x), 0, len(r)) for i, x in enumerate(r)])
+    got = {x.rating: x.expected for x in rating.field_results(df).collect()}
+    assert np.allclose([got[x] for x in distinct], chance @ players - 0.5, rtol=1e-12)
+
+
+def test_a_match_costs_its_players_not_their_pairs(spark):
+    """Distinct ratings: 400,000 players would be 160 billion pairs."""
+    n = 400_000
+    wins, expected = rating.whole_field(np.arange(n) / 1000, np.arange(n))
+    _, odd = rating.whole_field(np.array([0.0, 0.0, np.inf, -np.inf]), np.arange(4))
+    assert np.allclose(odd[:2], 0.5 + 1 / 11 + 10 / 11) and np.isnan(odd[2:]).all()
+    assert (wins == np.arange(n)).all() and abs(expected.sum() - n * (n - 1) / 2) < 1
+    data = [(1, 1, f"p{i}", i / 100, i, 1200) for i in range(1200)]
+    plan = rating.field_results(field(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    assert "meet_blocks" in plan and "chances_from" in plan  # blocks for the small ones only
