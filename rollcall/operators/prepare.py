@@ -68,7 +68,7 @@ def regroup(flat: DataFrame, client_columns: Sequence[str]) -> DataFrame:
     """
     header = [c for c in flat.columns if c not in (*client_columns, "ordinal", "snapshot_id")]
     client = F.struct("ordinal", *client_columns)
-    collected = F.array_sort(F.collect_list(F.when(F.col("player").isNotNull(), client)))
+    collected = F.sort_array(F.collect_list(F.when(F.col("player").isNotNull(), client)))
     return (
         flat.groupBy("snapshot_id")
         .agg(*[F.first(c).alias(c) for c in header], collected.alias("_clients"))

@@ -155,6 +155,14 @@ def test_flatten_keeps_empty_snapshots_and_regroup_restores(spark):
     assert rows(back.select("snapshot_id", "ts", "clients")) == rows(nested)
 
 
+def test_regroup_sorts_without_a_lambda(spark):
+    """The default comparator of ``array_sort`` is one, run for every pair that a sort compares."""
+    flat = spark.createDataFrame([(1, n % 3, f"p{n}", "", n) for n in (4, 2, 0, 5)], "snapshot_id long, ordinal int, player string, clan string, score int")
+    back = prepare.regroup(flat, ["player", "clan", "score"])
+    assert "array_sort" not in back._jdf.queryExecution().optimizedPlan().toString()
+    assert [c.player for c in back.first().clients] == ["p0", "p4", "p2", "p5"]
+
+
 def test_half_open_range(headers):
     h = headers((1, at(0), 1, 7, "CTF", 0), (2, at(0, 2), 1, 7, "CTF", 0))
     assert rows(prepare.in_range(h, datetime(2024, 1, 1), datetime(2024, 1, 2)), "snapshot_id") == [(1,)]
