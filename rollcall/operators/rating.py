@@ -149,6 +149,7 @@ def field_results(rated: DataFrame, block_players: int = BLOCK_PLAYERS, large_pl
     :func:`large_field_results`, all others by :func:`block_results`.
     """
     large = F.col("players") > (block_players if large_players is None else large_players)
+    rated = cut_lineage(rated)  # read several times
     if rated.where(large).isEmpty():
         return block_results(rated, block_players)
     return block_results(rated.where(~large), block_players).unionByName(large_field_results(rated.where(large), block_players))
