@@ -34,9 +34,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest
     doc_id (nulls last): texts of which 80 % of the five-word shingles are common, in
-    steps. Texts without words, null ones too, are one group; of rows that repeat, one
-    stays."""
-    return simhash.one_of_each(docs, width=5, similarity=0.8)
+    steps. SimHash fingerprints within three bits propose them, MinHash keys those whose
+    fingerprints lie further apart, and the shingles are compared exactly. Texts without
+    words, null ones too, are one group; of rows that repeat, one stays."""
+    return simhash.one_of_each(docs, distance=3, width=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

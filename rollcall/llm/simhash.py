@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,29 +21,40 @@ BANDS, PER_BAND = 20, 5  # MinHash keys of a text, and the minima in each
 MULTIPLIERS, ADDENDS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * PER_BAND), dtype=np.uint64) * 2 + 1
 
 
-def ones_in(shingles: Iterable[bytes]) -> np.ndarray:
-    """How many of the shingles' hashes set each bit."""
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-
-
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Unsigned SimHash of a text: words are runs of non-blank bytes with A-Z
-    lower-cased, shingles are ``width`` words; a bit is 1 if set in over half
-    of the shingles' XXH64. A text of fewer words has one shingle, one without
-    words has fingerprint 0."""
-    total, ones, last = 0, np.zeros(BITS, dtype=np.int64), []
+def hashes_of(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, repeats included, in bounded pieces: words are runs
+    of non-blank bytes with A-Z lower-cased, shingles are ``width`` words. A text of
+    fewer words has one shingle, one without words has none."""
+    last, digest, short = [], xxhash.xxh64_intdigest, True
     for piece in word_pieces(text.lower()):  # bytes: A-Z only
         words = last + piece
-        total += max(0, len(words) - width + 1)
-        ones += ones_in(map(b" ".join, zip(*[words[i:] for i in range(width)])))
+        if len(words) >= width:
+            shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
+            yield np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
+            short = False
         last = words[-(width - 1):] if width > 1 else []
-    if not total and last:
-        total, ones = 1, ones_in([b" ".join(last)])
+    if last and short:
+        yield np.array([digest(b" ".join(last), SEED)], dtype="<u8")
+
+
+def ones_in(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, total: int) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """Unsigned SimHash of a text: a bit is 1 if set in over half of the hashes of its
+    shingles (:func:`hashes_of`). One without words has fingerprint 0."""
+    total, ones = 0, np.zeros(BITS, dtype=np.int64)
+    for hashes in hashes_of(text, width):
+        total, ones = total + len(hashes), ones + ones_in(hashes)
+    return majority(ones, total)
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
     """Rows of ``df`` as ``row`` beside ``fingerprint`` (its 64 bits as a long)."""
     rows, nth = with_text(df, text)
@@ -118,16 +129,17 @@ def near_links(prints: DataFrame, distance: int = 3, block: int = 2048) -> DataF
 
 
 def marks_of(text: bytes, width: int) -> np.ndarray:
-    """XXH64 of the distinct shingles of :func:`fingerprint`, sorted."""
-    found, last, digest = [np.zeros(0, dtype="<u8")], [], xxhash.xxh64_intdigest
-    for piece in word_pieces(text.lower()):
-        words = last + piece
-        shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
-        found.append(np.unique(np.fromiter((digest(x, SEED) for x in shingles), dtype="<u8")))
-        last = words[-(width - 1):] if width > 1 else []
-    if last and not any(map(len, found)):
-        found.append(np.array([digest(b" ".join(last), SEED)], dtype="<u8"))
-    return np.unique(np.concatenate(found))
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *map(np.unique, hashes_of(text, width))]))
+
+
+def print_and_marks(text: bytes, width: int) -> tuple[int, np.ndarray]:
+    """:func:`fingerprint` and :func:`marks_of` in one pass."""
+    total, ones, found = 0, np.zeros(BITS, dtype=np.int64), [np.zeros(0, dtype="<u8")]
+    for hashes in hashes_of(text, width):
+        total, ones = total + len(hashes), ones + ones_in(hashes)
+        found.append(np.unique(hashes))
+    return majority(ones, total), np.unique(np.concatenate(found))
 
 
 def bands_of(marks: np.ndarray) -> list[int]:
@@ -143,22 +155,24 @@ def bands_of(marks: np.ndarray) -> list[int]:
 
 
 def with_bands(df: DataFrame, text: str, width: int) -> DataFrame:
-    """Rows of ``df`` as ``row`` beside ``fingerprint``, a hash of the set of shingles, and ``bands``."""
+    """Rows of ``df`` as ``row`` beside ``fingerprint``, a hash of the set of shingles,
+    ``simhash``, the :func:`fingerprint` of the text, and ``bands``."""
     rows, nth = with_text(df, text)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passing(batches):
-            prints, bands = [], []
+            prints, simhashes, bands = [], [], []
             for t in texts_of(batch.column("row").field(nth)):
-                marks = marks_of(t, width)
+                simhash, marks = print_and_marks(t, width)
                 prints.append(xxhash.xxh64_intdigest(marks.tobytes(), SEED))
+                simhashes.append(simhash)
                 bands.append(bands_of(marks))
+            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (prints, simhashes)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
-                names=["row", "fingerprint", "bands"],
+                [batch.column("row"), *longs, pa.array(bands, pa.list_(pa.int64()))], names=["row", "fingerprint", "simhash", "bands"]
             )
 
-    schema = T.StructType([rows.schema["row"]]).add("fingerprint", "long").add("bands", T.ArrayType(T.LongType()))
+    schema = T.StructType([rows.schema["row"]]).add("fingerprint", "long").add("simhash", "long").add("bands", T.ArrayType(T.LongType()))
     return rows.mapInArrow(add, schema)
 
 
@@ -181,18 +195,31 @@ def _similar(marks: list[np.ndarray], part: np.ndarray, across: bool, similarity
     return label
 
 
-def similar_links(rows: DataFrame, text: str, width: int, similarity: float, block: int = 256) -> DataFrame:
-    """Edges ``(a, b)`` between fingerprints of ``rows(row, fingerprint, bands, row_id)``
+def proposed_by_simhash(rows: DataFrame, distance: int) -> DataFrame:
+    """Edges ``(a, b)`` that join the ``fingerprint`` of texts with words whose
+    ``simhash`` are connected by steps of at most ``distance`` bits (:func:`near_links`)."""
+    texts = staged(rows.where(F.size("bands") > 0).select("simhash", "fingerprint").distinct())
+    least = staged(texts.groupBy("simhash").agg(F.min("fingerprint").alias("least")))
+    same = texts.join(least, "simhash").select(F.col("least").alias("a"), F.col("fingerprint").alias("b"))
+    near = near_links(least.select(F.col("simhash").alias("fingerprint")), distance)
+    a, b = least.toDF("a", "least_a"), least.toDF("b", "least_b")
+    return same.union(near.join(a, "a").join(b, "b").select("least_a", "least_b")).where("a <> b")
+
+
+def similar_links(rows: DataFrame, text: str, width: int, similarity: float, block: int = 256, distance: int = 3) -> DataFrame:
+    """Edges ``(a, b)`` between fingerprints of ``rows(row, fingerprint, simhash, bands, row_id)``
     that join those connected by steps of at least ``similarity`` (Jaccard of shingles).
 
-    Texts that share a MinHash key are candidates. Within a component of
+    Texts whose SimHash differs in at most ``distance`` bits are candidates, and so are
+    those that share a MinHash key, since similar texts may differ in more bits. Within a component of
     candidates all pairs are compared exactly, on one text per fingerprint and
     within bounded units; a unit writes a star per component, never its pairs.
     """
     prints = staged(rows.groupBy("fingerprint").agg(F.min(F.struct("row_id", "bands")).alias("one")).select("fingerprint", "one.*"))
     keyed = prints.select("fingerprint", F.explode("bands").alias("key"))
     least = staged(keyed.groupBy("key").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).where("a <> b").select("key", "a"))
-    near = connected_components(keyed.join(least, "key").select("a", F.col("fingerprint").alias("b")).distinct())
+    by_minhash = keyed.join(least, "key").select("a", F.col("fingerprint").alias("b"))
+    near = connected_components(proposed_by_simhash(rows, distance).union(by_minhash).distinct())
     members = near.select(F.col("node").alias("fingerprint"), "component").union(near.select("component", "component").distinct())
     wanted = staged(members.join(prints, "fingerprint").select("row_id", "component"))
     texts = rows.join(wanted, "row_id").select("component", "fingerprint", F.col(f"row.`{text}`").cast("string").alias("text"))
@@ -255,12 +282,12 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of ``docs``, one per class of near-duplicates: the one with the
     smallest doc_id (ids before nulls; of repeated rows, one). All columns stay.
-    With ``similarity``, texts are linked by that Jaccard similarity of their
-    shingles (:func:`similar_links`) instead of ``distance``."""
+    With ``similarity``, those within ``distance`` are candidates only, and texts are
+    linked by that Jaccard similarity of their shingles (:func:`similar_links`)."""
     keyed = with_fingerprint(docs, text, width) if similarity is None else with_bands(docs, text, width)
     rows = staged(keyed.withColumn("row_id", F.monotonically_increasing_id()))
     prints = rows.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "fingerprint", "row_id")
-    classes = components_of(prints, distance, None if similarity is None else similar_links(rows, text, width, similarity))
+    classes = components_of(prints, distance, None if similarity is None else similar_links(rows, text, width, similarity, distance=distance))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
     kept = prints.join(classes, "fingerprint").groupBy("component").agg(first.alias("first")).select("first.row_id")
     return rows.join(kept, "row_id", "left_semi").select("row.*")

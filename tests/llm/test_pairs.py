@@ -232,6 +232,36 @@ def test_stage_links_by_similarity(spark):
     assert found[0] == found[1] and found[0]
 
 
+def test_stage_proposes_by_simhash(spark):
+    """Four of five shingles in common, two or three bits apart, and no MinHash key shared."""
+    pairs = [
+        ("10028 10029 1002a 1002b 1002c 1002d 1002e 1002f", "38"), ("1ad20 1ad21 1ad22 1ad23 1ad24 1ad25 1ad26 1ad27", "7e"),
+        ("1d1e8 1d1e9 1d1ea 1d1eb 1d1ec 1d1ed 1d1ee 1d1ef", "da"),
+    ]
+    some = [t for a, word in pairs for t in (a, f"{a} {word}")] + ["", None, "quite another text of some eight words here"]
+    for a, b in zip(some[:6:2], some[1:6:2]):
+        prints, marks = zip(*(simhash.print_and_marks(t.encode(), 5) for t in (a, b)))
+        assert (prints[0] ^ prints[1]).bit_count() <= 3 and not set(simhash.bands_of(marks[0])) & set(simhash.bands_of(marks[1]))
+    df = spark.createDataFrame([(i, t, 1, "c", "r") for i, t in enumerate(some)], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [0, 2, 4, 6, 8]
+
+
+def test_simhash_proposals_are_checked(spark):
+    """Equal or close SimHashes only propose: without any MinHash key in common, copies
+    of other shingle counts and close texts are linked, texts less than 0.8 alike not."""
+    long = [f"v{i}" for i in range(400)]
+    some = [" ".join(long), " ".join([*long, "x"]), " ".join([*long, *long]), " ".join([*long, "y", "z"]), " ".join(f"u{i}" for i in range(50)), "", None]
+    df = spark.createDataFrame([(i, t, 1, "c", "r") for i, t in enumerate(some)], DOCS)
+    rows = simhash.with_bands(df, "text", 5).withColumn("row_id", F.monotonically_increasing_id())
+    alone = F.when(F.size("bands") > 0, F.array(F.col("row_id"))).otherwise(F.col("bands"))
+    links = lambda simhash_: connected_components(
+        simhash.similar_links(staged(rows.withColumns({"bands": alone, "simhash": simhash_})), "text", 5, 0.8)
+    ).count()
+    assert links(F.col("simhash")) == 3
+    assert links(F.lit(5).cast("long")) == 3  # one SimHash for all: the other text is proposed and not linked
+    assert links(F.xxhash64("row.doc_id")) == 0
+
+
 def test_simhash_large_bucket_in_blocks(spark):
     """One bucket cut into many units finds what one unit does."""
     rng = np.random.default_rng(6)
