@@ -23,8 +23,9 @@ LAST = (1 << 63) - 1  # stands for a null doc_id
 # A token with a digit, from 64 characters before its first digit on: so that long
 # runs without one are passed in linear time.
 FIELD = r"[^\s\d]{0,64}+\d\S*"
-# Runs of blanks within a line that aren't a single space
+# Runs of blanks within a line that aren't a single space, and what shows that it has some
 BLANKS = r"\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}"
+SHOW_BLANKS = ["  ", "\t", "\x0b", "\x0c", "\r"]
 
 
 def mark_of(text: Column) -> Column:
@@ -38,32 +39,39 @@ def lines_of(docs: DataFrame) -> DataFrame:
     tokens and the leading ones, ``template`` for all tokens, ``runs`` for the
     ``RUNS`` runs of tokens one by one, or for each of fewer tokens. A line with
     fields in over half of its tokens is taken as it is: its numbers are its content.
+    Patterns are looked for only in lines that have blanks or digits to replace.
     """
-    plain = F.regexp_replace("text", BLANKS, " ")
-    masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", FIELD, VARIABLE)).otherwise(F.col("text"))
+    line, masked, tokens = F.col("plain"), F.col("masked"), F.col("tokens")
+    blanks = reduce(Column.__or__, [line.contains(x) for x in SHOW_BLANKS])
     lines = (
-        docs.select("key", plain.alias("text")).select("key", "text", masked.alias("masked"))
-        .select("key", F.posexplode(F.arrays_zip(F.split("text", "\n").alias("plain"), F.split("masked", "\n").alias("masked"))).alias("line", "both"))
-        .select("key", "line", F.trim("both.plain").alias("plain"), F.trim("both.masked").alias("masked"))
-        .where("plain <> ''").withColumn("tokens", F.split("masked", " "))
+        docs.select("key", F.posexplode(F.split("text", "\n")).alias("line", "plain"))
+        .where(F.btrim(line, F.lit("".join(SHOW_BLANKS))) != "")
+        .select("key", "line", F.trim(F.when(blanks, F.regexp_replace(line, BLANKS, " ")).otherwise(line)).alias("plain"))
+        .withColumn("masked", F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, VARIABLE)).otherwise(line))
+        .withColumn("tokens", F.split(masked, " "))
     )
-    n = F.size("tokens")
-    fields = (F.length("masked") - F.length(F.replace("masked", F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
+    n = F.size(tokens)
+    fields = F.when(masked.contains(VARIABLE), _count(masked, VARIABLE)).otherwise(0)
     count = F.least(n, F.lit(RUNS))
     bound = lambda i: F.floor(n * i / count).cast("int")
     runs = F.transform(
         F.sequence(F.lit(0), count - 1),
-        lambda i: F.hash(F.slice("tokens", bound(i) + 1, bound(i + 1) - bound(i))),
+        lambda i: F.hash(F.slice(tokens, bound(i) + 1, bound(i + 1) - bound(i))),
     )
     literal = 2 * fields > n
     return lines.select(
         "key", "line",
-        F.when(literal, F.xxhash64("plain")).otherwise(F.xxhash64(n, F.slice("tokens", 1, LEADING))).alias("leaf"),
-        F.when(literal, F.xxhash64("plain")).otherwise(F.xxhash64("masked")).alias("template"),
+        F.when(literal, F.xxhash64(line)).otherwise(F.xxhash64(n, F.slice(tokens, 1, LEADING))).alias("leaf"),
+        F.when(literal, F.xxhash64(line)).otherwise(F.xxhash64(masked)).alias("template"),
         F.when(literal, F.array().cast("array<int>")).otherwise(runs).alias("runs"),
     )
 
 
+def _count(text: Column, part: str) -> Column:
+    """How often ``part`` (ASCII) stands in a text."""
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
 def _agreeing(kinds: DataFrame) -> DataFrame:
     """The ``kinds`` that may share a key of :func:`generalised` with others. Two lines
     of ten runs that differ in two agree in at least three of five blocks of two runs,
@@ -174,7 +182,7 @@ def _deduplicated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     joined = rows.join(gone, rows.key == gone.key, "left").drop(gone.key)
     return joined.select(
         "row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(_count(F.col("text"), "\n") + 1).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
     )
 

@@ -267,6 +267,17 @@ def test_line_dedup_short_lines(spark):
     assert dropped_from(spark, ["a b c d e", "a b c d x", "a b c d y"]) == {1, 2}
 
 
+def test_line_dedup_looks_for_patterns_where_they_are(spark):
+    """Odd blanks and fields give the lines they gave, and patterns run over lines that
+    hold what they replace, not over whole texts."""
+    texts = ["Read  all\tabout it\nplain words", "Read all about it \n\x0b \x0c\nother words", " Read\r all about it", "No 7 of nine here\n  ", "No 12b of  nine here"]
+    out = {r["doc_id"]: (r["text"], r["n_lines"]) for r in line_dedup.deduplicate(frame(spark, list(enumerate(texts)))).collect()}
+    assert out == {0: (texts[0], 2), 1: ("\x0b \x0c\nother words", 3), 2: ("", 1), 3: (texts[3], 2), 4: ("", 1)}
+    plan = line_dedup.lines_of(frame(spark, [(1, "a")]).select(F.lit(1).alias("key"), "text"))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate"):]
+    assert "regexp_replace" not in below and "RLIKE" not in below and plan.count("regexp_replace") == 2
+
+
 def test_line_dedup_needs_variants(spark):
     """Two sentences that differ in two words are no template; equal ones repeat."""
     anna = ["We met Anna on Monday and she was very happy", "We met Anna on Friday and she was not happy"]
