@@ -92,6 +92,7 @@ def live_play_time(t: Tables):
     return totals.select("player", "game_type", "play_time")
 
 
+FILE_ROWS = 2_000_000
 KEYED = {"player_game_type": ("player", "game_type"), "clan_player": ("clan", "player"), "game_type": ("game_type",)}
 
 
@@ -100,9 +101,7 @@ KEYED = {"player_game_type": ("player", "game_type"), "clan_player": ("clan", "p
 def keyed_play_time(t: Tables):
     """Totals from keyed streaming state; the youngest files come first."""
     folder = new_folder(t, "feed")
-    rows = archive.to_archive(flat_events(t))
-    for part, test in enumerate((F.dayofmonth("createdAt") > 15, F.dayofmonth("createdAt") <= 15)):
-        rows.where(test).write.parquet(f"{folder}/drop/{part}")
+    drop_youngest_first(t, f"{folder}/drop")
     dropped = feed.read_feed(t.spark, f"{folder}/drop/*", files_per_trigger=1)
     tables = keyed.KeyedTables(t.spark, f"{folder}/tables")
     keyed.start_keyed(dropped, tables, f"{folder}/checkpoint", "60 days", splits=2).awaitTermination()
@@ -110,6 +109,15 @@ def keyed_play_time(t: Tables):
     return totals.select("total", "game_type", "clan", "player", "play_time")
 
 
+def drop_youngest_first(t: Tables, folder: str) -> None:
+    """All events as files of a feed, the later half of the month first. A file, which is
+    a batch, holds a range of time, so that a batch is about hours of its own."""
+    rows = archive.to_archive(flat_events(t))
+    for part, test in enumerate((F.dayofmonth("createdAt") > 15, F.dayofmonth("createdAt") <= 15)):
+        files = -(-t.events.withColumnRenamed("ts", "createdAt").where(test).count() // FILE_ROWS)
+        rows.where(test).repartitionByRange(max(files, 1), "createdAt").write.parquet(f"{folder}/{part}")
+
+
 def all_days(rows) -> list[date]:
     return [r.day for r in rows.select(F.to_date("ts").alias("day")).distinct().collect()]
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
+WIDTH_CONF = "spark.sql.shuffle.partitions"
 STATE_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,14 +43,20 @@ def build_session(app: str = "rollcall", master: str | None = None, **conf: str)
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
     """Streams that start here keep their state on disk, the only store that takes keyed
-    state, in sessions not from :func:`build_session` too; a stream takes its settings
-    along when it starts, so the session gets its own back."""
-    own = spark.conf.get(STATE_CONF, None)
-    spark.conf.set(STATE_CONF, STATE_ON_DISK)
+    state, in sessions not from :func:`build_session` too. Every batch opens and commits
+    each of its partitions, whatever rows it has, so there are no more of them than two
+    per core; the checkpoint keeps their number. A stream takes its settings along when
+    it starts, so the session gets its own back."""
+    width = min(int(spark.conf.get(WIDTH_CONF)), 2 * spark.sparkContext.defaultParallelism)
+    wanted = {STATE_CONF: STATE_ON_DISK, WIDTH_CONF: str(width)}
+    own = {k: spark.conf.get(k, None) for k in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(STATE_CONF) if own is None else spark.conf.set(STATE_CONF, own)
+        for key, value in own.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def shared_folder(spark: SparkSession) -> str:

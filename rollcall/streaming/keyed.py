@@ -11,10 +11,12 @@ whatever order the rows came.
 from __future__ import annotations
 
 import sys
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,12 @@ from rollcall.streaming.live import LiveTables
 
 SPLITS = 8
 HOUR = 3_600_000_000  # microseconds
-POLL = "t long, id long, map string, game_type string, worth long, players array<string>, clans array<string>"
-HELD = f"polls array<struct<{', '.join(f.replace(' ', ':', 1) for f in POLL.split(', '))}>>"
+# The snapshots of an hour in the order of time and id, as an Arrow stream: Spark hands
+# over the values of a state one by one in Python, but this as one.
+HELD = "polls binary"
+POLLS = pa.schema([
+    ("t", pa.int64()), ("id", pa.int64()), ("map", pa.string()), ("game_type", pa.string()), ("worth", pa.int64()),
+    ("players", pa.list_(pa.string())), ("clans", pa.list_(pa.string()))])
 OUT = "kind string, server string, map string, game_type string, player string, clan string, credit long, snapshot_id long, t long"
 
 # The worker that prepares the state on the driver gets no files of the session
@@ -37,10 +43,17 @@ OUT = "kind string, server string, map string, game_type string, player string,
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def worth(before: int | None, t: int) -> int:
-    """Seconds that a snapshot is worth behind one at ``before``."""
-    seconds = 0 if before is None else (t - before) // 1_000_000
-    return PLAY_GAP_CREDIT if seconds > PLAY_GAP_SECONDS else max(seconds, 0)
+def worth(before: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Seconds that snapshots are worth behind those at ``before``."""
+    seconds = (t - before) // 1_000_000
+    return np.where(seconds > PLAY_GAP_SECONDS, PLAY_GAP_CREDIT, np.maximum(seconds, 0))
+
+
+def texts(values) -> np.ndarray:
+    """Texts as objects, a missing one as None."""
+    out = np.array(values, dtype=object)
+    out[pd.isna(out)] = None
+    return out
 
 
 class Credits(StatefulProcessor):
@@ -56,61 +69,76 @@ class Credits(StatefulProcessor):
         reached = 1000 * timerValues.getCurrentWatermarkInMs()
         new = pd.concat(list(rows), ignore_index=True)
         behind = new["t"] < reached
-        out = [
-            ("behind", key[0], r.map, r.game_type, r.player, r.clan, 0, r.snapshot_id, r.t)
-            for r in new[behind & new["own"]].itertuples()
-        ]
+        told = new[behind & new["own"]]
+        out = [told.assign(kind="behind", server=key[0], credit=0)] if len(told) else []
         new = new[~behind].sort_values(["t", "snapshot_id", "ordinal"], kind="stable")
         if len(new):
-            out += self._taken_in(key[0], new)
-        if out:
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
-
-    def _taken_in(self, server: str, new: pd.DataFrame) -> list[tuple]:
-        known = sorted(k[0] for k in self.hours.keys())
-        held: dict[int, list] = {}
-
-        def polls(hour: int) -> list:
-            if hour not in held:
-                found = self.hours.getValue((hour,)) if hour in known else None
-                held[hour] = [] if found is None else [[*p[:5], list(p[5]), list(p[6])] for p in found[0]]
-            return held[hour]
-
-        out, poll, at = [], None, None
-        touched = sorted(set((new["t"] // HOUR).tolist()))
-        for hour in touched:
-            polls(hour)
-            if hour not in known:
-                insort(known, hour)
-        columns = (new[c].tolist() for c in ("t", "snapshot_id", "map", "game_type", "player", "clan"))
-        for t, snapshot, map_, game, player, clan in zip(*columns):
-            if at != (t, snapshot):
-                at, poll = (t, snapshot), placed(polls(t // HOUR), [t, snapshot, map_, game, 0, [], []])
-            if player is not None and player not in poll[5]:
-                poll[5].append(player)
-                poll[6].append(clan)
-                if poll[4]:  # a snapshot that was credited before, and more of its clients
-                    out.append(("credit", server, poll[2], poll[3], player, clan, poll[4], snapshot, t))
-        changed = set(touched)
-        for hour in touched:
-            at = known.index(hour)
-            before = polls(known[at - 1])[-1][0] if at else None
-            follow = polls(known[at + 1]) if at + 1 < len(known) else []
-            time, last = None, before
-            for poll in [*polls(hour), *[p for p in follow if p[0] == follow[0][0]]]:
-                if poll[0] != time:  # of several at one time none is measured from another
-                    last, time = time if time is not None else before, poll[0]
-                value = worth(last, time)
-                if value != poll[4]:
-                    out += [
-                        ("credit", server, poll[2], poll[3], p, c, value - poll[4], poll[1], time) for p, c in zip(poll[5], poll[6])
-                    ]
-                    poll[4] = value
-                    changed.add(time // HOUR)
-        for hour in sorted(changed):
-            self.hours.updateValue((hour,), ([tuple(p) for p in held[hour]],))
-        self.handle.registerTimer((known[0] + 1) * HOUR // 1000)
-        return out
+            out.append(self._taken_in(key[0], new))
+        for found in out:
+            if len(found):
+                yield found[[c.split(" ")[0] for c in OUT.split(", ")]]
+
+    def _taken_in(self, server: str, new: pd.DataFrame) -> pd.DataFrame:
+        known = np.array(sorted(k[0] for k in self.hours.keys()), dtype=np.int64)
+        t, ids = (new[c].to_numpy(np.int64) for c in ("t", "snapshot_id"))
+        touched = np.unique(t // HOUR)
+        hours = np.union1d(known, touched)
+        at = np.searchsorted(hours, touched)
+        measured = np.union1d(touched, hours[np.minimum(at + 1, len(hours) - 1)])
+        wanted = np.union1d(measured, hours[np.maximum(at - 1, 0)])  # measured from the hours before
+        held = pa.concat_tables([POLLS.empty_table(), *(self._held(h) for h in np.intersect1d(wanted, known).tolist())])
+        old_t, old_id, old_map, old_game, old_worth = (held[c].to_numpy() for c in POLLS.names[:5])
+        crowd = pc.list_value_length(held["players"]).to_numpy()
+        old_player, old_clan = (pc.list_flatten(held[c]).to_numpy() for c in ("players", "clans"))
+
+        # Snapshots of both, one per time and id: a held one, or the first of the new rows.
+        place, first = merged([old_t, t], [old_id, ids])
+        poll_t, poll_id = (np.concatenate(c)[first] for c in ((old_t, t), (old_id, ids)))
+        poll_map, poll_game = (np.concatenate([c, texts(new[n])])[first] for c, n in ((old_map, "map"), (old_game, "game_type")))
+        before = np.concatenate([old_worth, np.zeros(len(t), np.int64)])[first]
+
+        # Their clients, each once: held ones come first.
+        names = texts(new["player"])
+        named = np.flatnonzero(names != None)  # noqa: E711
+        where = np.concatenate([np.repeat(place[:len(crowd)], crowd), place[len(crowd):][named]])
+        player, clan = np.concatenate([old_player, names[named]]), np.concatenate([old_clan, texts(new["clan"])[named]])
+        credited = np.concatenate([np.repeat(old_worth, crowd), np.zeros(len(named), np.int64)])
+        _, once = np.unique(where * (len(player) + 1) + pd.factorize(player)[0], return_index=True)
+        once = once[np.lexsort((once, where[once]))]
+        where, player, clan, credited = (c[once] for c in (where, player, clan, credited))
+
+        # Of several at one time none is measured from another.
+        times, nth = np.unique(poll_t, return_inverse=True)
+        value = np.where(nth > 0, worth(times[nth - 1], poll_t), 0)
+        value = np.where(np.isin(poll_t // HOUR, measured), value, before)
+        self._hold(np.union1d(touched, np.unique(poll_t[value != before] // HOUR)),
+                   [poll_t, poll_id, poll_map, poll_game, value], np.bincount(where, minlength=len(poll_t)), [player, clan])
+        self.handle.registerTimer((int(hours[0]) + 1) * HOUR // 1000)
+        delta = value[where] - credited
+        out = np.flatnonzero(delta)
+        where = where[out]
+        return pd.DataFrame({
+            "kind": "credit", "server": server, "map": poll_map[where], "game_type": poll_game[where], "player": player[out],
+            "clan": clan[out], "credit": delta[out], "snapshot_id": poll_id[where], "t": poll_t[where]})
+
+    def _held(self, hour: int) -> pa.Table:
+        return pa.ipc.open_stream(bytes(self.hours.getValue((hour,))[0])).read_all()
+
+    def _write(self, hour: int, polls: pa.RecordBatch) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, POLLS) as stream:
+            stream.write_batch(polls)
+        self.hours.updateValue((hour,), (sink.getvalue().to_pybytes(),))
+
+    def _hold(self, hours: np.ndarray, polls: list[np.ndarray], crowd: np.ndarray, clients: list[np.ndarray]) -> None:
+        """Writes ``hours`` of the columns of snapshots and, behind each other, their clients."""
+        ends = np.concatenate([[0], np.cumsum(crowd)])
+        texts = [pa.array(c, pa.string()) for c in clients]
+        first, last = (np.searchsorted(polls[0], h * HOUR) for h in (hours, hours + 1))
+        for hour, a, b in zip(hours.tolist(), first.tolist(), last.tolist()):
+            at = pa.array(ends[a : b + 1] - ends[a], pa.int32())
+            lists = [pa.ListArray.from_arrays(at, c.slice(ends[a], ends[b] - ends[a])) for c in texts]
+            self._write(hour, pa.record_batch([*(pa.array(c[a:b], f.type) for c, f in zip(polls, POLLS)), *lists], schema=POLLS))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         reached = 1000 * timerValues.getCurrentWatermarkInMs()
@@ -119,8 +147,9 @@ class Credits(StatefulProcessor):
         for hour in passed[:-1]:
             self.hours.removeKey((hour,))
         if passed:  # later rows are measured from the last one, nothing is put before it
-            last = self.hours.getValue((passed[-1],))[0][-1]
-            self.hours.updateValue((passed[-1],), ([(*last[:5], [], [])],))
+            last = self._held(passed[-1])
+            last = last.slice(last.num_rows - 1).to_pylist()[0]
+            self._write(passed[-1], pa.RecordBatch.from_pylist([last | {"players": [], "clans": []}], POLLS))
         if len(known) > len(passed):
             self.handle.registerTimer((known[len(passed)] + 1) * HOUR // 1000)
         return iter([])
@@ -129,15 +158,16 @@ class Credits(StatefulProcessor):
         pass
 
 
-def placed(polls: list, poll: list) -> list:
-    """The poll of that time and id in ``polls``, put in its place if it is new."""
-    if not polls or polls[-1][:2] < poll[:2]:
-        polls.append(poll)
-        return poll
-    place = bisect_left(polls, poll[:2], key=lambda p: p[:2])
-    if polls[place][:2] != poll[:2]:
-        polls.insert(place, poll)
-    return polls[place]
+def merged(t: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Several columns of (time, id) as one ordered list of distinct ones: the place of
+    each in that list, and where each of the list is met first."""
+    all_t, all_ids = np.concatenate(t), np.concatenate(ids)
+    order = np.lexsort((all_ids, all_t))  # stable
+    starts = np.ones(len(order), bool)
+    starts[1:] = (np.diff(all_t[order]) != 0) | (np.diff(all_ids[order]) != 0)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(starts) - 1
+    return place, order[starts]
 
 
 def split_rows(feed: DataFrame, splits: int = SPLITS) -> DataFrame:

@@ -5,12 +5,15 @@ import subprocess
 import sys
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from rollcall import jobs
 from rollcall.operators import playtime
+from rollcall.plans import stored
+from rollcall.plans.fixtures import Tables
 from rollcall.schema import FLAT
 from rollcall.sources.archive import to_archive
 from rollcall.streaming import feed as feeds
@@ -146,3 +149,43 @@ def test_the_operator_needs_no_module_of_the_session(tmp_path):
     path = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     found = subprocess.run([sys.executable, "-c", code, tmp_path / "operator"], cwd=tmp_path, env=path, capture_output=True, text=True, check=True)
     assert found.stdout.split()[-2:] == ["Credits", "False"]
+
+
+def test_state_has_few_partitions(spark, tmp_path):
+    """Each batch opens and commits all of them, with rows or without."""
+    df, conf, most = polls(spark, ticks=4), "spark.sql.shuffle.partitions", 2 * spark.sparkContext.defaultParallelism
+    own = spark.conf.get(conf)
+    drop(df, tmp_path / "drop", ["true"])
+    tables = keyed.KeyedTables(spark, str(tmp_path / "t"))
+    spark.conf.set(conf, most + 5)
+    try:
+        run(spark, tmp_path / "drop", tables, str(tmp_path / "ck"))
+        assert spark.conf.get(conf) == str(most + 5)
+    finally:
+        spark.conf.set(conf, own)
+    assert len([p for p in (tmp_path / "ck" / "state" / "0").iterdir() if p.name.isdigit()]) == most
+    assert totals(tables.play_time()) == batch(df)
+
+
+def test_dropped_files_hold_ranges_of_time(spark, tmp_path, monkeypatch):
+    """A file of hours from all over the month would touch the whole state."""
+    rows = [(i, START + timedelta(hours=i * 37 % 700), i % 9, "view", 1.5, f'{{"k": {i % 50}}}') for i in range(400)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(stored, "FILE_ROWS", 60)
+    stored.drop_youngest_first(Tables(spark, str(tmp_path)), str(tmp_path / "drop"))
+    spans = spark.read.parquet(f"{tmp_path}/drop/*").groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.min("createdAt").alias("first"), F.max("createdAt").alias("last"), F.count(F.lit(1)).alias("rows")).orderBy("first").collect()
+    assert len(spans) > 5 and sum(r.rows for r in spans) == 400
+    assert all(a.last < b.first for a, b in zip(spans, spans[1:]))
+
+
+def test_one_value_holds_an_hour(spark, tmp_path):
+    """An hour crosses to Python as one value, not snapshot by snapshot."""
+    df, ck = polls(spark, ticks=4), str(tmp_path / "ck")
+    drop(df, tmp_path / "drop", ["true"])
+    run(spark, tmp_path / "drop", keyed.KeyedTables(spark, str(tmp_path / "t")), ck)
+    state = spark.read.format("statestore").option("stateVarName", "hours").load(ck)
+    assert state.select("user_map_value.*").dtypes == [("polls", "binary")]
+    found = [pa.ipc.open_stream(bytes(r.user_map_value.polls)).read_all() for r in state.where("key.split = 0").collect()]
+    assert sorted(i for h in found for i in h["id"].to_pylist()) == sorted(r.snapshot_id for r in df.select("snapshot_id").distinct().collect())
