@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.schema import HEADER_COLUMNS
 
@@ -67,7 +68,11 @@ def regroup(flat: DataFrame, client_columns: Sequence[str]) -> DataFrame:
     slots of a server. Operators here work on flat rows and never need this.
     """
     header = [c for c in flat.columns if c not in (*client_columns, "ordinal", "snapshot_id")]
-    client = F.struct("ordinal", *client_columns)
+    place = [F.col("ordinal")]
+    if isinstance(flat.schema["ordinal"].dataType, T.StructType):
+        # Its fields one by one: Spark makes a new ordering for each comparison of a struct in a struct.
+        place = [F.col("ordinal").isNotNull().alias("_placed"), *[F.col("ordinal")[n].alias(f"_place_{n}") for n in flat.schema["ordinal"].dataType.names]]
+    client = F.struct(*place, *client_columns)
     collected = F.sort_array(F.collect_list(F.when(F.col("player").isNotNull(), client)))
     return (
         flat.groupBy("snapshot_id")

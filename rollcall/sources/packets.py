@@ -75,10 +75,12 @@ def _format() -> Column:
 def unpacked_number(piece: Column) -> Column:
     """Value of a packed number, given as a text of a character per byte."""
     byte = [F.ascii(F.substring(piece, i, 1)) for i in range(1, 6)]
-    value = byte[0].bitwiseAND(0x3F)
+    first = byte[0].bitwiseAND(0x3F)
+    whole = first
     for i, mask in enumerate((0x7F, 0x7F, 0x7F, 0x0F)):
-        value = value.bitwiseOR(F.shiftleft(byte[i + 1].bitwiseAND(mask), 6 + 7 * i))
-    return F.when(byte[0].bitwiseAND(0x40) != 0, F.bitwise_not(value)).otherwise(value)
+        whole = whole.bitwiseOR(F.shiftleft(byte[i + 1].bitwiseAND(mask), 6 + 7 * i))
+    value = F.when(byte[0] < 0x80, first).otherwise(whole)
+    return value.bitwiseXOR(F.when(byte[0].bitwiseAND(0x40) != 0, -1).otherwise(0))
 
 
 def _pieces(source: Column, pattern: str, groups: int) -> Column:
@@ -87,29 +89,21 @@ def _pieces(source: Column, pattern: str, groups: int) -> Column:
     return F.split(F.regexp_replace(source, F.lit(pattern), F.lit(CUT_7.join(f"${i + 1}" for i in range(groups)))), CUT_7)
 
 
-def _fields_7(body: Column, head: Column, clients: Column) -> Column:
-    """Fields of a 0.7 answer as texts, like those of the formats with NULs only; null
-    if its bytes aren't a head and whole clients. The parameters of the lambdas hold
-    what is matched, so that no field matches again."""
+def _text_7(piece: Column) -> Column:
+    return F.encode(piece, "ISO-8859-1").cast("string")
 
-    def text(piece: Column) -> Column:
-        return F.encode(piece, "ISO-8859-1").cast("string")
 
-    def number(piece: Column) -> Column:
-        return unpacked_number(piece).cast("string")
+def _clients_7(found: Column) -> Column:
+    """Clients of a 0.7 answer from their bytes."""
 
     def client(p: Column) -> Column:
         playing = F.ascii(p[4]).bitwiseAND(1) == F.shiftright(F.ascii(p[4]), 6).bitwiseAND(1)  # 1: spectator, 2: bot
-        return F.array(text(p[0]), text(p[1]), number(p[2]), number(p[3]), F.when(playing, "1").otherwise("0"))
-
-    def first(p: Column) -> Column:
-        return F.array(*[text(p[i]) if 1 <= i <= 5 else number(p[i]) for i in range(12)])
+        return F.struct(
+            _text_7(p[0]).alias("player"), _text_7(p[1]).alias("clan"), unpacked_number(p[2]).alias("country"),
+            unpacked_number(p[3]).alias("score"), F.coalesce(playing, F.lit(False)).alias("in_game"))
 
-    whole = (head != "") & (F.length(head) + F.length(F.array_join(clients, "")) == F.length(body))
-    return F.when(whole, F.concat(
-        F.flatten(F.transform(F.array(_pieces(head, HEAD_7, 12)), first)),
-        F.flatten(F.transform(F.transform(clients, lambda c: _pieces(c, CLIENT_7, 5)), client)),
-        F.array(F.lit(""))))
+    # The parameter of the outer lambda holds what is matched, so that no field matches again.
+    return F.transform(F.transform(found, lambda c: _pieces(c, CLIENT_7, 5)), client)
 
 
 def decode_server_info(packets: DataFrame) -> DataFrame:
@@ -121,6 +115,8 @@ def decode_server_info(packets: DataFrame) -> DataFrame:
     packed = F.col("_format") == "inf3/7"
     body = F.expr("substring(payload, _start + 8)")
     rest = F.expr("substring(_body, length(_head) + 1)")
+    # A 0.7 answer is a head and whole clients, nothing else.
+    whole_7 = (F.col("_head") != "") & (F.length("_head") + F.length(F.array_join("_found", "")) == F.length("_body"))
     rows = (
         packets.withColumn("_start", _start())
         .where("_start is not null")
@@ -130,9 +126,10 @@ def decode_server_info(packets: DataFrame) -> DataFrame:
         .withColumn("_found", F.when(packed, F.regexp_extract_all(rest, F.lit(CLIENT_7), F.lit(0))))
         # A list of one: filters on what follows can't be pushed below, where they
         # would repeat all of the above for each field that they name.
-        .select("poll", "arrival", "_format", F.explode(F.array(
-            F.when(packed, _fields_7(F.col("_body"), F.col("_head"), F.col("_found")))
-            .otherwise(F.split(body.cast("string"), "\\x00")))).alias("_fields"))
+        .select("poll", "arrival", "_format", F.inline(F.array(F.struct(
+            F.when(packed, whole_7).alias("_whole"), F.col("_head"), F.col("_found"),
+            F.when(~packed, F.split(body.cast("string"), "\\x00")).alias("_fields")))))
+        .withColumn("_pieces", F.when(F.col("_whole"), _pieces(F.col("_head"), HEAD_7, 12)))
         .withColumn("_count", F.size("_fields") - 1)
         .withColumn("_base", _by_format(lambda rank, header, base, stride: F.lit(base)))
         .withColumn("_stride", _by_format(lambda rank, header, base, stride: F.lit(stride)))
@@ -140,10 +137,14 @@ def decode_server_info(packets: DataFrame) -> DataFrame:
     )
 
     def header_field(i: int) -> Column:
-        return _by_format(
+        text = _by_format(
             lambda rank, header, base, stride:
             F.lit(None) if header is None else F.get("_fields", F.lit(header[i]))
         )
+        piece = F.get("_pieces", F.lit(FORMATS["inf3/7"][1][i]))
+        if i < 4:
+            return F.when(packed, _text_7(piece)).otherwise(text)
+        return F.when(packed, unpacked_number(piece)).otherwise(_number(text))
 
     def client(i: Column) -> Column:
         def field(n: int) -> Column:
@@ -165,12 +166,9 @@ def decode_server_info(packets: DataFrame) -> DataFrame:
         "poll", "arrival",
         _by_format(lambda rank, header, base, stride: F.lit(rank)).alias("source"),
         _by_format(lambda rank, header, base, stride: F.lit(header is not None)).alias("has_header"),
-        *[
-            (header_field(i) if i < 4 else _number(header_field(i))).alias(name)
-            for i, name in enumerate(HEADER)
-        ],
-        F.transform(indices, client).alias("clients"),
-        F.coalesce(whole, F.lit(False)).alias("valid"),
+        *[header_field(i).alias(name) for i, name in enumerate(HEADER)],
+        F.when(F.col("_whole"), _clients_7(F.col("_found"))).otherwise(F.transform(indices, client)).alias("clients"),
+        F.coalesce(F.when(packed, F.col("_whole")).otherwise(whole), F.lit(False)).alias("valid"),
     )
 
 

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from rollcall.operators import prepare
+from rollcall.plans import answers
 from rollcall.sources import packets
 from tests.conftest import rows
 
@@ -159,3 +161,27 @@ def test_answers_of_no_poll_spoil_none(spark):
     df = table(spark, (None, vanilla([A])), (None, answer("what", "x")), (1, vanilla([B])), (1, answer("what", "x")))
     headers, clients = packets.merge_polls(packets.decode_server_info(df))
     assert rows(headers, "poll", "server_name") == [(None, "srv ü")] and rows(clients, "poll", "player") == [(None, "name1")]
+
+
+def test_validity_needs_no_decoded_clients(spark):
+    """Spoiled polls are found without building the fields of any client."""
+    found = packets.decode_server_info(table(spark, (1, answer7(*HEAD7, "a", "", 1, 100000, 0)), (2, answer7(*HEAD7, "a", "")[:-1])))
+    assert "transform(" not in plan_of(found.select("poll", "valid"))
+    assert rows(found, "poll", "valid") == [(1, True), (2, False)]
+
+
+def test_numbers_are_packed_as_one(spark):
+    values = [s * (2**k + d) for k in range(31) for d in (-1, 0, 1) for s in (1, -1)] + [2**31 - 1, -2**31]
+    df = spark.createDataFrame([(v,) for v in values], "v int").select("v", F.unhex(answers.packed(F.col("v"))).alias("b"))
+    assert all(bytes(r.b) == packed(r.v) for r in df.collect())
+    plan = plan_of(spark.range(1).select(answers.packed(F.col("id").cast("int")).alias("b")))
+    assert plan.count("lpad(") == 1
+
+
+def test_regrouping_compares_no_struct_within_a_struct(spark):
+    place = F.struct(F.col("a"), F.col("b")).alias("ordinal")
+    flat = spark.createDataFrame([(1, 2, None, "x"), (1, 1, 5, "y"), (1, None, 7, "z"), (1, 2, 1, "w"), (1, 2, 1, "v")],
+                                 "snapshot_id long, a int, b int, player string").select("snapshot_id", place, "player")
+    found = prepare.regroup(flat, ["player"])
+    assert [c.player for c in found.first().clients] == ["z", "y", "x", "v", "w"]
+    assert "struct(ordinal" not in plan_of(found) and "_place_" in plan_of(found)
